@@ -8,8 +8,9 @@ already been linked with isn't compared again.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from prismar.llm.common import WordHashes, connected_components, materialize, mix64, slices, words_of
 
-NUM, DEN, WIDTH, GROUPS = 4, 5, 5, 256
+NUM, DEN, WIDTH, GROUPS, TABLE = 4, 5, 5, 256, 25
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -34,7 +35,7 @@ def shingle_sets(texts: list[bytes | None], hashes: WordHashes) -> list[np.ndarr
     """Sorted distinct shingle hashes of each text; a text of fewer than five words is one shingle, one without words none."""
     words = [words_of(t) for t in texts]
     lengths = [len(w) for w in words]
-    flat = np.fromiter((hashes[x] for w in words for x in w), np.uint64, sum(lengths))
+    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, sum(lengths))
     hashes.trim()
     m = len(flat) - WIDTH + 1
     rolled = mix64(sum((flat[k : k + m] * _MUL[k] for k in range(1, WIDTH)), flat[:m] * _MUL[0])) if m > 0 else flat[:0]
@@ -73,12 +74,15 @@ def by_key(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tup
         yield key, list(group)
 
 
-def frequent_shingles(docs: DataFrame, parts: int, least: int = 16, limit: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(40-bit shingle keys ascending, document counts) of shingles in many documents, counted over all of them.
+def shingle_levels(docs: DataFrame, parts: int) -> np.ndarray:
+    """A table of 2^TABLE small numbers, indexed by a shingle's top bits: about twice the binary logarithm of the number of
+    documents that have it, counted over all documents; 0 for one document.
 
-    Those of the highest counts by powers of two, at most `limit`: that bounds what is broadcast. They set the order of shingles
-    only, so the bound doesn't change any answer.
+    Shingles that fall on one place get the larger number. Where too many places are taken, the lower numbers are left out. The
+    table sets the order of shingles only, so neither changes any answer; its size, which is broadcast, is fixed.
     """
+    share = 1 << (TABLE - 8)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, "text", 16 << 20):
@@ -99,47 +103,37 @@ def frequent_shingles(docs: DataFrame, parts: int, least: int = 16, limit: int =
             times = np.concatenate([x for r in rows for x in (np.ones(len(r["once"]) // 4, np.int64), np.frombuffer(r["counts"], "<u4"))])
             key, at = np.unique(key, return_inverse=True)
             count = np.bincount(at, weights=times).astype(np.int64)
-            key, count = key[count >= least], count[count >= least]
-            level = np.log2(np.maximum(count, 1)).astype(int)
-            out = [(x, int((level == x).sum()), ((np.uint64(g) << np.uint64(32)) | key[level == x].astype(np.uint64)).tobytes(), count[level == x].tobytes()) for x in np.unique(level).tolist()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["level", "size", "keys", "counts"])
+            key, count = key[count > 1], count[count > 1]
+            table = np.zeros(share, np.uint8)
+            np.maximum.at(table, (key >> np.uint32(40 - TABLE)).astype(np.int64), np.rint(2 * np.log2(count)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], ["g", "levels"])
 
     dealt = docs.select("text").mapInArrow(emit, "g int, once binary, more binary, counts binary").repartition(parts, "g").sortWithinPartitions("g")
-    found = materialize(dealt.mapInArrow(gather, "level int, size long, keys binary, counts binary"), "frequent-shingles")
-    sizes = sorted(((r.level, r.n) for r in found.groupBy("level").agg(F.sum("size").alias("n")).collect()), reverse=True)
-    low, kept = 64, 0
-    for level, n in sizes:
-        if kept + n > limit:
-            break
-        low, kept = level, kept + n
-    rows = found.where(F.col("level") >= low).select("keys", "counts").collect()
-    keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]) if rows else np.zeros(0, np.uint64)
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def rarest_first(s: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The set in the global order: by listed document count (0 where not listed), then by hash."""
-    if not len(keys):
-        return s
-    own = s >> np.uint64(24)
-    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-    return s[np.argsort(np.where(keys[at] == own, counts[at], 0), kind="stable")]
-
-
-def candidate_edges(docs: DataFrame, frequent, parts: int) -> DataFrame:
+    levels = np.zeros(1 << TABLE, np.uint8)
+    for r in dealt.mapInArrow(gather, "g int, levels binary").collect():  # a fixed number of blocks
+        levels[r.g * share : (r.g + 1) * share] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
+    taken = np.cumsum(np.bincount(levels, minlength=256)[:0:-1])[::-1]  # places of level 1 and more, 2 and more, ...
+    low = 1 + int((taken > len(levels) * 0.4).sum())
+    levels[levels < low] = 0
+    return levels
+
+
+def rarest_first(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The set in the global order: by level, then by hash."""
+    return s[np.argsort(levels[(s >> np.uint64(64 - TABLE)).astype(np.int64)], kind="stable")]
+
+
+def candidate_edges(docs: DataFrame, levels, parts: int) -> DataFrame:
     """Edges between classes that share a prefix shingle and whose sizes allow a link. In a list sorted by size, neighbours whose
     sizes allow it form runs; each member of a run is tied to its first, so a list of m classes makes less than m edges."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (keys, counts) = WordHashes(), frequent.value
+        hashes, order_by = WordHashes(), levels.value
         for batch in slices(batches, "text", 16 << 20):
             seen, heads = set(), []
             for s in shingle_sets([t.as_py() for t in batch.column("text")], hashes):
                 if len(s) and (key := set_key(s)) not in seen:
                     seen.add(key)
-                    head = rarest_first(s, keys, counts)[: prefix_size(len(s))]
+                    head = rarest_first(s, order_by)[: prefix_size(len(s))]
                     heads.append((head, np.full(len(head), key[0], np.int64), np.full(len(head), len(s), np.int32)))
             if heads:
                 token, cid, n = (np.concatenate(x) for x in zip(*heads))
@@ -262,8 +256,8 @@ def jaccard_classes(docs: DataFrame, block: int = 2000, leaders: int = 32) -> Da
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = materialize(signatures(rows), "signatures")
     classes = materialize(signed.where("n > 0 and doc_id is not null").groupBy("cid", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, parts))
-    groups = materialize(connected_components(candidate_edges(rows, frequent, parts), "candidates"), "candidate-groups")
+    levels = spark.sparkContext.broadcast(shingle_levels(rows, parts))
+    groups = materialize(connected_components(candidate_edges(rows, levels, parts), "candidates"), "candidate-groups")
     everyone = groups.select("node", "comp").unionByName(groups.select(F.col("comp").alias("node"), "comp").distinct())
     members = classes.join(everyone.withColumnRenamed("node", "cid"), "cid")
     size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
@@ -285,7 +279,7 @@ def jaccard_classes(docs: DataFrame, block: int = 2000, leaders: int = 32) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.binary()))], ["cid", "h2", "text"])
 
     texts = rows.select("text").mapInArrow(pick, "cid long, h2 long, text binary").join(members, ["cid", "h2"])
-    texts = materialize(texts.groupBy("rep", "comp", "m", "blocks").agg(F.first("text").alias("text")), "member-texts")
+    texts = materialize(texts.select("rep", "comp", "m", "blocks", "text"), "member-texts")  # a class may come from several tasks
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     large = texts.where("blocks > 1")
     first = texts.withColumn("b", own)

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from prismar.plans import scalar_queries
+from prismar.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "scalar_queries"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prismar.plans import cluster_queries, scalar_queries, search_queries
+from prismar.plans import cluster_queries, io_queries, point_queries, raster_queries, scalar_queries, search_queries
 from prismar.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cluster_queries", "scalar_queries", "search_queries"]
+__all__ = ["ORACLES", "QUERIES", "cluster_queries", "io_queries", "point_queries", "raster_queries", "scalar_queries", "search_queries"]

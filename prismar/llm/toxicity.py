@@ -128,7 +128,7 @@ class Model:
         return 1 / (1 + math.exp(-(self.bias + self.slope * x)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000, max_units: int = 100_000, prior: float = 0.02, rate: float = 0.1, least_z: float = 3.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000, max_units: int = 100_000, prior: float = 0.05, rate: float = 0.1, least_z: float = 3.0) -> Model:
     """Learn from at most `max_labelled` labelled documents outside the held-out fold; the lexicon keeps the `max_units` units of
     largest z (both are documented bounds of the fitted model; scoring covers all rows)."""
     train = training_rows(docs, labels, "toxic", FOLDS, HELD, max_labelled)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from prismar.llm import decontam, jaccard, katz, linededup, packing, quality, tokens, topk, toxicity, warc
 from prismar.llm.common import table
+from prismar.llm.oracles import ORACLES
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,4 +52,4 @@ def op10_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_warc, op4_jaccard, op5_topk, op6_katz, op7_linededup, op8_quality, op9_toxicity, op10_tokencounts)}
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -7,6 +7,7 @@ text of a shard is its runs of phrase words, each closed by a separator; nothing
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -193,8 +194,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_byte
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
-    def one(block: list[tuple[int, bytes]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+    def one(shared, keyed: bool) -> DataFrame:
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = Phrases(shared.value, width)
@@ -211,19 +211,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_byte
                     **({"row": batch.column("row")} if "row" in batch.schema.names else {}),
                 }, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.int64())), *([("row", pa.int64())] if "row" in batch.schema.names else [])]))
 
-        keyed = len(blocks) > 1
         source = rows.withColumn("row", F.xxhash64("doc_id", "text")) if keyed else rows
         return source.mapInArrow(search, HITS + ", row long" * keyed)
 
-    blocks = [None]
     stream = item_blocks(benchmark, block_bytes)
     first = next(stream)
     rest = next(stream, None)
     if rest is None:
-        return one(first)
-    blocks = [None, None]
-    parts = [one(first), one(rest), *(one(b) for b in stream)]
-    parts = [p.groupBy("row", "doc_id", "n_words").agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.count(F.lit(1)).alias("n")) for p in parts]
+        return one(spark.sparkContext.broadcast(first), False)
+    parts = []
+    for block in chain([first, rest], stream):  # one block at a time is held by the driver and the executors
+        shared = spark.sparkContext.broadcast(block)
+        part = one(shared, True).groupBy("row", "doc_id", "n_words").agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.count(F.lit(1)).alias("n"))
+        parts.append(materialize(part, "block-hits"))
+        shared.destroy()
     together = parts[0]
     for p in parts[1:]:
         together = together.unionByName(p)

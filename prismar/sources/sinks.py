@@ -49,13 +49,24 @@ def write_story(story: DataFrame, path: str) -> None:
     story_manifest(story).coalesce(1).sortWithinPartitions("scene").select("line").write.mode("overwrite").text(path)
 
 
+def _source(path: str):
+    """The pyarrow file system of a listed path, and the path there. Listed local paths aren't percent-encoded."""
+    from pyarrow import fs
+
+    if path.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    scheme, rest = path.split("://", 1)
+    host, _, inside = rest.partition("/")
+    files, root = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return files, f"{root.rstrip('/')}/{inside}"
+
+
 def copy_files(manifest: DataFrame, folder: str) -> int:
-    """Write the bytes of each manifest row below `folder` (any pyarrow file system); the number of files."""
-    spark = manifest.sparkSession
-    paths = [r.path for r in manifest.select("path").distinct().limit(10_000).collect()]  # a user's selection
-    content = spark.read.format("binaryFile").load(paths).select("path", "content")
-    plain = lambda c: F.regexp_replace(c, "^file:/*", "/")
-    rows = manifest.withColumn("__p", plain(F.col("path"))).drop("path").join(content.withColumn("__p", plain(F.col("path"))), "__p").select("target", "content")
+    """Stream the file at each manifest row's path to its target below `folder` (any pyarrow file system); the number of targets.
+
+    Tasks read and write on their own, so a selection of any size is copied; a repeated task writes the same files again. Of the paths of a colliding target the largest counts.
+    """
+    rows = manifest.groupBy("target").agg(F.max("path").alias("path"))
 
     def put(part: Iterator[Row]) -> None:
         from pyarrow import fs
@@ -63,8 +74,10 @@ def copy_files(manifest: DataFrame, folder: str) -> int:
         files, root = fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
         for r in part:
-            with files.open_output_stream(f"{root}/{r.target}", compression=None) as out:
-                out.write(bytes(r.content))
+            own, path = _source(r.path)
+            with own.open_input_stream(path, compression=None) as found, files.open_output_stream(f"{root}/{r.target}", compression=None) as out:
+                while piece := found.read(4 << 20):
+                    out.write(piece)
 
     rows.foreachPartition(put)
     return rows.count()

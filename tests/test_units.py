@@ -124,3 +124,52 @@ def test_spectrogram_peaks_at_its_tone():
     x = np.sin(2 * math.pi * 1000 * np.arange(8000) / 8000)
     m = mel_spectrogram(x, 8000, 256, 64, 32)
     assert m.shape[0] == 32 and m.max() == 255 and m.min() == 0
+
+
+def test_export_copies_the_selected_files(spark, tmp_path):
+    from prismar.sources import media, sinks
+
+    (tmp_path / "in").mkdir()
+    for name in ("a b+c.png", "d.png", "e.jpg"):
+        (tmp_path / "in" / name).write_bytes(name.encode() * 1000)
+    paths = sorted(r.path for r in media.discover(spark, str(tmp_path / "in"), "image").collect())
+    selected = spark.createDataFrame([(paths[0],), ("group::g",)], "key string")
+    groups = spark.createDataFrame([("g", 5, paths[1:])], "gid string, cursor int, paths array<string>")  # a cursor past the end is the last
+    manifest = sinks.export_manifest(selected, groups)
+    assert sinks.copy_files(manifest, f"file://{tmp_path}/out") == 2
+    written = {p.name.split("_", 1)[1]: p.read_bytes() for p in (tmp_path / "out").iterdir()}
+    assert written == {"a b+c.png": b"a b+c.png" * 1000, "e.jpg": b"e.jpg" * 1000}
+    assert [r.target for r in sinks.export_manifest(selected, groups, "basename").collect()] == ["a b+c.png"]
+
+
+def test_embedding_table_round_trip(spark, tmp_path):
+    from prismar.sources import sinks
+
+    rows = [(1, "x", "image", [1.0, 2.0]), (2, "y", "audio", None)]
+    df = spark.createDataFrame(rows, "item_id long, dataset string, modality string, embedding array<float>")
+    sinks.write_embeddings(df, f"{tmp_path}/vectors")
+    sinks.write_features(df, "embedding", f"{tmp_path}/features")
+    back = spark.read.parquet(f"{tmp_path}/vectors").where("modality = 'image'").collect()
+    assert [(r.item_id, r.dataset, r.embedding) for r in back] == [(1, "x", [1.0, 2.0])]
+    assert [r.item_id for r in spark.read.parquet(f"{tmp_path}/features").collect()] == [1]
+
+
+def test_story_is_one_ordered_file(spark, tmp_path):
+    from prismar.sources import sinks
+
+    sinks.write_story(spark.createDataFrame([(1, "second"), (0, "first")], "scene int, text string"), f"{tmp_path}/story")
+    parts = list((tmp_path / "story").glob("part-*"))
+    assert len(parts) == 1 and parts[0].read_text() == "1. first\n2. second\n"
+
+
+def test_labels_and_dictionaries(spark, tmp_path):
+    from prismar.sources import media
+
+    (tmp_path / "labels.txt").write_text(" rain \n\nwind\n")
+    (tmp_path / "d.json").write_text('{"rain": ["wet", "drops"], "wind": "gust"}')
+    (tmp_path / "d.csv").write_text("label,term\nrain, wet \nwind,gust\n")
+    names = lambda df: sorted(tuple(r) for r in df.collect())
+    assert names(media.read_labels(spark, str(tmp_path / "labels.txt"))) == names(media.read_labels(spark, "rain, wind ,")) == [("rain",), ("wind",)]
+    assert media.labels_version(media.read_labels(spark, "rain,wind")) == media.labels_version(media.read_labels(spark, "wind,rain"))
+    assert names(media.read_dictionary(spark, str(tmp_path / "d.json"))) == [("rain", "drops"), ("rain", "wet"), ("wind", "gust")]
+    assert names(media.read_dictionary(spark, str(tmp_path / "d.csv"))) == [("rain", "wet"), ("wind", "gust")]

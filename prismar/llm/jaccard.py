@@ -51,6 +51,11 @@ def shingle_sets(texts: list[bytes | None], hashes: WordHashes) -> list[np.ndarr
     return out
 
 
+def batch_sets(batch: pa.RecordBatch, hashes: WordHashes) -> list[np.ndarray]:
+    """The sets of a batch's texts, taken in pieces of about 2 MB, so that few words are objects at a time."""
+    return [s for piece in slices([batch], "text", 2 << 20) for s in shingle_sets([t.as_py() for t in piece.column("text")], hashes)]
+
+
 def set_key(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit hashes of a set, whatever its order."""
     a, b = np.bitwise_xor.reduce(mix64(s)), np.add.reduce(mix64(s ^ _MUL[1]))
@@ -61,7 +66,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, "text"):
-            sets = shingle_sets([t.as_py() for t in batch.column("text")], hashes)
+            sets = batch_sets(batch, hashes)
             keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["doc_id", "n", "cid", "h2"])
 
@@ -85,9 +90,8 @@ def shingle_levels(docs: DataFrame, parts: int) -> np.ndarray:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches, "text", 16 << 20):
-            sets = shingle_sets([t.as_py() for t in batch.column("text")], hashes)
-            key, count = np.unique(np.concatenate(sets) >> np.uint64(24), return_counts=True)
+        for batch in slices(batches, "text", 8 << 20):
+            key, count = np.unique(np.concatenate(batch_sets(batch, hashes)) >> np.uint64(24), return_counts=True)
             group = (key >> np.uint64(32)).astype(np.int64)
             cuts = np.searchsorted(group, np.arange(GROUPS + 1))
             rows = []
@@ -128,9 +132,9 @@ def candidate_edges(docs: DataFrame, levels, parts: int) -> DataFrame:
     sizes allow it form runs; each member of a run is tied to its first, so a list of m classes makes less than m edges."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, order_by = WordHashes(), levels.value
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             seen, heads = set(), []
-            for s in shingle_sets([t.as_py() for t in batch.column("text")], hashes):
+            for s in batch_sets(batch, hashes):
                 if len(s) and (key := set_key(s)) not in seen:
                     seen.add(key)
                     head = rarest_first(s, order_by)[: prefix_size(len(s))]

@@ -1,15 +1,22 @@
-"""Line dedup (operator 7): documents that share rare lines are aligned by patience diff, and the later one loses the common blocks."""
+"""Line dedup (operator 7): a document loses the blocks of lines that an earlier one has.
+
+Blocks are found by their shortest runs of lines that reach the least number of words. Any block of that many words is covered by such
+runs (take the shortest from its start, to its end, and around each line), and each run in it has a first owner, so that owners of
+runs give exactly the lines that aligning a document with every earlier one would give, with a row for each run instead of each pair.
+`aligned_blocks`, the patience diff of one pair, is what tests hold this against.
+"""
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismar.llm.common import NO_ID, materialize
+from prismar.llm.common import NO_ID, WordHashes, materialize, mix64, slices
 
 
 def longest_rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -60,48 +67,75 @@ def aligned_blocks(mine: dict[int, int], theirs: dict[int, int]) -> list[list[tu
     return blocks
 
 
-def doomed_lines(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
+def shortest_runs(words: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the shortest runs of at least `min_words` words from each line on and up to each line, within documents.
+
+    `words` are the word counts of the lines, `doc` their documents in rising order.
+    """
+    n = len(words)
+    upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    ends = np.searchsorted(upto, upto[:-1] + min_words) - 1
+    starts = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
+    first, last = np.concatenate([np.arange(n), starts]), np.concatenate([ends, np.arange(n)])
+    good = (first >= 0) & (last < n)
+    first, last = first[good], last[good]
+    same = doc[first] == doc[last]
+    both = np.unique(first[same] * n + last[same])
+    return both // max(n, 1), both % max(n, 1)
+
+
+def run_hashes(lines: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the line hashes of each run, in order."""
+    out, live = np.zeros(len(first), np.uint64), np.arange(len(first))
+    step = 0
+    while len(live):
+        out[live] = mix64(out[live] * np.uint64(0x9E3779B97F4A7C15) + lines[first[live] + step])
+        step += 1
+        live = live[first[live] + step <= last[live]]
+    return out
+
+
+def line_runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """run (hash), id and h (row key), first and last place: the shortest runs of at least `min_words` words of each document."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches, "text"):
+            found = [(k, p, line, n) for k, text in enumerate(batch.column("text").to_pylist()) for p, line, n in text_lines(text)]
+            doc, place, lines, words = zip(*found) if found else ((), (), (), ())
+            doc, place = np.array(doc, np.int64), np.array(place, np.int32)
+            first, last = shortest_runs(np.array(words, np.int64), doc, min_words)
+            run = run_hashes(np.fromiter(map(hashes.__getitem__, lines), np.uint64, len(lines)), first, last)
+            hashes.trim(50_000)
+            owner = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), batch.column("id").take(owner), batch.column("h").take(owner), pa.array(place[first]), pa.array(place[last])], ["run", "id", "h", "first", "last"])
+
+    rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(emit, "run long, id long, h long, first int, last int")
+
+
+def text_lines(text: bytes) -> Iterator[tuple[int, bytes, int]]:
+    """Place, trimmed line and number of words of each line."""
+    for place, line in enumerate(text.split(b"\n")):
+        yield place, line.strip(b" "), len(line.split())
+
+
+def doomed_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """k (row key) and the places of its lines that go.
 
-    A line's owner is the first document that has it. Each document is paired with the owners of its lines alone, never with all
-    others that share a line, so there are at most as many pairs as lines however common a line is; the owner's copy of a line
-    is the one that stays, so no text vanishes from the corpus.
+    A run's owner is the first document that has it; the run goes from all others, however often they have it. A line's
+    first document keeps it, since no earlier one has a run with it, so no line vanishes from the corpus.
     """
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"))
-    rows = docs.where("text is not null").select(key.alias("k"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    rows = rows.withColumn("line", F.trim("line")).where("line != ''")
-    lines = rows.groupBy("k", F.xxhash64("line", F.length("line")).alias("line"), F.size(F.split("line", r"\s+")).alias("words")).agg(F.collect_set("place").alias("places"))
-    lines = materialize(lines, "lines")
-    owners = lines.where(F.col("words") >= anchor_words).groupBy("line").agg(F.min("k").alias("owner"), F.max("k").alias("last"))
-    owners = owners.where(F.col("owner") != F.col("last")).drop("last")  # shared lines
-    pairs = lines.join(owners, "line").where(F.col("owner") < F.col("k")).select("k", "owner").distinct()
-    theirs = lines.select(F.col("k").alias("owner"), "line", F.col("places").alias("their"))
-    common = pairs.join(lines, "k").join(theirs, ["owner", "line"])
-    grouped = common.groupBy("k", "owner").agg(F.collect_list(F.struct("line", "words", "places", "their")).alias("common"))
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gone = []
-            for shared in batch.column("common").to_pylist():
-                words = {p: x["words"] for x in shared for p in x["places"]}
-                out: list[int] = []
-                if sum(words.values()) >= min_words:
-                    mine = {p: x["line"] for x in shared for p in x["places"]}
-                    for block in aligned_blocks(mine, {p: x["line"] for x in shared for p in x["their"]}):
-                        if sum(words[b] for b, _ in block) >= min_words:
-                            out += [b for b, _ in block]
-                gone.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(gone, pa.list_(pa.int32()))], ["k", "gone"])
-
-    kind = lines.schema["k"].dataType.simpleString()
-    found = grouped.mapInArrow(align, f"k {kind}, gone array<int>").where(F.size("gone") > 0)
-    return found.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-
-
-def _rewritten(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
+    runs = materialize(line_runs(docs, min_words), "runs").select("run", F.struct("id", "h").alias("k"), "first", "last")
+    owners = runs.groupBy("run").agg(F.min("k").alias("owner"), F.max("k").alias("latest"))
+    owners = owners.where(F.col("owner") != F.col("latest")).drop("latest")  # shared runs
+    gone = runs.join(owners, "run").where(F.col("owner") < F.col("k"))
+    return gone.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).alias("gone"))
+
+
+def _rewritten(docs: DataFrame, min_words: int) -> DataFrame:
     """`docs` with the new text, __lines and __removed."""
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"))
-    gone = materialize(doomed_lines(docs.select("doc_id", "text"), min_words, anchor_words), "gone-lines").toDF("__k", "__gone")
+    gone = materialize(doomed_lines(docs.select("doc_id", "text"), min_words), "gone-lines").toDF("__k", "__gone")
     both = docs.withColumn("__k", key).join(gone, "__k", "left")
     parts = F.split("text", "\n", -1)
     left = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
@@ -110,20 +144,20 @@ def _rewritten(docs: DataFrame, min_words: int, anchor_words: int) -> DataFrame:
     return both.withColumn("text", left).drop("__k", "__gone")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 10, anchor_words: int = 4) -> DataFrame:
-    """`docs` with the aligned common blocks of at least `min_words` words taken out of the later document of each pair, and
+def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
+    """`docs` with the common blocks of at least `min_words` words taken out of the later document of each pair, and
     n_lines, n_removed (lines; columns of these names are replaced).
 
-    Order is that of doc_id (null first), then of a text hash. A block needs one line of `anchor_words` words to be found. Null
+    Order is that of doc_id (null first), then of a text hash. Null
     texts stay null; repeated rows (same id and text) are one document and get the same result; an empty table stays empty.
     """
-    out = _rewritten(docs, min_words, anchor_words)
+    out = _rewritten(docs, min_words)
     return out.withColumn("n_lines", F.col("__lines")).withColumn("n_removed", F.col("__removed")).drop("__lines", "__removed")
 
 
-def dedup_documents(docs: DataFrame, min_words: int = 10, anchor_words: int = 4) -> DataFrame:
+def dedup_documents(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """The same with the columns of `docs` alone, without the documents that lose all their words; n_chars, if there, follows the text."""
-    out = _rewritten(docs, min_words, anchor_words)
+    out = _rewritten(docs, min_words)
     out = out.where((F.col("__removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

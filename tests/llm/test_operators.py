@@ -233,6 +233,44 @@ def test_line_dedup(spark, docs, none):
     assert rows(linededup.dedup_lines(none)) == []
 
 
+def removed_by_all_pairs(texts, min_words=10):
+    """id -> places that go: every common block of non-blank lines with every earlier document, by plain comparison."""
+    docs = {i: [(p, x.strip(), len(x.split())) for p, x in enumerate(t.split("\n")) if x.strip()] for i, t in texts}
+    gone = {i: set() for i in docs}
+    for b in docs:
+        for a in (a for a in docs if a < b):
+            for i in range(len(docs[b])):
+                for j in range(len(docs[a])):
+                    n = 0
+                    while i + n < len(docs[b]) and j + n < len(docs[a]) and docs[b][i + n][1] == docs[a][j + n][1]:
+                        n += 1
+                    if sum(x[2] for x in docs[b][i : i + n]) >= min_words:
+                        gone[b] |= set(range(docs[b][i][0], docs[b][i + n - 1][0] + 1))
+    return gone
+
+
+def kept_lines(spark, texts):
+    from prismar.llm import linededup
+
+    return {r["doc_id"]: r["text"] for r in rows(linededup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")))}
+
+
+def test_line_dedup_pairs_documents_that_own_none_of_their_lines(spark):
+    block = [f"shared line number {k} here" for k in range(4)]
+    texts = [(k, block[k]) for k in range(4)] + [(10, "\n".join(["own start", *block])), (11, "\n".join([*block, "own end"]))]
+    got = kept_lines(spark, texts)
+    assert got[10] == texts[4][1] and got[11] == "own end"
+
+
+def test_line_dedup_equals_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    pool = [" ".join(f"w{k}x{j}" for j in range(1 + k % 6)) for k in range(12)]
+    texts = [(i, "\n".join(pool[int(k)] for k in rng.integers(0, 12, int(rng.integers(1, 14))))) for i in range(40)]
+    gone = removed_by_all_pairs(texts)
+    assert kept_lines(spark, texts) == {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t in texts}
+    assert 0 < sum(map(len, gone.values())) < sum(len(t.split("\n")) for _, t in texts)
+
+
 def test_patience_blocks():
     from prismar.llm.linededup import aligned_blocks, longest_rise
 

@@ -114,9 +114,10 @@ def line_runs(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def text_lines(text: bytes) -> Iterator[tuple[int, bytes, int]]:
-    """Place, trimmed line and number of words of each line."""
+    """Place, trimmed line and number of words of each line that isn't blank; runs go on over blank lines, which go with them."""
     for place, line in enumerate(text.split(b"\n")):
-        yield place, line.strip(b" "), len(line.split())
+        if line := line.strip():
+            yield place, line, len(line.split())
 
 
 def doomed_lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -148,8 +149,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """`docs` with the common blocks of at least `min_words` words taken out of the later document of each pair, and
     n_lines, n_removed (lines; columns of these names are replaced).
 
-    Order is that of doc_id (null first), then of a text hash. Null
-    texts stay null; repeated rows (same id and text) are one document and get the same result; an empty table stays empty.
+    Lines are compared without the white space at their ends. Blank lines don't count, but go where they lie inside a block.
+    Order is that of doc_id (null first), then of a text hash. Null texts stay null; repeated rows (same id and text) are one
+    document and get the same result; an empty table stays empty.
     """
     out = _rewritten(docs, min_words)
     return out.withColumn("n_lines", F.col("__lines")).withColumn("n_removed", F.col("__removed")).drop("__lines", "__removed")

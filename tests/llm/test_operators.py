@@ -265,12 +265,23 @@ def test_line_dedup_pairs_documents_that_own_none_of_their_lines(spark):
 def test_line_dedup_equals_all_pairs(spark):
     rng = np.random.default_rng(4)
     pool = [" ".join(f"w{k}x{j}" for j in range(1 + k % 6)) for k in range(12)]
-    texts = [(i, "\n".join(pool[int(k)] for k in rng.integers(0, 12, int(rng.integers(1, 14))))) for i in range(40)]
+    texts = [(i, "\n".join(pool[int(k)] + "\n" * int(rng.integers(1, 8) == 1) for k in rng.integers(0, 12, int(rng.integers(1, 14))))) for i in range(40)]
     gone = removed_by_all_pairs(texts)
     assert kept_lines(spark, texts) == {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t in texts}
     assert 0 < sum(map(len, gone.values())) < sum(len(t.split("\n")) for _, t in texts)
 
 
+@pytest.mark.parametrize("early, late, left", [
+    (["eight words are here in this line %d" % k for k in range(10)], ["eight words are here in this line %d" % k + "\n" for k in range(10)], [""]),  # blank lines between
+    (["a line %d" % k for k in range(6)], ["a line %d" % k for k in range(6)], []),  # short lines alone
+    (["the passage line number %d" % k for k in range(4)], ["the passage line number %d" % k for k in range(4)] * 2, []),  # twice in the later document
+    (["windows ends of this line %d\r" % k for k in range(4)] + ["\r"], ["windows ends of this line %d\r\n\t" % k for k in range(4)], ["\t"]),
+])
+def test_line_dedup_finds_whole_passages(spark, early, late, left):
+    got = kept_lines(spark, [(1, "\n".join(["first", *early])), (2, "\n".join(["second", *late, "end"]))])
+    assert got[1] == "\n".join(["first", *early]) and got[2] == "\n".join(["second", *left, "end"])
+
+
 def test_patience_blocks():
     from prismar.llm.linededup import aligned_blocks, longest_rise
 

@@ -1,10 +1,10 @@
 """Language-model scoring (operator 6): Katz backoff with Good-Turing discounts.
 
-Order two over a closed vocabulary: the most frequent words of the training part (at most `vocab_limit`, a documented bound on what is
-broadcast) are symbols of their own; all other words share the symbol `rare`, and inside it each keeps its own
-discounted unigram share, unseen words included, so that every token of every text has a probability.
-The chain is P(w | v): seen pair -> its discounted count; else weight(v) times P(w); P(w) of a rare word -> P(rare) times its share.
-Pair events are dealt by history (a frequent history also by word), packed in binary blocks.
+Order two; every word of the training part is a symbol of its own, and unseen words share what the unigrams give up, so
+that every token of every text has a probability. The chain is P(w | v): seen pair -> its discounted count; else weight(v) times P(w).
+The most frequent words (at most `vocab_limit`) are broadcast and numbered, and their pair events are dealt by history (a frequent
+history also by word), packed in binary blocks. Pairs with any other word go by word hashes through written tables of counts and
+history weights: the limit decides the way a pair takes, not its probability.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from prismar.llm.common import WordHashes, materialize, slices, words_of
 from prismar.llm.labelled import fold
 
-END = b" end"  # no word has a space
+END, START = b" end", b" start"  # no word has a space
 FOLDS, HELD, CUT, GROUPS = 5, 1, 5, 1024
 _SIGN = np.uint64(1 << 63)
 
@@ -40,7 +41,7 @@ def unigrams(train: DataFrame) -> DataFrame:
     """h (word hash), c: counts of all training tokens, added up in each task first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             parts = [hashed([*words_of(t.as_py()), END], hashes) for t in batch.column("text")]
             hashes.trim()
             h, c = np.unique(np.concatenate(parts), return_counts=True)
@@ -118,6 +119,8 @@ def pairs_of(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(group: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
     """Cut columns that are ordered by group at the group's ends."""
+    if not len(group):
+        return
     ends = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
         yield int(group[a]), [c[a:b].tobytes() for c in columns]
@@ -128,10 +131,11 @@ def history_stats(train: DataFrame, vocabulary, dealer, parts: int) -> DataFrame
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, deal = vocabulary.value, dealer.value
         known = WordIds(vocab)
-        for batch in slices(batches, "text", 16 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             both = [pairs_of(i, vocab.start) for i in text_ids([t.as_py() for t in batch.column("text")], known)]
             v, w = (np.concatenate(x) for x in zip(*both))
-            pair, count = np.unique((v << 20) | w, return_counts=True)
+            near = (v != vocab.rare) & (w != vocab.rare)
+            pair, count = np.unique((v[near] << 20) | w[near], return_counts=True)
             v, w = pair >> 20, pair & 0xFFFFF
             group = deal.groups(v, w)
             order = np.argsort(group, kind="stable")
@@ -157,6 +161,30 @@ def history_stats(train: DataFrame, vocabulary, dealer, parts: int) -> DataFrame
     return dealt.mapInArrow(gather, f"v long, {kinds}").groupBy("v").agg(*(F.sum(n).alias(n) for n in [*names, "big", "mass"]))
 
 
+def far_pairs(rows: DataFrame, vocabulary) -> DataFrame:
+    """row, held_out, v, w (ids), hv, hw (hashes): the pairs of each text with a word outside the broadcast vocabulary."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary.value
+        known, hashes, row = WordIds(vocab), WordHashes(), TaskContext.get().partitionId() << 40
+        for batch in slices(batches, "text", 4 << 20):
+            texts = [t.as_py() for t in batch.column("text")]
+            cols: list[list] = [[] for _ in range(5)]
+            for k, (text, ids) in enumerate(zip(texts, text_ids(texts, known))):
+                v, w = pairs_of(ids, vocab.start)
+                at = np.flatnonzero((v == vocab.rare) | (w == vocab.rare))
+                if len(at):
+                    words = [START, *words_of(text), END]
+                    new = np.full(len(at), k), v[at], w[at], hashed([words[i] for i in at], hashes), hashed([words[i + 1] for i in at], hashes)
+                    for col, x in zip(cols, new):
+                        col.append(x.view(np.int64))
+            hashes.trim(100_000)
+            k, v, w, hv, hw = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
+            yield pa.RecordBatch.from_arrays([pa.array(row + k), batch.column("held_out").take(pa.array(k)), *map(pa.array, (v, w, hv, hw))], ["row", "held_out", "v", "w", "hv", "hw"])
+            row += len(texts)
+
+    return rows.select("text", "held_out").mapInArrow(emit, "row long, held_out boolean, v long, w long, hv long, hw long")
+
+
 def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows of a partition ordered by g, one group at a time."""
     now, rows = None, []
@@ -175,7 +203,7 @@ def katz_scores(docs: DataFrame, vocab_limit: int = (1 << 20) - 2, pairs_per_gro
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`.
 
     Rows of remainder 1 (crc32 of the id as text, modulo 5) are held out of training. Null and empty texts are their end token; repeated
-    rows each give a row; a null id trains. `docs` is read in several passes and has to give the same rows in the same order
+    rows each give a row; a null id trains. `vocab_limit` bounds the words that are broadcast and changes no score. `docs` is read in several passes and has to give the same rows in the same order
     each time, as a written table does.
     """
     spark = docs.sparkSession
@@ -195,13 +223,37 @@ def katz_scores(docs: DataFrame, vocab_limit: int = (1 << 20) - 2, pairs_per_gro
     listed = table.where(F.col("c") >= least).toArrow()
     own = Vocabulary(listed.column("h").to_numpy().view(np.uint64), listed.column("c").to_numpy(), d1, total_safe)
     rare_tokens = total - int(own.c.sum())
-    known_rare = sum(n * c * d1[min(c, CUT + 1)] for c, n in sizes if c < least) / total_safe
-    unseen = max(own.p_rare - known_rare, 1e-9 * own.p_rare)
-    log_unseen = math.log10(unseen / (own.p_rare if own.p_rare > unseen else unseen) / (dict(sizes).get(1, 0) + 1))
+    unseen = max(1 - float(sum(n * c * d1[min(c, CUT + 1)] for c, n in sizes)) / total_safe, 1e-12)
+    log_unseen = math.log10(unseen / (dict(sizes).get(1, 0) + 1))
     starts = train.count()
     vocabulary = spark.sparkContext.broadcast(own)
     dealer = spark.sparkContext.broadcast(Dealer(own, max(1, total // (GROUPS * pairs_per_group)), starts, rare_tokens))
-    stats = materialize(history_stats(train, vocabulary, dealer, parts), "histories")
+    stats = history_stats(train, vocabulary, dealer, parts).withColumn("hv", F.lit(None).cast("long"))
+    far_words = table.where(F.col("c") < least)
+    ratio = lambda d, c: F.element_at(F.array(*(F.lit(float(x)) for x in d[1:])), F.least(F.greatest(c, F.lit(1)), F.lit(CUT + 1)).cast("int"))
+    # listed words need no lookup; keys of their own keep them off the words looked up, and apart
+    key = lambda i, h, other: F.when(F.col(i) == own.rare, F.col(h)).otherwise(F.xxhash64(other, h))
+    listed_p = spark.sparkContext.broadcast(own.log_p)
+
+    @F.pandas_udf("double")
+    def log_listed(w: pd.Series) -> pd.Series:
+        return pd.Series(listed_p.value[w.to_numpy()])
+
+    def with_log_p(pairs: DataFrame, other: str) -> DataFrame:
+        """`pairs` with log_p, the lower-order probability of w."""
+        pairs = pairs.withColumn("at", key("w", "hw", other)).join(far_words.select(F.col("h").alias("at"), F.col("c").alias("far")), "at", "left")
+        share = F.when(F.col("far") > 0, F.log10(F.col("far") * ratio(d1, F.col("far")) / float(total_safe))).otherwise(F.lit(log_unseen))
+        return pairs.withColumn("log_p", F.when(F.col("w") == own.rare, share).otherwise(log_listed("w"))).drop("at")
+
+    far_rows = materialize(far_pairs(rows, vocabulary), "far-rows")
+    # a row for each distinct pair of the training part
+    counted = materialize(with_log_p(far_rows.where("not held_out").groupBy("v", "w", "hv", "hw").agg(F.count(F.lit(1)).alias("c")), "hv"), "far-pairs")
+    sums = [F.sum((F.col("c") == r).cast("double")).alias(f"f{r}") for r in range(1, CUT + 2)]
+    sums += [F.sum(F.when(F.col("c") > CUT, F.col("c").cast("double")).otherwise(0.0)).alias("big"), F.sum(F.pow(F.lit(10.0), "log_p")).alias("mass")]
+    names = [n for n in stats.columns if n not in ("v", "hv")]
+    far = counted.groupBy("v", F.when(F.col("v") == own.rare, F.col("hv")).alias("hv")).agg(*sums)
+    stats = stats.unionByName(far).groupBy("v", "hv").agg(*(F.sum(n).alias(n) for n in names))
+    stats = materialize(stats, "histories")
     coc = stats.agg(*(F.sum(f"f{r}").alias(f"f{r}") for r in range(1, CUT + 2))).first()
     d2 = discounts({r: int(coc[f"f{r}"] or 0) for r in range(1, CUT + 2)})
     n_v = F.col("big") + sum(r * F.col(f"f{r}") for r in range(1, CUT + 1))
@@ -209,7 +261,8 @@ def katz_scores(docs: DataFrame, vocab_limit: int = (1 << 20) - 2, pairs_per_gro
     left = 1 - seen / n_v
     # a history whose counts are all above the cut gives up one count's worth
     scale = F.when(left > 1e-9, F.lit(1.0)).otherwise(n_v / (n_v + 1) * n_v / seen)
-    weights = stats.select("v", n_v.alias("n"), scale.alias("scale"), ((1 - scale * seen / n_v) / F.greatest(1 - F.col("mass"), F.lit(1e-12))).alias("weight")).toArrow()
+    weighed = stats.select("v", "hv", n_v.alias("n"), scale.alias("scale"), ((1 - scale * seen / n_v) / F.greatest(1 - F.col("mass"), F.lit(1e-12))).alias("weight"))
+    weights = weighed.where("hv is null").toArrow()
     size = own.start + 1
     history = {k: np.full(size, fill) for k, fill in (("n", 1.0), ("scale", 1.0), ("weight", 1.0))}
     at = weights.column("v").to_numpy()
@@ -224,7 +277,7 @@ def katz_scores(docs: DataFrame, vocab_limit: int = (1 << 20) - 2, pairs_per_gro
         known, row = WordIds(vocab), TaskContext.get().partitionId() << 40
         listed_base = np.concatenate([base(vocab.c), [0.0]])
         kind = pa.schema([("g", pa.int32()), ("first", pa.int64()), ("train", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             for k in range(0, batch.num_rows, 65_536):
                 part = batch.slice(k, 65_536)
                 ids = text_ids([t.as_py() for t in part.column("text")], known)
@@ -234,7 +287,7 @@ def katz_scores(docs: DataFrame, vocab_limit: int = (1 << 20) - 2, pairs_per_gro
                 v, w = (np.concatenate(x) for x in zip(*(pairs_of(i, vocab.start) for i in ids)))
                 out = []
                 for mark in (True, False):
-                    pick = held[doc] != mark
+                    pick = (held[doc] != mark) & (v != vocab.rare) & (w != vocab.rare)
                     if not pick.any():
                         continue
                     pair, count = np.unique((doc[pick] << 41) | (v[pick] << 20) | w[pick], return_counts=True)
@@ -296,23 +349,26 @@ def katz_scores(docs: DataFrame, vocab_limit: int = (1 << 20) - 2, pairs_per_gro
     dealt = rows.mapInArrow(emit, "g int, first long, train boolean, a binary, b binary, c binary").repartition(parts, "g").sortWithinPartitions("g")
     scores = dealt.mapInArrow(evaluate, "first long, a binary, b binary, c binary").groupBy("first").applyInArrow(finish, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
-    def strangers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary.value
-        known, hashes, row = WordIds(vocab), WordHashes(), TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text", 8 << 20):
-            words = [words_of(t.as_py()) for t in batch.column("text")]
-            known.fill(set().union(*words) | {END})
-            out = [(row + k, hashes[w]) for k, own in enumerate(words) for w in own if known[w] == vocab.rare]
-            hashes.trim()
-            row += len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array(np.array([h for _, h in out], np.uint64).view(np.int64))], ["row", "h"])
-
-    # words outside the vocabulary: their own counts and shares, looked up in the partitioned unigram table
-    odd = rows.mapInArrow(strangers, "row long, h long").groupBy("row", "h").agg(F.count(F.lit(1)).alias("times"))
-    odd = odd.join(table.where(F.col("c") < least), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    ratio = F.element_at(F.array(*(F.lit(float(x)) for x in d1[1:])), F.least(F.greatest("c", F.lit(1)), F.lit(CUT + 1)).cast("int"))
-    share = F.when(F.col("c") > 0, F.log10(F.col("c") * ratio / float(total_safe) / float(own.p_rare))).otherwise(F.lit(log_unseen))
-    more = odd.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / (total + 0.5 * (types + 1)))).alias("more_base"), F.sum(F.col("times") * share).alias("more_score"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"))
+    # pairs with a word outside the broadcast vocabulary: counts, weights and shares are looked up in written tables
+    @F.pandas_udf("log_n double, log_weight double")
+    def listed_history(v: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({k: tables.value[k][v.to_numpy()].astype(float) for k in ("log_n", "log_weight")})
+
+    histories = weighed.where("hv is not null").select(F.col("hv").alias("at"), F.log10(F.col("scale") / F.col("n")).alias("far_n"), F.log10("weight").alias("far_weight"))
+
+    def with_history(pairs: DataFrame, other: str) -> DataFrame:
+        """`pairs` with log_n and log_weight of v."""
+        pairs = pairs.withColumn("at", key("v", "hv", other)).join(histories, "at", "left").withColumn("own", listed_history("v"))
+        by_v = lambda n, f: F.when(F.col("v") == own.rare, F.coalesce(f, F.lit(0.0))).otherwise(F.col(f"own.{n}")).alias(n)
+        return pairs.select(*(c for c in pairs.columns if c not in ("at", "own", "far_n", "far_weight")), by_v("log_n", "far_n"), by_v("log_weight", "far_weight"))
+
+    seen_pairs = with_history(counted, "hw").select("hv", "hw", "far", (F.log10(F.col("c") * ratio(d2, F.col("c"))) + F.col("log_n")).alias("pair"))
+    met = far_rows.join(seen_pairs, ["hv", "hw"]).select("row", "w", "far", "pair")
+    new = far_rows.where("held_out").join(counted.select("hv", "hw"), ["hv", "hw"], "left_anti")
+    new = with_history(with_log_p(new, "row"), "row").select("row", "w", "far", (F.col("log_weight") + F.col("log_p")).alias("pair"))
+    count, stranger = F.coalesce("far", F.lit(0)), F.col("w") == own.rare
+    base_of = F.when(stranger, F.log10((count + 0.5) / (total + 0.5 * (types + 1)))).otherwise(0.0)
+    more = met.unionByName(new).groupBy("row").agg(F.sum(base_of).alias("more_base"), F.sum("pair").alias("more_score"), F.sum((stranger & (count > 0)).cast("long")).alias("more_known"))
     out = scores.join(more, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))

@@ -233,6 +233,53 @@ def test_line_dedup(spark, docs, none):
     assert rows(linededup.dedup_lines(none)) == []
 
 
+def katz_by_hand(texts, train):
+    """P(w | v) as a function, from plain counts over the training texts."""
+    from prismar.llm.katz import CUT, discounts
+
+    uni, pairs = collections.Counter(), collections.Counter()
+    for t in train:
+        w = [*plain_words(t), b" end"]
+        uni.update(w)
+        pairs.update(zip([b" start", *w], w))
+    d1, d2 = (discounts(collections.Counter(c.values())) for c in (uni, pairs))
+    total = sum(uni.values())
+    p1 = {w: c * d1[min(c, CUT + 1)] / total for w, c in uni.items()}
+    unseen, after = 1 - sum(p1.values()), collections.defaultdict(dict)
+    for (v, w), c in pairs.items():
+        after[v][w] = c
+
+    def p(w, v):
+        low = p1.get(w, unseen / (sum(c == 1 for c in uni.values()) + 1))
+        if v not in after:
+            return low
+        n = sum(after[v].values())
+        seen = sum(c * d2[min(c, CUT + 1)] for c in after[v].values())
+        scale = 1 if 1 - seen / n > 1e-9 else n / (n + 1) * n / seen
+        if w in after[v]:
+            c = after[v][w]
+            return scale * c * d2[min(c, CUT + 1)] / n
+        return (1 - scale * seen / n) / (1 - sum(p1[x] for x in after[v])) * low
+
+    return p, uni, unseen, after
+
+
+@pytest.mark.parametrize("limit", [(1 << 20) - 2, 30, 0])
+def test_katz_gives_every_word_its_own_counts(spark, limit):
+    from prismar.llm import katz
+
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.4, 40) if k < 4000)) for i in range(120)] + [(500, None), (504, "never seen words")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    p, uni, unseen, after = katz_by_hand(texts, [t for i, t in texts if not held(i)])
+    for v in [*list(after)[:40], b"never"]:
+        assert abs(sum(p(w, v) for w in uni) + p(b"never", v) / (unseen / (sum(c == 1 for c in uni.values()) + 1)) * unseen - 1) < 1e-9
+    got = {r["doc_id"]: r["score"] for r in rows(katz.katz_scores(spark.createDataFrame(texts, "doc_id long, text string"), vocab_limit=limit))}
+    for i, t in texts:
+        w = [*plain_words(t), b" end"]
+        assert got[i] == pytest.approx(sum(math.log10(p(x, v)) for v, x in zip([b" start", *w], w)), abs=1e-4)
+
+
 def removed_by_all_pairs(texts, min_words=10):
     """id -> places that go: every common block of non-blank lines with every earlier document, by plain comparison."""
     docs = {i: [(p, x.strip(), len(x.split())) for p, x in enumerate(t.split("\n")) if x.strip()] for i, t in texts}

@@ -20,20 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: list[str] = []
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of our own only where none is set (tests, local mode)."""
+    """The cluster's shared folder. Only in local mode, where one machine is all there is, a temporary folder of our own will do."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _LOCAL:
+        _LOCAL.append(f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    return _LOCAL[0]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write aren't needed after it and go at once. The table stays for as long as the result may be computed anew.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

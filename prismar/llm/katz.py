@@ -1,31 +1,38 @@
 """Language-model scoring (operator 6): Katz backoff with Good-Turing discounts.
 
-Order two; every word of the training part is a symbol of its own, and unseen words share what the unigrams give up, so
-that every token of every text has a probability. The chain is P(w | v): seen pair -> its discounted count; else weight(v) times P(w).
-The most frequent words (at most `vocab_limit`) are broadcast and numbered, and their pair events are dealt by history (a frequent
-history also by word), packed in binary blocks. Pairs with any other word go by word hashes through written tables of counts and
-history weights: the limit decides the way a pair takes, not its probability.
+Order two; every word of the training part is a symbol of its own, and unseen words share what the unigrams give up, so that every token
+of every text has a probability. The recursion is P(w | v): seen pair -> its discounted count over v's; else weight(v) times P(w); P(w)
+of an unseen word -> its share of the unigrams' rest. Tables, all written: word counts; the texts as word ids, with a row id for each
+document; pair counts in blocks by history (a frequent history is also dealt by word); histories with their weights.
+Of the words, the most frequent (at most `vocab_limit`) are numbered and broadcast; pairs with any other word go by word hashes
+through joins with the same tables, so the limit decides the way that a pair takes, not its probability.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismar.llm.common import WordHashes, materialize, slices, words_of
+from prismar.llm.common import materialize, slices, words_of
 from prismar.llm.labelled import fold
 
-END, START = b" end", b" start"  # no word has a space
+END = b" end"  # no word has a space
 FOLDS, HELD, CUT, GROUPS = 5, 1, 5, 1024
-_SIGN = np.uint64(1 << 63)
+LIMIT = (1 << 20) - 2
+HASHED = 1 << 63  # set in word hashes, never in ids
+CODED = "first long, doc_id binary, no_id binary, held binary, lengths binary, ids binary, far binary"
+DEALT = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("first", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+NAMES = [*(f"f{r}" for r in range(1, CUT + 2)), "big", "mass"]
 
 
 def split_rows(docs: DataFrame) -> DataFrame:
@@ -33,19 +40,27 @@ def split_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("held_out", held)
 
 
-def hashed(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) | HASHED
 
 
 def unigrams(train: DataFrame) -> DataFrame:
     """h (word hash), c: counts of all training tokens, added up in each task first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, "text", 4 << 20):
-            parts = [hashed([*words_of(t.as_py()), END], hashes) for t in batch.column("text")]
-            hashes.trim()
-            h, c = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            h = np.fromiter(map(word_hash, seen), np.uint64, len(seen))
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["h", "c"])
+
+        for batch in slices(batches, "text"):
+            seen[END] += batch.num_rows
+            for t in batch.column("text"):
+                seen.update(words_of(t.as_py()))
+            if len(seen) > 200_000:
+                yield out()
+                seen.clear()
+        yield out()
 
     return train.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
@@ -69,306 +84,390 @@ class Vocabulary:
         self.h, self.c, self.total = h[order], c[order], total
         self.rare = len(h)
         self.start = self.rare + 1
-        p = self.c * d[np.minimum(self.c, CUT + 1)] / total
-        self.p_rare = max(1 - float(p.sum()), 1e-12)
-        self.log_p = np.log10(np.concatenate([p, [self.p_rare]]))
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not self.rare:
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.h, hashes), self.rare - 1)
-        return np.where(self.h[at] == hashes, at, self.rare)
+        self.log_p = np.log10(np.concatenate([self.c * d[np.minimum(self.c, CUT + 1)] / total, [1.0]]))
 
 
-class WordIds(dict):
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+class WordCodes:
+    """word -> its id, or its hash where it has none; remembered for the words seen lately."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = int(self.vocabulary.ids(np.array([xxhash.xxh3_64_intdigest(word)], np.uint64))[0])
-        return value
+    def __init__(self, listed: np.ndarray):
+        self.listed, self.known = listed, {}
 
-    def fill(self, words: set) -> None:
-        if len(self) > 400_000:
-            self.clear()
-        new = [w for w in words if w not in self]
-        if new:
-            self.update(zip(new, self.vocabulary.ids(np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)).tolist()))
+    def codes(self, words: list[list[bytes]], total: int) -> np.ndarray:
+        if len(self.known) > 300_000:
+            self.known = {}
+        new = list(set(chain.from_iterable(words)).difference(self.known))
+        code = np.fromiter(map(word_hash, new), np.uint64, len(new))
+        if len(self.listed):
+            at = np.minimum(np.searchsorted(self.listed, code), len(self.listed) - 1)
+            code = np.where(self.listed[at] == code, at.astype(np.uint64), code)
+        self.known.update(zip(new, code.tolist()))
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.uint64, total)
 
 
-def text_ids(texts: list[bytes | None], known: WordIds) -> list[np.ndarray]:
-    words = [[*words_of(t), END] for t in texts]
-    known.fill(set().union(*words))
-    return [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in words]
+def coded_texts(rows: DataFrame, listed, rare: int) -> DataFrame:
+    """Slices of texts: row id of the first, the documents' ids and folds, their lengths, all tokens' ids, the hashes of those without."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, first = WordCodes(listed.value), TaskContext.get().partitionId() << 40
+        for batch in slices(batches, "text"):
+            for k in range(0, batch.num_rows, 65_536):
+                part = batch.slice(k, 65_536)
+                words = [[*words_of(t.as_py()), END] for t in part.column("text")]
+                lengths = np.fromiter(map(len, words), "<u4", len(words))
+                code = codes.codes(words, int(lengths.sum()))
+                far = code >= HASHED
+                ids = np.where(far, rare, code).astype("<u4")
+                no_id = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                own = np.array(part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), "<i8")
+                held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array([first]), *(pa.array([x.tobytes()], pa.binary()) for x in (own, no_id, held, lengths, ids, code[far].astype("<u8")))], ["first", "doc_id", "no_id", "held", "lengths", "ids", "far"])
+                first += len(words)
+
+    return rows.mapInArrow(emit, CODED)
+
+
+class Slice:
+    """A row of the coded texts as arrays: documents, histories v and words w of all tokens."""
+
+    def __init__(self, row: dict, start: int):
+        self.first = row["first"]
+        self.held, self.lengths = np.frombuffer(row["held"], bool), np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+        self.w = np.frombuffer(row["ids"], "<u4").astype(np.int64)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.v = self.shifted(self.w, start)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+    def shifted(self, x: np.ndarray, before) -> np.ndarray:
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.begin] = before
+        return out
+
+
+def slices_of(batches: Iterator[pa.RecordBatch], start: int) -> Iterator[tuple[dict, Slice]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+            yield row, Slice(row, start)
 
 
 class Dealer:
     """The group of a pair, and its 32-bit key there: history / GROUPS above the 20 bits of the word."""
 
-    def __init__(self, vocabulary: Vocabulary, salts: int, starts: int, rare_tokens: int):
-        counts = np.concatenate([vocabulary.c, [rare_tokens, starts]])
+    def __init__(self, vocabulary: Vocabulary, salts: int, starts: int):
+        counts = np.concatenate([vocabulary.c, [0, starts]])
         self.spread = np.maximum(salts, np.ceil(counts * 2.0 * GROUPS / max(1, vocabulary.total))).astype(np.int64)
 
     def groups(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return v % GROUPS + GROUPS * (((w * 2654435761) >> 7) % self.spread[v])
 
 
-def pairs_of(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([[start], ids[:-1]]), ids
+def narrow(counts: np.ndarray) -> bytes:
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<u4").tobytes()
 
 
-def _blocks(group: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """Cut columns that are ordered by group at the group's ends."""
-    if not len(group):
-        return
-    ends = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-        yield int(group[a]), [c[a:b].tobytes() for c in columns]
+def widened(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "u1" if len(raw) == n else "<u4").astype(np.int64)
 
 
-def history_stats(train: DataFrame, vocabulary, dealer, parts: int) -> DataFrame:
-    """v, followers with counts 1..CUT+1 (f1..), the counts above CUT added up (big), and the lower-order mass of all followers (mass)."""
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, deal = vocabulary.value, dealer.value
-        known = WordIds(vocab)
-        for batch in slices(batches, "text", 4 << 20):
-            both = [pairs_of(i, vocab.start) for i in text_ids([t.as_py() for t in batch.column("text")], known)]
-            v, w = (np.concatenate(x) for x in zip(*both))
-            near = (v != vocab.rare) & (w != vocab.rare)
-            pair, count = np.unique((v[near] << 20) | w[near], return_counts=True)
-            v, w = pair >> 20, pair & 0xFFFFF
-            group = deal.groups(v, w)
-            order = np.argsort(group, kind="stable")
-            rows = list(_blocks(group[order], (((v // GROUPS) << 20) | w)[order].astype("<u4"), count[order].astype("<u4")))
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array([b[0] for _, b in rows], pa.binary()), pa.array([b[1] for _, b in rows], pa.binary())], ["g", "keys", "counts"])
+def pair_counts(coded: DataFrame, vocabulary, dealer, parts: int) -> DataFrame:
+    """g, keys, counts: the pairs of the training part with their counts, a sorted block for each group."""
+    start, rare = vocabulary.value.start, vocabulary.value.rare
 
-    names = [f"f{r}" for r in range(1, CUT + 2)]
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, s in slices_of(batches, start):
+            keep = ~s.held[s.doc] & (s.v != rare) & (s.w != rare)
+            v, w = s.v[keep], s.w[keep]
+            key = np.sort((dealer.value.groups(v, w) << 31) | ((v // GROUPS) << 20) | w)
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            key, count = key[begin], np.diff(np.concatenate([begin, [len(key)]]))
+            ends = np.flatnonzero(np.diff(key >> 31, append=-1)) + 1 if len(key) else []
+            rows = [(int(key[a] >> 31), (key[a:b] & 0x7FFFFFFF).astype("<u4").tobytes(), narrow(count[a:b])) for a, b in zip([0, *ends], ends)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["g", "keys", "counts"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(g: int, found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            keys = [np.frombuffer(k, "<u4") for k, _ in found]
+            counts = np.concatenate([widened(c, len(k)) for k, (_, c) in zip(keys, found)])
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(at, weights=counts).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([key.tobytes()], pa.binary()), pa.array([narrow(total)], pa.binary())], ["g", "keys", "counts"])
+
+        now, found = None, []
+        for batch in batches:
+            for g, k, c in zip(*(batch.column(n) for n in ("g", "keys", "counts"))):
+                if g.as_py() != now and found:
+                    yield block(now, found)
+                    found = []
+                now = g.as_py()
+                found.append((k.as_py(), c.as_py()))
+        if found:
+            yield block(now, found)
+
+    kinds = "g int, keys binary, counts binary"
+    read = coded.select("first", "held", "lengths", "ids")
+    return read.mapInArrow(emit, kinds).repartition(parts, "g").sortWithinPartitions("g").mapInArrow(gather, kinds)
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """v, w and count of the pairs of each block."""
+    for batch in batches:
+        for g, k, c in zip(*(batch.column(n) for n in ("g", "keys", "counts"))):
+            key = np.frombuffer(k.as_py(), "<u4").astype(np.int64)
+            yield (key >> 20) * GROUPS + g.as_py() % GROUPS, key & 0xFFFFF, widened(c.as_py(), len(key))
+
+
+def history_sums(pairs: DataFrame, vocabulary) -> DataFrame:
+    """v, followers with counts 1..CUT+1 (f1..), the counts above CUT added up (big), and the lower-order mass of all followers (mass)."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p1 = 10.0 ** vocabulary.value.log_p
-        for g, rows in by_group(batches):
-            keys = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in rows])
-            counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
-            key, at = np.unique(keys, return_inverse=True)
-            c = np.bincount(at, weights=counts).astype(np.int64)
-            high = (key >> np.uint32(20)).astype(np.int64)
-            v, at = np.unique(high, return_inverse=True)
-            cols = [np.bincount(at, weights=c == r) for r in range(1, CUT + 2)] + [np.bincount(at, weights=np.where(c > CUT, c, 0)), np.bincount(at, weights=p1[key & np.uint32(0xFFFFF)])]
-            yield pa.RecordBatch.from_arrays([pa.array(v * GROUPS + g % GROUPS), *(pa.array(x.astype(float)) for x in cols)], ["v", *names, "big", "mass"])
-
-    dealt = train.select("text").mapInArrow(emit, "g int, keys binary, counts binary").repartition(parts, "g").sortWithinPartitions("g")
-    kinds = ", ".join(f"{n} double" for n in [*names, "big", "mass"])
-    return dealt.mapInArrow(gather, f"v long, {kinds}").groupBy("v").agg(*(F.sum(n).alias(n) for n in [*names, "big", "mass"]))
-
-
-def far_pairs(rows: DataFrame, vocabulary) -> DataFrame:
-    """row, held_out, v, w (ids), hv, hw (hashes): the pairs of each text with a word outside the broadcast vocabulary."""
+        for v, w, c in blocks_of(batches):
+            v, at = np.unique(v, return_inverse=True)
+            cols = [*(np.bincount(at, weights=c == r) for r in range(1, CUT + 2)), np.bincount(at, weights=np.where(c > CUT, c, 0)), np.bincount(at, weights=p1[w])]
+            yield pa.RecordBatch.from_arrays([pa.array(v), *(pa.array(x.astype(float)) for x in cols)], ["v", *NAMES])
+
+    found = pairs.mapInArrow(add, "v long, " + ", ".join(f"{n} double" for n in NAMES))
+    return found.groupBy("v").agg(*(F.sum(n).alias(n) for n in NAMES))
+
+
+def frequent_pairs(pairs: DataFrame, least: int) -> DataFrame:
+    """v, w, c of the pairs counted `least` times or more."""
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v, w, c in blocks_of(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x[c >= least]) for x in (v, w, c)], ["v", "w", "c"])
+
+    return pairs.mapInArrow(pick, "v long, w long, c long")
+
+
+def far_pairs(coded: DataFrame, vocabulary) -> DataFrame:
+    """row, held_out, v, w (ids), hv, hw (hashes, 0 for words with an id): the pairs with a word outside the broadcast vocabulary."""
+    rare, start = vocabulary.value.rare, vocabulary.value.start
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary.value
-        known, hashes, row = WordIds(vocab), WordHashes(), TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text", 4 << 20):
-            texts = [t.as_py() for t in batch.column("text")]
-            cols: list[list] = [[] for _ in range(5)]
-            for k, (text, ids) in enumerate(zip(texts, text_ids(texts, known))):
-                v, w = pairs_of(ids, vocab.start)
-                at = np.flatnonzero((v == vocab.rare) | (w == vocab.rare))
-                if len(at):
-                    words = [START, *words_of(text), END]
-                    new = np.full(len(at), k), v[at], w[at], hashed([words[i] for i in at], hashes), hashed([words[i + 1] for i in at], hashes)
-                    for col, x in zip(cols, new):
-                        col.append(x.view(np.int64))
-            hashes.trim(100_000)
-            k, v, w, hv, hw = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-            yield pa.RecordBatch.from_arrays([pa.array(row + k), batch.column("held_out").take(pa.array(k)), *map(pa.array, (v, w, hv, hw))], ["row", "held_out", "v", "w", "hv", "hw"])
-            row += len(texts)
-
-    return rows.select("text", "held_out").mapInArrow(emit, "row long, held_out boolean, v long, w long, hv long, hw long")
-
-
-def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of a partition ordered by g, one group at a time."""
-    now, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["g"] != now and rows:
-                yield now, rows
-                rows = []
-            now = row["g"]
-            rows.append(row)
-    if rows:
-        yield now, rows
+        for row, s in slices_of(batches, start):
+            hw = np.zeros(len(s.w), np.int64)
+            hw[s.w == rare] = np.frombuffer(row["far"], "<i8")
+            hv = s.shifted(hw, 0)
+            at = np.flatnonzero((s.v == rare) | (s.w == rare))
+            doc = s.doc[at]
+            yield pa.RecordBatch.from_arrays([pa.array(s.first + doc), pa.array(s.held[doc]), *(pa.array(x[at]) for x in (s.v, s.w, hv, hw))], ["row", "held_out", "v", "w", "hv", "hw"])
 
+    return coded.select("first", "held", "lengths", "ids", "far").mapInArrow(emit, "row long, held_out boolean, v long, w long, hv long, hw long")
 
-def katz_scores(docs: DataFrame, vocab_limit: int = (1 << 20) - 2, pairs_per_group: int = 4_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`.
 
-    Rows of remainder 1 (crc32 of the id as text, modulo 5) are held out of training. Null and empty texts are their end token; repeated
-    rows each give a row; a null id trains. `vocab_limit` bounds the words that are broadcast and changes no score. `docs` is read in several passes and has to give the same rows in the same order
-    each time, as a written table does.
+def listed_scores(coded: DataFrame, pairs: DataFrame, vocabulary, dealer, tables, parts: int) -> DataFrame:
+    """row, doc_id, held_out, n_tokens, n_known, base_score, score over the pairs of listed words.
+
+    The most frequent pairs are scored where the text is, from a broadcast table; the others are dealt to their groups, scored by the
+    group's block of pair counts, and summed by document there.
     """
-    spark = docs.sparkSession
-    rows = split_rows(docs)
-    train = rows.where(~F.col("held_out"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = materialize(unigrams(train), "unigrams")
-    sizes = sorted(((r.c, r["count"]) for r in table.groupBy("c").count().collect()), reverse=True)  # a row for each distinct count
-    total, types = sum(c * n for c, n in sizes), sum(n for _, n in sizes)
-    least, kept = (sizes[0][0] + 1 if sizes else 1), 0
-    for c, n in sizes:
-        if kept + n > vocab_limit:
-            break
-        least, kept = c, kept + n
-    total_safe = max(total, 1)
-    d1 = discounts(dict(sizes))
-    listed = table.where(F.col("c") >= least).toArrow()
-    own = Vocabulary(listed.column("h").to_numpy().view(np.uint64), listed.column("c").to_numpy(), d1, total_safe)
-    rare_tokens = total - int(own.c.sum())
-    unseen = max(1 - float(sum(n * c * d1[min(c, CUT + 1)] for c, n in sizes)) / total_safe, 1e-12)
-    log_unseen = math.log10(unseen / (dict(sizes).get(1, 0) + 1))
-    starts = train.count()
-    vocabulary = spark.sparkContext.broadcast(own)
-    dealer = spark.sparkContext.broadcast(Dealer(own, max(1, total // (GROUPS * pairs_per_group)), starts, rare_tokens))
-    stats = history_stats(train, vocabulary, dealer, parts).withColumn("hv", F.lit(None).cast("long"))
-    far_words = table.where(F.col("c") < least)
-    ratio = lambda d, c: F.element_at(F.array(*(F.lit(float(x)) for x in d[1:])), F.least(F.greatest(c, F.lit(1)), F.lit(CUT + 1)).cast("int"))
-    # listed words need no lookup; keys of their own keep them off the words looked up, and apart
-    key = lambda i, h, other: F.when(F.col(i) == own.rare, F.col(h)).otherwise(F.xxhash64(other, h))
-    listed_p = spark.sparkContext.broadcast(own.log_p)
-
-    @F.pandas_udf("double")
-    def log_listed(w: pd.Series) -> pd.Series:
-        return pd.Series(listed_p.value[w.to_numpy()])
-
-    def with_log_p(pairs: DataFrame, other: str) -> DataFrame:
-        """`pairs` with log_p, the lower-order probability of w."""
-        pairs = pairs.withColumn("at", key("w", "hw", other)).join(far_words.select(F.col("h").alias("at"), F.col("c").alias("far")), "at", "left")
-        share = F.when(F.col("far") > 0, F.log10(F.col("far") * ratio(d1, F.col("far")) / float(total_safe))).otherwise(F.lit(log_unseen))
-        return pairs.withColumn("log_p", F.when(F.col("w") == own.rare, share).otherwise(log_listed("w"))).drop("at")
-
-    far_rows = materialize(far_pairs(rows, vocabulary), "far-rows")
-    # a row for each distinct pair of the training part
-    counted = materialize(with_log_p(far_rows.where("not held_out").groupBy("v", "w", "hv", "hw").agg(F.count(F.lit(1)).alias("c")), "hv"), "far-pairs")
-    sums = [F.sum((F.col("c") == r).cast("double")).alias(f"f{r}") for r in range(1, CUT + 2)]
-    sums += [F.sum(F.when(F.col("c") > CUT, F.col("c").cast("double")).otherwise(0.0)).alias("big"), F.sum(F.pow(F.lit(10.0), "log_p")).alias("mass")]
-    names = [n for n in stats.columns if n not in ("v", "hv")]
-    far = counted.groupBy("v", F.when(F.col("v") == own.rare, F.col("hv")).alias("hv")).agg(*sums)
-    stats = stats.unionByName(far).groupBy("v", "hv").agg(*(F.sum(n).alias(n) for n in names))
-    stats = materialize(stats, "histories")
-    coc = stats.agg(*(F.sum(f"f{r}").alias(f"f{r}") for r in range(1, CUT + 2))).first()
-    d2 = discounts({r: int(coc[f"f{r}"] or 0) for r in range(1, CUT + 2)})
-    n_v = F.col("big") + sum(r * F.col(f"f{r}") for r in range(1, CUT + 1))
-    seen = F.col("big") + sum(float(r * d2[r]) * F.col(f"f{r}") for r in range(1, CUT + 1))
-    left = 1 - seen / n_v
-    # a history whose counts are all above the cut gives up one count's worth
-    scale = F.when(left > 1e-9, F.lit(1.0)).otherwise(n_v / (n_v + 1) * n_v / seen)
-    weighed = stats.select("v", "hv", n_v.alias("n"), scale.alias("scale"), ((1 - scale * seen / n_v) / F.greatest(1 - F.col("mass"), F.lit(1e-12))).alias("weight"))
-    weights = weighed.where("hv is null").toArrow()
-    size = own.start + 1
-    history = {k: np.full(size, fill) for k, fill in (("n", 1.0), ("scale", 1.0), ("weight", 1.0))}
-    at = weights.column("v").to_numpy()
-    for k in history:
-        history[k][at] = weights.column(k).to_numpy()
-    history = {"log_n": np.log10(history["scale"] / history["n"]).astype(np.float32), "log_weight": np.log10(history["weight"]).astype(np.float32)}
-    tables = spark.sparkContext.broadcast(history)
-    base = lambda c: np.log10((c + 0.5) / (total + 0.5 * (types + 1)))
+    start, rare = vocabulary.value.start, vocabulary.value.rare
+    total, types = tables.value["total"], tables.value["types"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, deal = vocabulary.value, dealer.value
-        known, row = WordIds(vocab), TaskContext.get().partitionId() << 40
-        listed_base = np.concatenate([base(vocab.c), [0.0]])
-        kind = pa.schema([("g", pa.int32()), ("first", pa.int64()), ("train", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-        for batch in slices(batches, "text", 4 << 20):
-            for k in range(0, batch.num_rows, 65_536):
-                part = batch.slice(k, 65_536)
-                ids = text_ids([t.as_py() for t in part.column("text")], known)
-                held = np.array(part.column("held_out").to_pylist(), bool)
-                lengths = np.array([len(i) for i in ids])
-                doc = np.repeat(np.arange(len(ids)), lengths)
-                v, w = (np.concatenate(x) for x in zip(*(pairs_of(i, vocab.start) for i in ids)))
-                out = []
-                for mark in (True, False):
-                    pick = (held[doc] != mark) & (v != vocab.rare) & (w != vocab.rare)
-                    if not pick.any():
-                        continue
-                    pair, count = np.unique((doc[pick] << 41) | (v[pick] << 20) | w[pick], return_counts=True)
-                    d, x, y = pair >> 41, (pair >> 20) & 0x1FFFFF, pair & 0xFFFFF
-                    group = deal.groups(x, y)
-                    order = np.argsort(group, kind="stable")
-                    key = (((x // GROUPS) << 20) | y)[order].astype("<u4")
-                    out += [(g, row, mark, *b) for g, b in _blocks(group[order], key, d[order].astype("<u2"), count[order].astype("<u4" if count.max() > 255 else "u1"))]
-                sums = np.bincount(doc, weights=listed_base[w], minlength=len(ids))
-                known_n = np.bincount(doc, weights=w != vocab.rare, minlength=len(ids))
-                numbers = np.stack([lengths.astype(float), known_n, sums, held.astype(float)])
-                ids_raw = np.array([-1 if i is None else i for i in part.column("doc_id").to_pylist()], "<i8").tobytes()
-                out.append((-1 - (row & 0x3FF), row, True, ids_raw, numbers.astype("<f8").tobytes(), bytes(i is None for i in part.column("doc_id").to_pylist())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
-                row += len(ids)
+        own, deal = tables.value, dealer.value
+        base = np.concatenate([np.log10((vocabulary.value.c + 0.5) / (total + 0.5 * (types + 1))), [0.0]])
+        for row, s in slices_of(batches, start):
+            n = len(s.lengths)
+            score = np.zeros(n)
+            near = np.flatnonzero((s.v != rare) & (s.w != rare))
+            v, w, doc = s.v[near], s.w[near], s.doc[near]
+            if len(own["hot"]):
+                pair = (v << 20) | w
+                at = np.minimum(np.searchsorted(own["hot"], pair), len(own["hot"]) - 1)
+                hot = own["hot"][at] == pair
+                score += np.bincount(doc[hot], weights=own["hot_score"][at[hot]], minlength=n)
+                v, w, doc = v[~hot], w[~hot], doc[~hot]
+            group = deal.groups(v, w)
+            order = np.argsort(group.astype(np.uint16) if len(group) and group.max() < 65_536 else group, kind="stable")
+            group, key, doc = group[order], (((v // GROUPS) << 20) | w)[order].astype("<u4"), doc[order].astype("<u2")
+            ends = np.flatnonzero(np.diff(group, append=-1)) + 1 if len(group) else []
+            out = [(int(group[a]), 1, s.first, key[a:b].tobytes(), doc[a:b].tobytes(), None) for a, b in zip([0, *ends], ends)]
+            known = np.bincount(s.doc, weights=s.w != rare, minlength=n)
+            numbers = np.stack([s.lengths.astype(float), known, np.bincount(s.doc, weights=base[s.w], minlength=n), s.held.astype(float), score])
+            out.append((-1 - (s.first & 0x3FF), 0, s.first, row["doc_id"], numbers.astype("<f8").tobytes(), row["no_id"]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), DEALT)], schema=DEALT)
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, by_v = vocabulary.value, tables.value
-        names = ["first", "a", "b", "c"]
+        own, log_p = tables.value, vocabulary.value.log_p
         sums: dict[int, np.ndarray] = {}
-        for g, found in by_group(batches):
-            if g < 0:
-                yield pa.RecordBatch.from_pydict({n: [r[n] for r in found] for n in names}, pa.schema([("first", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]))
-                continue
-            keys = [np.frombuffer(r["a"], "<u4") for r in found]
-            counts = [np.frombuffer(r["c"], "u1" if len(r["c"]) == len(k) else "<u4") for r, k in zip(found, keys)]
-            key, at = np.unique(np.concatenate(keys), return_inverse=True)
-            own = np.concatenate([c if r["train"] else np.zeros(len(c), np.int64) for c, r in zip(counts, found)])
-            c = np.bincount(at, weights=own, minlength=len(key)).astype(np.int64)
-            v, w = (key >> np.uint32(20)).astype(np.int64) * GROUPS + g % GROUPS, (key & np.uint32(0xFFFFF)).astype(np.int64)
-            log_p = np.where(c > 0, np.log10(np.maximum(c, 1) * d2[np.minimum(c, CUT + 1)]) + by_v["log_n"][v], by_v["log_weight"][v] + vocab.log_p[w])
-            place = 0
-            for r, k, n in zip(found, keys, counts):
-                d = np.frombuffer(r["b"], "<u2")
-                part = np.bincount(d, weights=n * log_p[at[place : place + len(k)]])
-                old = sums.get(r["first"])
+        now, held = None, 0
+        key = known = np.zeros(0)
+        for batch in batches:
+            heads = []
+            for g, kind, first, a, b, c in zip(*(batch.column(f.name).to_pylist() for f in DEALT)):
+                if g < 0:
+                    heads.append((0, 0, first, a, b, c))
+                    continue
+                if g != now:
+                    now, key, known = g, np.zeros(0, np.int64), np.zeros(0)
+                if not kind:
+                    key = np.frombuffer(a, "<u4").astype(np.int64)
+                    count, v = widened(b, len(key)), (key >> 20) * GROUPS + g % GROUPS
+                    known = np.log10(count * own["d2"][np.minimum(count, CUT + 1)]) + own["log_n"][v]
+                    continue
+                k, doc = np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, "<u2")
+                part = own["log_weight"][(k >> 20) * GROUPS + g % GROUPS] + log_p[k & 0xFFFFF]
+                if len(key):
+                    at = np.minimum(np.searchsorted(key, k), len(key) - 1)
+                    part = np.where(key[at] == k, known[at], part)
+                part = np.bincount(doc, weights=part)
+                old = sums.get(first)
                 if old is not None and len(old) >= len(part):
                     old[: len(part)] += part
                 else:
                     if old is not None:
                         part[: len(old)] += old
-                    sums[r["first"]] = part
-                place += len(k)
-        yield pa.RecordBatch.from_pydict({"first": list(sums), "a": [None] * len(sums), "b": [s.astype("<f8").tobytes() for s in sums.values()], "c": [None] * len(sums)}, pa.schema([("first", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]))
+                    held += len(part) - (0 if old is None else len(old))
+                    sums[first] = part
+            if heads or held > 2_000_000:
+                yield _dealt([*heads, *((0, 1, f, None, s.astype("<f8").tobytes(), None) for f, s in (sums.items() if held > 2_000_000 else ()))])
+                if held > 2_000_000:
+                    sums, held = {}, 0
+        yield _dealt([(0, 1, f, None, s.astype("<f8").tobytes(), None) for f, s in sums.items()])
 
     final = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def finish(key, found):
-        head = next(r for r in found.to_pylist() if r["a"] is not None)
-        numbers = np.frombuffer(head["b"], "<f8").reshape(4, -1)
-        score = np.zeros(numbers.shape[1])
-        for r in found.to_pylist():
-            if r["a"] is None:
-                s = np.frombuffer(r["b"], "<f8")
-                score[: len(s)] += s
-        ids = [None if n else i for i, n in zip(np.frombuffer(head["a"], "<i8").tolist(), head["c"])]
-        return pa.table([pa.array(head["first"] + np.arange(len(ids))), pa.array(ids, pa.int64()), pa.array(numbers[3] > 0), pa.array(numbers[0].astype(np.int64)), pa.array(numbers[1].astype(np.int64)), pa.array(numbers[2]), pa.array(score)], schema=final)
-
-    dealt = rows.mapInArrow(emit, "g int, first long, train boolean, a binary, b binary, c binary").repartition(parts, "g").sortWithinPartitions("g")
-    scores = dealt.mapInArrow(evaluate, "first long, a binary, b binary, c binary").groupBy("first").applyInArrow(finish, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-
-    # pairs with a word outside the broadcast vocabulary: counts, weights and shares are looked up in written tables
-    @F.pandas_udf("log_n double, log_weight double")
-    def listed_history(v: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({k: tables.value[k][v.to_numpy()].astype(float) for k in ("log_n", "log_weight")})
-
-    histories = weighed.where("hv is not null").select(F.col("hv").alias("at"), F.log10(F.col("scale") / F.col("n")).alias("far_n"), F.log10("weight").alias("far_weight"))
-
-    def with_history(pairs: DataFrame, other: str) -> DataFrame:
-        """`pairs` with log_n and log_weight of v."""
-        pairs = pairs.withColumn("at", key("v", "hv", other)).join(histories, "at", "left").withColumn("own", listed_history("v"))
-        by_v = lambda n, f: F.when(F.col("v") == own.rare, F.coalesce(f, F.lit(0.0))).otherwise(F.col(f"own.{n}")).alias(n)
-        return pairs.select(*(c for c in pairs.columns if c not in ("at", "own", "far_n", "far_weight")), by_v("log_n", "far_n"), by_v("log_weight", "far_weight"))
-
-    seen_pairs = with_history(counted, "hw").select("hv", "hw", "far", (F.log10(F.col("c") * ratio(d2, F.col("c"))) + F.col("log_n")).alias("pair"))
-    met = far_rows.join(seen_pairs, ["hv", "hw"]).select("row", "w", "far", "pair")
-    new = far_rows.where("held_out").join(counted.select("hv", "hw"), ["hv", "hw"], "left_anti")
-    new = with_history(with_log_p(new, "row"), "row").select("row", "w", "far", (F.col("log_weight") + F.col("log_p")).alias("pair"))
-    count, stranger = F.coalesce("far", F.lit(0)), F.col("w") == own.rare
-    base_of = F.when(stranger, F.log10((count + 0.5) / (total + 0.5 * (types + 1)))).otherwise(0.0)
-    more = met.unionByName(new).groupBy("row").agg(F.sum(base_of).alias("more_base"), F.sum("pair").alias("more_score"), F.sum((stranger & (count > 0)).cast("long")).alias("more_known"))
-    out = scores.join(more, "row", "left")
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(first: int, ids: bytes, numbers: np.ndarray, no_id: bytes) -> pa.RecordBatch:
+            ids = pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(no_id, bool))
+            return pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(ids))), ids, pa.array(numbers[3] > 0), pa.array(numbers[0].astype(np.int64)), pa.array(numbers[1].astype(np.int64)), pa.array(numbers[2]), pa.array(numbers[4])], schema=final)
+
+        head = None
+        for batch in batches:
+            for kind, first, a, b, c in zip(*(batch.column(n).to_pylist() for n in ("kind", "first", "a", "b", "c"))):
+                if not kind:  # comes before its sums
+                    if head:
+                        yield done(*head)
+                    head = (first, a, np.frombuffer(b, "<f8").reshape(5, -1).copy(), c)
+                else:
+                    more = np.frombuffer(b, "<f8")
+                    head[2][4, : len(more)] += more
+        if head:
+            yield done(*head)
+
+    kinds = "g int, kind int, first long, a binary, b binary, c binary"
+    known = pairs.select("g", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("first"), F.col("keys").alias("a"), F.col("counts").alias("b"), F.lit(None).cast("binary").alias("c"))
+    dealt = coded.drop("far").mapInArrow(emit, kinds).unionByName(known).repartition(parts, "g").sortWithinPartitions("g", "kind")
+    sums = dealt.mapInArrow(evaluate, kinds).repartition(parts, "first").sortWithinPartitions("first", "kind")
+    return sums.mapInArrow(finish, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(DEALT), DEALT)], schema=DEALT)
+
+
+def katz_scores(docs: DataFrame, vocab_limit: int = LIMIT, pairs_per_group: int = 8_000_000, hot_share: float = 2.0**-14) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`.
+
+    Rows of remainder 1 (crc32 of the id as text, modulo 5) are held out of training. Null and empty texts are their end token; repeated
+    rows each give a row; a null id trains; an empty table gives none; other columns are ignored. `vocab_limit` (2^20 - 2 at most)
+    bounds the words that are broadcast and `hot_share` the pairs (1 / hot_share of them at most); neither changes a score.
+    """
+    spark = docs.sparkSession
+    rows = split_rows(docs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = materialize(unigrams(rows.where("not held_out")), "unigrams")
+    # exact counts of counts where they matter; at most 4096 + 256 * 63 rows
+    classes = words.groupBy(F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(F.log2("c") * 256)).alias("class")).agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("n"), F.sum("c").alias("tokens"))
+    sizes = sorted(((r.c, r.n, r.tokens) for r in classes.collect()), reverse=True)
+    total, types = sum(t for *_, t in sizes), sum(n for _, n, _ in sizes)
+    coc = {c: n for c, n, _ in sizes if c <= CUT + 1}
+    least, kept = (sizes[0][2] + 1 if sizes else 1), 0
+    for c, n, _ in sizes:
+        if kept + n > min(vocab_limit, LIMIT):
+            break
+        least, kept = c, kept + n
+    total_safe = max(total, 1)
+    d1 = discounts(coc)
+    listed = words.where(F.col("c") >= least).toArrow()
+    own = Vocabulary(listed.column("h").to_numpy().view(np.uint64), listed.column("c").to_numpy(), d1, total_safe)
+    unseen = max(sum(n * c * (1 - d1[c]) for c, n in coc.items() if c <= CUT) / total_safe if total else 1.0, 1e-12)
+    log_unseen = math.log10(unseen / (coc.get(1, 0) + 1))
+    vocabulary = spark.sparkContext.broadcast(own)
+    dealer = spark.sparkContext.broadcast(Dealer(own, max(1, total // (GROUPS * pairs_per_group)), rows.where("not held_out").count()))
+    coded = materialize(coded_texts(rows, spark.sparkContext.broadcast(own.h), own.rare), "coded-texts")
+    pairs = materialize(pair_counts(coded, vocabulary, dealer, parts), "pair-counts")
+    far = FarPairs(coded, words.where(F.col("c") < least), own, vocabulary, d1, total_safe, log_unseen)
+
+    sums = [history_sums(pairs, vocabulary).withColumn("hv", F.lit(None).cast("long")), far.history_sums()]
+    stats = materialize(sums[0].unionByName(sums[1]).groupBy("v", "hv").agg(*(F.sum(n).alias(n) for n in NAMES)), "histories")
+    found = stats.agg(*(F.sum(f"f{r}").alias(f"f{r}") for r in range(1, CUT + 2))).first()
+    d2 = discounts({r: int(found[f"f{r}"] or 0) for r in range(1, CUT + 2)})
+    n_v = F.col("big") + sum(r * F.col(f"f{r}") for r in range(1, CUT + 1))
+    seen = F.col("big") + sum(float(r * d2[r]) * F.col(f"f{r}") for r in range(1, CUT + 1))
+    # a history whose counts are all above the cut gives up one count's worth
+    scale = F.when(1 - seen / n_v > 1e-9, F.lit(1.0)).otherwise(n_v / (n_v + 1) * n_v / seen)
+    weighed = stats.select("v", "hv", F.log10(scale / n_v).alias("log_n"), F.log10((1 - scale * seen / n_v) / F.greatest(1 - F.col("mass"), F.lit(1e-12))).alias("log_weight"))
+    weights = weighed.where("hv is null").toArrow()  # a row for each listed word at most
+    own_tables = {k: np.zeros(own.start + 1) for k in ("log_n", "log_weight")}
+    for k, x in own_tables.items():
+        x[weights.column("v").to_numpy()] = weights.column(k).to_numpy()
+    hot = frequent_pairs(pairs, max(1, math.ceil(hot_share * total_safe))).toArrow()  # 1 / hot_share pairs at most
+    v, w, c = (hot.column(n).to_numpy() for n in ("v", "w", "c"))
+    order = np.argsort((v << 20) | w)
+    own_tables |= {"hot": ((v << 20) | w)[order], "hot_score": (np.log10(c * d2[np.minimum(c, CUT + 1)]) + own_tables["log_n"][v])[order], "d2": d2, "total": total, "types": types}
+    tables = spark.sparkContext.broadcast(own_tables)
+    out = listed_scores(coded, pairs, vocabulary, dealer, tables, parts).join(far.scores(weighed.where("hv is not null"), tables, d2, total, types), "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))
+
+
+class FarPairs:
+    """Pairs with a word outside the broadcast vocabulary: counts, weights and shares are looked up by joins with written tables."""
+
+    def __init__(self, coded: DataFrame, words: DataFrame, own: Vocabulary, vocabulary, d1: np.ndarray, total: int, log_unseen: float):
+        self.words, self.rare, self.vocabulary, self.d1, self.total, self.log_unseen = words, own.rare, vocabulary, d1, total, log_unseen
+        self.rows = materialize(far_pairs(coded, vocabulary), "far-rows")
+        # a row for each distinct pair of the training part
+        counted = self.rows.where("not held_out").groupBy("v", "w", "hv", "hw").agg(F.count(F.lit(1)).alias("c"))
+        self.counted = materialize(self.with_log_p(counted, "hv"), "far-pairs")
+
+    def key(self, i: str, h: str, other: str) -> Column:
+        """The hash to look up; words with an id need no lookup, and keys of their own keep them off the words looked up, and apart."""
+        return F.when(F.col(i) == self.rare, F.col(h)).otherwise(F.xxhash64(other, h))
+
+    @staticmethod
+    def discounted(d: np.ndarray, c: Column) -> Column:
+        return c * F.element_at(F.array(*(F.lit(float(x)) for x in d[1:])), F.least(F.greatest(c, F.lit(1)), F.lit(CUT + 1)).cast("int"))
+
+    def with_log_p(self, pairs: DataFrame, other: str) -> DataFrame:
+        """`pairs` with far, the count of w if it has no id, and log_p, its lower-order probability."""
+        vocabulary = self.vocabulary
+
+        @F.pandas_udf("double")
+        def log_listed(w: pd.Series) -> pd.Series:
+            return pd.Series(vocabulary.value.log_p[w.to_numpy()])
+
+        pairs = pairs.withColumn("at", self.key("w", "hw", other)).join(self.words.select(F.col("h").alias("at"), F.col("c").alias("far")), "at", "left")
+        share = F.when(F.col("far") > 0, F.log10(self.discounted(self.d1, F.col("far")) / float(self.total))).otherwise(F.lit(self.log_unseen))
+        return pairs.withColumn("log_p", F.when(F.col("w") == self.rare, share).otherwise(log_listed("w"))).drop("at")
+
+    def history_sums(self) -> DataFrame:
+        sums = [F.sum((F.col("c") == r).cast("double")).alias(f"f{r}") for r in range(1, CUT + 2)]
+        sums += [F.sum(F.when(F.col("c") > CUT, F.col("c").cast("double")).otherwise(0.0)).alias("big"), F.sum(F.pow(F.lit(10.0), "log_p")).alias("mass")]
+        return self.counted.groupBy("v", F.when(F.col("v") == self.rare, F.col("hv")).alias("hv")).agg(*sums)
+
+    def scores(self, histories: DataFrame, tables, d2: np.ndarray, total: int, types: int) -> DataFrame:
+        """row, more_base, more_score, more_known: what these pairs add to each document."""
+        @F.pandas_udf("log_n double, log_weight double")
+        def listed(v: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame({k: tables.value[k][v.to_numpy()] for k in ("log_n", "log_weight")})
+
+        histories = histories.select(F.col("hv").alias("at"), F.col("log_n").alias("far_n"), F.col("log_weight").alias("far_weight"))
+
+        def with_history(pairs: DataFrame, other: str) -> DataFrame:
+            """`pairs` with log_n and log_weight of v."""
+            pairs = pairs.withColumn("at", self.key("v", "hv", other)).join(histories, "at", "left").withColumn("own", listed("v"))
+            by_v = lambda n, f: F.when(F.col("v") == self.rare, F.coalesce(f, F.lit(0.0))).otherwise(F.col(f"own.{n}")).alias(n)
+            return pairs.select(*(c for c in pairs.columns if c not in ("at", "own", "far_n", "far_weight")), by_v("log_n", "far_n"), by_v("log_weight", "far_weight"))
+
+        names = ["v", "w", "hv", "hw"]
+        seen = with_history(self.counted, "hw").select(*names, "far", (F.log10(self.discounted(d2, F.col("c"))) + F.col("log_n")).alias("pair"))
+        met = self.rows.join(seen, names).select("row", "w", "far", "pair")
+        new = self.rows.where("held_out").join(self.counted.select(*names), names, "left_anti")
+        new = with_history(self.with_log_p(new, "row"), "row").select("row", "w", "far", (F.col("log_weight") + F.col("log_p")).alias("pair"))
+        count, stranger = F.coalesce("far", F.lit(0)), F.col("w") == self.rare
+        base = F.when(stranger, F.log10((count + 0.5) / (total + 0.5 * (types + 1)))).otherwise(0.0)
+        return met.unionByName(new).groupBy("row").agg(F.sum(base).alias("more_base"), F.sum("pair").alias("more_score"), F.sum((stranger & (count > 0)).cast("long")).alias("more_known"))

@@ -1,9 +1,10 @@
 """N-gram Jaccard join (operator 4): all documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Documents of equal sets are one class. Shingles are put in one global order, those in many documents last; two similar classes share one of the
-first n - ceil(0.8 n) + 1 shingles of each, and classes that share one are candidates of one another. Inside a candidate group, index lists
-are sorted by position and cut where no similar set can lie, and a set's answers come from those of its similar sets: what a linked set has
-already been linked with isn't compared again.
+Texts are cut into shingles once; their sets are a written table, and documents of equal sets are one class. Shingles are put in one global
+order, those in many documents last; two similar classes share one of the first n - ceil(0.8 n) + 1 shingles of each, and classes that share
+one are candidates of one another. Inside a candidate group the join skips by set relations: index lists are blocks of one position,
+ordered by size, of which whole blocks are skipped; and the answers of a set that is highly similar to one already answered are derived
+from that one's candidates and a look at the few shingles in which the two differ.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from prismar.llm.common import WordHashes, connected_components, materialize, mix64, slices, words_of
 
-NUM, DEN, WIDTH, GROUPS, TABLE = 4, 5, 5, 256, 25
+NUM, DEN, WIDTH, TABLE = 4, 5, 5, 25
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -51,26 +52,28 @@ def shingle_sets(texts: list[bytes | None], hashes: WordHashes) -> list[np.ndarr
     return out
 
 
-def batch_sets(batch: pa.RecordBatch, hashes: WordHashes) -> list[np.ndarray]:
-    """The sets of a batch's texts, taken in pieces of about 2 MB, so that few words are objects at a time."""
-    return [s for piece in slices([batch], "text", 2 << 20) for s in shingle_sets([t.as_py() for t in piece.column("text")], hashes)]
-
-
 def set_key(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit hashes of a set, whatever its order."""
     a, b = np.bitwise_xor.reduce(mix64(s)), np.add.reduce(mix64(s ^ _MUL[1]))
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def document_sets(rows: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), n, cid and h2 (set key), shingles (sorted 64-bit hashes) of each row (doc_id, th, text)."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches, "text"):
-            sets = batch_sets(batch, hashes)
+        for batch in slices(batches, "text", 2 << 20):
+            sets = shingle_sets([t.as_py() for t in batch.column("text")], hashes)
             keys = [set_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())], ["doc_id", "n", "cid", "h2"])
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
+                pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "th", "n", "cid", "h2", "shingles"])
+
+    return rows.mapInArrow(emit, "doc_id long, th long, n long, cid long, h2 long, shingles binary")
 
-    return docs.mapInArrow(sign, "doc_id long, n long, cid long, h2 long")
+
+def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(s.as_buffer(), "<u8") for s in batch.column("shingles")]
 
 
 def by_key(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[dict]]]:
@@ -79,21 +82,27 @@ def by_key(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tup
         yield key, list(group)
 
 
-def shingle_levels(docs: DataFrame, parts: int) -> np.ndarray:
+def group_bits(shingles: int) -> int:
+    """So many groups of shingles, as a power of two, that one has about a million."""
+    return min(20, max(8, (shingles >> 20).bit_length()))
+
+
+def shingle_levels(sets: DataFrame, parts: int, bits: int) -> np.ndarray:
     """A table of 2^TABLE small numbers, indexed by a shingle's top bits: about twice the binary logarithm of the number of
     documents that have it, counted over all documents; 0 for one document.
 
     Shingles that fall on one place get the larger number. Where too many places are taken, the lower numbers are left out. The
     table sets the order of shingles only, so neither changes any answer; its size, which is broadcast, is fixed.
     """
-    share = 1 << (TABLE - 8)
+    share = 1 << (TABLE - bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in slices(batches, "text", 8 << 20):
-            key, count = np.unique(np.concatenate(batch_sets(batch, hashes)) >> np.uint64(24), return_counts=True)
+        for batch in slices(batches, "shingles", 8 << 20):
+            key = np.sort(np.concatenate(sets_of(batch)) >> np.uint64(32 - bits))
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            key, count = key[begin], np.diff(np.concatenate([begin, [len(key)]]))
             group = (key >> np.uint64(32)).astype(np.int64)
-            cuts = np.searchsorted(group, np.arange(GROUPS + 1))
+            cuts = np.searchsorted(group, np.arange((1 << bits) + 1))
             rows = []
             for g in np.unique(group).tolist():
                 k, c = key[cuts[g] : cuts[g + 1]].astype("<u4"), count[cuts[g] : cuts[g + 1]]
@@ -109,12 +118,12 @@ def shingle_levels(docs: DataFrame, parts: int) -> np.ndarray:
             count = np.bincount(at, weights=times).astype(np.int64)
             key, count = key[count > 1], count[count > 1]
             table = np.zeros(share, np.uint8)
-            np.maximum.at(table, (key >> np.uint32(40 - TABLE)).astype(np.int64), np.rint(2 * np.log2(count)).astype(np.uint8))
+            np.maximum.at(table, (key >> np.uint32(32 - (TABLE - bits))).astype(np.int64), np.rint(2 * np.log2(count)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], ["g", "levels"])
 
-    dealt = docs.select("text").mapInArrow(emit, "g int, once binary, more binary, counts binary").repartition(parts, "g").sortWithinPartitions("g")
+    dealt = sets.select("shingles").mapInArrow(emit, "g int, once binary, more binary, counts binary").repartition(parts, "g").sortWithinPartitions("g")
     levels = np.zeros(1 << TABLE, np.uint8)
-    for r in dealt.mapInArrow(gather, "g int, levels binary").collect():  # a fixed number of blocks
+    for r in dealt.mapInArrow(gather, "g int, levels binary").collect():  # 2^TABLE bytes in all
         levels[r.g * share : (r.g + 1) * share] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
     taken = np.cumsum(np.bincount(levels, minlength=256)[:0:-1])[::-1]  # places of level 1 and more, 2 and more, ...
     low = 1 + int((taken > len(levels) * 0.4).sum())
@@ -127,44 +136,67 @@ def rarest_first(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return s[np.argsort(levels[(s >> np.uint64(64 - TABLE)).astype(np.int64)], kind="stable")]
 
 
-def candidate_edges(docs: DataFrame, levels, parts: int) -> DataFrame:
-    """Edges between classes that share a prefix shingle and whose sizes allow a link. In a list sorted by size, neighbours whose
-    sizes allow it form runs; each member of a run is tied to its first, so a list of m classes makes less than m edges."""
+def runs_of(token: np.ndarray, cid: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The lists of tokens in order of size, cut into runs whose neighbours' sizes allow a link.
+
+    Gives the ordered columns, the class that begins each entry's run, and which entries stand for their run: the smallest and the largest
+    of those whose sizes are within a factor of 1.2. Whatever can link with a run's entry by size can also link with one of these.
+    """
+    order = np.lexsort((cid, n, token))
+    token, cid, n = token[order], cid[order], n[order].astype(np.int64)
+    if not len(token):
+        return token, cid, n, cid, np.zeros(0, bool)
+    new = np.concatenate([[True], ~((token[1:] == token[:-1]) & (DEN * n[:-1] >= NUM * n[1:]))])
+    start = np.flatnonzero(new)
+    first = np.repeat(cid[start], np.diff(np.concatenate([start, [len(cid)]])))
+    step = np.floor(np.log(n) / np.log(1.2))
+    edge = new | np.concatenate([[True], step[1:] != step[:-1]])
+    return token, cid, n, first, edge | np.concatenate([edge[1:], [True]])
+
+
+def candidate_edges(sets: DataFrame, levels, parts: int, bits: int) -> DataFrame:
+    """Edges between classes that share a prefix shingle and whose sizes allow a link: a class of a run is tied to the run's first.
+
+    A task ties the runs that it sees itself and deals only the entries that stand for them, so that a shingle in very many classes
+    sends a few entries a task; a list of m classes makes less than 2 m edges.
+    """
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, order_by = WordHashes(), levels.value
-        for batch in slices(batches, "text", 8 << 20):
+        order_by, slot = levels.value, 0
+        for batch in slices(batches, "shingles", 8 << 20):
             seen, heads = set(), []
-            for s in batch_sets(batch, hashes):
-                if len(s) and (key := set_key(s)) not in seen:
-                    seen.add(key)
+            for cid, s in zip(batch.column("cid").to_pylist(), sets_of(batch)):
+                if len(s) and cid not in seen:
+                    seen.add(cid)
                     head = rarest_first(s, order_by)[: prefix_size(len(s))]
-                    heads.append((head, np.full(len(head), key[0], np.int64), np.full(len(head), len(s), np.int32)))
-            if heads:
-                token, cid, n = (np.concatenate(x) for x in zip(*heads))
-                group = (token >> np.uint64(56)).astype(np.int64)
-                order = np.argsort(group, kind="stable")
-                cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-                token, cid, n = ((token[order] >> np.uint64(24)) & np.uint64(0xFFFFFFFF)).astype("<u4"), cid[order], n[order]
-                rows = [(g, *(x[cuts[g] : cuts[g + 1]].tobytes() for x in (token, cid, n))) for g in range(GROUPS) if cuts[g] < cuts[g + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["g", "token", "cid", "n"])
+                    heads.append((head, np.full(len(head), cid, np.int64), np.full(len(head), len(s), np.int32)))
+            if not heads:
+                continue
+            token, cid, n, first, stands = runs_of(*(np.concatenate(x) for x in zip(*heads)))
+            edges = np.unique(np.stack([first, cid])[:, first != cid], axis=1)
+            token, cid, n = token[stands], cid[stands], n[stands].astype("<i4")
+            group = (token >> np.uint64(64 - bits)).astype(np.int64)  # rises with the token
+            key = ((token >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            ends = np.flatnonzero(np.diff(group, append=-1)) + 1
+            rows = [(int(group[a]), *(x[a:b].tobytes() for x in (key, cid, n))) for a, b in zip([0, *ends], ends)]
+            if edges.shape[1]:
+                slot += 1
+                rows.append((-slot, edges[0].tobytes(), edges[1].tobytes(), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["g", "token", "cid", "n"])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_key(batches, "g"):
-            token, cid, n = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("token", "<u4"), ("cid", np.int64), ("n", np.int32)))
-            order = np.argsort(token, kind="stable")
-            token = token[order]
-            same = np.concatenate([[False], token[1:] == token[:-1]])
-            keep = same | np.concatenate([same[1:], [False]])  # lists of one class make no candidates
-            token, cid, n = token[keep], cid[order][keep], n[order][keep].astype(np.int64)
-            order = np.lexsort((cid, n, token))
-            token, cid, n = token[order], cid[order], n[order]
-            goes_on = (token[1:] == token[:-1]) & (DEN * n[:-1] >= NUM * n[1:])
-            start = np.concatenate([[0], np.flatnonzero(~goes_on) + 1]).astype(np.int64)
-            first = np.repeat(cid[start], np.diff(np.concatenate([start, [len(cid)]]))) if len(cid) else cid
+        for (g,), rows in by_key(batches, "g"):
+            if g < 0:
+                for r in rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], np.int64)) for c in ("token", "cid")], ["a", "b"])
+                continue
+            token, cid, n = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("token", "<u4"), ("cid", np.int64), ("n", "<i4")))
+            _, cid, _, first, _ = runs_of(token, cid, n)
             edges = np.unique(np.stack([first, cid])[:, first != cid], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["a", "b"])
 
-    dealt = docs.select("text").mapInArrow(emit, "g int, token binary, cid binary, n binary").repartition(parts, "g").sortWithinPartitions("g")
+    dealt = sets.select("cid", "shingles").mapInArrow(emit, "g int, token binary, cid binary, n binary").repartition(parts, "g").sortWithinPartitions("g")
     return dealt.mapInArrow(pair, "a long, b long")
 
 
@@ -175,139 +207,239 @@ def class_bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             h = mix64(batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(bits)
             np.bitwise_or.at(out, (h >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (h & np.uint64(7)).astype(np.uint8)))
-        yield pa.RecordBatch.from_pydict({"k": [0], "bits": [out.tobytes()]}, pa.schema([("k", pa.int32()), ("bits", pa.binary())]))
+        yield pa.RecordBatch.from_pydict({"k": [0], "bits": [zlib.compress(out.tobytes(), 1)]}, pa.schema([("k", pa.int32()), ("bits", pa.binary())]))
 
     out = np.zeros(bits // 8, np.uint8)
-    for r in nodes.select("node").coalesce(8).mapInArrow(mark, "k int, bits binary").toLocalIterator():
-        out |= np.frombuffer(r.bits, np.uint8)
+    for r in nodes.select("node").mapInArrow(mark, "k int, bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
     return out
 
 
-def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+class SetIndex:
+    """Index lists over the prefix shingles of a group's sets, in blocks of one position each, ordered by size inside."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate(sets)
+        names, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.lexsort((flat, count[at], owner))  # rarest first, in each set
+        at, starts = at[order], np.cumsum(self.sizes) - self.sizes
+        position = np.arange(len(at)) - starts[owner]
+        inside = position < prefix_size(self.sizes)[owner]
+        self.heads = np.split(at[inside], np.cumsum(prefix_size(self.sizes))[:-1])
+        token, place, entry = at[inside], position[inside], owner[inside]
+        order = np.lexsort((self.sizes[entry], place, token))
+        self.entry = entry[order]
+        token, self.place = token[order], place[order]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (self.place[1:] != self.place[:-1])])
+        self.begin = np.flatnonzero(new)
+        self.end = np.concatenate([self.begin[1:], [len(token)]])
+        self.block_place, self.largest = self.place[self.begin], self.sizes[self.entry[self.end - 1]]
+        self.smallest = self.sizes[self.entry[self.begin]]
+        self.list = np.searchsorted(token[self.begin], np.arange(len(names) + 1))  # a token's blocks
+        self.skipped = self.read = 0
+
+    def probe(self, x: int, places: np.ndarray, slack: int) -> np.ndarray:
+        """The sets that meet x in one of the given places of its prefix and could share so much with x that a set up to `slack`
+        shingles away from x, on either side, may be similar to them. Blocks whose position or sizes rule that out aren't read."""
+        n = int(self.sizes[x])
+        token = self.heads[x][places]
+        a, b = self.list[token], self.list[token + 1]
+        block = np.repeat(a, b - a) + _steps(b - a)
+        p = np.repeat(places, b - a)
+        # with y of m shingles: shared <= min(n - p, m - q) + slack, and similar to a set of n - slack or more
+        most, q = n - p + slack, self.block_place[block]
+        fits = lambda m: (DEN + NUM) * np.minimum(most, m - q + slack) >= NUM * (n - slack + m)
+        low, high = NUM * (n - slack) / DEN, DEN * (n + slack) / NUM
+        # the bound on m - q eases with m, that on n - p with a smaller m: the block's largest and smallest sizes decide
+        live = ((DEN + NUM) * (self.largest[block] - q + slack) >= NUM * (n - slack + self.largest[block])) & ((DEN + NUM) * most >= NUM * (n - slack + self.smallest[block])) & (self.largest[block] >= low) & (self.smallest[block] <= high)
+        self.read, self.skipped = self.read + int(live.sum()), self.skipped + int((~live).sum())
+        block, most, q = block[live], most[live], q[live]
+        count = self.end[block] - self.begin[block]
+        y = self.entry[np.repeat(self.begin[block], count) + _steps(count)]
+        most, q, m = np.repeat(most, count), np.repeat(q, count), self.sizes[y]
+        return np.unique(y[fits(m) & (m >= low) & (m <= high)])
+
+    def shared(self, x: int, y: int) -> int:
+        return len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True))
+
+
+def _steps(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count, one after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def spanning_links(sets: list[np.ndarray], index: SetIndex | None = None) -> list[tuple[int, int]]:
     """Links (pairs of places) that span each component of the exact similarity graph over `sets`.
 
-    From a set the search goes on through those linked with it; only sets not yet in any component are compared. Index lists hold the
-    prefix shingles with their positions, in ascending order of position; a list is cut beyond the last position at which enough shingles can follow.
+    From a set the search goes on through those linked with it. An anchor probes its whole prefix, with room for sets that differ from
+    it by `slack` shingles. A later set within that room takes the anchor's candidates that are still free and probes only the
+    shingles of its own prefix that the anchor's hasn't: what it shares with a candidate follows from what the anchor shares with
+    that one and from the shingles in which the two differ. A set beyond the room becomes an anchor itself.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.lexsort((flat, count[at], owner))  # rarest first, in each set
-    at, starts = at[order], np.cumsum(sizes) - sizes
-    position = np.arange(len(at)) - starts[owner]
-    inside = position < prefix_size(sizes)[owner]
-    tokens, docs, places = at[inside], owner[inside], position[inside]
-    order = np.lexsort((places, tokens))
-    tokens, docs, places = tokens[order], docs[order], places[order]
-    begin = np.searchsorted(tokens, np.arange(len(count) + 1))
-    free = np.ones(len(sets), bool)
-    links = []
+    index = index or SetIndex(sets)
+    sizes, free = index.sizes, np.ones(len(sets), bool)
+    links: list[tuple[int, int]] = []
     for root in range(len(sets)):
         if not free[root]:
             continue
-        free[root], todo = False, [root]
+        free[root], todo, anchor = False, [root], None
         while todo:
             x = todo.pop()
-            n, found = int(sizes[x]), []
-            for p in range(prefix_size(n)):
-                token = at[starts[x] + p]
-                a, b = begin[token], begin[token + 1]
-                if b - a < 2:
-                    continue
-                b = a + np.searchsorted(places[a:b], DEN * n // NUM - NUM * n // DEN, "right")
-                y = docs[a:b]
-                y, py = y[free[y]], places[a:b][free[docs[a:b]]]
-                most = 1 + np.minimum(n - p - 1, sizes[y] - py - 1)
-                found.append(y[similar(most, n, sizes[y])])
-            for y in np.unique(np.concatenate(found)).tolist() if found else ():
-                if similar(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), n, int(sizes[y])):
-                    links.append((x, y))
-                    free[y] = False
-                    todo.append(y)
+            if anchor is None or not anchor.near(x):
+                anchor = Anchor(index, x)
+            found = anchor.answers(x, free)
+            links += [(x, y) for y in found]
+            free[found] = False
+            todo += found
     return links
 
 
+class Anchor:
+    """A set with its candidates and what it shares with them, from which the answers of highly similar sets are derived."""
+
+    def __init__(self, index: SetIndex, x: int):
+        self.index, self.x = index, x
+        n = int(index.sizes[x])
+        self.slack = n // 50
+        found = index.probe(x, np.arange(prefix_size(n)), self.slack)
+        self.candidates = found[found != x]
+        self.common = np.full(len(self.candidates), -1, np.int64)
+
+    def near(self, x: int) -> bool:
+        return max(self.index.sizes[x], self.index.sizes[self.x]) - self.index.shared(self.x, x) <= self.slack
+
+    def answers(self, x: int, free: np.ndarray) -> list[int]:
+        """The free sets similar to x, which is the anchor or near it.
+
+        Of a candidate, x holds what the anchor does, without what it has lost and with what it has gained against the anchor;
+        only where these bounds leave it open are the differences looked up.
+        """
+        index, n = self.index, int(self.index.sizes[x])
+        mine, theirs = index.sets[x], index.sets[self.x]
+        lost, gained = np.setdiff1d(theirs, mine, assume_unique=True), np.setdiff1d(mine, theirs, assume_unique=True)
+        at = np.flatnonzero(free[self.candidates])
+        for k in at[self.common[at] < 0].tolist():
+            self.common[k] = index.shared(self.x, int(self.candidates[k]))
+        y, common = self.candidates[at], self.common[at]
+        sure = similar(common - len(lost), n, index.sizes[y])
+        out = y[sure].tolist()
+        for k in np.flatnonzero(~sure & similar(common + len(gained), n, index.sizes[y])).tolist():
+            other = index.sets[y[k]]
+            if similar(int(common[k]) - _members(lost, other) + _members(gained, other), n, len(other)):
+                out.append(int(y[k]))
+        if x != self.x:
+            own = np.flatnonzero(~np.isin(index.heads[x], index.heads[self.x]))
+            fresh = index.probe(x, own, 0)
+            fresh = fresh[free[fresh] & ~np.isin(fresh, self.candidates)]
+            out += [y for y in fresh.tolist() if y != x and similar(index.shared(x, y), n, int(index.sizes[y]))]
+        return out
+
+
+def _members(some: np.ndarray, s: np.ndarray) -> int:
+    return int((s[np.minimum(np.searchsorted(s, some), len(s) - 1)] == some).sum()) if len(some) else 0
+
+
 def verify(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
-    """Exact links (a, b: representatives) within each group of `keys`; rows hold rep and text."""
+    """Exact links (a, b: classes) within each group of `keys`; rows hold cid and shingles."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, out = WordHashes(), []
+        out = []
         for _, group in by_key(batches, *keys):
-            texts = {r["rep"]: r["text"] for r in group}
-            reps = sorted(texts)
-            if len(reps) > 1:
-                out += [(reps[a], reps[b]) for a, b in spanning_links(shingle_sets([texts[r] for r in reps], hashes))]
+            sets = {r["cid"]: np.frombuffer(r["shingles"], "<u8") for r in group}
+            names = sorted(sets)
+            if len(names) > 1:
+                out += [(names[a], names[b]) for a, b in spanning_links([sets[c] for c in names])]
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    dealt = rows.select(*keys, "rep", "text").repartition(parts, *keys).sortWithinPartitions(*keys)
+    dealt = rows.select(*keys, "cid", "shingles").repartition(parts, *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(check, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, block: int = 2000, leaders: int = 32) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of `docs`: links over all documents, exactly.
+def class_links(sets: DataFrame, block: int, leaders: int) -> DataFrame:
+    """Links (a, b) that span the components of all classes of the written table `sets`.
 
     A candidate group of at most `block` classes is compared in one task. A larger one is cut into blocks, each compared together with a
-    few leaders of the group; classes that are then outside the group's largest component are compared with all its blocks. Repeated
-    rows each give a row; a row with a null id is never the smallest of its component, and links like any other through its equal set.
-    Documents without words have no shingle and their own id as component.
+    few leaders of the group; classes that are then outside the group's largest component are compared with all its blocks.
     """
-    spark = docs.sparkSession
+    spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = materialize(signatures(rows), "signatures")
-    classes = materialize(signed.where("n > 0 and doc_id is not null").groupBy("cid", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    levels = spark.sparkContext.broadcast(shingle_levels(rows, parts))
-    groups = materialize(connected_components(candidate_edges(rows, levels, parts), "candidates"), "candidate-groups")
-    everyone = groups.select("node", "comp").unionByName(groups.select(F.col("comp").alias("node"), "comp").distinct())
-    members = classes.join(everyone.withColumnRenamed("node", "cid"), "cid")
-    size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-    members = materialize(members.join(size, "comp").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")), "members")
-    n = members.count()
-    bits = int(min(1 << 27, max(1 << 16, 1 << int(16 * n + 1).bit_length())))
-    marks = spark.sparkContext.broadcast(class_bitmap(members.select(F.col("cid").alias("node")), bits))
+    bits = group_bits(sets.agg(F.sum("n")).first()[0] or 0)
+    levels = spark.sparkContext.broadcast(shingle_levels(sets, parts, bits))
+    groups = materialize(connected_components(candidate_edges(sets, levels, parts, bits), "candidates"), "candidate-groups")
+    everyone = groups.select(F.col("node").alias("cid"), "comp").unionByName(groups.select(F.col("comp").alias("cid"), "comp").distinct())
+    size = everyone.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
+    members = materialize(everyone.join(size, "comp").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")), "members")
+    n, most = members.agg(F.count(F.lit(1)), F.coalesce(F.max("blocks"), F.lit(0))).first()
+    places = int(min(1 << 27, max(1 << 16, 1 << int(16 * n + 1).bit_length())))
+    marks = spark.sparkContext.broadcast(class_bitmap(members.select(F.col("cid").alias("node")), places))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, marked = WordHashes(), marks.value
-        for batch in slices(batches, "text"):
-            texts, out, seen = [t.as_py() for t in batch.column("text")], [], set()
-            for t, s in zip(texts, shingle_sets(texts, hashes)):
-                if len(s) and (key := set_key(s)) not in seen:
-                    seen.add(key)
-                    h = int(mix64(np.array([key[0]], np.int64).view(np.uint64))[0]) % bits
-                    if marked[h >> 3] >> (h & 7) & 1:
-                        out.append((*key, t))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else ([], [], []), (pa.int64(), pa.int64(), pa.binary()))], ["cid", "h2", "text"])
-
-    texts = rows.select("text").mapInArrow(pick, "cid long, h2 long, text binary").join(members, ["cid", "h2"])
-    texts = materialize(texts.select("rep", "comp", "m", "blocks", "text"), "member-texts")  # a class may come from several tasks
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    large = texts.where("blocks > 1")
-    first = texts.withColumn("b", own)
-    if n and (most := members.agg(F.max("blocks")).first()[0]) > 1:
-        lead = large.withColumn("h", F.xxhash64("rep", "comp")).where(F.pmod("h", F.greatest(F.lit(1), F.floor(F.col("m") / leaders))) == 0)
+        marked, seen = marks.value, set()
+        for batch in batches:
+            cid = batch.column("cid").to_numpy()
+            h = mix64(cid.view(np.uint64)) % np.uint64(places)
+            hit = (marked[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            seen = seen if len(seen) < 100_000 else set()
+            new = [k for k in np.flatnonzero(hit).tolist() if not (cid[k] in seen or seen.add(cid[k]))]  # copies are sent once
+            yield batch.take(pa.array(new, pa.int64()))
+
+    picked = sets.where("n > 0").select("cid", "shingles").mapInArrow(pick, "cid long, shingles binary").join(members, "cid")
+    picked = materialize(picked, "member-sets")  # a class may come from several tasks
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    large = picked.where("blocks > 1")
+    first = picked.withColumn("b", own)
+    if most > 1:
+        lead = large.withColumn("h", F.xxhash64("cid", "comp")).where(F.pmod("h", F.greatest(F.lit(1), F.floor(F.col("m") / leaders))) == 0)
         first = first.unionByName(lead.drop("h").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     links = materialize(verify(first, parts, "comp", "b"), "links")
-    if n and most > 1:
+    if most > 1:
         labels = materialize(connected_components(links, "labels"), "block-labels")
-        named = members.where("blocks > 1").join(labels.withColumnRenamed("comp", "label"), F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep"))
+        named = members.where("blocks > 1").join(labels.withColumnRenamed("comp", "label"), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
         main = named.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-        rest = materialize(named.join(main, "comp").where(F.col("label") != F.col("main")).select("rep", "comp"), "outside")
+        rest = materialize(named.join(main, "comp").where(F.col("label") != F.col("main")).select("cid", "comp"), "outside")
         left = rest.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rests"))
         theirs = large.join(left, "comp").withColumn("b", own).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
-        mine = large.join(rest, ["rep", "comp"]).join(left, "comp").withColumn("r", F.pmod(F.xxhash64("rep"), F.col("rests")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        mine = large.join(rest, ["cid", "comp"]).join(left, "comp").withColumn("r", F.pmod(F.xxhash64("cid"), F.col("rests")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         links = links.unionByName(verify(theirs.unionByName(mine), parts, "comp", "r", "b"))
-    found = materialize(connected_components(links, "components"), "jaccard-components")
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select("cid", "h2", F.coalesce("comp", "rep").alias("component_id"))
-    out = signed.join(named, ["cid", "h2"], "left")
+    return links
+
+
+def set_components(docs: DataFrame, block: int = 1000, leaders: int = 32) -> DataFrame:
+    """doc_id, th, n, cid, h2 and comp (the component's key, null without words) for each row of `docs`."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    sets = materialize(document_sets(rows), "shingle-sets")
+    found = materialize(connected_components(class_links(sets, block, leaders), "components"), "jaccard-components")
+    signed = sets.select("doc_id", "th", "n", "cid", "h2").join(found, F.col("cid") == F.col("node"), "left")
+    return signed.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "cid"))).drop("node")
+
+
+def jaccard_classes(docs: DataFrame, block: int = 1000, leaders: int = 32) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of `docs`: links over all documents, exactly.
+
+    Repeated rows each give a row, and an id with several texts one for each; a row with a null id is never the smallest of its
+    component, and links like any other. Null and empty texts and texts without words have no shingle and their own id as component.
+    """
+    found = materialize(set_components(docs, block, leaders), "components-by-row")
+    least = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component: the one of the smallest id (repeated rows of it count once)."""
-    found = jaccard_classes(docs)
-    others = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
-    return docs.join(others, docs["doc_id"] == others["__id"], "left_anti")
+    """`docs` with one row of each component: that of the smallest id (null last), then of the smallest text hash; of repeated rows
+    (same id and text) one stays. Rows without words all stay."""
+    rows = set_components(docs).where("comp is not null").groupBy("comp", "doc_id", "th").agg(F.count(F.lit(1)).alias("copies"))
+    rows = materialize(rows, "near-copies")
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("best"))
+    marked = rows.join(best, "comp").withColumn("stays", F.struct(F.col("doc_id").isNull(), "doc_id", "th").eqNullSafe(F.col("best")))
+    same = lambda d, m: d["doc_id"].cast("long").eqNullSafe(m["__id"]) & (F.xxhash64(d["text"]) == m["__th"])
+    keys = lambda m: m.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    goes, many = keys(marked.where("not stays or copies > 1")), keys(marked.where("stays and copies > 1"))
+    left = docs.join(goes, same(docs, goes), "left_anti")
+    again = docs.join(many, same(docs, many)).dropDuplicates(["__id", "__th"]).select(docs.columns)
+    return left.unionByName(again)

@@ -187,6 +187,39 @@ def test_spanning_links_cover_the_exact_graph():
     assert all(comp[a] == comp[b] for a, b in exact)
 
 
+def test_answers_derived_from_a_similar_set_are_complete():
+    from prismar.llm.jaccard import Anchor, SetIndex, similar
+
+    rng = np.random.default_rng(8)
+    base = np.arange(400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 400 - int(k), replace=False), rng.integers(1000, 1400, int(rng.integers(0, 90))).astype(np.uint64)])) for k in rng.integers(0, 60, 50)]
+    for k in range(20):  # highly similar ones
+        s = sets[k].copy()
+        s[rng.integers(0, len(s), 3)] = rng.integers(2000, 2100, 3)
+        sets.append(np.unique(s))
+    index, derived = SetIndex(sets), 0
+    for a in range(len(sets)):
+        anchor = Anchor(index, a)
+        for x in (x for x in range(len(sets)) if x == a or anchor.near(x)):
+            free = np.ones(len(sets), bool)
+            free[[a, x]] = False
+            want = [y for y in range(len(sets)) if free[y] and similar(len(np.intersect1d(sets[x], sets[y])), len(sets[x]), len(sets[y]))]
+            assert sorted(anchor.answers(x, free)) == want
+            derived += x != a
+    assert derived > 20 and index.skipped > 0
+
+
+def test_near_copies_leave_one_row_each(spark):
+    from prismar.llm import jaccard
+
+    other = "some quite different text of more than five words"
+    df = spark.createDataFrame([(8, LONG), (8, LONG), (None, LONG), (9, LONG), (8, other), (5, None), (5, None), (None, "")], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in rows(jaccard.drop_near_copies(df)))
+    assert got == collections.Counter([(8, LONG), (8, other), (5, None), (5, None), (None, "")])
+    comp = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in rows(jaccard.jaccard_classes(df))}
+    assert comp[None, len(LONG.split()) - 4] == 8 and comp[9, len(LONG.split()) - 4] == 8
+
+
 def test_topk(spark):
     from prismar.llm import topk
 

@@ -9,11 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from prismar.operators.search import by_blocks
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHANNELS = ("p1", "p2", "p3")
-BINS, COLORS = 16, 32
+BINS, COLORS, POINTS = 16, 32, 10_000
 
 
 def clip(c: Column) -> Column:
@@ -43,28 +45,66 @@ def moments(points: DataFrame) -> DataFrame:
     return points.groupBy("item_id").agg(*out)
 
 
-def dominant(points: DataFrame, k: int = COLORS, rounds: int = 100, seed: int = 42) -> DataFrame:
-    """item_id, dominant: up to k centres with their shares, largest first, by k-means inside each (downscaled, so bounded) item."""
-    kind = "item_id long, dominant array<struct<p1:double,p2:double,p3:double,w:double>>"
+def subsample(points: DataFrame, most: int = POINTS) -> DataFrame:
+    """At most `most` points of each item, the same ones at each run: those of smallest hash. Tasks keep that many before the exchange."""
+    w = Window.partitionBy("item_id").orderBy(F.xxhash64(*CHANNELS, *(["point_id"] if "point_id" in points.columns else [])), *CHANNELS)
+    return points.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
 
-    def lloyd(x: np.ndarray) -> list[dict]:
-        rng = np.random.default_rng(seed)
-        centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].astype(float)
+
+def lloyd(x: np.ndarray, k: int, starts: int, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and shares of the best of `starts` runs of k-means."""
+    rng, best = np.random.default_rng(seed), None
+    for _ in range(starts):
+        centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
         for _ in range(rounds):
-            own = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-            new = np.stack([x[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(len(centres))])
+            d = (centres * centres).sum(axis=1) - 2 * x @ centres.T
+            own = d.argmin(axis=1)
+            n = np.bincount(own, minlength=len(centres))
+            sums = np.stack([np.bincount(own, weights=x[:, c], minlength=len(centres)) for c in range(x.shape[1])], axis=1)
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
             if np.allclose(new, centres):
                 break
             centres = new
-        share = np.bincount(own, minlength=len(centres)) / len(x)
-        order = sorted(np.flatnonzero(share), key=lambda j: (-share[j], *centres[j]))
-        return [dict(zip((*CHANNELS, "w"), (*map(float, centres[j]), float(share[j])))) for j in order]
+        cost = float(((x - centres[own]) ** 2).sum())
+        if best is None or cost < best[0]:
+            best = (cost, centres, n / len(x))
+    return best[1], best[2]
+
+
+PALETTE = "array<struct<p1:double,p2:double,p3:double,w:double>>"
 
-    def run(key, found):
-        x = np.stack([found.column(c).to_numpy() for c in CHANNELS], axis=1)
-        return pa.Table.from_pylist([{"item_id": key[0].as_py(), "dominant": lloyd(x)}], schema=pa.schema([("item_id", pa.int64()), ("dominant", pa.list_(pa.struct([(c, pa.float64()) for c in (*CHANNELS, "w")])))]))
 
-    return points.select(F.col("item_id").cast("long").alias("item_id"), *(F.col(c).cast("double").alias(c) for c in CHANNELS)).groupBy("item_id").applyInArrow(run, kind)
+def dominant(points: DataFrame, k: int = COLORS, starts: int = 3, rounds: int = 100, seed: int = 42, most: int = POINTS) -> DataFrame:
+    """item_id, dominant, reason: up to k centres with their shares, largest first, by k-means over at most `most` points of each item.
+
+    An item with a null or non-finite value in a point kept has no palette, and a reason.
+    """
+    def run(key: tuple, found: pa.Table) -> pa.Table:
+        out, reason = None, None
+        if sum(found.column(c).null_count for c in CHANNELS) or not np.isfinite(x := np.stack([found.column(c).to_numpy() for c in CHANNELS], axis=1)).all():
+            reason = "a point has a value that isn't a number"
+        else:
+            x = x[np.lexsort(x.T)]
+            centres, share = lloyd(x, k, starts, rounds, seed)
+            order = sorted(np.flatnonzero(share), key=lambda j: (-share[j], *centres[j]))
+            out = [dict(zip((*CHANNELS, "w"), (*map(float, centres[j]), float(share[j])))) for j in order]
+        kind = pa.schema([("item_id", pa.int64()), ("dominant", pa.list_(pa.struct([(c, pa.float64()) for c in (*CHANNELS, "w")]))), ("reason", pa.string())])
+        return pa.Table.from_pylist([{"item_id": key[0].as_py(), "dominant": out, "reason": reason}], schema=kind)
+
+    some = subsample(points, most).select(F.col("item_id").cast("long").alias("item_id"), *(F.col(c).cast("double").alias(c) for c in CHANNELS))
+    return some.groupBy("item_id").applyInArrow(run, f"item_id long, dominant {PALETTE}, reason string")
+
+
+def palette_job(points: DataFrame, **options) -> DataFrame:
+    """item_id, bins (filled cells of the histogram), the moments, dominant, reason: all palette features of each item.
+
+    An item whose extraction fails has null features and the reason.
+    """
+    colours = dominant(points, **options)
+    bad = colours.where("reason is not null").select("item_id")
+    good = points.join(bad, "item_id", "left_anti")
+    hist = histogram(good).groupBy("item_id").agg(F.count(F.lit(1)).alias("bins"))
+    return colours.join(hist, "item_id", "left").join(moments(good), "item_id", "left")
 
 
 def top_share(palette: DataFrame, n: int) -> DataFrame:
@@ -85,15 +125,59 @@ def strip(palette: DataFrame, width: int, fill_last: bool = True) -> DataFrame:
     return out
 
 
-def wasserstein(a: DataFrame, b: DataFrame) -> DataFrame:
-    """query_id, item_id, distance: mean over channels of the W1 distance of two weighted sets (p1, p2, p3, w), by their sums along each axis."""
-    side = lambda df, key, sign: df.select(key, F.explode(F.array(*(F.struct(F.lit(i).alias("ch"), F.col(c).alias("x")) for i, c in enumerate(CHANNELS)))).alias("s"), (F.col("w") * sign).alias("m")).select(key, "s.ch", "s.x", "m")
-    ids = a.select("query_id").distinct().crossJoin(b.select("item_id").distinct())
-    both = ids.join(side(a, "query_id", 1.0), "query_id").unionByName(ids.join(side(b, "item_id", -1.0), "item_id")).groupBy("query_id", "item_id", "ch", "x").agg(F.sum("m").alias("m"))
-    w = Window.partitionBy("query_id", "item_id", "ch").orderBy("x")
-    gap = F.abs(F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))) * (F.lead("x").over(w) - F.col("x"))
-    steps = both.withColumn("g", gap).groupBy("query_id", "item_id", "ch").agg(F.sum(F.coalesce("g", F.lit(0.0))).alias("d"))
-    return steps.groupBy("query_id", "item_id").agg(F.avg("d").alias("distance"))
+def palettes(rows: DataFrame, key: str = "item_id") -> DataFrame:
+    """key, palette: the (few) weighted points (p1, p2, p3, w) of each item as one array."""
+    return rows.groupBy(key).agg(F.collect_list(F.array(*(F.col(c).cast("double") for c in (*CHANNELS, "w")))).alias("palette"))
+
+
+def stacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Palettes as an array (items, points, 4); shorter ones are filled up with points of no weight."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, ends = column.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 4), column.offsets.to_numpy()
+    sizes = np.diff(ends)
+    out = np.zeros((len(sizes), max(1, int(sizes.max(initial=0))), 4))
+    item = np.repeat(np.arange(len(sizes)), sizes)
+    out[item, np.arange(len(item)) - np.repeat(ends[:-1] - ends[0], sizes)] = flat
+    return out
+
+
+def axis_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mean over channels of the W1 distances of all palettes in `a` to all in `b`: between the sorted supports, what one has more than the other."""
+    out = np.zeros((len(a), len(b)))
+    shape = (len(a), len(b), a.shape[1] + b.shape[1])
+    for c in range(3):
+        x, m = np.empty(shape), np.empty(shape)
+        x[..., : a.shape[1]], x[..., a.shape[1] :] = a[:, None, :, c], b[None, :, :, c]
+        m[..., : a.shape[1]], m[..., a.shape[1] :] = a[:, None, :, 3], -b[None, :, :, 3]
+        order = np.argsort(x, axis=2, kind="stable")
+        x, m = np.take_along_axis(x, order, 2), np.take_along_axis(m, order, 2)
+        out += (np.abs(np.cumsum(m, axis=2))[..., :-1] * np.diff(x, axis=2)).sum(axis=2)
+    return out / 3
+
+
+def wasserstein(a: DataFrame, b: DataFrame, cells: int = 1 << 20) -> DataFrame:
+    """query_id, item_id, distance: mean over channels of the W1 distance of two weighted sets of equal mass (rows p1, p2, p3, w).
+
+    Query palettes go in blocks of bounded size to where the items' palettes lie; a pair makes one row and no exchange.
+    """
+    items = palettes(b).select(F.col("item_id").cast("long").alias("item_id"), "palette")
+
+    def work(block: pa.Table) -> tuple[Broadcast, DataFrame]:
+        shared = b.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), stacked(block.column("palette"))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches:
+                own, x = batch.column("item_id").to_numpy(), stacked(batch.column("palette"))
+                step = max(1, cells // max(1, len(own) * (x.shape[1] + q.shape[1])))
+                for at in range(0, len(ids) if len(own) else 0, step):
+                    d = axis_distances(q[at : at + step], x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + step], len(own))), pa.array(np.tile(own, len(d))), pa.array(d.ravel())], ["query_id", "item_id", "distance"])
+
+        return shared, items.mapInArrow(run, "query_id long, item_id long, distance double")
+
+    queries = palettes(a, "query_id").select(F.col("query_id").cast("long").alias("query_id"), "palette")
+    return by_blocks(queries, "query_id", work)
 
 
 def transport(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -132,34 +216,46 @@ def transport(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> f
     return float((flow * cost).sum())
 
 
-def emd(pairs: DataFrame) -> DataFrame:
-    """query_id, item_id, bound, distance for rows with two palettes (array<struct<p1,p2,p3,w>> a and b of equal mass). The bound,
-    the distance of the centroids, never exceeds the distance, so a caller can filter by it first."""
-    mean = lambda p, c: F.aggregate(p, F.lit(0.0), lambda s, x: s + x[c] * x["w"])
-    bound = F.sqrt(sum(F.pow(mean("a", c) - mean("b", c), 2) for c in CHANNELS))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                x, y = (np.array([[p[c] for c in (*CHANNELS, "w")] for p in side], float) for side in (a, b))
-                out.append(transport(x[:, :3], x[:, 3], y[:, :3], y[:, 3]))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("item_id"), batch.column("bound"), pa.array(out, pa.float64())], ["query_id", "item_id", "bound", "distance"])
-
-    return pairs.withColumn("bound", bound).select("query_id", "item_id", "bound", "a", "b").mapInArrow(run, "query_id long, item_id long, bound double, distance double")
-
-
-def emd_top_k(pairs: DataFrame, k: int) -> DataFrame:
-    """The k nearest by exact distance: exact on the 4k best bounds, then on what is under the kth of these."""
-    own = Window.partitionBy("query_id")
-    mean = lambda p, c: F.aggregate(p, F.lit(0.0), lambda s, x: s + x[c] * x["w"])
-    bound = F.sqrt(sum(F.pow(mean("a", c) - mean("b", c), 2) for c in CHANNELS))
-    ranked = pairs.withColumn("bound", bound).withColumn("r", F.row_number().over(own.orderBy("bound", "item_id")))
-    first = emd(ranked.where(F.col("r") <= 4 * k))
-    limit = first.withColumn("r", F.row_number().over(own.orderBy("distance", "item_id"))).where(F.col("r") == k).select("query_id", F.col("distance").alias("limit"))
-    rest = emd(ranked.where(F.col("r") > 4 * k).join(limit, "query_id", "left").where(F.col("limit").isNull() | (F.col("bound") <= F.col("limit"))))
-    both = first.unionByName(rest).withColumn("rank", F.row_number().over(own.orderBy("distance", "item_id")))
-    return both.where(F.col("rank") <= k).select("query_id", "rank", "item_id", "distance")
+def centroid_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the earth mover's distance of palettes of equal mass: the distance of their centroids."""
+    x, y = ((p[..., :3] * p[..., 3:]).sum(axis=1) for p in (a, b))
+    return np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+
+
+def emd_top_k(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, item_id, distance: the k palettes (item_id, palette) nearest to each query's (query_id, palette) by exact earth mover's
+    distance, in 6 places, ties to the smaller id.
+
+    Query palettes go in blocks of bounded size. A batch of items is taken by rising bound, and a distance is worked out only while its bound
+    is no more than the kth distance found in the batch, so that k rows a query and batch are exchanged.
+    """
+    some = items.select(F.col("item_id").cast("long").alias("item_id"), "palette")
+
+    def work(block: pa.Table) -> tuple[Broadcast, DataFrame]:
+        shared = items.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), stacked(block.column("palette"))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            for batch in batches:
+                own, x = batch.column("item_id").to_numpy(), stacked(batch.column("palette"))
+                out = []
+                for i in range(len(ids) if len(own) else 0):
+                    bound, found = centroid_distances(q[i : i + 1], x)[0], []
+                    for j in np.lexsort((own, bound)).tolist():
+                        if len(found) == k and bound[j] > found[-1][0] + 1e-6:
+                            break
+                        a, b = (p[p[:, 3] > 0] for p in (q[i], x[j]))
+                        found = sorted([*found, (round(transport(a[:, :3], a[:, 3], b[:, :3], b[:, 3]), 6), int(own[j]))])[:k]
+                    out += [(int(ids[i]), j, d) for d, j in found]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["query_id", "item_id", "distance"])
+
+        return shared, some.mapInArrow(run, "query_id long, item_id long, distance double")
+
+    mine = queries.select(F.col("query_id").cast("long").alias("query_id"), "palette")
+    own = Window.partitionBy("query_id").orderBy("distance", "item_id")
+    found = by_blocks(mine, "query_id", work).withColumn("rank", F.row_number().over(own))
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "item_id", "distance")
 
 
 def statistics(points: DataFrame, key: str = "item_id") -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRID, ORIENTATIONS = 4, 16
@@ -70,65 +70,137 @@ def block_mean(raster: DataFrame, factor: int) -> DataFrame:
     return raster.groupBy("item_id", F.floor(F.col("y") / factor).alias("y"), F.floor(F.col("x") / factor).alias("x")).agg(F.avg("v").alias("v"))
 
 
-def neighbourhood(raster: DataFrame, reflect: bool) -> DataFrame:
-    """Each pixel's eight neighbours: item_id, y, x, v, dy, dx, n. Values are sent to the pixels around them, so one exchange by pixel
-    does it; borders reflect without repeating the edge, or have fewer neighbours."""
-    size = Window.partitionBy("item_id")
-    sized = raster.withColumn("h", F.max("y").over(size) + 1).withColumn("w", F.max("x").over(size) + 1)
-    offsets = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in SOBEL))
-    wanted = sized.withColumn("o", F.explode(offsets)).select("item_id", "y", "x", "v", "h", "w", "o.dy", "o.dx")
-    fold = lambda p, n: F.when(p < 0, -p).when(p >= F.col(n), 2 * F.col(n) - 2 - p).otherwise(p)
-    ny, nx = F.col("y") + F.col("dy"), F.col("x") + F.col("dx")
-    wanted = wanted.withColumn("ny", fold(ny, "h") if reflect else ny).withColumn("nx", fold(nx, "w") if reflect else nx)
-    values = raster.select("item_id", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("v").alias("n"))
-    return wanted.join(values, ["item_id", "ny", "nx"]).select("item_id", "y", "x", "v", "h", "w", "dy", "dx", "n")
+def by_image(raster: DataFrame, fields: str, work: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> DataFrame:
+    """item_id and the columns that `work` gives for each item's pixels (a 2-D array), a row for each of their places.
 
+    One exchange brings an item's pixels (item_id, y, x, v) together; images are made smaller first (P1), so an item is bounded. A pixel that
+    isn't there counts as 0.
+    """
+    whole = raster.where("v is not null").groupBy("item_id").agg(F.collect_list(F.struct(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))).alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, ends = batch.column("p").flatten(), batch.column("p").offsets.to_numpy()
+            y, x, v = (p.field(k).to_numpy() for k in range(3))
+            found, sizes = [], []
+            for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0]):
+                image = np.zeros((y[a:b].max() + 1, x[a:b].max() + 1))
+                image[y[a:b], x[a:b]] = v[a:b]
+                found.append(work(image))
+                sizes.append(len(found[-1][0]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("item_id").to_numpy(), sizes)), *(pa.array(np.concatenate(c)) for c in zip(*found))], ["item_id", *names])
+
+    names = [f.split()[0] for f in fields.split(", ")]
+    return whole.select(F.col("item_id").cast("long").alias("item_id"), "p").mapInArrow(run, f"item_id long, {fields}")
+
+
+def shifted(image: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """Each pixel's neighbour at (dy, dx); beyond the border the image is reflected without repeating its edge."""
+    h, w = image.shape
+    y, x = (np.abs(np.arange(n) + d) for n, d in ((h, dy), (w, dx)))
+    return image[np.where(y < h, y, 2 * h - 2 - y) % h][:, np.where(x < w, x, 2 * w - 2 - x) % w]
+
+
+def gradients(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    near = {o: shifted(image, *o) for o in SOBEL}
+    return tuple(sum(ws[k] * near[o] for o, ws in SOBEL.items() if ws[k]) for k in (0, 1))
+
+
+def places(image: np.ndarray) -> list[np.ndarray]:
+    y, x = np.indices(image.shape, np.int32)
+    return [y.ravel(), x.ravel()]
+
+
+def cells(image: np.ndarray) -> np.ndarray:
+    """Index of the GRID x GRID cell of each pixel; -1 in the rest rows and columns, and where the image has fewer pixels than cells."""
+    h, w = image.shape
+    if h < GRID or w < GRID:
+        return np.full(image.shape, -1)
+    y, x = np.arange(h) // (h // GRID), np.arange(w) // (w // GRID)
+    return np.where((y < GRID)[:, None] & (x < GRID), y[:, None] * GRID + x, -1)
 
-def sobel(raster: DataFrame) -> DataFrame:
-    """item_id, y, x, h, w, gx, gy."""
-    weight = lambda k: sum(F.when((F.col("dy") == dy) & (F.col("dx") == dx), F.lit(float(ws[k]))).otherwise(0.0) for (dy, dx), ws in SOBEL.items())
-    near = neighbourhood(raster, True)
-    return near.groupBy("item_id", "y", "x", "h", "w").agg(F.round(F.sum(F.col("n") * weight(0)), 9).alias("gx"), F.round(F.sum(F.col("n") * weight(1)), 9).alias("gy"))
 
+def cell_sums(cell: np.ndarray, bins: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
+    """GRID^2 x n sums of `weights`."""
+    inside = cell >= 0
+    return np.bincount(cell[inside] * n + bins[inside], weights=weights[inside], minlength=GRID * GRID * n).reshape(-1, n)
 
-def cell():
-    """Index of the GRID x GRID cell of a pixel; null in the rest rows and columns."""
-    y, x = F.floor(F.col("y") / F.floor(F.col("h") / GRID)), F.floor(F.col("x") / F.floor(F.col("w") / GRID))
-    return F.when((y < GRID) & (x < GRID), (y * GRID + x).cast("int"))
+
+def listed(values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """cell, bin and value of what isn't 0."""
+    cell, place = np.nonzero(values > 0)
+    return cell.astype(np.int32), place.astype(np.int32), values[cell, place]
+
+
+def sobel(raster: DataFrame) -> DataFrame:
+    """item_id, y, x, gx, gy."""
+    return by_image(raster, "y int, x int, gx double, gy double", lambda i: (*places(i), *(g.ravel() for g in gradients(i))))
 
 
 def edge_histogram(raster: DataFrame) -> DataFrame:
     """item_id, cell, bin, value: orientations over 0..180 degrees weighted by magnitude, each cell at unit length; zeros are left out."""
-    g = sobel(raster).withColumn("cell", cell()).where("cell is not null")
-    angle = F.pmod(F.degrees(F.atan2("gy", "gx")) + 180.0, F.lit(180.0))
-    g = g.withColumn("mag", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).withColumn("bin", F.least(F.floor(F.round(angle, 9) / (180.0 / ORIENTATIONS)), F.lit(ORIENTATIONS - 1)).cast("int"))
-    sums = g.groupBy("item_id", "cell", "bin").agg(F.sum("mag").alias("value"))
-    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("item_id", "cell")))
-    return sums.withColumn("value", F.when(length > 1e-8, F.col("value") / length).otherwise(F.col("value"))).where("value > 0")
+    def work(image: np.ndarray) -> tuple[np.ndarray, ...]:
+        gx, gy = gradients(image)
+        angle = np.round((np.degrees(np.arctan2(gy, gx)) + 180.0) % 180.0, 9)
+        bins = np.minimum(np.floor(angle / (180.0 / ORIENTATIONS)), ORIENTATIONS - 1).astype(np.int64)
+        sums = cell_sums(cells(image), bins, ORIENTATIONS, np.sqrt(gx * gx + gy * gy))
+        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        return listed(sums / np.where(length > 1e-8, length, 1.0))
+
+    return by_image(raster, "cell int, bin int, value double", work)
+
+
+def lbp(image: np.ndarray) -> np.ndarray:
+    """Bit p where neighbour p isn't below the centre; 0 on the border."""
+    codes = sum((shifted(image, *o) >= image).astype(np.int32) << p for p, o in enumerate(NEIGHBOURS))
+    codes[[0, -1]] = codes[:, [0, -1]] = 0
+    return codes
 
 
 def lbp_codes(raster: DataFrame) -> DataFrame:
-    """item_id, y, x, h, w, code: bit p where neighbour p isn't below the centre; 0 on the border."""
-    bit = sum(F.when((F.col("dy") == dy) & (F.col("dx") == dx) & (F.col("n") >= F.col("v")), F.lit(1 << p)).otherwise(0) for p, (dy, dx) in enumerate(NEIGHBOURS))
-    codes = neighbourhood(raster, False).groupBy("item_id", "y", "x", "h", "w").agg(F.sum(bit).alias("code"), F.count(F.lit(1)).alias("k"))
-    return codes.withColumn("code", F.when(F.col("k") == 8, F.col("code")).otherwise(0).cast("int")).drop("k")
+    """item_id, y, x, code."""
+    return by_image(raster, "y int, x int, code int", lambda i: (*places(i), lbp(i).ravel()))
 
 
 def lbp_histogram(raster: DataFrame) -> DataFrame:
     """item_id, cell, bin, value: shares of uniform codes by their number of ones (0..8), all others in bin 9; zeros are left out."""
-    c = lbp_codes(raster).withColumn("cell", cell()).where("cell is not null")
-    turned = F.shiftright("code", 1).bitwiseOR(F.shiftleft(F.col("code").bitwiseAND(F.lit(1)), 7))
-    uniform = F.bit_count(F.col("code").bitwiseXOR(turned)) <= 2
-    n = c.withColumn("bin", F.when(uniform, F.bit_count("code")).otherwise(9).cast("int")).groupBy("item_id", "cell", "bin").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("item_id", "cell", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("item_id", "cell"))).alias("value"))
+    def work(image: np.ndarray) -> tuple[np.ndarray, ...]:
+        codes = lbp(image)
+        ones = np.bitwise_count(codes).astype(np.int64)
+        uniform = np.bitwise_count(codes ^ ((codes >> 1) | ((codes & 1) << 7))) <= 2
+        sums = cell_sums(cells(image), np.where(uniform, ones, 9), 10, np.ones(image.shape))
+        return listed(sums / np.maximum(sums.sum(axis=1, keepdims=True), 1))
+
+    return by_image(raster, "cell int, bin int, value double", work)
 
 
 def gram(maps: DataFrame) -> DataFrame:
-    """item_id, layer, c1, c2 (c1 <= c2), value: F F^T / (c h w) of feature maps (item_id, layer, c, pos, v)."""
-    size = maps.groupBy("item_id", "layer").agg((F.count_distinct("c") * F.count_distinct("pos")).alias("size"))
-    b = maps.select("item_id", "layer", "pos", F.col("c").alias("c2"), F.col("v").alias("v2"))
-    pairs = maps.withColumnRenamed("c", "c1").join(b, ["item_id", "layer", "pos"]).where("c1 <= c2")
-    return pairs.groupBy("item_id", "layer", "c1", "c2").agg(F.sum(F.col("v") * F.col("v2")).alias("s")).join(size, ["item_id", "layer"]).select("item_id", "layer", "c1", "c2", (F.col("s") / F.col("size")).alias("value"))
+    """item_id, layer, c1, c2 (c1 <= c2), value: F F^T / (c h w) of feature maps (item_id, layer, c, pos, v), one exchange by item."""
+    def work(f: np.ndarray) -> tuple[np.ndarray, ...]:
+        layers, channels, n = (int(f[:, k].max()) + 1 for k in range(3))
+        full = np.zeros((layers, channels, n))
+        full[tuple(f[:, k].astype(int) for k in range(3))] = f[:, 3]
+        out = []
+        for layer in np.unique(f[:, 0]).astype(int).tolist():
+            own = f[f[:, 0] == layer]
+            c, m = int(own[:, 1].max()) + 1, int(own[:, 2].max()) + 1
+            x = full[layer, :c, :m]
+            i, j = np.triu_indices(c)
+            out.append((np.full(len(i), layer, np.int32), i.astype(np.int32), j.astype(np.int32), (x @ x.T / (c * m))[i, j]))
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+    names = ("layer", "c", "pos", "v")
+    whole = maps.where("v is not null").groupBy("item_id").agg(F.collect_list(F.array(*(F.col(n).cast("double") for n in names))).alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column("p").flatten().flatten().to_numpy().reshape(-1, 4), batch.column("p").offsets.to_numpy()
+            found = [work(flat[a:b]) for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("item_id").to_numpy(), [len(f[0]) for f in found])), *(pa.array(np.concatenate(c)) for c in zip(*found))], ["item_id", "layer", "c1", "c2", "value"])
+
+    return whole.select(F.col("item_id").cast("long").alias("item_id"), "p").mapInArrow(run, "item_id long, layer int, c1 int, c2 int, value double")
 
 
 def sparse_cosine(features: DataFrame, query_item: int, *axes: str) -> DataFrame:

@@ -2,72 +2,178 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from prismar.functions.vectors import cosine_distance, minmax_normalize
+from prismar.operators.cuts import cut
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_WEIGHTS = {"histogram": 0.4, "edge": 0.3, "lbp": 0.3}
 BROADCAST_BYTES = 64 << 20
+CELLS = 1 << 22  # similarities held at a time by a task
 
 
-def top_k(items: DataFrame, query: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
-    """item_id, distance, rank: the k items nearest to one query row by cosine distance, ties to the smaller id.
+def top_k(items: DataFrame, query: DataFrame, k: int, vector: str = "embedding", carry: tuple[str, ...] = ()) -> DataFrame:
+    """item_id, distance, rank and the columns in `carry`: the k items nearest to one query row by cosine distance, ties to the smaller id.
 
-    `query` is one row (limit 1 makes that certain), so its broadcast has a fixed bound.
+    The one query vector becomes a literal, so that the items are scanned once and each task keeps k rows.
     """
-    one = F.broadcast(query.limit(1).select(F.col(vector).alias("__q")))
-    scored = items.crossJoin(one).select("item_id", F.round(cosine_distance(vector, "__q"), 9).alias("distance"))
+    found = query.select(F.col(vector).cast("array<double>")).first()
+    wanted = F.lit(found[0] if found else None).cast("array<double>")
+    scored = items.where(F.lit(found is not None)).select("item_id", F.round(cosine_distance(vector, wanted), 9).alias("distance"), *carry)
     best = scored.orderBy("distance", "item_id").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy("distance", "item_id")))
+    return best.select("item_id", "distance", F.row_number().over(Window.orderBy("distance", "item_id")).alias("rank"), *carry)
 
 
-def knn_join(items: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", block_rows: int | None = None) -> DataFrame:
-    """query_id, rank, item_id, distance: k nearest items of every query row.
+def by_blocks(queries: DataFrame, key: str, work: Callable[[pa.Table], tuple[Broadcast, DataFrame]], block_rows: int | None = None) -> DataFrame:
+    """The union of `work` over blocks of `queries`, each of BROADCAST_BYTES or less.
 
-    Queries go in blocks whose matrix stays under BROADCAST_BYTES; each is multiplied with Arrow batches of items where these lie, and
-    only k rows a query and task are shuffled. Null vectors take no part.
+    `work` gets a block as an Arrow table and returns the broadcast that it made and the rows found with it. Where one block isn't enough, the
+    rows of each are written and its broadcast is dropped before the next, so that the driver and the tasks hold one at a time.
     """
-    spark = items.sparkSession
-    mine = queries.where(F.col(vector).isNotNull()).select("query_id", vector)
-    first = mine.first()
-    if first is None:
-        return spark.createDataFrame([], "query_id long, rank int, item_id long, distance double")
-    rows = block_rows or max(1, BROADCAST_BYTES // (8 * len(first[1])))
-    blocks = max(1, -(-mine.count() // rows))
-    parts = []
+    wide = [f.name for f in queries.schema.fields if f.dataType.typeName() == "array"]
+    size = sum((F.coalesce(F.size(c), F.lit(0)) for c in wide), F.lit(1))
+    n, longest = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(size), F.lit(1))).first()
+    rows = block_rows or max(1, BROADCAST_BYTES // (8 * longest))
+    blocks = max(1, -(-n // rows))
+    found = None
     for b in range(blocks):
-        own = (mine if blocks == 1 else mine.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
-        ids, q = np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own], float)
-        norms = np.sqrt((q * q).sum(axis=1))
-        shared = spark.sparkContext.broadcast((ids, q / np.where(norms > 0, norms, 1)[:, None]))
+        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
+        shared, part = work(own.toArrow())
+        if blocks > 1:
+            part = cut(part)
+            shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, unit: bool = True) -> np.ndarray:
+    """Rows of a list column of equal lengths as doubles, at unit length (zero vectors stay); without rows, without columns."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    if unit and x.size:
+        n = np.sqrt((x * x).sum(axis=1))
+        x = x / np.where(n > 0, n, 1)[:, None]
+    return x
+
+
+def knn_join(items: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", block_rows: int | None = None, cells: int = CELLS) -> DataFrame:
+    """query_id, rank, item_id, distance: k nearest items of every query row. Null vectors take no part.
+
+    Query blocks are multiplied with the items where these lie, in tiles of at most `cells` distances; only k rows a query and
+    batch are shuffled.
+    """
+    some = items.where(F.col(vector).isNotNull()).select("item_id", F.col(vector).cast("array<double>").alias("v"))
+
+    def work(block: pa.Table) -> tuple[Broadcast, DataFrame]:
+        shared = items.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), matrix(block.column("v"))))
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for batch in batches:
-                if not batch.num_rows:
+                if not batch.num_rows or not len(ids):
                     continue
-                own = batch.column("item_id").to_numpy(zero_copy_only=False)
-                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
-                n = np.sqrt((x * x).sum(axis=1))
-                d = np.round(1 - q @ (x / np.where(n > 0, n, 1)[:, None]).T, 9)
-                best = np.stack([np.lexsort((own, row))[:k] for row in d]) if len(own) <= 4 * k else np.stack([_least(row, own, k) for row in d])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(own[best].ravel()), pa.array(np.take_along_axis(d, best, 1).ravel())], ["query_id", "item_id", "distance"])
-
-        parts.append(items.where(F.col(vector).isNotNull()).select("item_id", F.col(vector).cast("array<double>").alias("v")).mapInArrow(search, "query_id long, item_id long, distance double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+                own, x = batch.column("item_id").to_numpy(), matrix(batch.column("v"))
+                order = np.argsort(own, kind="stable")
+                own, x = own[order], x[order].T
+                step = max(1, cells // len(own))
+                for at in range(0, len(ids), step):
+                    d = np.round(1 - q[at : at + step] @ x, 9)
+                    row, column = np.nonzero(least(d, k))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + row]), pa.array(own[column]), pa.array(d[row, column])], ["query_id", "item_id", "distance"])
+
+        return shared, some.mapInArrow(search, "query_id long, item_id long, distance double")
+
+    mine = queries.where(F.col(vector).isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
     w = Window.partitionBy("query_id").orderBy("distance", "item_id")
+    found = by_blocks(mine, "query_id", work, block_rows)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "distance")
 
 
-def _least(row: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-    return near[np.lexsort((ids[near], row[near]))][:k]
+def least(d: np.ndarray, k: int) -> np.ndarray:
+    """Marks the k least of each row, ties to the left."""
+    if d.shape[1] <= k:
+        return np.ones(d.shape, bool)
+    kth = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    below, ties = d < kth, d == kth
+    return below | (ties & (np.cumsum(ties, axis=1) <= k - below.sum(axis=1, keepdims=True)))
+
+
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as SQL does it, halves away from zero."""
+    return np.copysign(np.floor(np.abs(x * 10**digits) + 0.5), x) / 10**digits + 0.0
+
+
+def fused_search(items: DataFrame, queries: DataFrame, weights: dict[str, float], k: int, fusion: str = "minmax", block_rows: int | None = None, cells: int = CELLS) -> DataFrame:
+    """query_id, item_id, score, rank: the k items of largest weighted sum of cosines, one method to each feature column.
+
+    What `score_search`, `fuse` and `best` give by way of a row for each pair, without these rows: all methods are scored in one Arrow pass over the
+    items; `minmax` takes a pass before for each method's extremes, which tasks send once a batch. A feature that an item or a query
+    lacks adds nothing. Sums are rounded to 6 places before they are ranked.
+    """
+    total = sum(weights.values()) or 1.0
+    methods = {m: w / total for m, w in weights.items() if w and m in items.columns}
+    as_list = lambda m: F.col(m).cast("array<double>").alias(m)
+    some = items.select(F.col("item_id").cast("long").alias("item_id"), *(as_list(m) for m in methods))
+    spark = items.sparkSession
+
+    def sides(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+        have = np.flatnonzero(~column.is_null().to_numpy(zero_copy_only=False))
+        return have, matrix(column.drop_null())
+
+    def work(block: pa.Table) -> tuple[Broadcast, DataFrame]:
+        ids = block.column("query_id").to_numpy()
+        own = {m: sides(block.column(m).combine_chunks(), len(ids)) for m in methods}
+        shared = spark.sparkContext.broadcast((ids, own))
+
+        def tiles(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+            for m in methods:
+                (who, q), (have, x) = shared.value[1][m], sides(batch.column(m), batch.num_rows)
+                step = max(1, cells // max(1, len(have)))
+                for at in range(0, len(who) if len(have) else 0, step):
+                    yield m, who[at : at + step], have, np.round(q[at : at + step] @ x.T, 9)
+
+        def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for m, who, _, s in tiles(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array([m] * len(who)), pa.array(s.min(axis=1)), pa.array(s.max(axis=1))], ["q", "method", "low", "high"])
+
+        low, span = {m: np.zeros(len(ids)) for m in methods}, {m: np.ones(len(ids)) for m in methods}
+        if fusion == "minmax":
+            ends = some.mapInArrow(extremes, "q long, method string, low double, high double").groupBy("q", "method").agg(F.min("low"), F.max("high"))
+            for q, m, a, b in ends.collect():  # a row for each query of the block and method
+                low[m][q], span[m][q] = a, (b - a) if b > a else 1.0
+        scale = spark.sparkContext.broadcast((low, span))
+
+        def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, (low, span) = shared.value[0], scale.value
+            for batch in batches:
+                if not batch.num_rows or not len(names):
+                    continue
+                batch = batch.sort_by("item_id")
+                item = batch.column("item_id").to_numpy()
+                step = max(1, cells // len(item))
+                for at in range(0, len(names), step):
+                    score, any_of = np.zeros((min(step, len(names) - at), len(item))), np.zeros((min(step, len(names) - at), len(item)), bool)
+                    for m, share in methods.items():
+                        (who, q), (have, x) = shared.value[1][m], sides(batch.column(m), batch.num_rows)
+                        mine = (who >= at) & (who < at + step)
+                        if mine.any() and len(have):
+                            place = np.ix_(who[mine] - at, have)
+                            score[place] += share * (np.round(q[mine] @ x.T, 9) - low[m][who[mine], None]) / span[m][who[mine], None]
+                            any_of[place] = True
+                    score = half_up(score, 6)
+                    row, column = np.nonzero(least(np.where(any_of, -score, np.inf), k) & any_of)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at + row]), pa.array(item[column]), pa.array(score[row, column])], ["query_id", "item_id", "score"])
+
+        return shared, some.mapInArrow(rank, "query_id long, item_id long, score double")
+
+    mine = queries.select(F.col("query_id").cast("long").alias("query_id"), *(as_list(m) for m in methods))
+    return best(by_blocks(mine, "query_id", work, block_rows), k, "query_id")
 
 
 def score_search(items: DataFrame, query: DataFrame, feature: str, similarity, method: str) -> DataFrame:
@@ -119,3 +225,11 @@ def display_rank(groups: DataFrame) -> DataFrame:
 def with_fallback(wanted: DataFrame, stored: DataFrame, key: str, feature: str, computed: Column) -> DataFrame:
     """The stored feature of each wanted row, or the computed one where none is stored."""
     return wanted.join(stored.select(key, F.col(feature).alias("__stored")), key, "left").withColumn("from_store", F.col("__stored").isNotNull()).withColumn(feature, F.coalesce(F.col("__stored"), computed)).drop("__stored")
+
+
+def path_legs(at: DataFrame) -> DataFrame:
+    """`at` (scene, x, y, ...) with the length of the leg from the scene before, null at the first. Scenes are numbered without gaps, so a
+    join with the number before does what an ordered window would do in one task."""
+    before = at.select((F.col("scene") + 1).alias("scene"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+    leg = F.sqrt(F.pow(F.col("x") - F.col("__x"), 2) + F.pow(F.col("y") - F.col("__y"), 2))
+    return at.join(before, "scene", "left").withColumn("leg", leg).drop("__x", "__y")

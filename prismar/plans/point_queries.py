@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from prismar.functions.vectors import distance_to_similarity
 from prismar.operators import points as P
+from prismar.operators.cuts import shared_dir
 from prismar.registry import query, table
+from prismar.sources import media, sinks
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -45,7 +49,7 @@ def p5(spark, sf_dir):
 
 @query("P4")
 def p4(spark, sf_dir):
-    return P.dominant(pts(spark, sf_dir), k=8, rounds=20)
+    return P.dominant(pts(spark, sf_dir))
 
 
 PAL = f"SELECT item_id, pos, w, p1, p2, p3 FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY n DESC, bin) AS INTEGER) AS pos, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY item_id) AS w, (bin // 16) * 16e0 + 8 AS p1, (bin % 16) * 16e0 + 8 AS p2, 128e0 AS p3 FROM (SELECT item_id, CAST({_b('p1')} * 16 + {_b('p2')} AS INTEGER) AS bin, count(*) AS n FROM ({PTS}) GROUP BY ALL)) WHERE pos <= 8"
@@ -75,7 +79,7 @@ def p8(spark, sf_dir):
 
 
 W1 = f"""WITH p AS (SELECT item_id, w, unnest([0, 1, 2]) AS ch, unnest([p1, p2, p3]) AS x FROM ({TOP})),
- ids AS (SELECT q.item_id AS query_id, i.item_id FROM (SELECT DISTINCT item_id FROM p WHERE item_id <= 3) q, (SELECT DISTINCT item_id FROM p) i),
+ ids AS (SELECT q.item_id AS query_id, i.item_id FROM (SELECT DISTINCT item_id FROM p WHERE item_id % 50 = 0) q, (SELECT DISTINCT item_id FROM p) i),
  u AS (SELECT query_id, item_id, ch, x, sum(m) AS m FROM (SELECT query_id, ids.item_id, ch, x, w AS m FROM ids JOIN p ON p.item_id = query_id UNION ALL SELECT query_id, ids.item_id, ch, x, -w FROM ids JOIN p ON p.item_id = ids.item_id) GROUP BY ALL),
  s AS (SELECT query_id, item_id, ch, abs(sum(m) OVER (w ROWS UNBOUNDED PRECEDING)) * (lead(x) OVER w - x) AS g FROM u WINDOW w AS (PARTITION BY query_id, item_id, ch ORDER BY x))
  SELECT query_id, item_id, avg(d) AS distance FROM (SELECT query_id, item_id, ch, sum(coalesce(g, 0)) AS d FROM s GROUP BY ALL) GROUP BY query_id, item_id"""
@@ -83,7 +87,7 @@ W1 = f"""WITH p AS (SELECT item_id, w, unnest([0, 1, 2]) AS ch, unnest([p1, p2,
 
 def w1(spark, sf_dir):
     top = P.top_share(palette(spark, sf_dir), 5)
-    return P.wasserstein(top.where("item_id <= 3").withColumnRenamed("item_id", "query_id"), top)
+    return P.wasserstein(top.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), top)
 
 
 @query("G1", f"SELECT query_id, item_id, {R6('distance', 'distance')} FROM ({W1})")
@@ -91,15 +95,19 @@ def g1(spark, sf_dir):
     return rounded(w1(spark, sf_dir), "distance")
 
 
-def palette_pairs(spark, sf_dir):
-    p = P.top_share(palette(spark, sf_dir), 5).groupBy("item_id").agg(F.collect_list(F.struct("p1", "p2", "p3", "w")).alias("b"))
-    q = p.where("item_id <= 3").select(F.col("item_id").alias("query_id"), F.col("b").alias("a"))
-    return p.crossJoin(F.broadcast(q.limit(3)))
+TWO = f"SELECT item_id, pos, w / sum(w) OVER (PARTITION BY item_id) AS w, p1, p2, p3 FROM ({PAL}) WHERE pos <= 2"
+#: Of palettes of two points with weights (a, 1 - a) and (b, 1 - b) the best plan sends as much as it can, or as little, from the first point to the first.
+EMD2 = f"""WITH t AS (SELECT item_id, max(w) FILTER (pos = 1) AS w, max(p1) FILTER (pos = 1) AS x1, max(p2) FILTER (pos = 1) AS y1, max(p1) FILTER (pos = 2) AS x2, max(p2) FILTER (pos = 2) AS y2 FROM ({TWO}) GROUP BY item_id),
+ d AS (SELECT a.item_id AS query_id, b.item_id, a.w AS a, b.w AS b, sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2) AS c11, sqrt((a.x1 - b.x2) ** 2 + (a.y1 - b.y2) ** 2) AS c12, sqrt((a.x2 - b.x1) ** 2 + (a.y2 - b.y1) ** 2) AS c21, sqrt((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2) AS c22 FROM t a, t b WHERE a.item_id % 50 = 0),
+ e AS (SELECT query_id, item_id, round(least(least(a, b) * c11 + (a - least(a, b)) * c12 + (b - least(a, b)) * c21 + (1 - a - b + least(a, b)) * c22, greatest(a + b - 1, 0) * c11 + (a - greatest(a + b - 1, 0)) * c12 + (b - greatest(a + b - 1, 0)) * c21 + (1 - a - b + greatest(a + b - 1, 0)) * c22), 6) + 0.0 AS distance FROM d)
+ SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS INTEGER) AS rank, item_id, distance FROM e) WHERE rank <= 5"""
 
 
-@query("G2")
+@query("G2", EMD2)
 def g2(spark, sf_dir):
-    return P.emd_top_k(palette_pairs(spark, sf_dir), 5)
+    """Palettes of two points, so that SQL can tell the best plan too."""
+    p = P.palettes(P.top_share(palette(spark, sf_dir), 2))
+    return P.emd_top_k(p, p.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), 5)
 
 
 @query("K3", f"WITH h AS ({HIST}) SELECT b.item_id, round(sum(a.value * b.value), 6) + 0.0 AS score FROM h a JOIN h b USING (bin) WHERE a.item_id = 1 GROUP BY b.item_id")
@@ -158,6 +166,9 @@ def l4(spark, sf_dir):
     return P.apply_lut(one.drop("item_id"), P.empirical_lut(styled)).select("point_id", "channel", "value")
 
 
-@query("S7", f"SELECT item_id, {R6('p1_mean', 'p1_mean')} FROM ({MOM}) WHERE item_id < 50")
+@query("S7", f"SELECT item_id, {R6('p1_mean', 'p1_mean')} FROM ({MOM})")
 def s7(spark, sf_dir):
-    return rounded(P.moments(pts(spark, sf_dir)).where("item_id < 50").select("item_id", "p1_mean"), "p1_mean")
+    """The features are written, and one of them is scanned from the table."""
+    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    sinks.write_features(P.moments(pts(spark, sf_dir)), "p1_mean", path)
+    return rounded(media.scan_features(spark, path, "p1_mean"), "p1_mean")

@@ -31,12 +31,12 @@ def p1(spark, sf_dir):
 
 _v = ", ".join(f"({dy}, {dx}, {wx}, {wy})" for (dy, dx), (wx, wy) in R.SOBEL.items())
 _fold = lambda p: f"CASE WHEN {p} < 0 THEN -({p}) WHEN {p} >= 8 THEN 14 - ({p}) ELSE {p} END"
-SOB = f"SELECT p.item_id, p.y, p.x, round(sum(n.v * k.wx), 9) AS gx, round(sum(n.v * k.wy), 9) AS gy FROM ras p, (VALUES {_v}) k(dy, dx, wx, wy), ras n WHERE n.item_id = p.item_id AND n.y = {_fold('p.y + k.dy')} AND n.x = {_fold('p.x + k.dx')} GROUP BY ALL"
+SOB = f"SELECT p.item_id, p.y, p.x, sum(n.v * k.wx) AS gx, sum(n.v * k.wy) AS gy FROM ras p, (VALUES {_v}) k(dy, dx, wx, wy), ras n WHERE n.item_id = p.item_id AND n.y = {_fold('p.y + k.dy')} AND n.x = {_fold('p.x + k.dx')} GROUP BY ALL"
 
 
 @query("T1", f"WITH ras AS ({RAS}) SELECT item_id, y, x, round(gx, 6) + 0.0 AS gx, round(gy, 6) + 0.0 AS gy FROM ({SOB})")
 def t1(spark, sf_dir):
-    return rounded(R.sobel(ras(spark, sf_dir)).drop("h", "w"), "gx", "gy")
+    return rounded(R.sobel(ras(spark, sf_dir)), "gx", "gy")
 
 
 EDGE = f"WITH ras AS ({RAS}), g AS ({SOB}), b AS (SELECT item_id, CAST((y // 2) * 4 + x // 2 AS INTEGER) AS cell, CAST(least(floor(round(((degrees(atan2(gy, gx)) + 180e0) % 180e0), 9) / 11.25e0), 15) AS INTEGER) AS bin, sum(sqrt(gx * gx + gy * gy)) AS s FROM g GROUP BY ALL), h AS (SELECT item_id, cell, bin, CASE WHEN sqrt(sum(s * s) OVER w) > 1e-8 THEN s / sqrt(sum(s * s) OVER w) ELSE s END AS value FROM b WHERE s > 0 WINDOW w AS (PARTITION BY item_id, cell)) "
@@ -53,7 +53,7 @@ LBP = f"WITH ras AS ({RAS}), c AS (SELECT p.item_id, p.y, p.x, CAST(CASE WHEN p.
 
 @query("T3", LBP + "SELECT item_id, y, x, code FROM c")
 def t3(spark, sf_dir):
-    return R.lbp_codes(ras(spark, sf_dir)).select("item_id", "y", "x", "code")
+    return R.lbp_codes(ras(spark, sf_dir))
 
 
 @query("T4", LBP + "SELECT item_id, cell, bin, round(value, 6) + 0.0 AS value FROM h")
@@ -69,9 +69,15 @@ def t5(spark, sf_dir):
     return rounded(R.gram(maps(spark, sf_dir)), "value")
 
 
-@query("T6")
+_place = {"edge": f"{EDGE} SELECT item_id, 'edge' AS feature, (cell * 16 + bin)::VARCHAR AS place, value FROM h", "lbp": f"{LBP} SELECT item_id, 'lbp' AS feature, (cell * 10 + bin)::VARCHAR AS place, value FROM h", "gram": f"{GRAM} SELECT item_id, 'gram' AS feature, '0:' || c1 || ':' || c2 AS place, value FROM h WHERE item_id % 5 <> 0"}
+
+
+@query("T6", "SELECT item_id, feature, place, round(value, 6) + 0.0 AS value FROM (" + " UNION ALL ".join(f"SELECT * FROM ({q})" for q in _place.values()) + ")")
 def t6(spark, sf_dir):
-    return R.style_features(ras(spark, sf_dir), maps(spark, sf_dir)).select("item_id", *(F.size(c).alias(c) for c in ("edge", "lbp", "gram")))
+    """The places of all three features; every fifth item has no feature maps, so that its gram is null."""
+    f = R.style_features(ras(spark, sf_dir), maps(spark, sf_dir).where("item_id % 5 <> 0"))
+    rows = [f.select("item_id", F.lit(c).alias("feature"), F.explode(c).alias("place", "value")).withColumn("place", F.col("place").cast("string")) for c in ("edge", "lbp", "gram")]
+    return rounded(rows[0].unionByName(rows[1]).unionByName(rows[2]), "value")
 
 
 COS = lambda on: f", d AS (SELECT b.item_id, sum(a.value * b.value) AS dot FROM h a JOIN h b USING ({on}) WHERE a.item_id = 1 GROUP BY b.item_id), l AS (SELECT item_id, sqrt(sum(value * value)) AS len FROM h GROUP BY item_id) SELECT l.item_id, round(coalesce(dot, 0) / (l.len * q.len), 6) + 0.0 AS score FROM l LEFT JOIN d USING (item_id), l q WHERE q.item_id = 1"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from prismar.functions.vectors import cosine_similarity
 from prismar.operators import groups, search
 from prismar.registry import query, table
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 D = "round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9)"
@@ -16,14 +15,14 @@ def items(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", "label")
 
 
-def hits(spark, sf_dir, k, qid=0):
+def hits(spark, sf_dir, k, qid=0, carry=()):
     e = items(spark, sf_dir)
-    return search.top_k(e, e.where(F.col("item_id") == qid), k)
+    return search.top_k(e, e.where(F.col("item_id") == qid), k, carry=carry)
 
 
 @query("K1", f"SELECT t.item_id, distance, rank, label FROM ({TOP(10)}) t JOIN embeddings ON vec_id = t.item_id")
 def k1(spark, sf_dir):
-    return hits(spark, sf_dir, 10).join(items(spark, sf_dir).select("item_id", "label"), "item_id")
+    return hits(spark, sf_dir, 10, carry=("label",))
 
 
 KNN = f"SELECT query_id, rank, item_id, distance FROM (SELECT q.vec_id AS query_id, e.vec_id AS item_id, {D} + 0.0 AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {D}, e.vec_id) AS rank FROM embeddings e, embeddings q) WHERE rank <= "
@@ -50,6 +49,14 @@ def scores(spark, sf_dir):
     return one("histogram", 1).unionByName(one("edge", 33).where(F.col("item_id") % 3 != 0))
 
 
+def halves(spark, sf_dir):
+    """Items and queries with a feature for each method, as in `scores`."""
+    e = items(spark, sf_dir)
+    both = (F.slice("embedding", 1, 32).alias("histogram"), F.slice("embedding", 33, 32).alias("edge"))
+    q = e.where(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), *both)
+    return e.select("item_id", both[0], F.when(F.col("item_id") % 3 != 0, both[1]).alias("edge")), q
+
+
 MINMAX = f"SELECT query_id, item_id, method, (score - min(score) OVER w) / CASE WHEN max(score) OVER w > min(score) OVER w THEN max(score) OVER w - min(score) OVER w ELSE 1 END AS score FROM ({SCORES}) WHERE score IS NOT NULL WINDOW w AS (PARTITION BY query_id, method)"
 FUSED = lambda src, a, b: f"SELECT query_id, item_id, round(sum(score * CASE method WHEN 'histogram' THEN {a} ELSE {b} END), 6) + 0.0 AS score FROM ({src}) WHERE score IS NOT NULL GROUP BY ALL"
 BEST = lambda src, k: f"SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ({src})) WHERE rank <= {k}"
@@ -58,12 +65,13 @@ _r = lambda df: df.withColumn("score", F.round("score", 6) + 0.0)
 
 @query("K9", BEST(FUSED(MINMAX, "0.4e0/0.7e0", "0.3e0/0.7e0"), 20))
 def k9(spark, sf_dir):
-    return search.best(_r(search.fuse(scores(spark, sf_dir), {"histogram": 0.4, "edge": 0.3, "lbp": 0.0})), 20, "query_id")
+    return search.fused_search(*halves(spark, sf_dir), {"histogram": 0.4, "edge": 0.3, "lbp": 0.0}, 20)
 
 
 @query("K10", BEST(f"SELECT * FROM ({FUSED(SCORES, '0.5e0', '0.5e0')}) WHERE item_id <> query_id", 50))
 def k10(spark, sf_dir):
-    fused = _r(search.fuse(scores(spark, sf_dir), {"histogram": 0.5, "edge": 0.5}, "raw"))
+    """One more than wanted is kept, for the query's own row, which goes before ranks are given."""
+    fused = search.fused_search(*halves(spark, sf_dir), {"histogram": 0.5, "edge": 0.5}, 51, "raw").drop("rank")
     return search.best(search.without_self(fused, "item_id", "query_id"), 50, "query_id")
 
 
@@ -105,9 +113,7 @@ def k16(spark, sf_dir):
     q = e.where(F.col("item_id") % 25 == 0).withColumnRenamed("item_id", "query_id")
     best = search.knn_join(e, q, 2).where("rank = 2").select((F.col("query_id") / 25).alias("scene"), "item_id")
     at = best.join(e, "item_id").select("scene", "item_id", *(F.element_at("embedding", k).cast("double").alias(n) for k, n in ((1, "x"), (2, "y"))))
-    w = Window.orderBy("scene")
-    leg = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
-    return at.select("scene", "item_id", (F.round(leg, 6) + 0.0).alias("step"))
+    return search.path_legs(at).select("scene", "item_id", (F.round("leg", 6) + 0.0).alias("step"))
 
 
 @query("K17", "SELECT page_id, url FROM pages WHERE url = (SELECT min(url) FROM pages)")
@@ -129,8 +135,7 @@ TWINS = REACH + " SELECT 'g' || (dense_rank() OVER (ORDER BY f) - 1) AS gid, CAS
 
 
 def twins(spark, sf_dir):
-    h = hits(spark, sf_dir, 60).withColumn("query_id", F.lit(0)).join(items(spark, sf_dir).select("item_id", "embedding"), "item_id")
-    return groups.twin_groups(h, 0.7)
+    return groups.twin_groups(hits(spark, sf_dir, 60, carry=("embedding",)).withColumn("query_id", F.lit(0)), 0.7)
 
 
 @query("C5", TWINS)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from prismar.functions.strings import extension
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,30 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return entries.select("label", F.explode(terms).alias("term"))
 
 
+class FeatureAbsent(LookupError):
+    """A data set has no table of the feature asked for, or the table has no such column."""
+
+
+def scan_features(spark: SparkSession, path: str, *features: str) -> DataFrame:
+    """item_id and the named features of a written table; only their columns are read."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        raise FeatureAbsent(f"no feature table at {path}") from e
+    missing = [f for f in features if f not in found.columns]
+    if missing:
+        raise FeatureAbsent(f"{path} has no {', '.join(missing)}")
+    return found.select("item_id", *features)
+
+
+def scan_embeddings(spark: SparkSession, path: str, dataset: str, modality: str) -> DataFrame:
+    """item_id, path and embedding of one data set and modality; other partitions aren't listed for reading."""
+    found = spark.read.parquet(path).where((F.col("dataset") == dataset) & (F.col("modality") == modality))
+    return found.drop("dataset", "modality")
+
+
 def catalogue(names: DataFrame) -> DataFrame:
     """name, modality, dims, label: data sets that have both a latent table and an index among file names (column file_name)."""
     latent, index = r"^latent_space_(.+)_(image|audio)_([23])d", r"^index_(.+)_(image|audio)\."

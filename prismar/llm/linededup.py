@@ -1,15 +1,17 @@
-"""Line dedup (operator 7): a document loses the blocks of lines that an earlier one has.
+"""Line dedup (operator 7): a document loses the blocks of lines that it shares with an earlier one.
 
-Blocks are found by their shortest runs of lines that reach the least number of words. Any block of that many words is covered by such
-runs (take the shortest from its start, to its end, and around each line), and each run in it has a first owner, so that owners of
-runs give exactly the lines that aligning a document with every earlier one would give, with a row for each run instead of each pair.
-`aligned_blocks`, the patience diff of one pair, is what tests hold this against.
+Overlapping documents are found through hashes of shared runs of lines, the shortest that reach the least number of words: a run is as rare as
+the rarest of its lines, so that common lines alone make no pairs. Each run's first document owns it, and a document is aligned with the
+owners of its runs. Any common block of two documents is covered by such runs (take the shortest from its start, to its end, and around
+each line), and each of these has an owner no later than the earlier document; so the pairs, which are no more than there are runs, give
+all the lines that aligning a document with every earlier one would give. Each pair is aligned by patience diff over the shared runs.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 
 from prismar.llm.common import NO_ID, WordHashes, materialize, mix64, slices
 
+BLOCKS = "array<struct<owner:bigint,first:int,theirs:int,lines:int>>"
+
 
 def longest_rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs that rises in both places (patience sorting)."""
@@ -36,34 +40,30 @@ def longest_rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def aligned_blocks(mine: dict[int, int], theirs: dict[int, int]) -> list[list[tuple[int, int]]]:
-    """Common blocks of two documents, given the places of their common lines (place -> line): lists of place pairs.
+def aligned_blocks(pairs: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Common blocks (place in the later document, place in the earlier, lines) of two documents, given the places of their equal lines.
 
-    Patience diff: lines that both have once are put in the longest common order, and each grows over equal neighbours. What is left
-    (moved passages, repeated lines) is aligned again until nothing is added; lines repeated in both are then paired in order.
+    Patience diff: lines that both have once are put in the longest common order, and each grows over equal neighbours. What is left (moved
+    passages, and lines that one of them repeats) is taken in the later document's order and grows in the same way, each of its lines
+    once, the earlier document's as often as needed; so the time is in proportion to the pairs, but for the sorting.
     """
-    free, other, blocks = dict(mine), dict(theirs), []
-    while free and other:
-        places: tuple[dict, dict] = ({}, {})
-        for side, lines in zip(places, (free, other)):
-            for p, line in lines.items():
-                side.setdefault(line, []).append(p)
-        once = sorted((p[0], places[1][line][0]) for line, p in places[0].items() if len(p) == 1 and len(places[1].get(line, ())) == 1)
-        anchors = longest_rise(once) or sorted((p[0], places[1][line][0]) for line, p in places[0].items() if line in places[1])[:1]
-        if not anchors:
-            break
-        for b, a in anchors:
-            if b not in free or a not in other:
-                continue
-            start, end = 0, 1
-            while free.get(b + end, 0) == other.get(a + end, 1) and b + end in free:
-                end += 1
-            while free.get(b + start - 1, 0) == other.get(a + start - 1, 1) and b + start - 1 in free:
-                start -= 1
-            block = [(b + k, a + k) for k in range(start, end)]
-            for x, y in block:
-                free.pop(x), other.pop(y)
-            blocks.append(block)
+    theirs: dict[int, list[int]] = {}
+    uses: dict[int, int] = {}
+    for b, a in sorted(pairs):
+        theirs.setdefault(b, []).append(a)
+        uses[a] = uses.get(a, 0) + 1
+    free, blocks = set(theirs), []
+    anchors = longest_rise([(b, own[0]) for b, own in theirs.items() if len(own) == 1 and uses[own[0]] == 1])
+    for b, a in [*anchors, *((b, own[0]) for b, own in theirs.items())]:
+        if b not in free:
+            continue
+        start, end = 0, 1
+        while b + end in free and (b + end, a + end) in pairs:
+            end += 1
+        while b + start - 1 in free and (b + start - 1, a + start - 1) in pairs:
+            start -= 1
+        free.difference_update(range(b + start, b + end))
+        blocks.append((b + start, a + start, end - start))
     return blocks
 
 
@@ -96,7 +96,8 @@ def run_hashes(lines: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
 
 
 def line_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """run (hash), id and h (row key), first and last place: the shortest runs of at least `min_words` words of each document."""
+    """run (hash), id and h (row key), at (the number of its first line, of those that aren't blank), places of its lines: the shortest runs
+    of at least `min_words` words of each document."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, "text"):
@@ -106,11 +107,15 @@ def line_runs(docs: DataFrame, min_words: int) -> DataFrame:
             first, last = shortest_runs(np.array(words, np.int64), doc, min_words)
             run = run_hashes(np.fromiter(map(hashes.__getitem__, lines), np.uint64, len(lines)), first, last)
             hashes.trim(50_000)
-            owner = pa.array(doc[first])
-            yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), batch.column("id").take(owner), batch.column("h").take(owner), pa.array(place[first]), pa.array(place[last])], ["run", "id", "h", "first", "last"])
+            owner, begin = doc[first], np.searchsorted(doc, doc)
+            sizes = last - first + 1
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            inside = place[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
+            places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(inside))
+            yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), *(batch.column(c).take(pa.array(owner)) for c in ("id", "h")), pa.array((first - begin[first]).astype(np.int32)), places], ["run", "id", "h", "at", "places"])
 
     rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(emit, "run long, id long, h long, first int, last int")
+    return rows.mapInArrow(emit, "run long, id long, h long, at int, places array<int>")
 
 
 def text_lines(text: bytes) -> Iterator[tuple[int, bytes, int]]:
@@ -120,41 +125,84 @@ def text_lines(text: bytes) -> Iterator[tuple[int, bytes, int]]:
             yield place, line, len(line.split())
 
 
-def doomed_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """k (row key) and the places of its lines that go.
+def shared_blocks(docs: DataFrame, min_words: int) -> DataFrame:
+    """id, h (row key), gone (the ranges of its lines that go), blocks (owner, first line, the owner's first line, lines) of each later document.
 
-    A run's owner is the first document that has it; the run goes from all others, however often they have it. A line's
-    first document keeps it, since no earlier one has a run with it, so no line vanishes from the corpus.
+    A run goes from every document but its owner, however often they have it. A line's first document keeps it, since no earlier one
+    has a run with it, so no line vanishes from the corpus.
     """
-    runs = materialize(line_runs(docs, min_words), "runs").select("run", F.struct("id", "h").alias("k"), "first", "last")
-    owners = runs.groupBy("run").agg(F.min("k").alias("owner"), F.max("k").alias("latest"))
-    owners = owners.where(F.col("owner") != F.col("latest")).drop("latest")  # shared runs
-    gone = runs.join(owners, "run").where(F.col("owner") < F.col("k"))
-    return gone.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).alias("gone"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = materialize(line_runs(docs, min_words), "runs")
+    key = F.struct("id", "h")
+    owners = runs.groupBy("run").agg(F.min(F.struct("id", "h", "at", F.element_at("places", 1).alias("place"))).alias("o"), F.max(key).alias("latest"))
+    owners = owners.where(F.struct("o.id", "o.h") != F.col("latest")).select("run", F.col("o.id").alias("owner"), F.col("o.h").alias("owner_h"), F.col("o.at").alias("theirs"), F.col("o.place").alias("place"))
+    met = runs.join(owners, "run").where(F.struct("owner", "owner_h") < key).drop("run").distinct()
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for k in range(0, b.num_rows, 1024) for r in b.slice(k, 1024).to_pylist())
+        out: list[tuple] = []
+        for (id_, h), own in groupby(rows, key=lambda r: (r["id"], r["h"])):
+            ranges, blocks = [], []
+            for (owner, _), found in groupby(own, key=lambda r: (r["owner"], r["owner_h"])):
+                found = list(found)
+                mine = {r["at"] + k: p for r in found for k, p in enumerate(r["places"])}
+                first = {r["at"]: r["place"] for r in found}
+                made = aligned_blocks({(r["at"] + k, r["theirs"] + k) for r in found for k in range(len(r["places"]))})
+                taken = {b + k for b, _, n in made for k in range(n)}
+                ranges += [(r["places"][0], r["places"][-1]) for r in found if all(r["at"] + k in taken for k in range(len(r["places"])))]
+                blocks += [{"owner": None if owner == NO_ID else owner, "first": mine[b], "theirs": first.get(b), "lines": n} for b, _, n in sorted(made)]
+            out.append((id_, h, joined(ranges), blocks))
+            if len(out) >= 1000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    kind = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("gone", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("blocks", pa.list_(pa.struct([("owner", pa.int64()), ("first", pa.int32()), ("theirs", pa.int32()), ("lines", pa.int32())])))])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, kind)], schema=kind)
+
+    dealt = met.repartition(parts, "id", "h").sortWithinPartitions("id", "h", "owner", "owner_h", "at")
+    return dealt.mapInArrow(align, f"id long, h long, gone array<struct<first:int,last:int>>, blocks {BLOCKS}")
+
+
+def joined(ranges: list[tuple[int, int]]) -> list[dict]:
+    """Ranges of lines, those that touch or overlap made one."""
+    out: list[dict] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1]["last"] + 1:
+            out[-1]["last"] = max(out[-1]["last"], b)
+        else:
+            out.append({"first": a, "last": b})
+    return out
 
 
 def _rewritten(docs: DataFrame, min_words: int) -> DataFrame:
-    """`docs` with the new text, __lines and __removed."""
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"))
-    gone = materialize(doomed_lines(docs.select("doc_id", "text"), min_words), "gone-lines").toDF("__k", "__gone")
-    both = docs.withColumn("__k", key).join(gone, "__k", "left")
-    parts = F.split("text", "\n", -1)
-    left = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n"))
+    """`docs` with the new text, __lines, __removed and __blocks."""
+    found = materialize(shared_blocks(docs.select("doc_id", "text"), min_words), "shared-blocks").toDF("__id", "__h", "__gone", "__blocks")
+    both = docs.join(found, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == found["__id"]) & (F.xxhash64(docs["text"]) == found["__h"]), "left")
+    parts, gone = F.split("text", "\n", -1), F.col("__gone")
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g["last"] + 1))
+    ends = F.concat(F.transform(gone, lambda g: g["first"]), F.array(F.size(parts)))
+    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(parts, a + 1, b - a)))
+    removed = F.aggregate(gone, F.lit(0), lambda n, g: n + g["last"] - g["first"] + 1)
     both = both.withColumn("__lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"))
-    both = both.withColumn("__removed", F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"))
-    return both.withColumn("text", left).drop("__k", "__gone")
+    both = both.withColumn("__removed", F.coalesce(removed, F.lit(0)).cast("long"))
+    return both.withColumn("text", F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("__id", "__h", "__gone")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """`docs` with the common blocks of at least `min_words` words taken out of the later document of each pair, and
-    n_lines, n_removed (lines; columns of these names are replaced).
+    n_lines, n_removed (lines), blocks (the aligned blocks: the earlier document, the first line here and there, null where it is inside
+    a run, and the number of lines that aren't blank); columns of these names are replaced.
 
     Lines are compared without the white space at their ends. Blank lines don't count, but go where they lie inside a block.
     Order is that of doc_id (null first), then of a text hash. Null texts stay null; repeated rows (same id and text) are one
     document and get the same result; an empty table stays empty.
     """
     out = _rewritten(docs, min_words)
-    return out.withColumn("n_lines", F.col("__lines")).withColumn("n_removed", F.col("__removed")).drop("__lines", "__removed")
+    blocks = F.coalesce("__blocks", F.array().cast(BLOCKS))
+    return out.withColumn("n_lines", F.col("__lines")).withColumn("n_removed", F.col("__removed")).withColumn("blocks", blocks).drop("__lines", "__removed", "__blocks")
 
 
 def dedup_documents(docs: DataFrame, min_words: int = 10) -> DataFrame:

@@ -260,6 +260,7 @@ def test_line_dedup(spark, docs, none):
     got = {r["doc_id"]: r for r in rows(linededup.dedup_lines(spark.createDataFrame(more, "doc_id long, text string")))}
     assert got[100]["text"] == more[0][1] and got[101]["text"] == "intro b\nend b" and got[101]["n_removed"] == 6
     assert got[102]["n_removed"] == got[103]["n_removed"] == 0
+    assert [(b["owner"], b["first"], b["theirs"], b["lines"]) for b in got[101]["blocks"]] == [(100, 1, 1, 6)] and got[100]["blocks"] == []
     kept = rows(linededup.dedup_documents(docs))
     assert {r["doc_id"] for r in kept if r["text"] and LONG in r["text"]} == {None, 2}
     assert set(kept[0]) == set(docs.columns) and any(r["doc_id"] == 3 and r["text"] is None for r in kept)
@@ -366,8 +367,12 @@ def test_patience_blocks():
     from prismar.llm.linededup import aligned_blocks, longest_rise
 
     assert longest_rise([(0, 3), (1, 1), (2, 2), (3, 0), (4, 5)]) == [(1, 1), (2, 2), (4, 5)]
-    moved = aligned_blocks({0: 1, 1: 2, 5: 7, 6: 8}, {10: 7, 11: 8, 20: 1, 21: 2})
-    assert sorted(sorted(b) for b in moved) == [[(0, 20), (1, 21)], [(5, 10), (6, 11)]]
+    moved = aligned_blocks({(0, 20), (1, 21), (5, 10), (6, 11)})
+    assert sorted(moved) == [(0, 20, 2), (5, 10, 2)]
+    twice = aligned_blocks({(0, 3), (1, 4), (7, 3), (8, 4)})
+    assert sorted(twice) == [(0, 3, 2), (7, 3, 2)]
+    n = 20_000  # repeated lines, in time
+    assert sum(k for *_, k in aligned_blocks({(b, b % 7) for b in range(n)})) == n
 
 
 def test_maximal_segments():

@@ -227,9 +227,9 @@ def test_topk(spark):
     data = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(400, None), (500, [1.0, None] + [0.0] * 4), (600, [math.nan] * 6), (700, [1.0, 2.0]), (800, []), (301, [0.5] * 6), (302, [0.5] * 6), (200, [0.5] * 6)]
     v = topk.quantised(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
     good = [(i, [math.floor(1024 * x) for x in e]) for i, e in data if e and all(x is not None and math.isfinite(x) for x in e)]
-    for block in (16_384, 2):
+    for block, tile, shard in ((16_384, 1024, 16_384), (2, 1, 200)):
         got = collections.defaultdict(list)
-        for r in rows(topk.top_k(v, v.where("vec_id % 100 = 0 and vec_id <> 200"), 10, block=block)):
+        for r in rows(topk.top_k(v, v.where("vec_id % 100 = 0 and vec_id <> 200"), 10, block=block, tile=tile, shard=shard)):
             got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
         for q, e in good:
             if q % 100 == 0 and q != 200:
@@ -237,6 +237,19 @@ def test_topk(spark):
                 assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
+def test_topk_of_nothing_and_of_huge_numbers(spark):
+    from prismar.llm import topk
+
+    bad = spark.createDataFrame([(None, [1.0, 2.0]), (1, None), (2, [math.inf, 0.0])], "vec_id long, embedding array<double>")
+    v = topk.quantised(bad)
+    assert rows(topk.top_k(v, v.where("vec_id % 100 = 0"))) == [] and rows(v) == []
+    big = spark.createDataFrame([(k, [2**30 + k, 2**30 - 7 * k]) for k in range(300)], "vec_id long, v array<bigint>")
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in rows(topk.top_k(big, big.where("vec_id = 100"), 3))]
+    score = lambda a, b: (2**30 + a) * (2**30 + b) + (2**30 - 7 * a) * (2**30 - 7 * b)
+    best = sorted(((-score(100, k), k) for k in range(300) if k != 100))[:3]
+    assert sorted(got, key=lambda r: -r[2]) == [(100, k, -s) for s, k in best]
+
+
 def test_katz_counts(docs, none):
     from prismar.llm import katz
 

@@ -77,7 +77,7 @@ def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def by_key(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[dict]]]:
-    rows = (r for b in batches for r in b.to_pylist())
+    rows = (r for b in batches for k in range(0, b.num_rows, 64) for r in b.slice(k, 64).to_pylist())
     for key, group in groupby(rows, key=lambda r: tuple(r[n] for n in names)):
         yield key, list(group)
 
@@ -360,22 +360,20 @@ def verify(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
     return dealt.mapInArrow(check, "a long, b long")
 
 
-def class_links(sets: DataFrame, block: int, leaders: int) -> DataFrame:
+def class_links(sets: DataFrame, block: int, leaders: int, room: int = 1 << 20) -> DataFrame:
     """Links (a, b) that span the components of all classes of the written table `sets`.
 
-    A candidate group of at most `block` classes is compared in one task. A larger one is cut into blocks, each compared together with a
-    few leaders of the group; classes that are then outside the group's largest component are compared with all its blocks.
+    A candidate group of at most `block` classes and `room` shingles is compared in one task. A larger one is cut into blocks, each compared
+    together with a few leaders of the group; classes that are then outside the group's largest component are compared with all its blocks.
     """
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = group_bits(sets.agg(F.sum("n")).first()[0] or 0)
     levels = spark.sparkContext.broadcast(shingle_levels(sets, parts, bits))
     groups = materialize(connected_components(candidate_edges(sets, levels, parts, bits), "candidates"), "candidate-groups")
-    everyone = groups.select(F.col("node").alias("cid"), "comp").unionByName(groups.select(F.col("comp").alias("cid"), "comp").distinct())
-    size = everyone.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
-    members = materialize(everyone.join(size, "comp").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")), "members")
-    n, most = members.agg(F.count(F.lit(1)), F.coalesce(F.max("blocks"), F.lit(0))).first()
-    places = int(min(1 << 27, max(1 << 16, 1 << int(16 * n + 1).bit_length())))
+    members = groups.select(F.col("node").alias("cid"), "comp").unionByName(groups.select(F.col("comp").alias("cid"), "comp").distinct())
+    members = materialize(members, "members")
+    places = int(min(1 << 27, max(1 << 16, 1 << int(16 * members.count() + 1).bit_length())))
     marks = spark.sparkContext.broadcast(class_bitmap(members.select(F.col("cid").alias("node")), places))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,23 +386,28 @@ def class_links(sets: DataFrame, block: int, leaders: int) -> DataFrame:
             new = [k for k in np.flatnonzero(hit).tolist() if not (cid[k] in seen or seen.add(cid[k]))]  # copies are sent once
             yield batch.take(pa.array(new, pa.int64()))
 
-    picked = sets.where("n > 0").select("cid", "shingles").mapInArrow(pick, "cid long, shingles binary").join(members, "cid")
+    picked = sets.where("n > 0").select("cid", "n", "shingles").mapInArrow(pick, "cid long, n long, shingles binary").join(members, "cid")
     picked = materialize(picked, "member-sets")  # a class may come from several tasks
+    size = picked.select("comp", "cid", "n").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / room)).cast("int").alias("blocks"))
+    size = materialize(size, "group-sizes")
+    sized = picked.drop("n").join(size, "comp")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    large = picked.where("blocks > 1")
-    first = picked.withColumn("b", own)
-    if most > 1:
+    large = sized.where("blocks > 1")
+    first = sized.withColumn("b", own)
+    split = not size.where("blocks > 1").isEmpty()
+    if split:
         lead = large.withColumn("h", F.xxhash64("cid", "comp")).where(F.pmod("h", F.greatest(F.lit(1), F.floor(F.col("m") / leaders))) == 0)
         first = first.unionByName(lead.drop("h").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     links = materialize(verify(first, parts, "comp", "b"), "links")
-    if most > 1:
+    if split:
         labels = materialize(connected_components(links, "labels"), "block-labels")
-        named = members.where("blocks > 1").join(labels.withColumnRenamed("comp", "label"), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
+        named = members.join(size.where("blocks > 1"), "comp").join(labels.withColumnRenamed("comp", "label"), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
         main = named.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-        rest = materialize(named.join(main, "comp").where(F.col("label") != F.col("main")).select("cid", "comp"), "outside")
-        left = rest.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rests"))
+        rest = materialize(named.join(main, "comp").where(F.col("label") != F.col("main")).select("cid", "comp", "m", "blocks"), "outside")
+        # as many rest parts as blocks would be for them
+        left = rest.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) * F.first("blocks") / F.first("m")).cast("int").alias("rests"))
         theirs = large.join(left, "comp").withColumn("b", own).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
-        mine = large.join(rest, ["cid", "comp"]).join(left, "comp").withColumn("r", F.pmod(F.xxhash64("cid"), F.col("rests")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        mine = large.join(rest.select("cid", "comp"), ["cid", "comp"]).join(left, "comp").withColumn("r", F.pmod(F.xxhash64("cid"), F.col("rests")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         links = links.unionByName(verify(theirs.unionByName(mine), parts, "comp", "r", "b"))
     return links
 

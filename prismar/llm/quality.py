@@ -1,14 +1,21 @@
-"""Quality (operator 8): random-indexing word vectors, pooled, and a two-layer network with calibrated temperature."""
+"""Quality (operator 8): random-indexing word vectors, pooled, and a two-layer network with calibrated temperature.
+
+The WORDS most frequent words of all documents have a vector of their own each; any other word has that of one of RARE classes, by its hash. Word
+shapes (1,024 classes by hash) have vectors too. A unit's vector is the sum, over all documents, of its neighbours' sparse index vectors.
+"""
 
 from __future__ import annotations
 
 import pickle
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,92 +23,150 @@ from prismar.llm.common import slices
 from prismar.llm.labelled import scored, training_rows
 
 FOLDS, HELD = 3, 1
-HALF, DIMS = 1024, 64
-UNITS = 2 * HALF
+WORDS, RARE, SHAPES, DIMS, ONES = 1 << 14, 1024, 1024, 64, 8
+BLOCKS = 64
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
 
 
+def word_key(token: bytes) -> int:
+    """A hash of the token's word, without case and the punctuation around it."""
+    return xxhash.xxh3_64_intdigest(token.lower().strip(b".,;:!?\"'()|*%#$&")) & (2**63 - 1)
+
+
 class Units(dict):
-    """token (bytes) -> word bucket * HALF + shape bucket. The shape writes A, a and 0 for letters and digits, runs as one."""
+    """token (bytes) -> word unit * SHAPES + shape unit. The shape writes A, a and 0 for letters and digits, runs as one."""
+
+    def __init__(self, listed: np.ndarray):
+        super().__init__()
+        self.own = {h: k for k, h in enumerate(listed.tolist())}
 
     def __missing__(self, token: bytes) -> int:
-        shape = _RUNS.sub(rb"\1+", token.translate(_SHAPE))
-        value = self[token] = (xxhash.xxh3_64_intdigest(token.lower().strip(b".,;:!?\"'()|*%#$&")) % HALF) * HALF + xxhash.xxh3_64_intdigest(shape) % HALF
+        key, shape = word_key(token), xxhash.xxh3_64_intdigest(_RUNS.sub(rb"\1+", token.translate(_SHAPE))) % SHAPES
+        word = self.own.get(key)
+        value = self[token] = (len(self.own) + key % RARE if word is None else word) * SHAPES + shape
         return value
 
-    def trim(self, limit: int = 400_000) -> None:
+    def trim(self, limit: int = 300_000) -> None:
         if len(self) > limit:
             self.clear()
 
+    def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """Word and shape units of a text."""
+        tokens = text.split() if text else []
+        both = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return both // SHAPES, both % SHAPES
+
 
-def index_vectors() -> np.ndarray:
-    """Each unit's sparse ternary index vector, the same everywhere: 8 of DIMS places are +1 or -1."""
-    out = np.zeros((UNITS, DIMS), np.float32)
-    for u in range(UNITS):
-        for k in range(8):
-            h = xxhash.xxh3_64_intdigest(f"{u}:{k}".encode())
-            out[u, h % DIMS] = 1 if h >> 40 & 1 else -1
-    return out
+def frequent_words(docs: DataFrame, most: int = WORDS) -> np.ndarray:
+    """The keys of the most frequent words of all documents; counts are added up in each task first."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            total: Counter = Counter()
+            for token, n in seen.items():
+                total[word_key(token)] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["w", "n"])
+
+        for batch in slices(batches, "text"):
+            for t in batch.column("text"):
+                if t.is_valid:
+                    seen.update(t.as_py().split())
+            if len(seen) > 200_000:
+                yield out()
+        yield out()
 
+    counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r.w for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()), np.int64)
 
-def parts(units: Units, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    tokens = text.split() if text else []
-    both = np.fromiter(map(units.__getitem__, tokens), np.int64, len(tokens))
-    return both // HALF, HALF + both % HALF
 
+def index_vectors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs (n x ONES) of each unit's sparse ternary index vector; they depend on its number alone."""
+    h = np.arange(n * ONES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(times)
+    h ^= h >> np.uint64(31)
+    return (h % np.uint64(DIMS)).astype(np.int64).reshape(n, ONES), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0).reshape(n, ONES)
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Context vectors of all units over all documents: the sum of the index vectors of each unit's neighbours, at unit length.
 
-    A task sends its UNITS x DIMS sums once, in blocks that are added up apart; their size doesn't depend on the input.
+def dense_index(n: int) -> np.ndarray:
+    place, sign = index_vectors(n)
+    return np.bincount((np.arange(n)[:, None] * DIMS + place).ravel(), weights=sign.ravel(), minlength=n * DIMS).reshape(n, DIMS).astype(np.float32)
+
+
+def context_sums(before: np.ndarray, after: np.ndarray, n: int, place: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """n x DIMS: each unit's sum of its neighbours' index vectors, over pairs of units that stand side by side."""
+    unit, other = np.concatenate([before, after]), np.concatenate([after, before])
+    out = np.zeros(n * DIMS)
+    for k in range(ONES):
+        out += np.bincount(unit * DIMS + place[other, k], weights=sign[other, k], minlength=n * DIMS)
+    return out.reshape(n, DIMS)
+
+
+def unit_vectors(docs: DataFrame, listed: np.ndarray) -> np.ndarray:
+    """Context vectors of the word units and then of the shape units, over all documents, at unit length.
+
+    A task sends its sums once, compressed, in BLOCKS blocks; they are added up by block and part of the tasks, one at a time, and these sums by block.
     """
-    blocks = 16
+    words = len(listed) + RARE
+    n = words + SHAPES
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, pairs = Units(), np.zeros(2 * HALF * HALF, np.float32)
+        units, sums = Units(listed), np.zeros((n, DIMS))
+        index = index_vectors(words), index_vectors(SHAPES)
         for batch in slices(batches, "text"):
-            keys = []
+            pairs: list[list] = [[], [], [], []]
             for t in batch.column("text"):
-                words, shapes = parts(units, t.as_py())
-                if len(words) > 1:
-                    keys += [words[:-1] * HALF + words[1:], HALF * HALF + (shapes[:-1] - HALF) * HALF + shapes[1:] - HALF]
+                for k, own in enumerate(units.of(t.as_py())):
+                    pairs[2 * k].append(own[:-1])
+                    pairs[2 * k + 1].append(own[1:])
             units.trim()
-            if keys:
-                pairs += np.bincount(np.concatenate(keys), minlength=len(pairs)).astype(np.float32)
-        index = index_vectors()
-        sums = np.zeros((UNITS, DIMS))
-        for k in (0, 1):
-            c = pairs[k * HALF * HALF : (k + 1) * HALF * HALF].reshape(HALF, HALF)
-            sums[k * HALF : (k + 1) * HALF] = (c + c.T).astype(np.float64) @ index[k * HALF : (k + 1) * HALF]
-        yield pa.RecordBatch.from_pydict({"block": list(range(blocks)), "sums": [s.tobytes() for s in np.split(sums, blocks)]}, pa.schema([("block", pa.int32()), ("sums", pa.binary())]))
-
-    def add(key, table):
-        total = np.zeros(UNITS * DIMS // blocks)
-        for own in table.column("sums"):
-            total += np.frombuffer(own.as_py(), np.float64)
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
-
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(learn, "block int, sums binary")
-    found = rows.groupBy("block").applyInArrow(add, "block int, sums binary").collect()  # UNITS x DIMS numbers
-    out = np.zeros((UNITS, DIMS))
-    for r in found:
-        out[r.block * UNITS // blocks : (r.block + 1) * UNITS // blocks] = np.frombuffer(r.sums, np.float64).reshape(-1, DIMS)
+            a, b, c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in pairs)
+            sums[:words] += context_sums(a, b, words, *index[0])
+            sums[words:] += context_sums(c, d, SHAPES, *index[1])
+        salt = TaskContext.get().partitionId() % 64
+        for k, part in enumerate(np.array_split(sums, BLOCKS)):
+            yield pa.RecordBatch.from_pydict({"block": [k], "salt": [salt], "sums": [zlib.compress(part.astype("<i4").tobytes(), 1)]}, kind)
+
+    kind = pa.schema([("block", pa.int32()), ("salt", pa.int32()), ("sums", pa.binary())])
+
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for batch in parts:
+            for own in batch.column("sums"):
+                raw = zlib.decompress(own.as_py())
+                total = total + np.frombuffer(raw, "<i4" if len(raw) == 4 * sizes[key[0].as_py()] else "<i8").astype("<i8")
+        yield pa.RecordBatch.from_pydict({"block": [key[0].as_py()], "salt": [0], "sums": [zlib.compress(total.tobytes(), 1)]}, kind)
+
+    sizes = [x.size for x in np.array_split(np.zeros((n, DIMS), bool), BLOCKS)]
+    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(learn, "block int, salt int, sums binary")
+    for by in (("block", "salt"), ("block",)):
+        rows = rows.groupBy(*by).applyInArrow(add, "block int, salt int, sums binary")
+    found = sorted((r.block, bytes(r.sums)) for r in rows.collect())  # n x DIMS numbers
+    out = np.concatenate([np.frombuffer(zlib.decompress(s), "<i8") for _, s in found]).reshape(n, DIMS).astype(float) if found else np.zeros((n, DIMS))
     return (out / (np.sqrt((out * out).sum(axis=1, keepdims=True)) + 1e-9)).astype(np.float32)
 
 
-def pooled(texts: list[bytes | None], units: Units, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Mean word vector, mean shape vector, mean shape index vector, and five numbers on length and repetition."""
-    counts = np.zeros((len(texts), UNITS), np.float32)
-    extra = np.zeros((len(texts), 5), np.float32)
-    for i, t in enumerate(texts):
-        words, shapes = parts(units, t)
-        n = len(words)
-        if n:
-            counts[i] = np.bincount(np.concatenate([words, shapes]), minlength=UNITS) / n
-            lines = [x for x in t.split(b"\n") if x]
-            extra[i] = (np.log1p(n), len(set(words.tolist())) / n, len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)), len(t) / n / 10)
-    return np.concatenate([counts[:, :HALF] @ vectors[:HALF], counts[:, HALF:] @ vectors[HALF:], counts[:, HALF:] @ index[HALF:], extra], axis=1)
+class Pooler:
+    """A text's features: mean word vector, mean shape vector, mean shape index vector, and five numbers on length and repetition."""
+
+    def __init__(self, listed: np.ndarray, vectors: np.ndarray):
+        self.units, self.words, self.shapes, self.index = Units(listed), vectors[:-SHAPES], vectors[-SHAPES:], dense_index(SHAPES)
+
+    def features(self, texts: list[bytes | None]) -> np.ndarray:
+        out = np.zeros((len(texts), 3 * DIMS + 5), np.float32)
+        for i, t in enumerate(texts):
+            words, shapes = self.units.of(t)
+            if n := len(words):
+                count = np.bincount(shapes, minlength=SHAPES).astype(np.float32) / n
+                lines = [x for x in t.split(b"\n") if x]
+                mean = sum(self.words[words[a : a + 8192]].sum(axis=0, dtype=np.float64) for a in range(0, n, 8192)) / n
+                extra = (np.log1p(n), len(np.unique(words)) / n, len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)), len(t) / n / 10)
+                out[i] = np.concatenate([mean, count @ self.shapes, count @ self.index, extra])
+        self.units.trim()
+        return out
 
 
 def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 7) -> dict:
@@ -138,15 +203,16 @@ def logits(model: dict, x: np.ndarray, scaled: bool = False) -> np.ndarray:
     return (np.tanh(x @ model["w1"] + model["b1"]) @ model["w2"] + model["b2"]) / model["temperature"]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000) -> tuple[np.ndarray, dict | None]:
-    """Vectors from all documents; the network from at most `max_labelled` labelled ones, in one task of bounded size."""
-    vectors = word_vectors(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000) -> tuple[np.ndarray, np.ndarray, dict | None]:
+    """Words and vectors from all documents; the network from at most `max_labelled` labelled ones, in one task of bounded size."""
+    listed = frequent_words(docs)
+    vectors = unit_vectors(docs, listed)
+    shared = docs.sparkSession.sparkContext.broadcast((listed, vectors))
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, index = Units(), index_vectors()
+        pooler = Pooler(*shared.value)
         for batch in slices(batches, "text"):
-            x = pooled([t.as_py() for t in batch.column("text")], units, shared.value, index).astype(np.float32)
+            x = pooler.features([t.as_py() for t in batch.column("text")])
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("y"), batch.column("doc_id")], ["x", "y", "doc_id"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000) -> tuple
 
     train = training_rows(docs, labels, "quality", FOLDS, HELD, max_labelled).mapInArrow(pool, "x binary, y int, doc_id long")
     found = train.repartition(1).mapInArrow(learn, "model binary").collect()
-    return vectors, pickle.loads(bytes(found[0].model)) if found else None
+    return listed, vectors, pickle.loads(bytes(found[0].model)) if found else None
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -166,11 +232,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, model = shared.value
-        units, index = Units(), index_vectors()
+        listed, vectors, model = shared.value
+        pooler = Pooler(listed, vectors)
         for batch in slices(batches, "text"):
-            x = pooled([t.as_py() for t in batch.column("text")], units, vectors, index)
-            units.trim()
+            x = pooler.features([t.as_py() for t in batch.column("text")])
             p = 1 / (1 + np.exp(-np.clip(logits(model, x).astype(float), -30, 30))) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 

@@ -396,6 +396,62 @@ def test_maximal_segments():
     assert maximal_segments(np.array([-1.0, -2.0])) == []
 
 
+def segments_by_definition(scores, start=0):
+    """The segment of largest sum, and those left and right of it, for as long as they are positive."""
+    best = max(((sum(scores[a:b]), -a, -b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    a, b = -best[1], -best[2]
+    return [*segments_by_definition(scores[:a], start), (start + a, start + b), *segments_by_definition(scores[b:], start + b)]
+
+
+def test_segments_are_all_maximal_ones():
+    from prismar.llm.toxicity import maximal_segments
+
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        s = rng.normal(-0.2, 1, int(rng.integers(0, 25)))
+        assert [(a, b) for a, b, _ in maximal_segments(s)] == segments_by_definition(s.tolist())
+
+
+def test_quality_features_are_means_of_context_vectors(spark):
+    from prismar.llm import quality as Q
+
+    texts = [(1, "one Two three two"), (2, "two, one!  four"), (3, None), (4, ""), (5, "x"), (6, "one one " * 5000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    listed = Q.frequent_words(df, 3)
+    counts = collections.Counter(Q.word_key(w) for _, t in texts for w in (t or "").encode().split())
+    assert set(listed.tolist()) == {h for h, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:3]}
+    vectors, units = Q.unit_vectors(df, listed), Q.Units(listed)
+    want = np.zeros((len(listed) + Q.RARE, Q.DIMS))
+    index = Q.dense_index(len(want))
+    for _, t in texts:
+        w = units.of(t.encode() if t else None)[0].tolist()
+        for a, b in zip(w, w[1:]):
+            want[a] += index[b]
+            want[b] += index[a]
+    want /= np.sqrt((want**2).sum(axis=1, keepdims=True)) + 1e-9
+    assert np.allclose(vectors[: len(want)], want, atol=1e-6)
+    x = Q.Pooler(listed, vectors).features([t.encode() if t is not None else None for _, t in texts])
+    for (_, t), row in zip(texts, x):
+        w = units.of(t.encode() if t else None)[0]
+        assert np.allclose(row[: Q.DIMS], want[w].mean(axis=0) if len(w) else 0, atol=1e-5)
+
+
+def test_classifiers_take_odd_rows(spark):
+    from prismar.llm import quality, toxicity
+    from pyspark.sql import functions as F
+
+    docs, labels = labelled(spark, 60)
+    odd = docs.unionByName(docs.where("doc_id < 3")).unionByName(spark.createDataFrame([(None, "w1 vile"), (700, "word " * 200_000)], "doc_id long, text string"))
+    odd = odd.withColumns({c: F.lit(1) for c in ("y", "score", "predicted", "unit", "t", "c", "w", "n", "block")})
+    for score in (toxicity.score_toxicity, quality.score_quality):
+        got = rows(score(odd, labels.unionByName(labels)))
+        assert len(got) == 67 and all(0 <= r["score"] <= 1 for r in got)
+        assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert len(rows(toxicity.remove_toxic(odd, labels))) <= 67
+
+
 def labelled(spark, n=400):
     rng = np.random.default_rng(2)
     docs, labels = [], []

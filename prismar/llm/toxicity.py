@@ -128,12 +128,12 @@ class Model:
         return 1 / (1 + math.exp(-(self.bias + self.slope * x)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000, max_units: int = 100_000, prior: float = 0.05, rate: float = 0.1, least_z: float = 3.0) -> Model:
-    """Learn from at most `max_labelled` labelled documents outside the held-out fold; the lexicon keeps the `max_units` units of
-    largest z (both are documented bounds of the fitted model; scoring covers all rows)."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000, prior: float = 0.05, rate: float = 0.1, least_z: float = 3.0) -> Model:
+    """Learn from at most `max_labelled` labelled documents outside the held-out fold (a documented bound of the fitted model; scoring covers
+    all rows). The lexicon has every unit of theirs whose z is `least_z` or more, so that sample bounds its size too."""
     train = training_rows(docs, labels, "toxic", FOLDS, HELD, max_labelled)
     units = log_odds(unit_counts(train), prior).where(F.col("z") >= least_z)
-    top = units.orderBy(F.desc("z"), "kind", "unit").limit(max_units).collect()
+    top = units.collect()
     gain = lambda d: math.log((1 - rate) + rate * math.exp(min(d, 30.0)))
     words = {r.unit.encode(): g for r in top if r.kind == "w" and (g := gain(r.delta)) > 0}
     prefixes = {r.unit: g for r in top if r.kind == "p" and (g := gain(r.delta)) > 0}

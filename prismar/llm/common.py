@@ -46,12 +46,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_FREE, "false")
     spark.conf.set(_FREE, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     finally:
         spark.conf.set(_FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice has about `limit` bytes in `column` (a row is never cut)."""
     for batch in batches:

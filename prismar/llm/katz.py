@@ -4,8 +4,8 @@ Order two; every word of the training part is a symbol of its own, and unseen wo
 of every text has a probability. The recursion is P(w | v): seen pair -> its discounted count over v's; else weight(v) times P(w); P(w)
 of an unseen word -> its share of the unigrams' rest. Tables, all written: word counts; the texts as word ids, with a row id for each
 document; pair counts in blocks by history (a frequent history is also dealt by word); histories with their weights.
-Of the words, the most frequent (at most `vocab_limit`) are numbered and broadcast; pairs with any other word go by word hashes
-through joins with the same tables, so the limit decides the way that a pair takes, not its probability.
+Of the words, the most frequent (at most `vocab_limit`) are numbered and broadcast; pairs with any other word are dealt by word hash and
+counted there in the same way, so the limit decides the way that a pair takes, not its probability.
 """
 
 from __future__ import annotations
@@ -13,17 +13,17 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismar.llm.common import materialize, slices, words_of
+from prismar.llm.common import discard, materialize, slices, words_of
 from prismar.llm.labelled import fold
 
 END = b" end"  # no word has a space
@@ -94,7 +94,7 @@ class WordCodes:
         self.listed, self.known = listed, {}
 
     def codes(self, words: list[list[bytes]], total: int) -> np.ndarray:
-        if len(self.known) > 300_000:
+        if len(self.known) > 200_000:
             self.known = {}
         new = list(set(chain.from_iterable(words)).difference(self.known))
         code = np.fromiter(map(word_hash, new), np.uint64, len(new))
@@ -109,7 +109,7 @@ def coded_texts(rows: DataFrame, listed, rare: int) -> DataFrame:
     """Slices of texts: row id of the first, the documents' ids and folds, their lengths, all tokens' ids, the hashes of those without."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, first = WordCodes(listed.value), TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             for k in range(0, batch.num_rows, 65_536):
                 part = batch.slice(k, 65_536)
                 words = [[*words_of(t.as_py()), END] for t in part.column("text")]
@@ -210,6 +210,16 @@ def pair_counts(coded: DataFrame, vocabulary, dealer, parts: int) -> DataFrame:
     return read.mapInArrow(emit, kinds).repartition(parts, "g").sortWithinPartitions("g").mapInArrow(gather, kinds)
 
 
+def steps(rising: np.ndarray) -> bytes:
+    """Rising numbers below 65,536 by their differences, in a byte each where that will do."""
+    d = np.diff(rising, prepend=0)
+    return d.astype("u1" if d.max(initial=0) < 256 else "<u2").tobytes()
+
+
+def summed_up(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, "u1" if len(raw) == n else "<u2"), dtype=np.int64)
+
+
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """v, w and count of the pairs of each block."""
     for batch in batches:
@@ -241,7 +251,7 @@ def frequent_pairs(pairs: DataFrame, least: int) -> DataFrame:
 
 
 def far_pairs(coded: DataFrame, vocabulary) -> DataFrame:
-    """row, held_out, v, w (ids), hv, hw (hashes, 0 for words with an id): the pairs with a word outside the broadcast vocabulary."""
+    """row, held, v, w (ids), hv, hw (hashes, 0 for words with an id): the pairs with a word outside the broadcast vocabulary."""
     rare, start = vocabulary.value.rare, vocabulary.value.start
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +261,9 @@ def far_pairs(coded: DataFrame, vocabulary) -> DataFrame:
             hv = s.shifted(hw, 0)
             at = np.flatnonzero((s.v == rare) | (s.w == rare))
             doc = s.doc[at]
-            yield pa.RecordBatch.from_arrays([pa.array(s.first + doc), pa.array(s.held[doc]), *(pa.array(x[at]) for x in (s.v, s.w, hv, hw))], ["row", "held_out", "v", "w", "hv", "hw"])
+            yield pa.RecordBatch.from_arrays([pa.array(s.first + doc), pa.array(s.held[doc]), *(pa.array(x[at]) for x in (s.v, s.w, hv, hw))], ["row", "held", "v", "w", "hv", "hw"])
 
-    return coded.select("first", "held", "lengths", "ids", "far").mapInArrow(emit, "row long, held_out boolean, v long, w long, hv long, hw long")
+    return coded.select("first", "held", "lengths", "ids", "far").mapInArrow(emit, "row long, held boolean, v long, w long, hv long, hw long")
 
 
 def listed_scores(coded: DataFrame, pairs: DataFrame, vocabulary, dealer, tables, parts: int) -> DataFrame:
@@ -281,9 +291,9 @@ def listed_scores(coded: DataFrame, pairs: DataFrame, vocabulary, dealer, tables
                 v, w, doc = v[~hot], w[~hot], doc[~hot]
             group = deal.groups(v, w)
             order = np.argsort(group.astype(np.uint16) if len(group) and group.max() < 65_536 else group, kind="stable")
-            group, key, doc = group[order], (((v // GROUPS) << 20) | w)[order].astype("<u4"), doc[order].astype("<u2")
+            group, key, doc = group[order], (((v // GROUPS) << 20) | w)[order].astype("<u4"), doc[order]
             ends = np.flatnonzero(np.diff(group, append=-1)) + 1 if len(group) else []
-            out = [(int(group[a]), 1, s.first, key[a:b].tobytes(), doc[a:b].tobytes(), None) for a, b in zip([0, *ends], ends)]
+            out = [(int(group[a]), 1, s.first, key[a:b].tobytes(), steps(doc[a:b]), None) for a, b in zip([0, *ends], ends)]
             known = np.bincount(s.doc, weights=s.w != rare, minlength=n)
             numbers = np.stack([s.lengths.astype(float), known, np.bincount(s.doc, weights=base[s.w], minlength=n), s.held.astype(float), score])
             out.append((-1 - (s.first & 0x3FF), 0, s.first, row["doc_id"], numbers.astype("<f8").tobytes(), row["no_id"]))
@@ -307,7 +317,8 @@ def listed_scores(coded: DataFrame, pairs: DataFrame, vocabulary, dealer, tables
                     count, v = widened(b, len(key)), (key >> 20) * GROUPS + g % GROUPS
                     known = np.log10(count * own["d2"][np.minimum(count, CUT + 1)]) + own["log_n"][v]
                     continue
-                k, doc = np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(b, "<u2")
+                k = np.frombuffer(a, "<u4").astype(np.int64)
+                doc = summed_up(b, len(k))
                 part = own["log_weight"][(k >> 20) * GROUPS + g % GROUPS] + log_p[k & 0xFFFFF]
                 if len(key):
                     at = np.minimum(np.searchsorted(key, k), len(key) - 1)
@@ -363,7 +374,7 @@ def katz_scores(docs: DataFrame, vocab_limit: int = LIMIT, pairs_per_group: int
 
     Rows of remainder 1 (crc32 of the id as text, modulo 5) are held out of training. Null and empty texts are their end token; repeated
     rows each give a row; a null id trains; an empty table gives none; other columns are ignored. `vocab_limit` (2^20 - 2 at most)
-    bounds the words that are broadcast and `hot_share` the pairs (1 / hot_share of them at most); neither changes a score.
+    bounds the words that are broadcast, and `hot_share` the pairs (1 / hot_share of them at most); neither changes a score.
     """
     spark = docs.sparkSession
     rows = split_rows(docs)
@@ -389,85 +400,149 @@ def katz_scores(docs: DataFrame, vocab_limit: int = LIMIT, pairs_per_group: int
     dealer = spark.sparkContext.broadcast(Dealer(own, max(1, total // (GROUPS * pairs_per_group)), rows.where("not held_out").count()))
     coded = materialize(coded_texts(rows, spark.sparkContext.broadcast(own.h), own.rare), "coded-texts")
     pairs = materialize(pair_counts(coded, vocabulary, dealer, parts), "pair-counts")
-    far = FarPairs(coded, words.where(F.col("c") < least), own, vocabulary, d1, total_safe, log_unseen)
-
-    sums = [history_sums(pairs, vocabulary).withColumn("hv", F.lit(None).cast("long")), far.history_sums()]
-    stats = materialize(sums[0].unionByName(sums[1]).groupBy("v", "hv").agg(*(F.sum(n).alias(n) for n in NAMES)), "histories")
-    found = stats.agg(*(F.sum(f"f{r}").alias(f"f{r}") for r in range(1, CUT + 2))).first()
-    d2 = discounts({r: int(found[f"f{r}"] or 0) for r in range(1, CUT + 2)})
-    n_v = F.col("big") + sum(r * F.col(f"f{r}") for r in range(1, CUT + 1))
-    seen = F.col("big") + sum(float(r * d2[r]) * F.col(f"f{r}") for r in range(1, CUT + 1))
-    # a history whose counts are all above the cut gives up one count's worth
-    scale = F.when(1 - seen / n_v > 1e-9, F.lit(1.0)).otherwise(n_v / (n_v + 1) * n_v / seen)
-    weighed = stats.select("v", "hv", F.log10(scale / n_v).alias("log_n"), F.log10((1 - scale * seen / n_v) / F.greatest(1 - F.col("mass"), F.lit(1e-12))).alias("log_weight"))
-    weights = weighed.where("hv is null").toArrow()  # a row for each listed word at most
+    discard(words)
+    far = FarPairs(coded, vocabulary, d1, total_safe, log_unseen, parts)
+    sums = history_sums(pairs, vocabulary).unionByName(far.history_sums())
+    stats = materialize(sums.groupBy("v").agg(*(F.sum(n).alias(n) for n in NAMES)), "histories").toArrow()  # a row for each listed word at most
+    column = {n: stats.column(n).to_numpy() for n in ["v", *NAMES]}
+    more = far.counts_of_counts()
+    d2 = discounts({r: int(column[f"f{r}"].sum()) + more.get(r, 0) for r in range(1, CUT + 2)})
+    n_v = column["big"] + sum(r * column[f"f{r}"] for r in range(1, CUT + 1))
+    scale, weight = given_up(n_v, n_v - sum(r * (1 - d2[r]) * column[f"f{r}"] for r in range(1, CUT + 1)), column["mass"])
     own_tables = {k: np.zeros(own.start + 1) for k in ("log_n", "log_weight")}
-    for k, x in own_tables.items():
-        x[weights.column("v").to_numpy()] = weights.column(k).to_numpy()
+    own_tables["log_n"][column["v"]], own_tables["log_weight"][column["v"]] = np.log10(scale / n_v), np.log10(weight)
     hot = frequent_pairs(pairs, max(1, math.ceil(hot_share * total_safe))).toArrow()  # 1 / hot_share pairs at most
     v, w, c = (hot.column(n).to_numpy() for n in ("v", "w", "c"))
     order = np.argsort((v << 20) | w)
     own_tables |= {"hot": ((v << 20) | w)[order], "hot_score": (np.log10(c * d2[np.minimum(c, CUT + 1)]) + own_tables["log_n"][v])[order], "d2": d2, "total": total, "types": types}
     tables = spark.sparkContext.broadcast(own_tables)
-    out = listed_scores(coded, pairs, vocabulary, dealer, tables, parts).join(far.scores(weighed.where("hv is not null"), tables, d2, total, types), "row", "left")
+    out = listed_scores(coded, pairs, vocabulary, dealer, tables, parts).join(far.scores(tables), "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more_known")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))
 
 
-class FarPairs:
-    """Pairs with a word outside the broadcast vocabulary: counts, weights and shares are looked up by joins with written tables."""
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str, least: int = 200_000) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of a partition ordered by `key`, in pieces that hold all rows of each of their keys."""
+    kept: dict[str, np.ndarray] = {}
+    for batch in batches:
+        new = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        kept = {n: np.concatenate([kept[n], x]) for n, x in new.items()} if kept else new
+        cut = int(np.searchsorted(kept[key], kept[key][-1])) if len(kept[key]) >= least else 0
+        if cut:
+            yield {n: x[:cut] for n, x in kept.items()}
+            kept = {n: x[cut:] for n, x in kept.items()}
+    if kept and len(kept[key]):
+        yield kept
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """The number of each row's combination of values."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
 
-    def __init__(self, coded: DataFrame, words: DataFrame, own: Vocabulary, vocabulary, d1: np.ndarray, total: int, log_unseen: float):
-        self.words, self.rare, self.vocabulary, self.d1, self.total, self.log_unseen = words, own.rare, vocabulary, d1, total, log_unseen
-        self.rows = materialize(far_pairs(coded, vocabulary), "far-rows")
-        # a row for each distinct pair of the training part
-        counted = self.rows.where("not held_out").groupBy("v", "w", "hv", "hw").agg(F.count(F.lit(1)).alias("c"))
-        self.counted = materialize(self.with_log_p(counted, "hv"), "far-pairs")
+def _counted(pair: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The training count of each row's pair, and which rows stand for a pair that has one."""
+    train = np.bincount(pair, weights=~held).astype(np.int64)
+    head = np.zeros(len(pair), bool)
+    head[np.unique(pair, return_index=True)[1]] = True
+    return train[pair], head & (train[pair] > 0)
 
-    def key(self, i: str, h: str, other: str) -> Column:
-        """The hash to look up; words with an id need no lookup, and keys of their own keep them off the words looked up, and apart."""
-        return F.when(F.col(i) == self.rare, F.col(h)).otherwise(F.xxhash64(other, h))
 
-    @staticmethod
-    def discounted(d: np.ndarray, c: Column) -> Column:
-        return c * F.element_at(F.array(*(F.lit(float(x)) for x in d[1:])), F.least(F.greatest(c, F.lit(1)), F.lit(CUT + 1)).cast("int"))
+def word_log_p(count: np.ndarray, d1: np.ndarray, total: int, log_unseen: float) -> np.ndarray:
+    """Log-probability of words of these training counts."""
+    return np.where(count > 0, np.log10(np.maximum(count, 1) * d1[np.minimum(count, CUT + 1)] / total), log_unseen)
 
-    def with_log_p(self, pairs: DataFrame, other: str) -> DataFrame:
-        """`pairs` with far, the count of w if it has no id, and log_p, its lower-order probability."""
-        vocabulary = self.vocabulary
 
-        @F.pandas_udf("double")
-        def log_listed(w: pd.Series) -> pd.Series:
-            return pd.Series(vocabulary.value.log_p[w.to_numpy()])
+class FarPairs:
+    """Pairs with a word outside the broadcast vocabulary, counted where all the rows of such a word meet.
 
-        pairs = pairs.withColumn("at", self.key("w", "hw", other)).join(self.words.select(F.col("h").alias("at"), F.col("c").alias("far")), "at", "left")
-        share = F.when(F.col("far") > 0, F.log10(self.discounted(self.d1, F.col("far")) / float(self.total))).otherwise(F.lit(self.log_unseen))
-        return pairs.withColumn("log_p", F.when(F.col("w") == self.rare, share).otherwise(log_listed("w"))).drop("at")
+    First all tokens w of the kind meet by word, which gives their counts and those of their pairs; then all pairs after such a word v meet by
+    v, with the counts of w. Both results are written; sums, weights and scores are read from them without another join.
+    """
+
+    def __init__(self, coded: DataFrame, vocabulary, d1: np.ndarray, total: int, log_unseen: float, parts: int):
+        self.d1, self.total = d1, total
+        rare = self.rare = vocabulary.value.rare
+        far_p = self.log_p = partial(word_log_p, d1=d1, total=total, log_unseen=log_unseen)
+        rows = materialize(far_pairs(coded, vocabulary), "far-rows")
+        kinds = "row long, held boolean, v long, hv long, hw long, far long, c long, head boolean"
+
+        def by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in whole_keys(batches, "hw"):
+                word = _numbered(r["hw"])
+                far = np.bincount(word, weights=~r["held"]).astype(np.int64)[word]
+                c, head = _counted(_numbered(r["v"], r["hv"], word), r["held"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r["row"], r["held"], r["v"], r["hv"], r["hw"], far, c, head)], ["row", "held", "v", "hv", "hw", "far", "c", "head"])
+
+        words = rows.where(F.col("w") == rare).select("row", "held", "v", "hv", "hw").repartition(parts, "hw").sortWithinPartitions("hw")
+        self.words = materialize(words.mapInArrow(by_word, kinds), "far-words")
+        names = [*NAMES[:CUT], "n", "mass"]
+
+        def by_history(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            listed = vocabulary.value.log_p
+            for r in whole_keys(batches, "hv"):
+                v = _numbered(r["hv"])
+                c, head = _counted(_numbered(r["w"], r["hw"], v), r["held"])
+                low = np.where(r["w"] == rare, far_p(r["far"]), listed[r["w"]])
+                sums = [*(np.bincount(v, weights=head & (c == k)) for k in range(1, CUT + 1)), np.bincount(v, weights=~r["held"]), np.bincount(v, weights=np.where(head, 10.0**low, 0))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r["row"], c, head, low, *(x[v] for x in sums))], ["row", "c", "head", "low", *names])
+
+        after = self.words.where(F.col("v") == rare).select("row", "held", F.col("hv"), F.lit(rare).cast("long").alias("w"), "hw", "far")
+        more = rows.where((F.col("v") == rare) & (F.col("w") != rare)).select("row", "held", "hv", "w", "hw", F.lit(0).cast("long").alias("far"))
+        dealt = after.unionByName(more).repartition(parts, "hv").sortWithinPartitions("hv")
+        self.histories = materialize(dealt.mapInArrow(by_history, "row long, c long, head boolean, low double, " + ", ".join(f"{n} double" for n in names)), "far-histories")
+        discard(rows)
 
     def history_sums(self) -> DataFrame:
+        """What the pairs of a listed history with such words add to its sums."""
+        p = F.element_at(F.array(*(F.lit(float(x)) for x in self.d1[1:])), F.least("far", F.lit(CUT + 1)).cast("int")) * F.col("far") / float(self.total)
         sums = [F.sum((F.col("c") == r).cast("double")).alias(f"f{r}") for r in range(1, CUT + 2)]
-        sums += [F.sum(F.when(F.col("c") > CUT, F.col("c").cast("double")).otherwise(0.0)).alias("big"), F.sum(F.pow(F.lit(10.0), "log_p")).alias("mass")]
-        return self.counted.groupBy("v", F.when(F.col("v") == self.rare, F.col("hv")).alias("hv")).agg(*sums)
+        sums += [F.sum(F.when(F.col("c") > CUT, F.col("c").cast("double")).otherwise(0.0)).alias("big"), F.sum(p).alias("mass")]
+        return self.words.where(F.col("head") & (F.col("v") != self.rare)).groupBy("v").agg(*sums)
+
+    def counts_of_counts(self) -> dict[int, int]:
+        """Of the pairs after a history of this kind."""
+        found = self.histories.where(F.col("head") & (F.col("c") <= CUT + 1)).groupBy("c").count().collect()
+        return {r.c: r["count"] for r in found}
 
-    def scores(self, histories: DataFrame, tables, d2: np.ndarray, total: int, types: int) -> DataFrame:
+    def scores(self, tables) -> DataFrame:
         """row, more_base, more_score, more_known: what these pairs add to each document."""
-        @F.pandas_udf("log_n double, log_weight double")
-        def listed(v: pd.Series) -> pd.DataFrame:
-            return pd.DataFrame({k: tables.value[k][v.to_numpy()] for k in ("log_n", "log_weight")})
-
-        histories = histories.select(F.col("hv").alias("at"), F.col("log_n").alias("far_n"), F.col("log_weight").alias("far_weight"))
-
-        def with_history(pairs: DataFrame, other: str) -> DataFrame:
-            """`pairs` with log_n and log_weight of v."""
-            pairs = pairs.withColumn("at", self.key("v", "hv", other)).join(histories, "at", "left").withColumn("own", listed("v"))
-            by_v = lambda n, f: F.when(F.col("v") == self.rare, F.coalesce(f, F.lit(0.0))).otherwise(F.col(f"own.{n}")).alias(n)
-            return pairs.select(*(c for c in pairs.columns if c not in ("at", "own", "far_n", "far_weight")), by_v("log_n", "far_n"), by_v("log_weight", "far_weight"))
-
-        names = ["v", "w", "hv", "hw"]
-        seen = with_history(self.counted, "hw").select(*names, "far", (F.log10(self.discounted(d2, F.col("c"))) + F.col("log_n")).alias("pair"))
-        met = self.rows.join(seen, names).select("row", "w", "far", "pair")
-        new = self.rows.where("held_out").join(self.counted.select(*names), names, "left_anti")
-        new = with_history(self.with_log_p(new, "row"), "row").select("row", "w", "far", (F.col("log_weight") + F.col("log_p")).alias("pair"))
-        count, stranger = F.coalesce("far", F.lit(0)), F.col("w") == self.rare
-        base = F.when(stranger, F.log10((count + 0.5) / (total + 0.5 * (types + 1)))).otherwise(0.0)
-        return met.unionByName(new).groupBy("row").agg(F.sum(base).alias("more_base"), F.sum("pair").alias("more_score"), F.sum((stranger & (count > 0)).cast("long")).alias("more_known"))
+        rare, log_p, kinds = self.rare, self.log_p, "row long, base double, score double, known long"
+        total, types = tables.value["total"], tables.value["types"]
+
+        def after_listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = tables.value
+            for batch in batches:
+                row, v, far, c = (batch.column(n).to_numpy() for n in ("row", "v", "far", "c"))
+                v_ = np.where(v == rare, 0, v)
+                score = np.where(c > 0, np.log10(np.maximum(c, 1) * own["d2"][np.minimum(c, CUT + 1)]) + own["log_n"][v_], own["log_weight"][v_] + log_p(far))
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.log10((far + 0.5) / (total + 0.5 * (types + 1)))), pa.array(np.where(v == rare, 0.0, score)), pa.array((far > 0).astype(np.int64))], ["row", "base", "score", "known"])
+
+        def after_far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            d2 = tables.value["d2"]
+            for batch in batches:
+                c, low, n, mass = (batch.column(x).to_numpy() for x in ("c", "low", "n", "mass"))
+                seen = n - sum(k * (1 - d2[k]) * batch.column(f"f{k}").to_numpy() for k in range(1, CUT + 1))
+                scale, weight = given_up(n, seen, mass)
+                score = np.where(n > 0, np.where(c > 0, np.log10(np.maximum(c, 1) * d2[np.minimum(c, CUT + 1)] * scale / np.maximum(n, 1)), np.log10(weight) + low), low)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.zeros(len(c))), pa.array(score), pa.array(np.zeros(len(c), np.int64))], ["row", "base", "score", "known"])
+
+        both = self.words.select("row", "v", "far", "c").mapInArrow(after_listed, kinds).unionByName(self.histories.drop("head", "held").mapInArrow(after_far, kinds))
+        return both.groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("score").alias("more_score"), F.sum("known").alias("more_known"))
+
+
+def given_up(n: np.ndarray, seen: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scale of the discounted counts, and the weight of the lower order, for histories of n tokens whose discounted counts add up to `seen`.
+
+    A history whose counts are all above the cut gives up one count's worth.
+    """
+    n, seen = np.maximum(n, 1), np.maximum(seen, 1e-9)
+    scale = np.where(1 - seen / n > 1e-9, 1.0, n / (n + 1) * n / seen)
+    return scale, (1 - scale * seen / n) / np.maximum(1 - mass, 1e-12)

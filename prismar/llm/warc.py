@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismar.llm.common import NO_ID, materialize, shared_dir
+from prismar.llm.common import NO_ID, materialize, shared_dir, slices
 
 ENTRY = "key string, page_id long, file string, at long, size long"
 _ENTRY = ["key", "page_id", "file", "at", "size"]
@@ -85,7 +85,7 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 1000, block_li
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = open_folder(folder)
         name, at, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
-        for batch in batches:
+        for batch in slices(batches, "html"):
             entries = []
             for pid, digest, url, payload, refers in zip(*(batch.column(c).to_pylist() for c in ("pid", "digest", "url", "html", "refers_to"))):
                 if out is None:

@@ -128,8 +128,13 @@ def test_warc(spark):
 
     body = "é" * 700
     pages = [(1, "http://a.org/x", body), (2, "http://b.a.org/", body), (3, None, body), (4, "http://a.org/x", "short"), (5, "http://a.org/x", "short"), (6, "", None), (7, "bad\turl [", ""), (1, "http://a.org/x", body), (None, "u", "z")]
-    got = rows(warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")))
-    want = [(i or 0, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if h == body and i != 3 else "response", 3 if h == body and i != 3 else 0) for i, _, h in pages]
+    from pyspark.sql import functions as F
+
+    pages += [(k, f"http://long.org/{k}", "long page " * 200_000) for k in (20, 21)]
+    odd = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("digest", "pid", "refers_to", "key", "file", "at", "size", "n")})
+    got = rows(warc.round_trip(odd))
+    revisit = lambda i, h: (h == body and i != 3) or i == 20
+    want = [(i or 0, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if revisit(i, h) else "response", (21 if i == 20 else 3) if revisit(i, h) else 0) for i, _, h in pages]
     assert sorted((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or 0) for r in got) == sorted(want)
     assert rows(warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string"))) == []
     assert warc.reversed_host_key("http://www.A.org:80/x?y=1") == "org,a,www:80)/x?y=1"

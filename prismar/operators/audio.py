@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,17 @@ def envelope(samples: Column, width: int) -> Column:
     return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.element_at(x, place(i)) / F.when(peak > 0, peak).otherwise(1.0)))
 
 
+def envelope_of_rows(rows: DataFrame, key: str, order: str, value: str, width: int) -> DataFrame:
+    """key, envelope as above, of samples that are rows: numbered in order by a window that spills, of which `width` a key are gathered."""
+    w = Window.partitionBy(key)
+    numbered = rows.withColumn("__n", F.row_number().over(w.orderBy(order)) - 1).withColumn("__size", F.count(F.lit(1)).over(w)).withColumn("__peak", F.max(F.abs(F.col(value))).over(w))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.floor(i * (F.col("__size") - 1) / max(1, width - 1)).cast("int"))
+    places = numbered.withColumn("__w", wanted).where(F.array_contains("__w", F.col("__n"))).withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    picked = places.where(F.element_at("__w", F.col("__i") + 1) == F.col("__n"))
+    samples = picked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__i", (F.col(value) / F.when(F.col("__peak") > 0, F.col("__peak")).otherwise(1.0)).alias("x")))).alias("s"))
+    return samples.select(key, F.transform("s", lambda s: s["x"]).alias("envelope"))
+
+
 def mel_filters(rate: int, n_fft: int, mels: int) -> np.ndarray:
     to_mel, to_hz = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
     edges = to_hz(np.linspace(to_mel(0), to_mel(rate / 2), mels + 2))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from prismar.functions.vectors import l2_normalize
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
@@ -13,15 +15,45 @@ from pyspark.sql import types as T
 BATCH = {"image": 32, "audio": 32, "text": 64}
 
 
-def encode(df: DataFrame, make_predict_fn: Callable, column: str, out: str = "embedding", batch_size: int = 32) -> DataFrame:
-    """`make_predict_fn` builds the model once per worker and returns a function from a numpy batch to vectors."""
-    return df.withColumn(out, predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)(F.col(column)))
+def encode(df: DataFrame, make_predict_fn: Callable, column: str, out: str = "embedding", batch_size: int = 32, shape: list[int] | None = None) -> DataFrame:
+    """`make_predict_fn` builds the model once per worker and returns a function from a numpy batch to vectors; `shape` is that of one input
+    where the column holds arrays. A row without input has no vector."""
+    model = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[shape] if shape else None)
+    kind = df.schema[column].dataType
+    blank = F.array_repeat(F.lit(0.0).cast(kind.elementType), math.prod(shape)) if shape else F.lit("").cast(kind)
+    return df.withColumn(out, F.when(F.col(column).isNotNull(), model(F.coalesce(F.col(column), blank))))
 
 
-def encode_by_modality(df: DataFrame, encoders: dict[str, Callable], column: str) -> DataFrame:
+def block_means(side: int = 8, blocks: int = 2) -> Callable:
+    """A stand-in for an image tower that needs no weights: the means of blocks x blocks parts of a square image."""
+    def make() -> Callable:
+        step = side // blocks
+        return lambda x: x.astype(float).reshape(len(x), blocks, step, blocks, step).mean(axis=(2, 4)).reshape(len(x), -1).astype(np.float32)
+
+    return make
+
+
+def letter_counts(letters: str) -> Callable:
+    """A stand-in for a text tower: how often each letter is there."""
+    def make() -> Callable:
+        return lambda texts: np.array([[t.count(c) for c in letters] for t in texts], np.float32)
+
+    return make
+
+
+def extremes() -> Callable:
+    """A stand-in for an audio tower: the least and the largest sample."""
+    def make() -> Callable:
+        return lambda x: np.stack([x.min(axis=1), x.max(axis=1)], axis=1).astype(np.float32)
+
+    return make
+
+
+def encode_by_modality(df: DataFrame, encoders: dict[str, Callable], column: str, shape: list[int] | None = None) -> DataFrame:
     """Each row by the encoder of its modality; a modality without one fails the job."""
-    checked = df.withColumn("modality", F.when(F.col("modality").isin(*encoders), F.col("modality")).otherwise(F.raise_error(F.concat(F.lit("unknown modality: "), F.coalesce("modality", F.lit("null")))).cast("string")))
-    parts = [encode(checked.where(F.col("modality") == m), f, column, batch_size=BATCH.get(m, 32)) for m, f in encoders.items()]
+    unknown = F.raise_error(F.concat(F.lit("unknown modality: "), F.coalesce("modality", F.lit("null")))).cast("string")
+    checked = df.withColumn("modality", F.when(F.col("modality").isin(*encoders), F.col("modality")).otherwise(unknown))
+    parts = [encode(checked.where(F.col("modality") == m), f, column, batch_size=BATCH.get(m, 32), shape=shape) for m, f in encoders.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

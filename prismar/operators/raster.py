@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from prismar.functions.colors import rgb_to_lab
+from prismar.operators.points import POINTS, subsample
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,13 @@ def pixels(images: DataFrame) -> DataFrame:
     return rows.select("item_id", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x"), *(F.when(F.col("nChannels") >= 3, byte(k)).otherwise(byte(1)).alias(n) for k, n in ((1, "b"), (2, "g"), (3, "r"))))
 
 
+def lab_points(images: DataFrame, most: int = POINTS) -> DataFrame:
+    """item_id, point_id, p1, p2, p3: the CIELAB values of at most `most` pixels of each (downscaled) image, the same ones at each run."""
+    light, a, b = rgb_to_lab(*(F.col(c).cast("double") for c in ("r", "g", "b")))
+    rows = pixels(images).select("item_id", F.struct("y", "x").alias("point_id"), light.alias("p1"), a.alias("p2"), b.alias("p3"))
+    return subsample(rows, most)
+
+
 def block_mean(raster: DataFrame, factor: int) -> DataFrame:
     return raster.groupBy("item_id", F.floor(F.col("y") / factor).alias("y"), F.floor(F.col("x") / factor).alias("x")).agg(F.avg("v").alias("v"))
 

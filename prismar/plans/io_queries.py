@@ -87,6 +87,50 @@ def e7(spark, sf_dir):
     return encode.hash_encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+_half = lambda y, x: " + ".join(f"CAST(embedding[{8 * (4 * y + i) + 4 * x + j + 1}] AS DOUBLE)" for i in range(4) for j in range(4))
+_as_float = lambda x, n: f"round(CAST(CAST({x} AS FLOAT) AS DOUBLE), 6) + 0.0 AS {n}"
+
+
+def parts_of(df, key, *names):
+    """A column for each place of the embedding."""
+    return df.select(key, *((F.round(F.element_at("embedding", k + 1).cast("double"), 6) + 0.0).alias(n) for k, n in enumerate(names)))
+
+
+@query("E1", f"SELECT vec_id, {', '.join(_as_float(f'({_half(y, x)}) / 16', f'm{2 * y + x}') for y in (0, 1) for x in (0, 1))} FROM embeddings")
+def e1(spark, sf_dir):
+    """Vectors read as 8 x 8 images, by a plug-in without weights."""
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "image")
+    return parts_of(encode.encode(e, encode.block_means(), "image", shape=[64]), "vec_id", "m0", "m1", "m2", "m3")
+
+
+_letters = lambda text: ", ".join(f"CAST(length({text}) - length(replace({text}, '{c}', '')) AS DOUBLE) + 0.0 AS {c}" for c in "aeio")
+
+
+@query("E2", f"SELECT doc_id, {_letters('text')} FROM documents")
+def e2(spark, sf_dir):
+    return parts_of(encode.encode(table(spark, sf_dir, "documents"), encode.letter_counts("aeio"), "text", batch_size=64), "doc_id", *"aeio")
+
+
+@query("E3", f"SELECT vec_id, {_as_float('list_min(embedding)', 'low')}, {_as_float('list_max(embedding)', 'high')} FROM embeddings")
+def e3(spark, sf_dir):
+    """Vectors read as waveforms."""
+    e = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "samples")
+    return parts_of(encode.encode(e, encode.extremes(), "samples", shape=[64]), "vec_id", "low", "high")
+
+
+@query("E4", "SELECT conv_id, turn, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) + 0.0 AS e FROM conversations WHERE text IS NOT NULL")
+def e4(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    return parts_of(encode.encode(c, encode.letter_counts("e"), "text", batch_size=64).withColumn("key", F.struct("conv_id", "turn")), "key", "e").select("key.*", "e")
+
+
+@query("E6", f"SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'image' ELSE 'audio' END AS modality, CASE WHEN vec_id % 2 = 0 THEN round(CAST(CAST(({_half(0, 0)}) / 16 AS FLOAT) AS DOUBLE), 6) ELSE round(CAST(list_min(embedding) AS DOUBLE), 6) END + 0.0 AS first FROM embeddings")
+def e6(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"), F.when(F.col("vec_id") % 2 == 0, "image").otherwise("audio").alias("modality"))
+    found = encode.encode_by_modality(e, {"image": encode.block_means(), "audio": encode.extremes()}, "x", shape=[64])
+    return found.select("vec_id", "modality", (F.round(F.element_at("embedding", 1).cast("double"), 6) + 0.0).alias("first"))
+
+
 @query("E5")
 def e5(spark, sf_dir):
     return encode.label_matrix(table(spark, sf_dir, "documents").select(F.col("source").alias("label")))
@@ -121,7 +165,10 @@ def waves(spark, sf_dir):
 
 @query("V2", f"SELECT user_id, list_transform(range(8), lambda i: round(x[CAST(floor(i * (len(x) - 1) / 7) AS INTEGER) + 1] / CASE WHEN m > 0 THEN m ELSE 1 END, 6) + 0.0) AS envelope FROM (SELECT user_id, x, list_max(list_transform(x, lambda v: abs(v))) AS m FROM ({WAVE}))")
 def v2(spark, sf_dir):
-    return waves(spark, sf_dir).select("user_id", F.transform(audio.envelope(F.col("samples"), 8), lambda v: F.round(v, 6) + 0.0).alias("envelope"))
+    """A user's log is as long as it likes, so only the wanted samples of it are gathered."""
+    e = table(spark, sf_dir, "events").where("value is not null").select("user_id", F.struct("ts", "event_id").alias("at"), F.col("value").cast("double").alias("v"))
+    found = audio.envelope_of_rows(e, "user_id", "at", "v", 8)
+    return found.select("user_id", F.transform("envelope", lambda v: F.round(v, 6) + 0.0).alias("envelope"))
 
 
 @query("V3")

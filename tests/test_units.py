@@ -173,3 +173,93 @@ def test_labels_and_dictionaries(spark, tmp_path):
     assert media.labels_version(media.read_labels(spark, "rain,wind")) == media.labels_version(media.read_labels(spark, "wind,rain"))
     assert names(media.read_dictionary(spark, str(tmp_path / "d.json"))) == [("rain", "drops"), ("rain", "wet"), ("wind", "gust")]
     assert names(media.read_dictionary(spark, str(tmp_path / "d.csv"))) == [("rain", "wet"), ("wind", "gust")]
+
+
+def test_pixels_become_lab_points(spark):
+    from prismar.operators import raster
+
+    image = [(1, 2, 2, 3, bytes([255, 255, 255] * 3 + [0, 0, 255]))]  # three white pixels and a red one, blue first
+    df = spark.createDataFrame(image, "item_id long, height int, width int, nChannels int, data binary")
+    got = sorted((round(r.p1), round(r.p2), round(r.p3)) for r in raster.lab_points(df).collect())
+    assert got[1:] == [(100, 0, 0)] * 3 and got[0][0] == pytest.approx(53, abs=1) and got[0][1] == pytest.approx(80, abs=1)
+    assert raster.lab_points(df, 3).count() == 3
+
+
+def test_latent_and_feature_tables(spark, tmp_path):
+    from prismar.sources import media, sinks
+
+    df = spark.createDataFrame([(1, "a", 1.0, 2.0, 3, "x"), (2, "b", 3.0, 4.0, 5, None)], "item_id long, path string, x double, y double, cluster_id int, label string")
+    sinks.write_latent(df, f"{tmp_path}/latent")
+    back = media.scan_latent(spark.read.parquet(f"{tmp_path}/latent"))
+    assert dict(back.dtypes)["x"] == "float" and sorted((r.item_id, r.x, r.label) for r in back.collect()) == [(1, 1.0, "x"), (2, 3.0, None)]
+    assert media.scan_features(spark, f"{tmp_path}/latent", "x").columns == ["item_id", "x"]
+    for path, feature in ((f"{tmp_path}/none", "x"), (f"{tmp_path}/latent", "gram")):
+        with pytest.raises(media.FeatureAbsent):
+            media.scan_features(spark, path, feature)
+    vectors = df.selectExpr("item_id", "path", "array(x, y) AS embedding", "CASE WHEN item_id = 1 THEN 'p' ELSE 'q' END AS dataset", "'image' AS modality")
+    sinks.write_embeddings(vectors, f"{tmp_path}/vectors")
+    found = media.scan_embeddings(spark, f"{tmp_path}/vectors", "q", "image")
+    assert [r.item_id for r in found.collect()] == [2]
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "isnotnull(dataset" in plan and "PushedFilters: []" in plan
+
+
+def test_unknown_modality_fails(spark):
+    from prismar.operators import encode
+
+    df = spark.createDataFrame([("image", [0.0] * 64), ("video", [0.0] * 64)], "modality string, x array<float>")
+    with pytest.raises(Exception, match="unknown modality: video"):
+        encode.encode_by_modality(df, {"image": encode.block_means()}, "x", shape=[64]).collect()
+    some = spark.createDataFrame([(1, None), (2, "see")], "id long, text string")
+    assert sorted((r.id, r.embedding) for r in encode.encode(some, encode.letter_counts("e"), "text").collect()) == [(1, None), (2, [2.0])]
+
+
+def test_corpus_twins_recall(spark):
+    from prismar.operators import groups
+
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 16))
+    x = np.concatenate([base, base + 0.05 * rng.normal(size=base.shape), base[:20]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "item_id long, embedding array<double>")
+    got = {r.item_id: r.comp for r in groups.corpus_twins(df, 0.05).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.argwhere(np.triu(1 - unit @ unit.T <= 0.05, 1))
+    assert len(got) == len(x) + 1 and np.mean([got[a] == got[b] for a, b in links.tolist()]) >= 0.9
+    assert all(got[i] == got[120 + i] for i in range(20)) and got[999] == 999
+
+
+def test_knn_in_small_tiles_and_blocks(spark):
+    from prismar.operators import search
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(80, 4)), np.ones((30, 4))])  # equal vectors tie
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<double>")
+    q = df.where("item_id % 10 = 0").withColumnRenamed("item_id", "query_id")
+    whole = sorted(tuple(r) for r in search.knn_join(df, q, 5).collect())
+    assert whole == sorted(tuple(r) for r in search.knn_join(df, q, 5, block_rows=3, cells=50).collect())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - unit @ unit.T, 9)
+    assert [(i, r, j) for i, r, j, _ in whole] == [(i, r + 1, j) for i in range(0, 110, 10) for r, j in enumerate(sorted(range(110), key=lambda j: (d[i, j], j))[:5])]
+
+
+def test_wide_vectors_are_compressed(spark, monkeypatch):
+    from prismar.operators import cluster
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 3)) @ rng.normal(size=(3, 30)) + 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<double>")
+    for wide in (4096, 10):
+        monkeypatch.setattr(cluster, "WIDE", wide)
+        out, model, kept = cluster.compress(df, 3)
+        y = np.array([r.compressed for r in sorted(out.collect())])
+        assert kept == pytest.approx(1) and np.allclose(((y[:, None] - y[None]) ** 2).sum(axis=2), ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert cluster.compress(df, 50)[1] is None
+
+
+def test_palette_of_a_broken_item_has_a_reason(spark):
+    from prismar.operators import points
+
+    df = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (1, 9.0, 2.0, 3.0), (2, 1.0, None, 0.0)], "item_id long, p1 double, p2 double, p3 double")
+    got = {r.item_id: r for r in points.palette_job(df).collect()}
+    assert got[1].reason is None and [p.w for p in got[1].dominant] == [0.5, 0.5] and got[1].bins == 1
+    assert got[2].reason and got[2].dominant is None and got[2].p1_mean is None

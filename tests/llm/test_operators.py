@@ -493,3 +493,68 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
     assert {r["doc_id"] for r in rows(corpus_pipeline.run(spark, str(tmp_path)))} >= {3, 4, 5}
     for _, stage in corpus_pipeline.STAGES:
         assert rows(stage(spark, none, str(tmp_path))) == []
+
+
+def contaminated_by_hand(text, bench):
+    w, hit = item_words(text), set()
+    for _, t in bench:
+        own = item_words(t)
+        for k in range(max(1, len(own) - 12) if own else 0):
+            phrase = own[k : k + 13]
+            for at in range(len(w) - len(phrase) + 1):
+                if w[at : at + len(phrase)] == phrase:
+                    hit |= set(range(at, at + len(phrase)))
+    return len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Each stage on its predecessor's rows, the five together against plain comparisons. Of the learnt first stage, the scorer's own verdict is taken."""
+    import corpus_pipeline
+    from prismar.llm import tokens, toxicity
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(12)
+    base, labels = labelled(spark, 60)
+    texts = {r["doc_id"]: r["text"] for r in rows(base)}
+    words = lambda n: [f"z{k}" for k in rng.integers(0, 500, n)]
+    lines = lambda n, w=7: "\n".join(" ".join(words(w)) for _ in range(n))
+    passage, long = lines(9), lines(12)
+    for k in range(100, 112):
+        texts[k] = lines(6) + ("\n" + passage if k % 3 == 0 else "") + "\n" + lines(4)
+    texts |= {120: long, 121: long, 122: long + "\nmore", 123: long.replace("z", "Z", 5)}
+    one = words(60)
+    for k in range(130, 138):  # single long lines, near copies of one another
+        one = [*one[:10], f"new{k}", *one[11:]]
+        texts[k] = " ".join(one)
+    texts |= {140: "start " + BENCH[0][1] + " end", 141: " ".join(words(400)) + " " + BENCH[0][1], 142: None, 143: "", 144: "one two"}
+    spark.createDataFrame([(i, t, 0 if t is None else len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    verdict = {r["doc_id"]: r["predicted"] for r in rows(toxicity.score_toxicity(docs, labels))}
+    left = {i: t for i, t in texts.items() if not verdict[i]}
+    assert 0 < len(left) < len(texts)
+    want = [dict(left)]
+    gone = removed_by_all_pairs([(i, t) for i, t in sorted(left.items()) if t is not None])
+    cut = {i: t if t is None or not gone[i] else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t in left.items()}
+    cut = {i: t for i, t in cut.items() if not gone.get(i) or t.split()}
+    want.append(cut)
+    sets, comp = brute_components(sorted(cut.items()))
+    want.append({i: t for i, t in cut.items() if not sets[i] or comp[i] == i})
+    want.append({i: t for i, t in want[-1].items() if not contaminated_by_hand(t, BENCH)})
+    assert all(len(a) > len(b) for a, b in zip(want, want[1:]))
+    library = Tokenizer.from_file(tokens.tokenizer_path())
+    pieces = set()
+    for i, t in want[-1].items():
+        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
+        pieces |= {(i, a, len(ids[a : a + 2048]), zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())) for a in range(0, len(ids), 2048)}
+
+    for (name, stage), kept in zip(corpus_pipeline.STAGES, want):
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "n_chars"], name
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert {r["doc_id"]: r["text"] for r in rows(docs)} == kept and docs.count() == len(kept), name
+    packed = {(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)))}
+    assert packed == pieces == {(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows(corpus_pipeline.run(spark, str(tmp_path)))}

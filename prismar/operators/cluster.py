@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from prismar.functions.vectors import cosine_similarity, euclidean_distance, l2_normalize
-from prismar.operators.search import matrix
+from prismar.operators.search import matrix, score_search
+from prismar.sources.media import FeatureAbsent
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -192,6 +193,16 @@ def apply_compression(items: DataFrame, model: dict, vector: str = "embedding")
     return rows.mapInArrow(project, "item_id long, compressed array<double>")
 
 
+def gram_search(items: DataFrame, query: DataFrame, model: dict | None = None, feature: str = "gram") -> DataFrame:
+    """query_id, item_id, method, score: cosine with a stored feature. A query's full vector goes through the model that compressed the
+    stored ones; a table without the feature is an error."""
+    if feature not in items.columns:
+        raise FeatureAbsent(f"the items have no {feature}")
+    if model is not None:
+        query = apply_compression(query.withColumnRenamed("query_id", "item_id"), model, feature).toDF("query_id", feature)
+    return score_search(items, query, feature, cosine_similarity, feature)
+
+
 def layout(items: DataFrame, dims: int = 2) -> DataFrame:
     """item_id, x, y[, z]: the first principal components as floats."""
     out, *_ = compress(items.select("item_id", l2_normalize("embedding").alias("embedding")), dims)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from prismar.functions.vectors import cosine_similarity
 from prismar.operators import groups, search
+from prismar.operators.cuts import shared_dir
 from prismar.registry import query, table
+from prismar.sources import media, sinks
 from pyspark.sql import functions as F
 
 D = "round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9)"
@@ -162,6 +166,10 @@ def k20(spark, sf_dir):
     return out.select("item_id", "from_store", (F.round("feature", 6) + 0.0).cast("float").alias("feature"))
 
 
-@query("S6", "SELECT vec_id AS item_id, label, len(embedding) AS dims FROM embeddings WHERE label = 3")
+@query("S6", "SELECT vec_id AS item_id, len(embedding) AS dims FROM embeddings WHERE label = 3 AND vec_id % 2 = 0")
 def s6(spark, sf_dir):
-    return items(spark, sf_dir).where("label = 3").select("item_id", "label", F.size("embedding").cast("long").alias("dims"))
+    """The vectors are written by data set (here their label) and modality, and one of each is scanned: the other folders aren't read."""
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    kinds = (F.concat(F.lit("set"), "label").alias("dataset"), F.when(F.col("item_id") % 2 == 0, "image").otherwise("audio").alias("modality"))
+    sinks.write_embeddings(items(spark, sf_dir).select("item_id", "embedding", *kinds), path)
+    return media.scan_embeddings(spark, path, "set3", "image").select("item_id", F.size("embedding").cast("long").alias("dims"))

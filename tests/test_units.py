@@ -254,6 +254,12 @@ def test_wide_vectors_are_compressed(spark, monkeypatch):
         y = np.array([r.compressed for r in sorted(out.collect())])
         assert kept == pytest.approx(1) and np.allclose(((y[:, None] - y[None]) ** 2).sum(axis=2), ((x[:, None] - x[None]) ** 2).sum(axis=2))
     assert cluster.compress(df, 50)[1] is None
+    stored = out.withColumnRenamed("compressed", "gram")
+    query = df.where("item_id = 7").toDF("query_id", "gram")
+    score = {r.item_id: r.score for r in cluster.gram_search(stored, query, model).collect()}
+    assert max(score, key=score.get) == 7 and score[7] == pytest.approx(1)
+    with pytest.raises(LookupError):
+        cluster.gram_search(df, query)
 
 
 def test_palette_of_a_broken_item_has_a_reason(spark):

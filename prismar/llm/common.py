@@ -121,7 +121,8 @@ def connected_components(edges: DataFrame, name: str = "cc", max_rounds: int = 6
     now = materialize(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct(), name)
     before = None
     for _ in range(max_rounds):
-        now = materialize(star(star(now, True), False), name)
+        last, now = now, materialize(star(star(now, True), False), name)
+        discard(last)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismar.llm.common import WordHashes, connected_components, materialize, mix64, slices, words_of
+from prismar.llm.common import WordHashes, connected_components, discard, materialize, mix64, slices, words_of
 
 NUM, DEN, WIDTH, TABLE = 4, 5, 5, 25
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -123,7 +123,7 @@ def shingle_levels(sets: DataFrame, parts: int, bits: int) -> np.ndarray:
 
     dealt = sets.select("shingles").mapInArrow(emit, "g int, once binary, more binary, counts binary").repartition(parts, "g").sortWithinPartitions("g")
     levels = np.zeros(1 << TABLE, np.uint8)
-    for r in dealt.mapInArrow(gather, "g int, levels binary").collect():  # 2^TABLE bytes in all
+    for r in materialize(dealt.mapInArrow(gather, "g int, levels binary"), "levels").collect():  # 2^TABLE bytes in all
         levels[r.g * share : (r.g + 1) * share] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
     taken = np.cumsum(np.bincount(levels, minlength=256)[:0:-1])[::-1]  # places of level 1 and more, 2 and more, ...
     low = 1 + int((taken > len(levels) * 0.4).sum())
@@ -416,9 +416,11 @@ def set_components(docs: DataFrame, block: int = 1000, leaders: int = 32) -> Dat
     """doc_id, th, n, cid, h2 and comp (the component's key, null without words) for each row of `docs`."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     sets = materialize(document_sets(rows), "shingle-sets")
-    found = materialize(connected_components(class_links(sets, block, leaders), "components"), "jaccard-components")
+    found = connected_components(class_links(sets, block, leaders), "components")
     signed = sets.select("doc_id", "th", "n", "cid", "h2").join(found, F.col("cid") == F.col("node"), "left")
-    return signed.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "cid"))).drop("node")
+    out = materialize(signed.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "cid"))).drop("node"), "components-by-row")
+    discard(sets)
+    return out
 
 
 def jaccard_classes(docs: DataFrame, block: int = 1000, leaders: int = 32) -> DataFrame:
@@ -427,7 +429,7 @@ def jaccard_classes(docs: DataFrame, block: int = 1000, leaders: int = 32) -> Da
     Repeated rows each give a row, and an id with several texts one for each; a row with a null id is never the smallest of its
     component, and links like any other. Null and empty texts and texts without words have no shingle and their own id as component.
     """
-    found = materialize(set_components(docs, block, leaders), "components-by-row")
+    found = set_components(docs, block, leaders)
     least = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = found.join(least, "comp", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

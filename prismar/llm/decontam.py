@@ -185,8 +185,8 @@ def _merge(a: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (word offsets, merged), items (ascending ids) for each row of `docs`.
+def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_bytes: int = 8 << 20, shard_bytes: int = 16 << 20, with_key: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, spans (word offsets, merged), items (ascending ids) for each row of `docs`; with_key: and row, its key.
 
     No shuffle while the test items fit one block. More blocks are searched one after the other, and the spans of a row are
     merged by a key of the row. Null texts have no words; items without words or with a null id are never found; repeated rows each give a row.
@@ -218,7 +218,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_byte
     first = next(stream)
     rest = next(stream, None)
     if rest is None:
-        return one(spark.sparkContext.broadcast(first), False)
+        return one(spark.sparkContext.broadcast(first), with_key)
     parts = []
     for block in chain([first, rest], stream):  # one block at a time is held by the driver and the executors
         shared = spark.sparkContext.broadcast(block)
@@ -233,9 +233,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_byte
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = [_merge([(x["start"], x["end"]) for x in s]) for s in batch.column("spans").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), batch.column("items")], ["doc_id", "n_words", "n_hit", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*([batch.column("row")] * with_key), batch.column("doc_id"), batch.column("n_words"), pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), batch.column("items")], [*(["row"] * with_key), "doc_id", "n_words", "n_hit", "spans", "items"])
 
-    return grouped.select("doc_id", "n_words", F.explode(F.array_repeat(F.struct("spans", "items"), F.col("n").cast("int"))).alias("x")).select("doc_id", "n_words", "x.spans", "x.items").mapInArrow(merge, HITS)
+    each = grouped.select("row", "doc_id", "n_words", F.explode(F.array_repeat(F.struct("spans", "items"), F.col("n").cast("int"))).alias("x"))
+    return each.select("row", "doc_id", "n_words", "x.spans", "x.items").mapInArrow(merge, "row long, " * with_key + HITS)
 
 
 def is_contaminated(n_hit="n_hit", n_words="n_words"):
@@ -251,10 +252,10 @@ def digest(hits: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` without the rows that the contamination rule rejects; other rows and columns are left as they are.
 
-    A doc_id of which any row is contaminated goes with all its rows.
+    Rows go by id and text: another text of the same id, or without an id, stays.
     """
-    bad = materialize(find_hits(docs, benchmark, **options).where(is_contaminated()).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = materialize(find_hits(docs, benchmark, with_key=True, **options).where(is_contaminated()).select("row").distinct(), "contaminated")
+    return docs.join(bad, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("binary")) == bad["row"], "left_anti")
 
 
 __all__ = ["FMIndex", "Phrases", "WaveletMatrix", "digest", "find_hits", "item_words", "remove_contaminated", "shard_hits", "suffix_array"]

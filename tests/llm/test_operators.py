@@ -120,6 +120,9 @@ def test_decontamination(spark, docs, none, block):
     got = rows(decontam.digest(decontam.find_hits(docs, bench, block_bytes=block)))
     assert sorted((r["doc_id"] or 0, *(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))) for r in got) == sorted(want)
     assert rows(decontam.find_hits(none, bench)) == []
+    texts = [(None, BENCH[0][1]), (None, "clean text"), (1, BENCH[0][1]), (1, "another clean text"), (1, BENCH[0][1]), (2, None)]
+    left = rows(decontam.remove_contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench, block_bytes=block))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in left) == collections.Counter([(None, "clean text"), (1, "another clean text"), (2, None)])
     assert all(not r["n_hit"] for r in rows(decontam.find_hits(docs, bench.where("false"))))
 
 

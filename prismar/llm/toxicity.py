@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,8 +92,10 @@ def unit_counts(train: DataFrame) -> DataFrame:
     return words.withColumn("kind", F.lit("w")).unionByName(heads.withColumn("kind", F.lit("p")))
 
 
-def log_odds(units: DataFrame, prior: float) -> DataFrame:
-    """Log-odds with an informative Dirichlet prior, `prior` times the counts of the whole corpus, and their z-scores."""
+def log_odds(units: DataFrame, prior: float, effect: float) -> DataFrame:
+    """Log-odds with an informative Dirichlet prior, `prior` times the counts of the whole corpus, and their z-scores over `effect`: how
+    surely a unit's odds are more than e^effect times as high in toxic documents. A bound on z over 0 alone would let ever weaker
+    units in as the sample grows."""
     total = {r.kind: r for r in units.groupBy("kind").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()}
     if not total or not total["w"].t or not total["w"].c:
         return units.withColumn("delta", F.lit(0.0)).withColumn("z", F.lit(0.0)).where("false")
@@ -101,7 +104,7 @@ def log_odds(units: DataFrame, prior: float) -> DataFrame:
     a = prior * (F.col("t") + F.col("c"))
     t, c, more = F.col("t") + a, F.col("c") + a, prior * (t_all + c_all)
     delta = F.log(t / (t_all + more - t)) - F.log(c / (c_all + more - c))
-    return units.withColumn("delta", delta).withColumn("z", delta / F.sqrt(1 / t + 1 / c))
+    return units.withColumn("delta", delta).withColumn("z", (delta - effect) / F.sqrt(1 / t + 1 / c))
 
 
 class Model:
@@ -128,41 +131,51 @@ class Model:
         return 1 / (1 + math.exp(-(self.bias + self.slope * x)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000, prior: float = 0.05, rate: float = 0.1, least_z: float = 3.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 200_000, prior: float = 0.05, rate: float = 0.1, effect: float = 1.0, least_z: float = 2.0) -> Model:
     """Learn from at most `max_labelled` labelled documents outside the held-out fold (a documented bound of the fitted model; scoring covers
-    all rows). The lexicon has every unit of theirs whose z is `least_z` or more, so that sample bounds its size too."""
+    all rows). The lexicon has every unit of theirs whose z over `effect` is `least_z` or more, so that sample bounds its size too.
+
+    The background of the extreme-value statistics is how often each word score turns up in the clean documents, counted by token, and how many
+    segments they have.
+    """
     train = training_rows(docs, labels, "toxic", FOLDS, HELD, max_labelled)
-    units = log_odds(unit_counts(train), prior).where(F.col("z") >= least_z)
-    top = units.collect()
+    top = log_odds(unit_counts(train), prior, effect).where(F.col("z") >= least_z).collect()
     gain = lambda d: math.log((1 - rate) + rate * math.exp(min(d, 30.0)))
     words = {r.unit.encode(): g for r in top if r.kind == "w" and (g := gain(r.delta)) > 0}
     prefixes = {r.unit: g for r in top if r.kind == "p" and (g := gain(r.delta)) > 0}
-    neutral = math.log(1 - rate)
-    # how often each gain turns up in clean text: a clean document in so many, spread over its words
-    clean = [(gain(r.delta), r.c + 0.1) for r in top if r.kind == "w" and gain(r.delta) > 0]
     model = Model(words, prefixes, rate, 1.0, 0.1)
     spark = docs.sparkSession
+    lexicon_only, kinds = spark.sparkContext.broadcast(model), pa.schema([("score", pa.float64()), ("tokens", pa.int64()), ("segments", pa.int64())])
+
+    def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen, segments = lexicon_only.value, Counter(), 0
+        lexicon = own.lexicon()
+        for batch in slices(batches, "text"):
+            for text in batch.column("text"):
+                scores = np.fromiter(map(lexicon.__getitem__, item_words(text.as_py())), float)
+                hot = np.round(scores[scores > 0], 2)
+                seen.update(dict(zip(*(x.tolist() for x in np.unique(hot, return_counts=True)))))
+                seen[own.neutral] += len(scores) - len(hot)
+                segments += len(maximal_segments(scores))
+            lexicon.trim()
+        yield pa.RecordBatch.from_pydict({"score": list(seen), "tokens": list(seen.values()), "segments": [segments, *[0] * (len(seen) - 1)] if seen else []}, kinds)
+
+    clean = train.where("y = 0").mapInArrow(background, "score double, tokens long, segments long").groupBy("score").agg(F.sum("tokens").alias("tokens"), F.sum("segments").alias("segments")).collect()  # a row for each hundredth
+    tokens, segments = sum(r.tokens for r in clean) or 1, sum(r.segments for r in clean)
+    model.lam = _lambda([(r.score, (r.tokens + 0.01) / tokens) for r in clean if r.score > 0] or [(1.0, 0.01 / tokens)], model.neutral)
+    least = min((r.score for r in clean if r.score > 0), default=1.0)
+    model.k = (segments + 0.5) / (tokens * math.exp(-model.lam * least))
+    shared = spark.sparkContext.broadcast(model)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        lexicon = own.lexicon()
+        for batch in slices(batches, "text"):
+            x = [round(own.segments(lexicon, t.as_py())[1], 1) for t in batch.column("text")]
+            lexicon.trim()
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column("y")], ["x", "y"])
 
-    def features(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            lexicon = own.lexicon()
-            for batch in slices(batches, "text"):
-                got = [own.segments(lexicon, t.as_py()) for t in batch.column("text")]
-                lexicon.trim()
-                yield pa.RecordBatch.from_pydict({"x": [round(g[1], 1) for g in got], "y": batch.column("y").to_pylist(), "hit": [bool(g[0]) for g in got], "n": [g[2] for g in got]}, pa.schema([("x", pa.float64()), ("y", pa.int32()), ("hit", pa.bool_()), ("n", pa.int64())]))
-        return run
-
-    def seen(with_model: Model) -> list:
-        shared = spark.sparkContext.broadcast(with_model)
-        return train.mapInArrow(features(shared), "x double, y int, hit boolean, n long").groupBy("x", "y", "hit").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).collect()  # at most a row for each tenth up to 40
-
-    background = seen(model)
-    tokens = sum(r.n for r in background if not r.y) or 1
-    model.lam = _lambda([(g, p / tokens) for g, p in clean], neutral)
-    least = min((g for g, _ in clean), default=1.0)
-    model.k = (sum(r.docs for r in background if not r.y and r.hit) + 0.5) / (tokens * math.exp(-model.lam * least))
-    rows = seen(model)
+    rows = train.mapInArrow(features, "x double, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("docs")).collect()  # at most a row for each tenth up to 40
     model.bias, model.slope = _logistic([(r.x, int(bool(r.y)), r.docs) for r in rows])
     return model
 

@@ -472,6 +472,22 @@ def labelled(spark, n=400):
     return spark.createDataFrame(docs + [(9000, None), (9001, "")], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_weak_words_make_nothing_toxic(spark):
+    """Words that are a little more frequent in toxic documents, in a sample that makes them significant, are no evidence."""
+    from prismar.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    docs, labels = [], []
+    for i in range(4000):
+        toxic = i % 5 == 0
+        words = [f"w{k}" for k in rng.integers(0, 60, 30)] + [f"weak{k}" for k in range(25) if rng.random() < (0.45 if toxic else 0.3)]
+        docs.append((i, " ".join([*words, *(["vile", "rotten"] if toxic else [])])))
+        labels.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = {r["doc_id"]: r["toxic"] for r in rows(labels)}
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in rows(toxicity.score_toxicity(docs, labels)) if r["held_out"]]) > 0.99
+
+
 @pytest.mark.parametrize("what", ["toxic", "quality"])
 def test_classifiers_hold_out_well(spark, none, what):
     from prismar.llm import quality, toxicity
@@ -517,19 +533,19 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     from tokenizers import Tokenizer
 
     rng = np.random.default_rng(12)
-    base, labels = labelled(spark, 60)
+    base, labels = labelled(spark, 160)
     texts = {r["doc_id"]: r["text"] for r in rows(base)}
     words = lambda n: [f"z{k}" for k in rng.integers(0, 500, n)]
     lines = lambda n, w=7: "\n".join(" ".join(words(w)) for _ in range(n))
     passage, long = lines(9), lines(12)
-    for k in range(100, 112):
+    for k in range(1100, 1112):
         texts[k] = lines(6) + ("\n" + passage if k % 3 == 0 else "") + "\n" + lines(4)
-    texts |= {120: long, 121: long, 122: long + "\nmore", 123: long.replace("z", "Z", 5)}
+    texts |= {1120: long, 1121: long, 1122: long + "\nmore", 1123: long.replace("z", "Z", 5)}
     one = words(60)
-    for k in range(130, 138):  # single long lines, near copies of one another
+    for k in range(1130, 1138):  # single long lines, near copies of one another
         one = [*one[:10], f"new{k}", *one[11:]]
         texts[k] = " ".join(one)
-    texts |= {140: "start " + BENCH[0][1] + " end", 141: " ".join(words(400)) + " " + BENCH[0][1], 142: None, 143: "", 144: "one two"}
+    texts |= {1140: "start " + BENCH[0][1] + " end", 1141: " ".join(words(400)) + " " + BENCH[0][1], 1142: None, 1143: "", 1144: "one two"}
     spark.createDataFrame([(i, t, 0 if t is None else len(t)) for i, t in texts.items()], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

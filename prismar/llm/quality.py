@@ -23,7 +23,7 @@ from prismar.llm.common import slices
 from prismar.llm.labelled import scored, training_rows
 
 FOLDS, HELD = 3, 1
-WORDS, RARE, SHAPES, DIMS, ONES = 1 << 14, 1024, 1024, 64, 8
+WORDS, RARE, SHAPES, DIMS, ONES = 1 << 14, 1024, 1024, 64, 4
 BLOCKS = 64
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
@@ -47,7 +47,7 @@ class Units(dict):
         value = self[token] = (len(self.own) + key % RARE if word is None else word) * SHAPES + shape
         return value
 
-    def trim(self, limit: int = 300_000) -> None:
+    def trim(self, limit: int = 600_000) -> None:
         if len(self) > limit:
             self.clear()
 
@@ -114,8 +114,8 @@ def unit_vectors(docs: DataFrame, listed: np.ndarray) -> np.ndarray:
     n = words + SHAPES
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, sums = Units(listed), np.zeros((n, DIMS))
-        index = index_vectors(words), index_vectors(SHAPES)
+        units, sums, shapes = Units(listed), np.zeros((words, DIMS)), np.zeros(SHAPES * SHAPES)
+        index = index_vectors(words)
         for batch in slices(batches, "text"):
             pairs: list[list] = [[], [], [], []]
             for t in batch.column("text"):
@@ -124,8 +124,10 @@ def unit_vectors(docs: DataFrame, listed: np.ndarray) -> np.ndarray:
                     pairs[2 * k + 1].append(own[1:])
             units.trim()
             a, b, c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in pairs)
-            sums[:words] += context_sums(a, b, words, *index[0])
-            sums[words:] += context_sums(c, d, SHAPES, *index[1])
+            sums += context_sums(a, b, words, *index)
+            shapes += np.bincount(c * SHAPES + d, minlength=SHAPES * SHAPES)
+        shapes = shapes.reshape(SHAPES, SHAPES)
+        sums = np.concatenate([sums, (shapes + shapes.T) @ dense_index(SHAPES)])
         salt = TaskContext.get().partitionId() % 64
         for k, part in enumerate(np.array_split(sums, BLOCKS)):
             yield pa.RecordBatch.from_pydict({"block": [k], "salt": [salt], "sums": [zlib.compress(part.astype("<i4").tobytes(), 1)]}, kind)
@@ -153,20 +155,22 @@ class Pooler:
     """A text's features: mean word vector, mean shape vector, mean shape index vector, and five numbers on length and repetition."""
 
     def __init__(self, listed: np.ndarray, vectors: np.ndarray):
-        self.units, self.words, self.shapes, self.index = Units(listed), vectors[:-SHAPES], vectors[-SHAPES:], dense_index(SHAPES)
+        self.units, self.words = Units(listed), vectors[:-SHAPES]
+        self.both = np.concatenate([vectors[-SHAPES:], dense_index(SHAPES)], axis=1).astype(float)
 
     def features(self, texts: list[bytes | None]) -> np.ndarray:
-        out = np.zeros((len(texts), 3 * DIMS + 5), np.float32)
+        mean, extra = np.zeros((len(texts), DIMS), np.float32), np.zeros((len(texts), 5), np.float32)
+        count = np.zeros((len(texts), SHAPES))  # in double, so that a row's place in a batch doesn't show
         for i, t in enumerate(texts):
             words, shapes = self.units.of(t)
             if n := len(words):
-                count = np.bincount(shapes, minlength=SHAPES).astype(np.float32) / n
+                count[i] = np.bincount(shapes, minlength=SHAPES) / n
+                used, times = np.unique(words, return_counts=True)
+                mean[i] = sum(times[a : a + 4096].astype(np.float32) @ self.words[used[a : a + 4096]] for a in range(0, len(used), 4096)) / n
                 lines = [x for x in t.split(b"\n") if x]
-                mean = sum(self.words[words[a : a + 8192]].sum(axis=0, dtype=np.float64) for a in range(0, n, 8192)) / n
-                extra = (np.log1p(n), len(np.unique(words)) / n, len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)), len(t) / n / 10)
-                out[i] = np.concatenate([mean, count @ self.shapes, count @ self.index, extra])
+                extra[i] = (np.log1p(n), len(used) / n, len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)), len(t) / n / 10)
         self.units.trim()
-        return out
+        return np.concatenate([mean, (count @ self.both).astype(np.float32), extra], axis=1)
 
 
 def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 7) -> dict:
@@ -235,8 +239,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
         listed, vectors, model = shared.value
         pooler = Pooler(listed, vectors)
         for batch in slices(batches, "text"):
-            x = pooler.features([t.as_py() for t in batch.column("text")])
-            p = 1 / (1 + np.exp(-np.clip(logits(model, x).astype(float), -30, 30))) if model else np.full(len(x), 0.5)
+            x = pooler.features([t.as_py() for t in batch.column("text")]).astype(float)
+            p = np.round(1 / (1 + np.exp(-np.clip(logits(model, x), -30, 30))), 9) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 
     return scored(docs, FOLDS, HELD, lambda rows: rows.mapInArrow(run, "doc_id long, score double"))

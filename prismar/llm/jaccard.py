@@ -200,19 +200,30 @@ def candidate_edges(sets: DataFrame, levels, parts: int, bits: int) -> DataFrame
     return dealt.mapInArrow(pair, "a long, b long")
 
 
-def class_bitmap(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each hash of the classes in `nodes` (column node); its size is `bits`, whatever they are."""
+def class_bitmap(nodes: DataFrame, bits: int, parts: int = 64) -> np.ndarray:
+    """A bit for each hash of the classes in `nodes` (column node). Tasks' bitmaps are joined by part, so that the driver gets `bits` bits in all."""
+    kind = pa.schema([("part", pa.int32()), ("bits", pa.binary())])
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             h = mix64(batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(bits)
             np.bitwise_or.at(out, (h >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (h & np.uint64(7)).astype(np.uint8)))
-        yield pa.RecordBatch.from_pydict({"k": [0], "bits": [zlib.compress(out.tobytes(), 1)]}, pa.schema([("k", pa.int32()), ("bits", pa.binary())]))
+        for k, own in enumerate(np.split(out, parts)):
+            if own.any():
+                yield pa.RecordBatch.from_pydict({"part": [k], "bits": [zlib.compress(own.tobytes(), 1)]}, kind)
 
-    out = np.zeros(bits // 8, np.uint8)
-    for r in nodes.select("node").mapInArrow(mark, "k int, bits binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    return out
+    def join(key: tuple, found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(bits // 8 // parts, np.uint8)
+        for batch in found:
+            for own in batch.column("bits"):
+                out |= np.frombuffer(zlib.decompress(own.as_py()), np.uint8)
+        yield pa.RecordBatch.from_pydict({"part": [key[0].as_py()], "bits": [zlib.compress(out.tobytes(), 1)]}, kind)
+
+    out = np.zeros((parts, bits // 8 // parts), np.uint8)
+    for r in nodes.select("node").mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(join, "part int, bits binary").collect():
+        out[r.part] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    return out.ravel()
 
 
 class SetIndex:
@@ -386,7 +397,7 @@ def class_links(sets: DataFrame, block: int, leaders: int, room: int = 1 << 20)
             new = [k for k in np.flatnonzero(hit).tolist() if not (cid[k] in seen or seen.add(cid[k]))]  # copies are sent once
             yield batch.take(pa.array(new, pa.int64()))
 
-    picked = sets.where("n > 0").select("cid", "n", "shingles").mapInArrow(pick, "cid long, n long, shingles binary").join(members, "cid")
+    picked = sets.where("n > 0").select("cid", "n", "shingles").mapInArrow(pick, "cid long, n long, shingles binary").join(members.hint("merge"), "cid")
     picked = materialize(picked, "member-sets")  # a class may come from several tasks
     size = picked.select("comp", "cid", "n").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / room)).cast("int").alias("blocks"))
     size = materialize(size, "group-sizes")
@@ -445,6 +456,6 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     same = lambda d, m: d["doc_id"].cast("long").eqNullSafe(m["__id"]) & (F.xxhash64(d["text"]) == m["__th"])
     keys = lambda m: m.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
     goes, many = keys(marked.where("not stays or copies > 1")), keys(marked.where("stays and copies > 1"))
-    left = docs.join(goes, same(docs, goes), "left_anti")
+    left = docs.join(goes.hint("merge"), same(docs, goes), "left_anti")
     again = docs.join(many, same(docs, many)).dropDuplicates(["__id", "__th"]).select(docs.columns)
     return left.unionByName(again)

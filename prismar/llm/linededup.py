@@ -180,7 +180,8 @@ def joined(ranges: list[tuple[int, int]]) -> list[dict]:
 def _rewritten(docs: DataFrame, min_words: int) -> DataFrame:
     """`docs` with the new text, __lines, __removed and __blocks."""
     found = materialize(shared_blocks(docs.select("doc_id", "text"), min_words), "shared-blocks").toDF("__id", "__h", "__gone", "__blocks")
-    both = docs.join(found, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == found["__id"]) & (F.xxhash64(docs["text"]) == found["__h"]), "left")
+    # a merge join at every size, since the blocks grow with the texts
+    both = docs.join(found.hint("merge"), (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == found["__id"]) & (F.xxhash64(docs["text"]) == found["__h"]), "left")
     parts, gone = F.split("text", "\n", -1), F.col("__gone")
     starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g["last"] + 1))
     ends = F.concat(F.transform(gone, lambda g: g["first"]), F.array(F.size(parts)))

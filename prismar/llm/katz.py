@@ -403,14 +403,14 @@ def katz_scores(docs: DataFrame, vocab_limit: int = LIMIT, pairs_per_group: int
     discard(words)
     far = FarPairs(coded, vocabulary, d1, total_safe, log_unseen, parts)
     sums = history_sums(pairs, vocabulary).unionByName(far.history_sums())
-    stats = materialize(sums.groupBy("v").agg(*(F.sum(n).alias(n) for n in NAMES)), "histories").toArrow()  # a row for each listed word at most
-    column = {n: stats.column(n).to_numpy() for n in ["v", *NAMES]}
-    more = far.counts_of_counts()
-    d2 = discounts({r: int(column[f"f{r}"].sum()) + more.get(r, 0) for r in range(1, CUT + 2)})
-    n_v = column["big"] + sum(r * column[f"f{r}"] for r in range(1, CUT + 1))
-    scale, weight = given_up(n_v, n_v - sum(r * (1 - d2[r]) * column[f"f{r}"] for r in range(1, CUT + 1)), column["mass"])
+    stats = materialize(sums.groupBy("v").agg(*(F.sum(n).alias(n) for n in NAMES)), "histories")
+    more, seen = far.counts_of_counts(), stats.agg(*(F.sum(f"f{r}").alias(f"f{r}") for r in range(1, CUT + 2))).first()
+    d2 = discounts({r: int(seen[f"f{r}"] or 0) + more.get(r, 0) for r in range(1, CUT + 2)})
+    weights = history_weights(stats, d2).toArrow()  # a row for each listed word at most
     own_tables = {k: np.zeros(own.start + 1) for k in ("log_n", "log_weight")}
-    own_tables["log_n"][column["v"]], own_tables["log_weight"][column["v"]] = np.log10(scale / n_v), np.log10(weight)
+    for k, x in own_tables.items():
+        x[weights.column("v").to_numpy()] = weights.column(k).to_numpy()
+    del weights
     hot = frequent_pairs(pairs, max(1, math.ceil(hot_share * total_safe))).toArrow()  # 1 / hot_share pairs at most
     v, w, c = (hot.column(n).to_numpy() for n in ("v", "w", "c"))
     order = np.argsort((v << 20) | w)
@@ -538,6 +538,18 @@ class FarPairs:
         return both.groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("score").alias("more_score"), F.sum("known").alias("more_known"))
 
 
+def history_weights(stats: DataFrame, d2: np.ndarray) -> DataFrame:
+    """v, log_n (what a discounted count is worth), log_weight (of the lower order) of the summed histories."""
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {n: batch.column(n).to_numpy() for n in NAMES}
+            n = x["big"] + sum(r * x[f"f{r}"] for r in range(1, CUT + 1))
+            scale, weight = given_up(n, n - sum(r * (1 - d2[r]) * x[f"f{r}"] for r in range(1, CUT + 1)), x["mass"])
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(np.log10(scale / np.maximum(n, 1))), pa.array(np.log10(weight))], ["v", "log_n", "log_weight"])
+
+    return stats.mapInArrow(weigh, "v long, log_n double, log_weight double")
+
+
 def given_up(n: np.ndarray, seen: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scale of the discounted counts, and the weight of the lower order, for histories of n tokens whose discounted counts add up to `seen`.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prismar.llm import decontam, jaccard, katz, linededup, packing, quality, tokens, topk, toxicity, warc
+from prismar.llm import decontam, jaccard, katz, linededup, packing, pieces, quality, tokens, topk, toxicity, warc
 from prismar.llm.common import table
 from prismar.llm.oracles import ORACLES
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +50,10 @@ def op10_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_warc, op4_jaccard, op5_topk, op6_katz, op7_linededup, op8_quality, op9_toxicity, op10_tokencounts)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.round_trip(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_warc, op4_jaccard, op5_topk, op6_katz, op7_linededup, op8_quality, op9_toxicity, op10_tokencounts, op11_sentencepiece)}
 
 __all__ = ["ORACLES", "QUERIES"]

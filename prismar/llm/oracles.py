@@ -63,4 +63,20 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scores QUALIFY rank <= 10
 """
 
-ORACLES = {"op2_decontamination": OP2, "op3_warc": OP3, "op4_jaccard": OP4, "op5_topk": OP5}
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_ITEM_WORDS} AS w FROM documents),
+counts AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) GROUP BY 1, 2),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+items AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_ITEM_WORDS}) AS term FROM benchmark WHERE item_id IS NOT NULL)),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM counts, whole WHERE term IN (SELECT term FROM items) GROUP BY term),
+lengths AS (SELECT row, doc_id, 50 + (50 * len(w) * docs) // total AS m FROM d, whole WHERE len(w) > 0),
+scores AS (
+  SELECT item_id, row, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (row) GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scores JOIN lengths USING (row) WHERE score > 0 QUALIFY rank <= 50
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op3_warc": OP3, "op4_jaccard": OP4, "op5_topk": OP5, "op13_search": OP13}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prismar.llm import decontam, jaccard, katz, lexical, linededup, packing, pieces, quality, tokens, topk, toxicity, warc
+from prismar.llm import conversations, decontam, jaccard, katz, lexical, linededup, packing, pieces, quality, tokens, topk, toxicity, warc
 from prismar.llm.common import table
 from prismar.llm.oracles import ORACLES
 from pyspark.sql import DataFrame, SparkSession
@@ -54,10 +54,14 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.round_trip(table(spark, sf_dir, "documents")))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_warc, op4_jaccard, op5_topk, op6_katz, op7_linededup, op8_quality, op9_toxicity, op10_tokencounts, op11_sentencepiece, op13_search)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_decontamination, op3_warc, op4_jaccard, op5_topk, op6_katz, op7_linededup, op8_quality, op9_toxicity, op10_tokencounts, op11_sentencepiece, op12_conversations, op13_search)}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -9,8 +9,9 @@ That holds for any scores, equal ones too: inside a chain merges happen in the o
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -37,7 +38,7 @@ class PrefixEncoder:
     generations. Models with user-defined or unused pieces, or with a letter in a piece that is no piece itself, are refused.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 100_000, longest: int = 64):
         import ahocorasick
         import sentencepiece
 
@@ -158,7 +159,7 @@ def encode(docs: DataFrame, model: str | None = None, end: bool = True) -> DataF
     Null and empty texts have the end id alone; repeated rows each give a row; texts of any length are encoded whole, in memory that grows with the
     text; other columns are ignored. Each row is worked out by itself, so nothing is shuffled and no row is anyone's hot key.
     """
-    return _run(docs, model or model_path(), end, False)
+    return _run(docs, model, end, "ids array<int>", lambda own, ids: [pa.array(ids, pa.list_(pa.int32()))])
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -176,24 +177,27 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, ids, decoded: encode() with the end id and decode() in one pass; rows as there."""
-    return _run(docs, model or model_path(), True, True)
+    return _run(docs, model, True, "ids array<int>, decoded string", lambda own, ids: [pa.array(ids, pa.list_(pa.int32())), pa.array(map(own.decode, ids), pa.string())])
 
 
-def _run(docs: DataFrame, path: str, end: bool, decoded: bool) -> DataFrame:
+def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of round_trip(), worked out where the ids are, so that only digests leave the task."""
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+
+    def finish(own, ids: list[list[int]]) -> list[pa.Array]:
+        return [pa.array(map(len, ids), pa.int64()), pa.array([sha(" ".join(map(str, i))) for i in ids]), pa.array([sha(own.decode(i)) for i in ids])]
+
+    return _run(docs, model, True, "n_tokens long, ids_sha256 string, decoded_sha256 string", finish)
+
+
+def _run(docs: DataFrame, model: str | None, end: bool, columns: str, finish: Callable[[object, list[list[int]]], list[pa.Array]]) -> DataFrame:
+    """doc_id and the `columns` that `finish` makes of the decoder and the ids of some rows."""
+    path, names = model or model_path(), ["doc_id", *(c.split()[0] for c in columns.split(", "))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         tail = [own.model.eos_id()] if end else []
         for batch in slices(batches, "text", 1 << 20):
-            ids = [own.encode(t or "") + tail for t in batch.column("text").to_pylist()]
-            columns = {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))}
-            if decoded:
-                columns["decoded"] = pa.array(map(own.model.decode, ids), pa.string())
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decoded)
-
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *finish(own.model, [own.encode(t or "") + tail for t in batch.column("text").to_pylist()])], names)
 
-def digest(trips: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of round_trip()."""
-    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return trips.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {columns}")

@@ -79,4 +79,48 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 FROM scores JOIN lengths USING (row) WHERE score > 0 QUALIFY rank <= 50
 """
 
-ORACLES = {"op2_decontamination": OP2, "op3_warc": OP3, "op4_jaccard": OP4, "op5_topk": OP5, "op13_search": OP13}
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ord(c)::BIGINT FOR c IN string_split(k, '')]),
+  lambda h, c: list_reduce([xor(h, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+OP12 = f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS kind
+  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations)),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM raw WHERE kind <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS initial, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS body FROM damaged),
+marked AS (
+  SELECT *, body = '' AS blank, body <> '' AND min(i) OVER (PARTITION BY conv_id, role, text) < i AS duplicate,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+turns AS (SELECT *, NOT blank AND NOT duplicate AND right(body, 1) NOT IN ('.', '!', '?') AS truncated FROM marked),
+steps(s, initial, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+edits(s, initial, letter, t, price, role) AS (
+  SELECT s, initial, 'K', t, 0, NULL FROM steps
+  UNION ALL SELECT s, NULL, 'R', t, 3, CASE initial WHEN 'u' THEN 'user' ELSE 'assistant' END FROM steps WHERE initial <> 's'
+  UNION ALL SELECT unnest(range(4))::INTEGER AS s, NULL, 'D', unnest(range(4))::INTEGER, 4, NULL),
+inserts(s, t, letters, lines) AS (VALUES
+  (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']), (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']),
+  (2, 3, 'I', ['assistant:']), (0, 3, 'II', ['user:', 'assistant:']), (1, 3, 'II', ['user:', 'assistant:'])),
+best(conv_id, i, s, way) AS (
+  SELECT c.conv_id, 0::BIGINT, n.t, {{'cost': 3 * len(n.letters), 'audit': n.letters, 'lines': n.lines}}
+  FROM (SELECT DISTINCT conv_id FROM turns) c, inserts n WHERE n.s = 0
+  UNION ALL
+  SELECT b.conv_id, b.i + 1, n.t, min({{
+    'cost': b.way.cost + e.price + CASE WHEN r.truncated AND e.letter <> 'D' THEN 3 ELSE 0 END + 3 * len(n.letters), 'audit': b.way.audit || e.letter || n.letters,
+    'lines': b.way.lines || CASE e.letter WHEN 'D' THEN []::VARCHAR[] ELSE [coalesce(e.role, r.role) || ':' || r.text] END || n.lines}})
+  FROM best b JOIN turns r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1
+    JOIN edits e ON e.s = b.s AND (e.letter = 'D' OR NOT (r.blank OR r.duplicate)) AND (e.letter <> 'K' OR e.initial = r.initial)
+    JOIN inserts n ON n.s = e.t GROUP BY 1, 2, 3),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY 1),
+ends AS (SELECT b.conv_id, min(b.way) AS way FROM best b JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.n = b.i WHERE b.s IN (0, 3) GROUP BY 1)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(way.cost, 0)::BIGINT AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(array_to_string(way.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op3_warc": OP3, "op4_jaccard": OP4, "op5_topk": OP5, "op12_conversations": OP12, "op13_search": OP13}

@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from prismar.functions.vectors import cosine_similarity, euclidean_distance, l2_normalize
-from prismar.operators.search import matrix, score_search
+from prismar.operators import rangefinder
+from prismar.operators.cuts import cut
+from prismar.operators.search import knn_join, matrix
 from prismar.sources.media import FeatureAbsent
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-SAMPLE, FIT_ROWS, WIDE = 5000, 2048, 4096
+SAMPLE = 5000
 
 
 def kmeans(items: DataFrame, k: int, seed: int = 0) -> DataFrame:
@@ -114,69 +116,28 @@ def fallback_name(name, cluster_id):
     return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.concat(F.lit("C"), cluster_id.cast("string")))
 
 
-def compress(items: DataFrame, dims: int, vector: str = "embedding", fit_rows: int = FIT_ROWS):
+def compress(items: DataFrame, dims: int, vector: str = "embedding", extra: int | None = None):
     """(item_id, compressed), model (a dims x width matrix of components, and the mean), retained variance; vectors as they are, and no
     model, where there are no more than `dims` items.
 
-    The covariance of vectors of up to WIDE places is summed over all rows, a batch at a time, in bands that tasks add up apart. Of wider
-    ones, whose covariance no machine could hold, the components are those of at most `fit_rows` rows (a documented bound of the
-    fit; 2048 rows of 41,000 places are 340 MB in double), by the rows' Gram matrix in one task. All rows are projected.
+    All rows of any width are fitted, in two passes (see rangefinder), and projected in a third, whose rows are written. `extra`: directions that the fit keeps beyond `dims`.
     """
     rows = items.where(F.col(vector).isNotNull()).select("item_id", F.col(vector).cast("array<double>").alias("v"))
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if n <= dims:
         return rows.select("item_id", F.col("v").alias("compressed")), None, 1.0
-    model = narrow_components(rows, dims, n, width) if width <= WIDE else wide_components(sample(rows, fit_rows), dims)
-    kept = model.pop("kept")
-    return apply_compression(items, model, vector), model, kept
+    model = rangefinder.components(rows.select("v"), dims, width, n, extra)
+    whole = model.pop("variance")
+    model["components"] = _signed(model["components"])
+    out = cut(apply_compression(items, model, vector), "compressed")
+    kept = out.agg(F.sum(F.aggregate("compressed", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    return out, model, min(1.0, kept / whole) if whole > 0 else 1.0
 
 
-def narrow_components(rows: DataFrame, dims: int, n: int, width: int, bands: int = 64) -> dict:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, square = np.zeros(width), np.zeros((width, width))
-        for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column("v"), unit=False)
-                total, square = total + x.sum(axis=0), square + x.T @ x
-        cuts = np.array_split(np.vstack([square, total]), bands)
-        yield pa.RecordBatch.from_pydict({"band": list(range(len(cuts))), "sums": [c.ravel() for c in cuts]}, pa.schema([("band", pa.int32()), ("sums", pa.list_(pa.float64()))]))
-
-    def fold(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = 0
-        for batch in parts:
-            if batch.num_rows:
-                out = out + batch.column("sums").flatten().to_numpy().reshape(batch.num_rows, -1).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out], pa.list_(pa.float64()))], ["band", "sums"])
-
-    kind = "band int, sums array<double>"
-    found = sorted((r.band, r.sums) for r in rows.mapInArrow(add, kind).groupBy("band").applyInArrow(fold, kind).collect())  # width x width numbers
-    sums = np.concatenate([np.array(x) for _, x in found]).reshape(width + 1, width)
-    mean = sums[-1] / n
-    value, vector = np.linalg.eigh(sums[:-1] / n - np.outer(mean, mean))
-    return _signed(vector[:, ::-1][:, :dims].T, mean, float(value[::-1][:dims].sum() / max(value.sum(), 1e-300)))
-
-
-def wide_components(some: DataFrame, dims: int) -> dict:
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [matrix(b.column("v"), unit=False) for b in batches if b.num_rows]
-        if found:
-            x = np.concatenate(found)
-            mean = x.mean(axis=0)
-            x -= mean
-            value, vector = np.linalg.eigh(x @ x.T)
-            value, vector = value[::-1][:dims], vector[:, ::-1][:, :dims]
-            components = (x.T @ vector / np.sqrt(np.maximum(value, 1e-12))).T
-            yield pa.RecordBatch.from_arrays([pa.array([components.tobytes()]), pa.array([mean.tobytes()]), pa.array([float(value.sum() / max((x * x).sum(), 1e-300))])], ["components", "mean", "kept"])
-
-    r = some.repartition(1).mapInArrow(fit, "components binary, mean binary, kept double").first()
-    mean = np.frombuffer(r.mean)
-    return _signed(np.frombuffer(r.components).reshape(-1, len(mean)), mean, r.kept)
-
-
-def _signed(components: np.ndarray, mean: np.ndarray, kept: float) -> dict:
+def _signed(components: np.ndarray) -> np.ndarray:
     """The largest part of each component is positive, so that a fit gives the same signs each time."""
     sign = np.sign(components[np.arange(len(components)), np.abs(components).argmax(axis=1)])
-    return {"components": components * np.where(sign == 0, 1, sign)[:, None], "mean": mean, "kept": kept}
+    return components * np.where(sign == 0, 1, sign)[:, None]
 
 
 def apply_compression(items: DataFrame, model: dict, vector: str = "embedding") -> DataFrame:
@@ -193,14 +154,14 @@ def apply_compression(items: DataFrame, model: dict, vector: str = "embedding")
     return rows.mapInArrow(project, "item_id long, compressed array<double>")
 
 
-def gram_search(items: DataFrame, query: DataFrame, model: dict | None = None, feature: str = "gram") -> DataFrame:
-    """query_id, item_id, method, score: cosine with a stored feature. A query's full vector goes through the model that compressed the
-    stored ones; a table without the feature is an error."""
+def gram_search(items: DataFrame, queries: DataFrame, model: dict | None = None, feature: str = "gram", k: int = 20) -> DataFrame:
+    """query_id, rank, item_id, score: the k items of highest cosine of a stored feature for each query. A query's full vector goes through the
+    model that compressed the stored ones; a table without the feature is an error."""
     if feature not in items.columns:
         raise FeatureAbsent(f"the items have no {feature}")
     if model is not None:
-        query = apply_compression(query.withColumnRenamed("query_id", "item_id"), model, feature).toDF("query_id", feature)
-    return score_search(items, query, feature, cosine_similarity, feature)
+        queries = apply_compression(queries.withColumnRenamed("query_id", "item_id"), model, feature).toDF("query_id", feature)
+    return knn_join(items, queries, k, feature).select("query_id", "rank", "item_id", (1 - F.col("distance")).alias("score"))
 
 
 def layout(items: DataFrame, dims: int = 2) -> DataFrame:

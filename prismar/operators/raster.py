@@ -212,16 +212,6 @@ def gram(maps: DataFrame) -> DataFrame:
     return whole.select(F.col("item_id").cast("long").alias("item_id"), "p").mapInArrow(run, "item_id long, layer int, c1 int, c2 int, value double")
 
 
-def sparse_cosine(features: DataFrame, query_item: int, *axes: str) -> DataFrame:
-    """item_id, score: cosine of sparse features with one item's; axes name the place of a value."""
-    q = features.where(F.col("item_id") == query_item).select(*axes, F.col("value").alias("q"))
-    length = features.groupBy("item_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("len"))
-    own = length.where(F.col("item_id") == query_item).select(F.col("len").alias("qlen")).limit(1)
-    both = features.join(q, list(axes)).groupBy("item_id").agg(F.sum(F.col("value") * F.col("q")).alias("dot"))
-    joined = length.join(both, "item_id", "left").crossJoin(F.broadcast(own))
-    return joined.select("item_id", F.when(F.col("len") * F.col("qlen") > 0, F.coalesce("dot", F.lit(0.0)) / (F.col("len") * F.col("qlen"))).otherwise(0.0).alias("score"))
-
-
 def style_features(rasters: DataFrame, maps: DataFrame | None = None) -> DataFrame:
     """item_id, edge, lbp[, gram] as maps from place to value, joined by item; an item without feature maps has a null gram."""
     as_map = lambda df, key, name: df.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col("value").alias("v")))).alias(name))

@@ -7,6 +7,7 @@ import uuid
 from prismar.functions.vectors import distance_to_similarity
 from prismar.operators import points as P
 from prismar.operators.cuts import shared_dir
+from prismar.operators.sparse import sparse_top_k
 from prismar.registry import query, table
 from prismar.sources import media, sinks
 from pyspark.sql import Window
@@ -110,12 +111,11 @@ def g2(spark, sf_dir):
     return P.emd_top_k(p, p.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), 5)
 
 
-@query("K3", f"WITH h AS ({HIST}) SELECT b.item_id, round(sum(a.value * b.value), 6) + 0.0 AS score FROM h a JOIN h b USING (bin) WHERE a.item_id = 1 GROUP BY b.item_id")
+@query("K3", f"WITH h AS ({HIST}), i AS (SELECT DISTINCT item_id FROM h), d AS (SELECT a.item_id AS query_id, b.item_id, sum(a.value * b.value) AS dot FROM h a JOIN h b USING (bin) WHERE a.item_id % 50 = 0 GROUP BY ALL), s AS (SELECT q.item_id AS query_id, i.item_id, round(coalesce(dot, 0), 6) + 0.0 AS score FROM i q JOIN i ON q.item_id % 50 = 0 LEFT JOIN d ON d.query_id = q.item_id AND d.item_id = i.item_id) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, item_id, score FROM s) WHERE rank <= 20")
 def k3(spark, sf_dir):
     """Sparse unit histograms: the cosine is a sum over shared bins."""
-    h = P.histogram(pts(spark, sf_dir))
-    q = h.where("item_id = 1").select("bin", F.col("value").alias("q"))
-    return rounded(h.join(q, "bin").groupBy("item_id").agg(F.sum(F.col("value") * F.col("q")).alias("score")), "score")
+    h = P.histogram(pts(spark, sf_dir)).withColumnRenamed("bin", "place")
+    return sparse_top_k(h, h.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), 20)
 
 
 @query("K4", f"WITH m AS ({MOM}) SELECT item_id, round(1 - d / (max(d) OVER () + 1e-8), 6) + 0.0 AS score FROM (SELECT b.item_id, sqrt({' + '.join(f'(a.{n} - b.{n}) ** 2' for n in NAMES)}) AS d FROM m a, m b WHERE a.item_id = 1)")

@@ -242,24 +242,43 @@ def test_knn_in_small_tiles_and_blocks(spark):
     assert [(i, r, j) for i, r, j, _ in whole] == [(i, r + 1, j) for i in range(0, 110, 10) for r, j in enumerate(sorted(range(110), key=lambda j: (d[i, j], j))[:5])]
 
 
-def test_wide_vectors_are_compressed(spark, monkeypatch):
-    from prismar.operators import cluster
+def test_vectors_are_compressed(spark, monkeypatch):
+    from prismar.operators import cluster, rangefinder
 
     rng = np.random.default_rng(3)
     x = rng.normal(size=(40, 3)) @ rng.normal(size=(3, 30)) + 5
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<double>")
-    for wide in (4096, 10):
-        monkeypatch.setattr(cluster, "WIDE", wide)
-        out, model, kept = cluster.compress(df, 3)
+    for exact in (1024, 10):
+        monkeypatch.setattr(rangefinder, "EXACT", exact)
+        out, model, kept = cluster.compress(df, 3, extra=4)
         y = np.array([r.compressed for r in sorted(out.collect())])
         assert kept == pytest.approx(1) and np.allclose(((y[:, None] - y[None]) ** 2).sum(axis=2), ((x[:, None] - x[None]) ** 2).sum(axis=2))
     assert cluster.compress(df, 50)[1] is None
     stored = out.withColumnRenamed("compressed", "gram")
     query = df.where("item_id = 7").toDF("query_id", "gram")
-    score = {r.item_id: r.score for r in cluster.gram_search(stored, query, model).collect()}
-    assert max(score, key=score.get) == 7 and score[7] == pytest.approx(1)
+    best = sorted(cluster.gram_search(stored, query, model, k=3).collect(), key=lambda r: r.rank)
+    assert len(best) == 3 and best[0].item_id == 7 and best[0].score == pytest.approx(1)
     with pytest.raises(LookupError):
         cluster.gram_search(df, query)
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "item_id long, embedding array<double>")
+    flat, model, _ = cluster.compress(same, 2)
+    assert all(np.allclose(r.compressed, 0) for r in flat.collect())
+
+
+def test_range_finder_keeps_nearly_all_that_can_be_kept(spark):
+    from prismar.operators import cluster
+
+    rng = np.random.default_rng(4)
+    decay = 1 / (1 + np.arange(300)) ** 0.7
+    x = (rng.normal(size=(1200, 300)) * decay) @ np.linalg.qr(rng.normal(size=(5000, 300)))[0].T + 0.01 * rng.normal(size=(1200, 5000)) + rng.normal(size=5000)
+    df = spark.createDataFrame([(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)], "item_id long, embedding array<float>").repartition(5)
+    dims = 64
+    out, model, kept = cluster.compress(df, dims)
+    c = x - x.mean(axis=0)
+    whole = np.linalg.svd(c, compute_uv=False) ** 2
+    exact, y = whole[:dims].sum() / whole.sum(), np.array([r.compressed for r in out.collect()])
+    assert kept == pytest.approx(exact, rel=0.01) and (y * y).sum() / whole.sum() == pytest.approx(exact, rel=0.01)
+    assert np.allclose(model["components"] @ model["components"].T, np.eye(dims), atol=1e-8) and np.allclose(model["mean"], x.mean(axis=0), atol=1e-4)
 
 
 def test_palette_of_a_broken_item_has_a_reason(spark):

@@ -147,7 +147,7 @@ def c5(spark, sf_dir):
     return twins(spark, sf_dir).drop("query_id")
 
 
-@query("C5b")
+@query("C5b", f"WITH RECURSIVE near AS (SELECT q.vec_id AS a, e.vec_id AS b FROM embeddings e, embeddings q WHERE e.vec_id <> q.vec_id AND {D} <= 0.55e0), reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b) SELECT a AS item_id, min(b) AS comp FROM reach GROUP BY a")
 def c5b(spark, sf_dir):
     return groups.corpus_twins(items(spark, sf_dir), 0.55)
 

@@ -214,18 +214,42 @@ def test_unknown_modality_fails(spark):
     assert sorted((r.id, r.embedding) for r in encode.encode(some, encode.letter_counts("e"), "text").collect()) == [(1, None), (2, [2.0])]
 
 
-def test_corpus_twins_recall(spark):
+def test_corpus_twins_equal_all_pairs(spark):
     from prismar.operators import groups
 
     rng = np.random.default_rng(1)
-    base = rng.normal(size=(60, 16))
-    x = np.concatenate([base, base + 0.05 * rng.normal(size=base.shape), base[:20]])
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "item_id long, embedding array<double>")
-    got = {r.item_id: r.comp for r in groups.corpus_twins(df, 0.05).collect()}
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    links = np.argwhere(np.triu(1 - unit @ unit.T <= 0.05, 1))
-    assert len(got) == len(x) + 1 and np.mean([got[a] == got[b] for a, b in links.tolist()]) >= 0.9
-    assert all(got[i] == got[120 + i] for i in range(20)) and got[999] == 999
+    base = rng.normal(size=(150, 16))
+    dense = rng.normal(size=16) + 0.004 * rng.normal(size=(10_000, 16))  # all within the threshold of each other
+    chain = np.stack([np.cos(np.arange(60) * 0.3), np.sin(np.arange(60) * 0.3), *np.zeros((14, 60))], axis=1)  # a ring of links
+    x = np.concatenate([base, base + 0.05 * rng.normal(size=base.shape), base[:20], dense, chain, np.zeros((2, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99_999, None)], "item_id long, embedding array<double>").repartition(4)
+    got = {r.item_id: r.comp for r in groups.corpus_twins(df, 0.05, tile=256).collect()}
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    first = groups.closed(lambda i: (np.round(1 - unit @ unit[i], 9) <= 0.05) & (np.arange(len(x)) != i), len(x))
+    first[-2:] = [len(x) - 2, len(x) - 1]  # zero vectors: their two rows are equal, and so one class
+    assert {i: got[i] for i in range(len(x) - 2)} == dict(enumerate(first[:-2].tolist()))
+    assert got[len(x) - 1] == got[len(x) - 2] == len(x) - 2 and got[99_999] == 99_999
+
+
+def test_dense_cells_are_cut_into_tiles(spark):
+    from prismar.operators import groups
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=8) + 0.01 * rng.normal(size=(3000, 8)), rng.normal(size=(200, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, v array<double>")
+    reach = 0.3
+    pivots = groups.pivots_of(df, len(x), reach)
+    assert (np.sort(pivots[1] @ pivots[1].T, axis=1)[:, -2] < 1 - reach * reach / 8).all()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tiles = groups.deal(df, pivots, reach, 100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tiles.agg(F.max(F.size("ids")), F.sum(F.size("ids"))).first() == (100, len(x))
+    assert tiles.groupBy(F.shiftright("tile", 32)).count().count() > 1  # the dense cell is several tasks' too
+    n, cores = tiles.count(), tiles.where("core").count()
+    assert cores >= 25 and groups.near_tiles(tiles, reach).count() < n * n / 6  # of the dense spot's tiles no two are compared
 
 
 def test_knn_in_small_tiles_and_blocks(spark):

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from prismar.operators.search import by_blocks
+from prismar.operators.cuts import cut
+from prismar.operators.search import by_blocks, half_up
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,10 +156,11 @@ def axis_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / 3
 
 
-def wasserstein(a: DataFrame, b: DataFrame, cells: int = 1 << 20) -> DataFrame:
-    """query_id, item_id, distance: mean over channels of the W1 distance of two weighted sets of equal mass (rows p1, p2, p3, w).
+def wasserstein(a: DataFrame, b: DataFrame, k: int = 20, cells: int = 1 << 20) -> DataFrame:
+    """query_id, rank, item_id, distance: the k items nearest to each query by the mean over channels of the W1 distances of two weighted sets of equal mass
+    (rows p1, p2, p3, w), in 6 places, ties to the smaller id.
 
-    Query palettes go in blocks of bounded size to where the items' palettes lie; a pair makes one row and no exchange.
+    Query palettes go in blocks of bounded size to where the items' palettes lie; a task keeps k rows a query.
     """
     items = palettes(b).select(F.col("item_id").cast("long").alias("item_id"), "palette")
 
@@ -167,17 +169,47 @@ def wasserstein(a: DataFrame, b: DataFrame, cells: int = 1 << 20) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            best = Nearest(len(ids), k)
             for batch in batches:
                 own, x = batch.column("item_id").to_numpy(), stacked(batch.column("palette"))
                 step = max(1, cells // max(1, len(own) * (x.shape[1] + q.shape[1])))
                 for at in range(0, len(ids) if len(own) else 0, step):
-                    d = axis_distances(q[at : at + step], x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + step], len(own))), pa.array(np.tile(own, len(d))), pa.array(d.ravel())], ["query_id", "item_id", "distance"])
+                    for i, d in enumerate(half_up(axis_distances(q[at : at + step], x), 6)):
+                        best.add(at + i, d, own)
+            yield from best.rows(ids)
 
         return shared, items.mapInArrow(run, "query_id long, item_id long, distance double")
 
     queries = palettes(a, "query_id").select(F.col("query_id").cast("long").alias("query_id"), "palette")
-    return by_blocks(queries, "query_id", work)
+    return nearest(by_blocks(queries, "query_id", work), k)
+
+
+class Nearest:
+    """The k nearest items of each query so far, by distance and then id."""
+
+    def __init__(self, n: int, k: int, start: np.ndarray | None = None):
+        self.k, self.start = k, np.full(n, np.inf) if start is None else start
+        self.found: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+
+    def kth(self, q: int) -> float:
+        own = self.found[q]
+        return min(self.start[q], own[-1][0] if len(own) == self.k else np.inf)
+
+    def add(self, q: int, distance: np.ndarray, ids: np.ndarray) -> None:
+        good = np.flatnonzero(distance <= self.kth(q))
+        if len(good):
+            keep = good[np.lexsort((ids[good], distance[good]))[: self.k]]
+            self.found[q] = sorted([*self.found[q], *zip(distance[keep].tolist(), ids[keep].tolist())])[: self.k]
+
+    def rows(self, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        out = [(int(ids[q]), i, d) for q, own in enumerate(self.found) for d, i in own]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["query_id", "item_id", "distance"])
+
+
+def nearest(found: DataFrame, k: int) -> DataFrame:
+    own = Window.partitionBy("query_id").orderBy("distance", "item_id")
+    return found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "distance")
 
 
 def transport(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -216,46 +248,156 @@ def transport(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> f
     return float((flow * cost).sum())
 
 
+def centres(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroid of each palette, and the mean distance of its points to it."""
+    c = (p[..., :3] * p[..., 3:]).sum(axis=1)
+    return c, (np.sqrt(((p[..., :3] - c[:, None]) ** 2).sum(axis=2)) * p[..., 3]).sum(axis=1)
+
+
 def centroid_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A lower bound of the earth mover's distance of palettes of equal mass: the distance of their centroids."""
-    x, y = ((p[..., :3] * p[..., 3:]).sum(axis=1) for p in (a, b))
-    return np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    return np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
 
 
-def emd_top_k(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, item_id, distance: the k palettes (item_id, palette) nearest to each query's (query_id, palette) by exact earth mover's
-    distance, in 6 places, ties to the smaller id.
+def channel_bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the earth mover's distance of a[i] and b[i], from below and above.
 
-    Query palettes go in blocks of bounded size. A batch of items is taken by rising bound, and a distance is worked out only while its bound
-    is no more than the kth distance found in the batch, so that k rows a query and batch are exchanged.
+    Below: the length of the three channels' W1 distances (the mean way in a channel is no shorter, and a length of means no more than a mean length). Above: what
+    the cheapest of the three plans costs that is best for one channel alone.
+    """
+    square, above = np.zeros(len(a)), np.full(len(a), np.inf)
+    for c in range(3):
+        x, y = (np.take_along_axis(p, np.argsort(p[..., c], axis=1, kind="stable")[..., None], 1) for p in (a, b))
+        cx, cy = np.cumsum(x[..., 3], axis=1), np.cumsum(y[..., 3], axis=1)
+        ends = np.sort(np.concatenate([cx, cy], axis=1), axis=1)
+        mass = np.diff(ends, axis=1, prepend=0.0)
+        middle = ends - mass / 2
+        at = [np.minimum((sums[:, None, :] < middle[..., None]).sum(axis=2), sums.shape[1] - 1) for sums in (cx, cy)]
+        way = np.take_along_axis(x, at[0][..., None], 1)[..., :3] - np.take_along_axis(y, at[1][..., None], 1)[..., :3]
+        square += (mass * np.abs(way[..., c])).sum(axis=1) ** 2
+        above = np.minimum(above, (mass * np.sqrt((way * way).sum(axis=2))).sum(axis=1))
+    return np.sqrt(square), above
+
+
+def emd(a: np.ndarray, b: np.ndarray) -> float:
+    """Exact, in 6 places."""
+    x, y = (p[p[:, 3] > 0] for p in (a, b))
+    return round(transport(x[:, :3], x[:, 3], y[:, :3], y[:, 3]), 6)
+
+
+class Refiner:
+    """Exact distances of one batch of items where bounds leave open whether they count: among the k least, and (if `furthest`) the largest."""
+
+    def __init__(self, queries: np.ndarray, k: int, kth: np.ndarray, low: np.ndarray, furthest: bool, chunk: int = 256):
+        self.q, self.best, self.most, self.furthest, self.chunk = queries, Nearest(len(queries), k, kth), low.copy(), furthest, chunk
+        self.solved, self.pairs = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
+        self.centre, self.spread = centres(queries)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        c, spread = centres(x)
+        for q in range(len(self.q)):
+            low = centroid_distances(self.centre[q : q + 1], c)[0]
+            self.pairs[q] += len(ids)
+            done = self.near(q, ids, x, low)
+            if self.furthest:
+                self.far(q, x, low + spread + self.spread[q], done)
+
+    def near(self, q: int, ids: np.ndarray, x: np.ndarray, low: np.ndarray) -> dict[int, float]:
+        done: dict[int, float] = {}
+        order = np.argsort(low, kind="stable")
+        for a in range(0, len(order), self.chunk):
+            some = order[a : a + self.chunk]
+            some = some[low[some] <= self.best.kth(q) + 1e-6]
+            if not len(some):
+                break
+            below, _ = channel_bounds(np.repeat(self.q[q : q + 1], len(some), 0), x[some])
+            for j, bound in sorted(zip(some.tolist(), below.tolist()), key=lambda t: t[1]):
+                if bound > self.best.kth(q) + 1e-6:
+                    break
+                done[j] = emd(self.q[q], x[j])
+                self.best.add(q, np.array([done[j]]), ids[j : j + 1])
+        self.solved[q] += len(done)
+        self.most[q] = max([self.most[q], *done.values()])
+        return done
+
+    def far(self, q: int, x: np.ndarray, high: np.ndarray, done: dict[int, float]) -> None:
+        order = np.argsort(-high, kind="stable")
+        for a in range(0, len(order), self.chunk):
+            some = order[a : a + self.chunk]
+            some = some[high[some] > self.most[q]]
+            if not len(some):
+                break
+            some = np.array([j for j in some.tolist() if j not in done], np.int64)
+            _, above = channel_bounds(np.repeat(self.q[q : q + 1], len(some), 0), x[some])
+            for j, bound in sorted(zip(some.tolist(), above.tolist()), key=lambda t: -t[1]):
+                if bound <= self.most[q]:
+                    break
+                self.most[q] = max(self.most[q], emd(self.q[q], x[j]))
+                self.solved[q] += 1
+
+
+def emd_search(items: DataFrame, queries: DataFrame, k: int = 20, furthest: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Two tables. Ranks: query_id, rank, item_id, distance, the k palettes (item_id, palette) nearest to each query's (query_id, palette) by exact earth
+    mover's distance, in 6 places, ties to the smaller id. Report: query_id, furthest (the largest distance to any item; null unless asked for), pairs, refined.
+
+    Query palettes go in blocks of bounded size. A first look takes centroids alone: a distance is no less than the centroids', and no more than that and both
+    spreads, which gives all tasks a kth distance and a largest one to begin with. Then distances are worked out only for pairs whose bounds (of centroids, then of channels)
+    leave them a place; no pair makes a row, and a task sends k rows a query.
     """
-    some = items.select(F.col("item_id").cast("long").alias("item_id"), "palette")
+    some = items.where(F.size("palette") > 0).select(F.col("item_id").cast("long").alias("item_id"), "palette")
+    spark = items.sparkSession
 
     def work(block: pa.Table) -> tuple[Broadcast, DataFrame]:
-        shared = items.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), stacked(block.column("palette"))))
+        ids, palettes_ = block.column("query_id").to_numpy(), stacked(block.column("palette"))
+        shared = spark.sparkContext.broadcast((ids, palettes_))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            c, spread = centres(shared.value[1])
+            ends, low = [np.zeros(0)] * len(c), np.zeros(len(c))
             for batch in batches:
-                own, x = batch.column("item_id").to_numpy(), stacked(batch.column("palette"))
-                out = []
-                for i in range(len(ids) if len(own) else 0):
-                    bound, found = centroid_distances(q[i : i + 1], x)[0], []
-                    for j in np.lexsort((own, bound)).tolist():
-                        if len(found) == k and bound[j] > found[-1][0] + 1e-6:
-                            break
-                        a, b = (p[p[:, 3] > 0] for p in (q[i], x[j]))
-                        found = sorted([*found, (round(transport(a[:, :3], a[:, 3], b[:, :3], b[:, 3]), 6), int(own[j]))])[:k]
-                    out += [(int(ids[i]), j, d) for d, j in found]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["query_id", "item_id", "distance"])
-
-        return shared, some.mapInArrow(run, "query_id long, item_id long, distance double")
-
-    mine = queries.select(F.col("query_id").cast("long").alias("query_id"), "palette")
-    own = Window.partitionBy("query_id").orderBy("distance", "item_id")
-    found = by_blocks(mine, "query_id", work).withColumn("rank", F.row_number().over(own))
-    return found.where(F.col("rank") <= k).select("query_id", "rank", "item_id", "distance")
+                own, wide = centres(stacked(batch.column("palette")))
+                for q in range(len(c) if len(own) else 0):
+                    d = centroid_distances(c[q : q + 1], own)[0]
+                    low[q] = max(low[q], d.max())
+                    ends[q] = np.sort(np.concatenate([ends[q], d + wide + spread[q]]))[:k]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(c)), pa.int32()), pa.array(ends, pa.list_(pa.float64())), pa.array(low)], ["q", "ends", "low"])
+
+        seen = some.mapInArrow(look, "q int, ends array<double>, low double").groupBy("q")
+        kth, low = np.full(len(ids), np.inf), np.zeros(len(ids))
+        for r in seen.agg(F.get(F.array_sort(F.flatten(F.collect_list("ends"))), F.lit(k - 1)).alias("kth"), F.max("low").alias("low")).collect():  # a row for each query of the block
+            kth[r.q], low[r.q] = np.inf if r.kth is None else r.kth + 1e-6, max(0.0, r.low - 1e-6)
+        start = spark.sparkContext.broadcast((kth, low))
+
+        def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            own = Refiner(q, k, *start.value, furthest)
+            for batch in batches:
+                if batch.num_rows:
+                    own.add(batch.column("item_id").to_numpy(), stacked(batch.column("palette")))
+            none = pa.array([None] * len(names), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), none, pa.array(own.most), pa.array(own.solved), pa.array(own.pairs)], ["query_id", "item_id", "distance", "refined", "pairs"])
+            for rows in own.best.rows(names):
+                zero = pa.array([0] * rows.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*rows.columns, zero, zero], ["query_id", "item_id", "distance", "refined", "pairs"])
+
+        return shared, some.mapInArrow(refine, "query_id long, item_id long, distance double, refined long, pairs long")
+
+    mine = queries.where(F.size("palette") > 0).select(F.col("query_id").cast("long").alias("query_id"), "palette")
+    found = cut(by_blocks(mine, "query_id", work), "emd")
+    far = F.max("distance") if furthest else F.lit(None).cast("double")
+    report = found.where("item_id is null").groupBy("query_id").agg(far.alias("furthest"), F.sum("pairs").alias("pairs"), F.sum("refined").alias("refined"))
+    return nearest(found.where("item_id is not null").select("query_id", "item_id", "distance"), k), report
+
+
+def emd_top_k(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ranks of emd_search()."""
+    return emd_search(items, queries, k, furthest=False)[0]
+
+
+def emd_scores(items: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, rank, item_id, score: 1 - distance / (largest distance to any item + 1e-8) of the k nearest."""
+    ranks, report = emd_search(items, queries, k)
+    return ranks.join(report.select("query_id", "furthest"), "query_id").select("query_id", "rank", "item_id", (1 - F.col("distance") / (F.col("furthest") + 1e-8)).alias("score"))
 
 
 def statistics(points: DataFrame, key: str = "item_id") -> DataFrame:

@@ -86,29 +86,29 @@ W1 = f"""WITH p AS (SELECT item_id, w, unnest([0, 1, 2]) AS ch, unnest([p1, p2,
  SELECT query_id, item_id, avg(d) AS distance FROM (SELECT query_id, item_id, ch, sum(coalesce(g, 0)) AS d FROM s GROUP BY ALL) GROUP BY query_id, item_id"""
 
 
-def w1(spark, sf_dir):
+@query("G1", f"SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {R6('distance', 'distance').split(' AS ')[0]}, item_id) AS rank, item_id, {R6('distance', 'distance')} FROM ({W1})) WHERE rank <= 20")
+def g1(spark, sf_dir):
     top = P.top_share(palette(spark, sf_dir), 5)
     return P.wasserstein(top.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), top)
 
 
-@query("G1", f"SELECT query_id, item_id, {R6('distance', 'distance')} FROM ({W1})")
-def g1(spark, sf_dir):
-    return rounded(w1(spark, sf_dir), "distance")
-
-
 TWO = f"SELECT item_id, pos, w / sum(w) OVER (PARTITION BY item_id) AS w, p1, p2, p3 FROM ({PAL}) WHERE pos <= 2"
 #: Of palettes of two points with weights (a, 1 - a) and (b, 1 - b) the best plan sends as much as it can, or as little, from the first point to the first.
 EMD2 = f"""WITH t AS (SELECT item_id, max(w) FILTER (pos = 1) AS w, max(p1) FILTER (pos = 1) AS x1, max(p2) FILTER (pos = 1) AS y1, max(p1) FILTER (pos = 2) AS x2, max(p2) FILTER (pos = 2) AS y2 FROM ({TWO}) GROUP BY item_id),
  d AS (SELECT a.item_id AS query_id, b.item_id, a.w AS a, b.w AS b, sqrt((a.x1 - b.x1) ** 2 + (a.y1 - b.y1) ** 2) AS c11, sqrt((a.x1 - b.x2) ** 2 + (a.y1 - b.y2) ** 2) AS c12, sqrt((a.x2 - b.x1) ** 2 + (a.y2 - b.y1) ** 2) AS c21, sqrt((a.x2 - b.x2) ** 2 + (a.y2 - b.y2) ** 2) AS c22 FROM t a, t b WHERE a.item_id % 50 = 0),
  e AS (SELECT query_id, item_id, round(least(least(a, b) * c11 + (a - least(a, b)) * c12 + (b - least(a, b)) * c21 + (1 - a - b + least(a, b)) * c22, greatest(a + b - 1, 0) * c11 + (a - greatest(a + b - 1, 0)) * c12 + (b - greatest(a + b - 1, 0)) * c21 + (1 - a - b + greatest(a + b - 1, 0)) * c22), 6) + 0.0 AS distance FROM d)
- SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS INTEGER) AS rank, item_id, distance FROM e) WHERE rank <= 5"""
+ SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS INTEGER) AS rank, item_id, distance, max(distance) OVER (PARTITION BY query_id) AS furthest FROM e)"""
 
 
-@query("G2", EMD2)
-def g2(spark, sf_dir):
-    """Palettes of two points, so that SQL can tell the best plan too."""
+def pairs(spark, sf_dir):
+    """Palettes of two points, so that SQL can tell the best plan too, and every 50th of them as a query."""
     p = P.palettes(P.top_share(palette(spark, sf_dir), 2))
-    return P.emd_top_k(p, p.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), 5)
+    return p, p.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
+
+
+@query("G2", f"SELECT query_id, rank, item_id, distance FROM ({EMD2}) WHERE rank <= 5")
+def g2(spark, sf_dir):
+    return P.emd_top_k(*pairs(spark, sf_dir), 5)
 
 
 @query("K3", f"WITH h AS ({HIST}), i AS (SELECT DISTINCT item_id FROM h), d AS (SELECT a.item_id AS query_id, b.item_id, sum(a.value * b.value) AS dot FROM h a JOIN h b USING (bin) WHERE a.item_id % 50 = 0 GROUP BY ALL), s AS (SELECT q.item_id AS query_id, i.item_id, round(coalesce(dot, 0), 6) + 0.0 AS score FROM i q JOIN i ON q.item_id % 50 = 0 LEFT JOIN d ON d.query_id = q.item_id AND d.item_id = i.item_id) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, item_id, score FROM s) WHERE rank <= 20")
@@ -126,9 +126,9 @@ def k4(spark, sf_dir):
     return rounded(distance_to_similarity(d, "query_id"), "score").select("item_id", "score")
 
 
-@query("K5", f"SELECT query_id, item_id, round(1 - distance / (max(distance) OVER (PARTITION BY query_id) + 1e-8), 6) + 0.0 AS score FROM ({W1})")
+@query("K5", f"SELECT query_id, rank, item_id, round(1 - distance / (furthest + 1e-8), 6) + 0.0 AS score FROM ({EMD2}) WHERE rank <= 20")
 def k5(spark, sf_dir):
-    return rounded(distance_to_similarity(w1(spark, sf_dir), "query_id"), "score").select("query_id", "item_id", "score")
+    return rounded(P.emd_scores(*pairs(spark, sf_dir), 20), "score")
 
 
 STATS = ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in P.CHANNELS)

@@ -312,3 +312,43 @@ def test_palette_of_a_broken_item_has_a_reason(spark):
     got = {r.item_id: r for r in points.palette_job(df).collect()}
     assert got[1].reason is None and [p.w for p in got[1].dominant] == [0.5, 0.5] and got[1].bins == 1
     assert got[2].reason and got[2].dominant is None and got[2].p1_mean is None
+
+
+def test_emd_search_equals_all_pairs_and_solves_few(spark):
+    from prismar.operators import points
+
+    rng = np.random.default_rng(6)
+    bags = []
+    for i in range(260):
+        n, centre = rng.integers(1, 7), rng.choice([20.0, 120.0, 220.0], 3)
+        w = rng.random(n) + 0.05
+        bags.append((int(i), np.column_stack([centre + 15 * rng.normal(size=(n, 3)), w / w.sum()]).tolist()))
+    bags += [(300 + i, bags[0][1]) for i in range(30)] + [(400, [])]  # ties, and no palette
+    items = spark.createDataFrame(bags, "item_id long, palette array<array<double>>").repartition(3)
+    asked = items.where("item_id % 40 = 0").withColumnRenamed("item_id", "query_id")
+    ranks, report = points.emd_search(items, asked, 5)
+    stack = {i: np.array(p) for i, p in bags if p}
+    want, far = [], {}
+    for q in (i for i in stack if i % 40 == 0):
+        found = sorted((points.emd(stack[q], stack[i]), i) for i in stack)
+        want += [(q, r + 1, i, d) for r, (d, i) in enumerate(found[:5])]
+        far[q] = found[-1][0]
+    got = sorted(tuple(r) for r in ranks.collect())
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=2e-6)
+    rows = {r.query_id: r for r in report.collect()}
+    assert {q: rows[q].furthest for q in far} == pytest.approx(far, abs=2e-6)
+    assert sum(r.refined for r in rows.values()) < 0.5 * sum(r.pairs for r in rows.values()) and rows[0].pairs == len(stack)
+    scores = {(r.query_id, r.item_id): r.score for r in points.emd_scores(items, asked, 5).collect()}
+    assert scores[40, 40] == pytest.approx(1) and len(scores) == len(want)
+
+
+def test_bounds_enclose_the_exact_distance():
+    from prismar.operators import points
+
+    rng = np.random.default_rng(8)
+    a, b = (np.concatenate([255 * rng.random((60, 5, 3)), rng.dirichlet(np.ones(5), 60)[..., None]], axis=2) for _ in range(2))
+    exact = np.array([points.transport(x[:, :3], x[:, 3], y[:, :3], y[:, 3]) for x, y in zip(a, b)])
+    (ca, sa), (cb, sb) = points.centres(a), points.centres(b)
+    centre = np.sqrt(((ca - cb) ** 2).sum(axis=1))
+    below, above = points.channel_bounds(a, b)
+    assert (centre <= below + 1e-9).all() and (below <= exact + 1e-9).all() and (exact <= above + 1e-9).all() and (exact <= centre + sa + sb + 1e-9).all()

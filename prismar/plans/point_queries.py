@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from prismar.functions.vectors import distance_to_similarity
+from prismar.operators import palettes
 from prismar.operators import points as P
 from prismar.operators.cuts import shared_dir
 from prismar.operators.sparse import sparse_top_k
@@ -66,6 +67,18 @@ def palette(spark, sf_dir):
     return out.where("pos <= 8")
 
 
+@query("P4_step", f"WITH d AS (SELECT p.item_id, p.p1, p.p2, p.p3, pos, row_number() OVER (PARTITION BY row ORDER BY round((p.p1 - c.p1) ** 2 + (p.p2 - c.p2) ** 2 + (p.p3 - c.p3) ** 2, 6), pos) AS r FROM (SELECT *, row_number() OVER () AS row FROM ({PTS})) p JOIN ({PAL}) c USING (item_id)) SELECT item_id, pos, count(*) AS n, {', '.join(R6(f'avg({c})', c) for c in P.CHANNELS)} FROM d WHERE r = 1 GROUP BY item_id, pos")
+def p4_step(spark, sf_dir):
+    """One step of all items' k-means at once, from the eight fullest cells of each."""
+    given = palettes.gathered(palette(spark, sf_dir))
+    return rounded(palettes.lloyd_step(pts(spark, sf_dir).withColumn("w", F.lit(1)), given, given.count(), 8), *P.CHANNELS)
+
+
+@query("P4_all")
+def p4_all(spark, sf_dir):
+    return palettes.dominant_all(pts(spark, sf_dir), rounds=8)
+
+
 @query("P6", f"SELECT item_id, pos, {R6('w', 'w')} FROM ({TOP})")
 def p6(spark, sf_dir):
     return rounded(P.top_share(palette(spark, sf_dir), 5), "w").select("item_id", "pos", "w")

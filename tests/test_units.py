@@ -352,3 +352,17 @@ def test_bounds_enclose_the_exact_distance():
     centre = np.sqrt(((ca - cb) ** 2).sum(axis=1))
     below, above = points.channel_bounds(a, b)
     assert (centre <= below + 1e-9).all() and (below <= exact + 1e-9).all() and (exact <= above + 1e-9).all() and (exact <= centre + sa + sb + 1e-9).all()
+
+
+def test_dominant_points_of_bags_of_any_size(spark):
+    from prismar.operators import palettes
+
+    rng = np.random.default_rng(9)
+    centres = np.array([[20.0, 20, 20], [200, 20, 20], [20, 200, 20], [120, 120, 240]])
+    own = rng.choice(4, 15_000, p=[0.4, 0.3, 0.2, 0.1])
+    big = np.round(centres[own] + 3 * rng.normal(size=(15_000, 3)), 1)
+    rows = [(1, *map(float, x)) for x in big] + [(2, 5.0, 5.0, 5.0)] * 7 + [(2, 9.0, 5.0, 5.0)] * 3 + [(3, None, 1.0, 1.0), (3, float("nan"), 1.0, 1.0), (4, 1.0, 2.0, 3.0), (4, float("inf"), 2.0, 3.0)]
+    got = {r.item_id: r.dominant for r in palettes.dominant_all(spark.createDataFrame(rows, "item_id long, p1 double, p2 double, p3 double").repartition(3), k=4).collect()}
+    assert sorted(got) == [1, 2, 4] and [(c.p1, c.w) for c in got[2]] == [(5.0, 0.7), (9.0, 0.3)] and [tuple(c) for c in got[4]] == [(1.0, 2.0, 3.0, 1.0)]
+    for j, c in enumerate(got[1]):
+        assert np.allclose([c.p1, c.p2, c.p3], big[own == j].mean(axis=0), atol=0.5) and c.w == pytest.approx((own == j).mean(), abs=0.01)

@@ -1,13 +1,16 @@
-"""Queries over listings, manifests, sessions, encoders and waveforms."""
+"""Queries over listings, manifests, sessions, encoders and waveforms."""
 
 from __future__ import annotations
 
+import uuid
+
 from prismar.operators import audio, encode
 from prismar.operators import points as P
+from prismar.operators.cuts import shared_dir
 from prismar.plans.point_queries import pts
 from prismar.registry import query, table
 from prismar.sources import media, sinks
-from prismar.streaming import sessions
+from prismar.streaming import boards, commits, sessions
 from pyspark.sql import functions as F
 
 FILES = "SELECT 'latent_space_' || lower(n_name) || '_' || CASE WHEN n_nationkey % 2 = 0 THEN 'image' ELSE 'audio' END || '_' || (2 + n_nationkey % 2) || 'd.pkl' AS file_name FROM nation UNION ALL SELECT 'index_' || lower(n_name) || '_' || CASE WHEN n_nationkey % 3 = 0 THEN 'image' ELSE 'audio' END || '.pkl' FROM nation"
@@ -145,14 +148,58 @@ def events(spark, sf_dir, names):
     return e.select("ts", "event_id", "user_id", action.alias("action"), F.concat(F.lit("item"), (F.floor("value") % 5).cast("string")).alias("item"))
 
 
-@query("M1", f"WITH e AS ({EVENTS}), c AS (SELECT user_id, max(row(ts, event_id)) AS c FROM e WHERE action = 'clear' GROUP BY 1), l AS (SELECT e.*, row(ts, event_id) AS t FROM e LEFT JOIN c USING (user_id) WHERE c IS NULL OR row(ts, event_id) > c), g AS (SELECT user_id, item, max(t) AS r FROM l WHERE action = 'remove' GROUP BY ALL), k AS (SELECT l.user_id, l.item, min(t) AS s FROM l LEFT JOIN g ON g.user_id = l.user_id AND g.item = l.item WHERE action = 'add' AND (r IS NULL OR t > r) GROUP BY ALL) SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY s) - 1 AS INTEGER) AS pos, item FROM k")
+BOARD_EVENTS = {"purchase": "add", "error": "remove", "signup": "clear"}
+SELECTION_EVENTS = {"purchase": "on", "error": "off", "signup": "all_on", "view": "all_off"}
+M1 = f"WITH e AS ({EVENTS}), c AS (SELECT user_id, max(row(ts, event_id)) AS c FROM e WHERE action = 'clear' GROUP BY 1), l AS (SELECT e.*, row(ts, event_id) AS t FROM e LEFT JOIN c USING (user_id) WHERE c IS NULL OR row(ts, event_id) > c), g AS (SELECT user_id, item, max(t) AS r FROM l WHERE action = 'remove' GROUP BY ALL), k AS (SELECT l.user_id, l.item, min(t) AS s FROM l LEFT JOIN g ON g.user_id = l.user_id AND g.item = l.item WHERE action = 'add' AND (r IS NULL OR t > r) GROUP BY ALL) SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY s) - 1 AS INTEGER) AS pos, item FROM k"
+
+
+@query("M1", M1)
 def m1(spark, sf_dir):
-    return sessions.moodboards(events(spark, sf_dir, {"purchase": "add", "error": "remove", "signup": "clear"}))
+    return sessions.moodboards(events(spark, sf_dir, BOARD_EVENTS))
+
 
+M2 = "WITH e AS (SELECT row(ts, event_id) AS t, user_id, CASE event_type WHEN 'purchase' THEN 'on' WHEN 'error' THEN 'off' WHEN 'signup' THEN 'all_on' WHEN 'view' THEN 'all_off' ELSE 'other' END AS a, 'item' || CAST(floor(value) AS BIGINT) % 5 AS item FROM events), b AS (SELECT user_id, max(t) AS bt, arg_max(a, t) AS b FROM e WHERE a IN ('all_on', 'all_off') GROUP BY 1), o AS (SELECT user_id, item, max(t) AS ot, arg_max(a, t) AS o FROM e WHERE a IN ('on', 'off') GROUP BY ALL) SELECT o.user_id, item FROM o LEFT JOIN b USING (user_id) WHERE CASE WHEN bt IS NULL OR ot > bt THEN o = 'on' ELSE b = 'all_on' END"
 
-@query("M2", "WITH e AS (SELECT row(ts, event_id) AS t, user_id, CASE event_type WHEN 'purchase' THEN 'on' WHEN 'error' THEN 'off' WHEN 'signup' THEN 'all_on' WHEN 'view' THEN 'all_off' ELSE 'other' END AS a, 'item' || CAST(floor(value) AS BIGINT) % 5 AS item FROM events), b AS (SELECT user_id, max(t) AS bt, arg_max(a, t) AS b FROM e WHERE a IN ('all_on', 'all_off') GROUP BY 1), o AS (SELECT user_id, item, max(t) AS ot, arg_max(a, t) AS o FROM e WHERE a IN ('on', 'off') GROUP BY ALL) SELECT o.user_id, item FROM o LEFT JOIN b USING (user_id) WHERE CASE WHEN bt IS NULL OR ot > bt THEN o = 'on' ELSE b = 'all_on' END")
+
+@query("M2", M2)
 def m2(spark, sf_dir):
-    return sessions.selection(events(spark, sf_dir, {"purchase": "on", "error": "off", "signup": "all_on", "view": "all_off"}))
+    return sessions.selection(events(spark, sf_dir, SELECTION_EVENTS))
+
+
+def streamed(spark, batch, files=4):
+    """`batch` as a stream of `files` files, its rows dealt to them by hash: each is one micro-batch, and their order isn't that of the events."""
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    batch.repartition(files, F.xxhash64(*batch.columns)).write.parquet(path)
+    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
+def committed(spark, stream, mode="update"):
+    """The folder to which a stream has committed all its batches."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    commits.commit(stream, f"{path}/out", f"{path}/check", mode).awaitTermination()
+    return f"{path}/out"
+
+
+@query("M1_stream", M1)
+def m1_stream(spark, sf_dir):
+    out = committed(spark, boards.stream_moodboards(streamed(spark, events(spark, sf_dir, BOARD_EVENTS))))
+    return boards.board_of(commits.latest(spark, out, "user_id", "item"))
+
+
+@query("M2_stream", M2)
+def m2_stream(spark, sf_dir):
+    out = committed(spark, boards.stream_selection(streamed(spark, events(spark, sf_dir, SELECTION_EVENTS))))
+    return commits.latest(spark, out, "user_id", "item").where("selected").select("user_id", "item")
+
+
+@query("X1", f"SELECT DISTINCT content_md5, e FROM (SELECT md5(text) AS content_md5, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) + 0.0 AS e FROM documents WHERE text IS NOT NULL)")
+def x1(spark, sf_dir):
+    """Documents arrive as a stream of files; each content is encoded and ingested once."""
+    docs = streamed(spark, table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null"))
+    path = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    encoded = lambda rows: encode.encode(rows, encode.letter_counts("e"), "text")
+    commits.ingest(docs, f"{path}/out", "letters", encoded, f"{path}/check", "text").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("content_md5", F.element_at("embedding", 1).cast("double").alias("e"))
 
 
 WAVE = "SELECT user_id, list(CAST(value AS DOUBLE) ORDER BY ts, event_id) AS x FROM events WHERE value IS NOT NULL GROUP BY user_id"

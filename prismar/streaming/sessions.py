@@ -1,14 +1,9 @@
-"""Session folds over event logs, in batch and as a stream (M1, M2), and incremental ingest."""
+"""Session folds over event logs in batch (M1, M2); their streams are in boards.py."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from prismar.sources.sinks import not_yet_built
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def moodboards(events: DataFrame) -> DataFrame:
@@ -30,43 +25,3 @@ def selection(events: DataFrame) -> DataFrame:
     both = own.join(bulk, "user_id", "left")
     on = F.when(F.col("bulk_at").isNull() | (F.col("own_at") > F.col("bulk_at")), F.col("own") == "on").otherwise(F.col("bulk") == "all_on")
     return both.where(on).select("user_id", "item")
-
-
-def fold(items: list[str], rows: list[tuple]) -> list[str]:
-    """The sequential meaning of add, remove and clear."""
-    for _, _, action, item in sorted(rows):
-        if action == "clear":
-            items = []
-        elif action == "add" and item not in items:
-            items = [*items, item]
-        elif action == "remove":
-            items = [i for i in items if i != item]
-    return items
-
-
-def stream_moodboards(events: DataFrame) -> DataFrame:
-    """Streaming form: after each batch of a user's events, the user's ordered items."""
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items = list(state.get[0]) if state.exists else []
-        rows = [r for f in frames for r in f[["ts", "event_id", "action", "item"]].itertuples(index=False, name=None)]
-        items = fold(items, rows)
-        state.update((items,))
-        yield pd.DataFrame({"user_id": [key[0]], "items": [items]})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, items array<string>", "items array<string>", "update", GroupStateTimeout.NoTimeout)
-
-
-def ingest(stream: DataFrame, target: str, model_id: str, encode: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """New files (path, content) -> encoded rows appended to `target`; content that is there already is skipped, so replays add nothing."""
-    def put(batch: DataFrame, _: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        new = batch.withColumn("content_md5", F.md5("content")).withColumn("model_id", F.lit(model_id))
-        try:
-            built = spark.read.parquet(target)
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            built = spark.createDataFrame([], "content_md5 string, model_id string")
-        encode(not_yet_built(new, built, "content_md5", "model_id")).write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -89,35 +89,6 @@ def test_lbp_of_a_flat_raster(spark):
     assert codes[1, 1] == 255 and sum(codes.values()) == 255
 
 
-def test_moodboard_stream_equals_batch(spark, tmp_path):
-    from prismar.streaming import sessions
-
-    log = [(t, t, 1, a, i) for t, (a, i) in enumerate([("add", "A"), ("add", "B"), ("add", "A"), ("remove", "A"), ("add", "A")])] + [(t, t, 2, a, i) for t, (a, i) in enumerate([("add", "A"), ("clear", ""), ("add", "B")])]
-    df = spark.createDataFrame(log, "ts long, event_id long, user_id long, action string, item string")
-    batch = {}
-    for r in sorted(sessions.moodboards(df).collect(), key=lambda r: (r.user_id, r.pos)):
-        batch.setdefault(r.user_id, []).append(r.item)
-    assert batch == {1: ["B", "A"], 2: ["B"]}
-    df.write.parquet(f"{tmp_path}/log")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/log")
-    q = sessions.stream_moodboards(stream).writeStream.outputMode("update").format("memory").queryName("boards").start()
-    q.processAllAvailable()
-    q.stop()
-    assert {r.user_id: r["items"] for r in spark.table("boards").collect()} == batch
-
-
-def test_ingest_is_idempotent(spark, tmp_path):
-    from prismar.streaming import sessions
-
-    (tmp_path / "in").mkdir()
-    for n, text in (("a", "x"), ("b", "y"), ("c", "x")):
-        (tmp_path / "in" / n).write_text(text)
-    for k in range(2):
-        stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(f"{tmp_path}/in")
-        sessions.ingest(stream, f"{tmp_path}/out", "m", lambda d: d, f"{tmp_path}/check{k}").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
-
-
 def test_spectrogram_peaks_at_its_tone():
     from prismar.operators.audio import mel_spectrogram
 

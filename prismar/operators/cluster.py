@@ -13,6 +13,7 @@ from prismar.operators.search import knn_join, matrix
 from prismar.sources.media import FeatureAbsent
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +67,37 @@ def silhouette(rows: DataFrame, sample_size: int = SAMPLE) -> DataFrame:
     return some.repartition(parts).mapInArrow(run, "s double").agg(F.avg("s").alias("score"))
 
 
+def silhouette_squared(rows: DataFrame) -> DataFrame:
+    """score: mean silhouette of all rows (item_id, cluster_id, embedding) by squared Euclidean distance. A point alone in its cluster counts 0.
+
+    The mean squared distance of a point to a cluster follows from the cluster's mean vector and mean squared length, which are summed in a first pass; the second
+    scores each row against these (a few numbers for each cluster and place, which are broadcast).
+    """
+    vector = array_to_vector(F.col("embedding").cast("array<double>")).alias("v")
+    found = rows.select("cluster_id", vector).groupBy("cluster_id").agg(Summarizer.metrics("count", "mean", "normL2").summary(F.col("v")).alias("s")).orderBy("cluster_id").collect()
+    names, sizes = np.array([r.cluster_id for r in found]), np.array([r.s["count"] for r in found], float)
+    means = np.array([r.s["mean"].toArray() for r in found])
+    squares = np.array([(r.s["normL2"].toArray() ** 2).sum() for r in found]) / np.maximum(sizes, 1)
+    shared = rows.sparkSession.sparkContext.broadcast((names, sizes, means, squares))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sizes, means, squares = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, own = matrix(batch.column("v"), unit=False), np.searchsorted(names, batch.column("cluster_id").to_numpy())
+            mean, at = (x * x).sum(axis=1)[:, None] - 2 * x @ means.T + squares, np.arange(len(x))
+            near = mean[at, own] * sizes[own] / np.maximum(sizes[own] - 1, 1)
+            mean[at, own] = np.inf
+            next_ = mean.min(axis=1)
+            alone = (sizes[own] < 2) | ~np.isfinite(next_)
+            s = np.where(alone, 0, (next_ - near) / np.where(alone, 1, np.maximum(np.maximum(next_, near), 1e-300)))
+            yield pa.RecordBatch.from_arrays([pa.array([s.sum()]), pa.array([len(s)], pa.int64())], ["s", "n"])
+
+    some = rows.select(F.col("cluster_id").cast("long").alias("cluster_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return some.mapInArrow(run, "s double, n long").agg((F.sum("s") / F.sum("n")).alias("score"))
+
+
 def calinski_harabasz(rows: DataFrame) -> DataFrame:
     all_mean = centroids(rows.withColumn("cluster_id", F.lit(0))).select(F.col("centroid").alias("mean"))
     c = centroids(rows)

@@ -61,11 +61,11 @@ def matrix(column: pa.Array | pa.ChunkedArray, unit: bool = True) -> np.ndarray:
     return x
 
 
-def knn_join(items: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", block_rows: int | None = None, cells: int = CELLS) -> DataFrame:
-    """query_id, rank, item_id, distance: k nearest items of every query row. Null vectors take no part.
+def knn_join(items: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", block_rows: int | None = None, cells: int = CELLS, without_self: bool = False) -> DataFrame:
+    """query_id, rank, item_id, distance: k nearest items of every query row. Null vectors take no part; `without_self`: nor does the item of the query's own id.
 
-    Query blocks are multiplied with the items where these lie, in tiles of at most `cells` distances; only k rows a query and
-    batch are shuffled.
+    Query blocks are multiplied with the items where these lie, in tiles of at most `cells` distances; a task keeps the k best of each query over all its
+    items, and only these are shuffled.
     """
     some = items.where(F.col(vector).isNotNull()).select("item_id", F.col(vector).cast("array<double>").alias("v"))
 
@@ -74,17 +74,26 @@ def knn_join(items: DataFrame, queries: DataFrame, k: int, vector: str = "embedd
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            kth, best = np.full(len(ids), np.inf), None
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
                 own, x = batch.column("item_id").to_numpy(), matrix(batch.column("v"))
                 order = np.argsort(own, kind="stable")
                 own, x = own[order], x[order].T
-                step = max(1, cells // len(own))
+                step, found = max(1, cells // len(own)), [best] if best else []
                 for at in range(0, len(ids), step):
                     d = np.round(1 - q[at : at + step] @ x, 9)
-                    row, column = np.nonzero(least(d, k))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at + row]), pa.array(own[column]), pa.array(d[row, column])], ["query_id", "item_id", "distance"])
+                    if without_self:
+                        d[ids[at : at + step, None] == own] = np.inf
+                    row, column = np.nonzero(least(d, k) & (d <= kth[at : at + step, None]) & (d < np.inf))
+                    found.append((at + row, d[row, column], own[column]))
+                best = k_least(*(np.concatenate(c) for c in zip(*found)), k)
+                full = np.flatnonzero(np.diff(best[0], append=-1) != 0)
+                full = full[np.diff(full, prepend=-1) == k]
+                kth[best[0][full]] = best[1][full]
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[2]), pa.array(best[1])], ["query_id", "item_id", "distance"])
 
         return shared, some.mapInArrow(search, "query_id long, item_id long, distance double")
 
@@ -94,6 +103,15 @@ def knn_join(items: DataFrame, queries: DataFrame, k: int, vector: str = "embedd
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "distance")
 
 
+def k_least(row: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least of each row by distance and id, rows in order."""
+    order = np.lexsort((ids, d, row))
+    row, d, ids = row[order], d[order], ids[order]
+    starts = np.flatnonzero(np.diff(row, prepend=-1) != 0)
+    place = np.arange(len(row)) - np.repeat(starts, np.diff(starts, append=len(row)))
+    return row[place < k], d[place < k], ids[place < k]
+
+
 def least(d: np.ndarray, k: int) -> np.ndarray:
     """Marks the k least of each row, ties to the left."""
     if d.shape[1] <= k:
@@ -108,12 +126,12 @@ def half_up(x: np.ndarray, digits: int) -> np.ndarray:
     return np.copysign(np.floor(np.abs(x * 10**digits) + 0.5), x) / 10**digits + 0.0
 
 
-def fused_search(items: DataFrame, queries: DataFrame, weights: dict[str, float], k: int, fusion: str = "minmax", block_rows: int | None = None, cells: int = CELLS) -> DataFrame:
+def fused_search(items: DataFrame, queries: DataFrame, weights: dict[str, float], k: int, fusion: str = "minmax", block_rows: int | None = None, cells: int = CELLS, without_self: bool = False) -> DataFrame:
     """query_id, item_id, score, rank: the k items of largest weighted sum of cosines, one method to each feature column.
 
     What `score_search`, `fuse` and `best` give by way of a row for each pair, without these rows: all methods are scored in one Arrow pass over the
     items; `minmax` takes a pass before for each method's extremes, which tasks send once a batch. A feature that an item or a query
-    lacks adds nothing. Sums are rounded to 6 places before they are ranked.
+    lacks adds nothing. Sums are rounded to 6 places before they are ranked. `without_self`: the item of a query's own id isn't ranked (it does count for the extremes).
     """
     total = sum(weights.values()) or 1.0
     methods = {m: w / total for m, w in weights.items() if w and m in items.columns}
@@ -166,6 +184,8 @@ def fused_search(items: DataFrame, queries: DataFrame, weights: dict[str, float]
                             place = np.ix_(who[mine] - at, have)
                             score[place] += share * (np.round(q[mine] @ x.T, 9) - low[m][who[mine], None]) / span[m][who[mine], None]
                             any_of[place] = True
+                    if without_self:
+                        any_of &= names[at : at + step, None] != item
                     score = half_up(score, 6)
                     row, column = np.nonzero(least(np.where(any_of, -score, np.inf), k) & any_of)
                     yield pa.RecordBatch.from_arrays([pa.array(names[at + row]), pa.array(item[column]), pa.array(score[row, column])], ["query_id", "item_id", "score"])
@@ -205,15 +225,16 @@ def prompt_filter(scores: DataFrame, prompt_hits: DataFrame) -> DataFrame:
     return scores.join(prompt_hits.select("item_id"), "item_id", "left_semi")
 
 
-def without_self(scores: DataFrame, path: str = "path", reference: str = "reference") -> DataFrame:
-    return scores.where(~F.col(path).eqNullSafe(F.col(reference)))
-
-
-def method_fallback(scores: DataFrame, wanted: str, fallback: str) -> DataFrame:
-    """Rows of the wanted method, or of the fallback in queries where it has none; method_used tells which."""
-    have = scores.groupBy("query_id").agg(F.max((F.col("method") == wanted).cast("int")).alias("__have"))
-    used = F.when(F.col("__have") == 1, wanted).otherwise(fallback)
-    return scores.join(have, "query_id").withColumn("method_used", used).where(F.col("method") == F.col("method_used")).drop("__have")
+def with_fallback_method(items: DataFrame, queries: DataFrame, fallback: str, k: int) -> DataFrame:
+    """query_id, rank, item_id, score, method_used: each query's k nearest by the method that it wants (column `wanted`, one of the feature columns), or by
+    `fallback` where the items have no such feature. Which one is known before anything is scored, so that a query is scored once."""
+    out = None
+    for r in queries.select("wanted").distinct().orderBy("wanted").collect():  # method names
+        used = r.wanted if r.wanted in items.columns else fallback
+        own = queries.where(F.col("wanted").eqNullSafe(r.wanted)).select("query_id", used)
+        part = knn_join(items.select("item_id", used), own, k, used).select("query_id", "rank", "item_id", (1 - F.col("distance")).alias("score"), F.lit(used).alias("method_used"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def display_rank(groups: DataFrame) -> DataFrame:

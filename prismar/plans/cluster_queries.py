@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from prismar.operators import cluster
+from prismar.operators import cluster, smoothing
+from prismar.plans.search_queries import D
 from prismar.registry import query, table
 from pyspark.sql import functions as F
 
@@ -37,6 +38,12 @@ def c2a(spark, sf_dir):
     return cluster.silhouette(given(spark, sf_dir)).select((F.round("score", 6) + 0.0).alias("score"))
 
 
+@query("C2a_squared", E + "z AS (SELECT c, count(*) AS n FROM e GROUP BY c), d AS (SELECT a.i, a.c, b.c AS o, sum(list_distance(a.v, b.v) ** 2) AS d FROM e a JOIN e b ON a.i <> b.i GROUP BY ALL), s AS (SELECT i, min(d / (n - 1)) FILTER (d.c = o) AS near, min(d / n) FILTER (d.c <> o) AS next FROM d JOIN z ON z.c = o GROUP BY i) SELECT round(avg(coalesce((next - near) / greatest(near, next), 0)), 6) + 0.0 AS score FROM s")
+def c2a_squared(spark, sf_dir):
+    """Of all rows, in closed form from the clusters' sums."""
+    return cluster.silhouette_squared(given(spark, sf_dir)).select((F.round("score", 6) + 0.0).alias("score"))
+
+
 @query("C2b", E + LONG + ", g AS (SELECT list(x ORDER BY p) AS v FROM (SELECT p, avg(x) AS x FROM u GROUP BY p)) SELECT round((SELECT sum(n * list_distance(mc.v, g.v) ** 2) FROM (SELECT c, count(*) AS n FROM e GROUP BY c) JOIN mc USING (c), g) / (SELECT count(*) - 1 FROM mc) / ((SELECT sum(list_distance(e.v, mc.v) ** 2) FROM e JOIN mc USING (c)) / ((SELECT count(*) FROM e) - (SELECT count(*) FROM mc))), 6) + 0.0 AS score")
 def c2b(spark, sf_dir):
     return cluster.calinski_harabasz(given(spark, sf_dir)).select((F.round("score", 6) + 0.0).alias("score"))
@@ -69,6 +76,18 @@ def c7(spark, sf_dir):
     return cluster.layout(given(spark, sf_dir), 3)
 
 
+_step = lambda n: f"r{n} AS (SELECT b.item_id, coalesce(0.5e0 * b.x + 0.5e0 * m.x, b.x) AS x, coalesce(0.5e0 * b.y + 0.5e0 * m.y, b.y) AS y FROM r0 b LEFT JOIN (SELECT g.a, sum(w * p.x) / sum(w) AS x, sum(w * p.y) / sum(w) AS y FROM g JOIN r{n - 1} p ON p.item_id = g.b GROUP BY g.a) m ON m.a = b.item_id)"
+
+
+@query("C7_smooth", f"WITH n AS (SELECT query_id AS a, item_id AS b FROM (SELECT q.vec_id AS query_id, e.vec_id AS item_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {D}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE e.vec_id <> q.vec_id) WHERE rank <= 5), g AS (SELECT a, b, count(*) AS w FROM (SELECT a, b FROM n UNION ALL SELECT b, a FROM n) GROUP BY a, b), r0 AS (SELECT vec_id AS item_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), {_step(1)}, {_step(2)}, {_step(3)} SELECT item_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM r3")
+def c7_smooth(spark, sf_dir):
+    """Three rounds from the vectors' first two places, over their five nearest neighbours."""
+    e = given(spark, sf_dir)
+    start = e.select("item_id", F.element_at("embedding", 1).alias("x"), F.element_at("embedding", 2).alias("y"))
+    out = smoothing.smooth(start, smoothing.neighbour_graph(e, 5), 0.5, rounds=3, tolerance=0.0)
+    return out.select("item_id", *((F.round(c, 6) + 0.0).alias(c) for c in "xy"))
+
+
 @query("C8", "SELECT vec_id AS item_id FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 100")
 def c8(spark, sf_dir):
     return cluster.sample(given(spark, sf_dir), 100).select("item_id")

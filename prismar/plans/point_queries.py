@@ -165,9 +165,9 @@ def l2(spark, sf_dir):
     return moved(spark, sf_dir, "item_id <> 1", "item_id = 1")
 
 
-@query("L3", TRANSFER("p.item_id = 1", "item_id BETWEEN 2 AND 9"))
+@query("L3", TRANSFER("p.item_id = 1", "item_id <> 1"))
 def l3(spark, sf_dir):
-    return moved(spark, sf_dir, "item_id = 1", "item_id BETWEEN 2 AND 9")
+    return moved(spark, sf_dir, "item_id = 1", "item_id <> 1")
 
 
 @query("L4", f"WITH t AS ({PTS}), lut AS (SELECT CAST(floor(p1) AS INTEGER) AS v, avg(least(p1 * 0.5e0 + 60, 255)) AS mapped FROM t WHERE item_id % 2 = 0 GROUP BY 1) SELECT point_id, 0 AS channel, CAST(floor(least(greatest(coalesce(mapped, floor(p1)), 0e0), 255e0)) AS INTEGER) AS value FROM t LEFT JOIN lut ON v = CAST(floor(p1) AS INTEGER)")

@@ -43,11 +43,9 @@ SCORES = """SELECT q.vec_id AS query_id, e.vec_id AS item_id, m.method, CASE WHE
  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, (VALUES ('histogram', 1, 32), ('edge', 33, 64)) m(method, lo, hi)"""
 
 
-def scores(spark, sf_dir):
+def scores(e, q):
     """Two methods over halves of the vectors; `edge` is absent for every third item."""
-    e = items(spark, sf_dir)
-    q = e.where(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"))
-    both = e.join(q)
+    both = e.join(F.broadcast(q)) if q.count() * 600 <= search.BROADCAST_BYTES else e.join(q)
     part = lambda c, a: F.slice(c, a, 32)
     one = lambda name, a: both.select("query_id", "item_id", F.lit(name).alias("method"), F.round(cosine_similarity(part("embedding", a), part("q", a)), 9).alias("score"))
     return one("histogram", 1).unionByName(one("edge", 33).where(F.col("item_id") % 3 != 0))
@@ -74,24 +72,30 @@ def k9(spark, sf_dir):
 
 @query("K10", BEST(f"SELECT * FROM ({FUSED(SCORES, '0.5e0', '0.5e0')}) WHERE item_id <> query_id", 50))
 def k10(spark, sf_dir):
-    """One more than wanted is kept, for the query's own row, which goes before ranks are given."""
-    fused = search.fused_search(*halves(spark, sf_dir), {"histogram": 0.5, "edge": 0.5}, 51, "raw").drop("rank")
-    return search.best(search.without_self(fused, "item_id", "query_id"), 50, "query_id")
+    return search.fused_search(*halves(spark, sf_dir), {"histogram": 0.5, "edge": 0.5}, 50, "raw", without_self=True)
 
 
 @query("K11", f"SELECT query_id, item_id, method, score FROM ({SCORES}) WHERE score IS NOT NULL AND item_id IN (SELECT item_id FROM ({TOP(150)}))")
 def k11(spark, sf_dir):
-    return search.prompt_filter(scores(spark, sf_dir), hits(spark, sf_dir, 150)).select("query_id", "item_id", "method", "score")
+    """The prompt's 150 items are picked before they are scored for every query."""
+    e = items(spark, sf_dir)
+    q = e.where(F.col("item_id") % 50 == 0).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"))
+    return scores(search.prompt_filter(e, hits(spark, sf_dir, 150)), q).select("query_id", "item_id", "method", "score")
 
 
-@query("K12", f"SELECT query_id, item_id, method, score FROM ({SCORES}) WHERE score IS NOT NULL AND item_id <> query_id")
+@query("K12", f"SELECT query_id, rank, item_id, distance FROM (SELECT q.vec_id AS query_id, e.vec_id AS item_id, {D} + 0.0 AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {D}, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 20")
 def k12(spark, sf_dir):
-    return search.without_self(scores(spark, sf_dir), "item_id", "query_id")
+    """The query's own item goes before the limit, inside the search."""
+    e = items(spark, sf_dir)
+    return search.knn_join(e, e.where(F.col("item_id") % 50 == 0).withColumnRenamed("item_id", "query_id"), 20, without_self=True)
 
 
-@query("K13", f"SELECT query_id, item_id, method, score, 'edge' AS method_used FROM ({SCORES}) WHERE score IS NOT NULL AND method = 'edge'")
+@query("K13", f"SELECT query_id, rank, item_id, score, method AS method_used FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM ({SCORES}) WHERE score IS NOT NULL AND method = CASE WHEN query_id % 100 = 0 THEN 'histogram' ELSE 'edge' END) WHERE rank <= 20")
 def k13(spark, sf_dir):
-    return search.method_fallback(scores(spark, sf_dir), "gram", "edge")
+    """Every second query wants a method that the items have, the others one that they haven't."""
+    e, q = halves(spark, sf_dir)
+    wanted = F.when(F.col("query_id") % 100 == 0, "histogram").otherwise("gram").alias("wanted")
+    return search.with_fallback_method(e, q.select("*", wanted), "edge", 20).withColumn("score", F.round("score", 9) + 0.0)
 
 
 NULLED = "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE embedding END AS embedding FROM embeddings"

@@ -337,3 +337,57 @@ def test_dominant_points_of_bags_of_any_size(spark):
     assert sorted(got) == [1, 2, 4] and [(c.p1, c.w) for c in got[2]] == [(5.0, 0.7), (9.0, 0.3)] and [tuple(c) for c in got[4]] == [(1.0, 2.0, 3.0, 1.0)]
     for j, c in enumerate(got[1]):
         assert np.allclose([c.p1, c.p2, c.p3], big[own == j].mean(axis=0), atol=0.5) and c.w == pytest.approx((own == j).mean(), abs=0.01)
+
+
+def wav(samples, rate, width=2):
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(width)
+        w.setframerate(rate)
+        w.writeframes(b"".join(int(v * ((1 << (8 * width - 1)) - 1)).to_bytes(width, "little", signed=True) for v in samples))
+    return out.getvalue()
+
+
+def test_resampling_keeps_what_fits_and_drops_what_does_not():
+    from prismar.sources.media import decode_wav
+
+    t = np.arange(24_000) / 48_000
+    for tone, kept in ((1000, 1.0), (5000, 1.0), (15_000, 0.0)):
+        rate, x = decode_wav(wav(0.5 * np.sin(2 * math.pi * tone * t), 48_000), 16_000, None, False)
+        power = np.mean(np.square(x[200:-200])) / 0.125
+        assert rate == 16_000 and len(x) == 8000 and (power < 0.01 if not kept else power == pytest.approx(1, abs=0.01))
+    rate, x = decode_wav(wav(0.5 * np.sin(2 * math.pi * 440 * np.arange(8820) / 44_100), 44_100), 48_000, None, False)
+    assert rate == 48_000 and np.allclose(x[300:-300], 0.5 * np.sin(2 * math.pi * 440 * np.arange(300, len(x) - 300) / 48_000), atol=0.002)
+
+
+def test_samples_of_three_bytes():
+    from prismar.sources.media import decode_wav
+
+    values = [0.0, 0.5, -0.5, 0.999, -0.999]
+    assert np.allclose(decode_wav(wav(values, 8000, 3), None, None, False)[1], values, atol=1e-5)
+
+
+def test_smoothing_a_chain_lowers_the_energy_each_round(spark):
+    from prismar.operators import smoothing
+
+    start = spark.createDataFrame([(0, 0.0, 0.0), (1, 9.0, 0.0), (2, 0.0, 6.0), (3, 5.0, 5.0)], "item_id long, x double, y double")
+    graph = spark.createDataFrame([(a, b, 1.0) for a, b in ((0, 1), (1, 0), (1, 2), (2, 1))], "a long, b long, weight double")
+    one = {r.item_id: (r.x, r.y) for r in smoothing.smooth(start, graph, 0.5, rounds=1).collect()}
+    assert one == {0: (4.5, 0.0), 1: (4.5, 1.5), 2: (4.5, 3.0), 3: (5.0, 5.0)}
+    trace = []
+    many = {r.item_id: (r.x, r.y) for r in smoothing.smooth(start, graph, 0.5, rounds=30, tolerance=1e-3, trace=trace).collect()}
+    assert len(trace) > 3 and all(b < a for a, b in zip(trace, trace[1:])) and trace[-1] == pytest.approx(trace[-2], rel=1e-4)
+    assert many[1][0] == pytest.approx(0.5 * 9 + 0.25 * (many[0][0] + many[2][0]), abs=0.01) and many[3] == (5.0, 5.0)
+
+
+def test_smooth_layout_draws_neighbours_together(spark):
+    from prismar.operators import cluster, smoothing
+
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, (np.eye(8)[i % 2] + 0.4 * rng.normal(size=8)).tolist()) for i in range(60)], "item_id long, embedding array<double>")
+    spread = lambda rows: sum(np.var([[r.x, r.y] for r in rows if r.item_id % 2 == g], axis=0).sum() for g in (0, 1))
+    assert spread(smoothing.smooth_layout(df, 2, 5, rounds=4).collect()) < 0.7 * spread(cluster.layout(df, 2).collect())

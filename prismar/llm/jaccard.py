@@ -10,7 +10,7 @@ from that one's candidates and a look at the few shingles in which the two diffe
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, groupby
 
 import numpy as np
@@ -58,13 +58,13 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def document_sets(rows: DataFrame) -> DataFrame:
+def document_sets(rows: DataFrame, key: Callable[[np.ndarray], tuple[int, int]] = set_key) -> DataFrame:
     """doc_id, th (hash of the text), n, cid and h2 (set key), shingles (sorted 64-bit hashes) of each row (doc_id, th, text)."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, "text", 2 << 20):
             sets = shingle_sets([t.as_py() for t in batch.column("text")], hashes)
-            keys = [set_key(s) for s in sets]
+            keys = [key(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
                 pa.array([k[1] for k in keys], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "th", "n", "cid", "h2", "shingles"])
@@ -72,6 +72,19 @@ def document_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(emit, "doc_id long, th long, n long, cid long, h2 long, shingles binary")
 
 
+def separate_classes(sets: DataFrame) -> DataFrame:
+    """`sets` (a written table) with a cid of its own for every pair (cid, h2): different sets that share a cid, which is 64 bits wide, get new ones from both hashes."""
+    while True:
+        clash = sets.where("n > 0").groupBy("cid").agg(F.min("h2").alias("low"), F.max("h2").alias("high")).where("low != high").select("cid")
+        if clash.isEmpty():
+            return sets
+        marked = sets.join(clash.withColumn("shared", F.lit(True)), "cid", "left")
+        own = F.when(F.col("shared"), F.xxhash64("cid", "h2")).otherwise(F.col("cid"))
+        apart = materialize(marked.withColumn("cid", own).select(sets.columns), "shingle-sets")
+        discard(sets)
+        sets = apart
+
+
 def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.frombuffer(s.as_buffer(), "<u8") for s in batch.column("shingles")]
 
@@ -371,8 +384,8 @@ def verify(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
     return dealt.mapInArrow(check, "a long, b long")
 
 
-def class_links(sets: DataFrame, block: int, leaders: int, room: int = 1 << 20) -> DataFrame:
-    """Links (a, b) that span the components of all classes of the written table `sets`.
+def class_links(sets: DataFrame, block: int, leaders: int, room: int = 1 << 20) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that span the components of all classes of the written table `sets`, and the written tables that only they need.
 
     A candidate group of at most `block` classes and `room` shingles is compared in one task. A larger one is cut into blocks, each compared
     together with a few leaders of the group; classes that are then outside the group's largest component are compared with all its blocks.
@@ -384,6 +397,7 @@ def class_links(sets: DataFrame, block: int, leaders: int, room: int = 1 << 20)
     groups = materialize(connected_components(candidate_edges(sets, levels, parts, bits), "candidates"), "candidate-groups")
     members = groups.select(F.col("node").alias("cid"), "comp").unionByName(groups.select(F.col("comp").alias("cid"), "comp").distinct())
     members = materialize(members, "members")
+    discard(groups)
     places = int(min(1 << 27, max(1 << 16, 1 << int(16 * members.count() + 1).bit_length())))
     marks = spark.sparkContext.broadcast(class_bitmap(members.select(F.col("cid").alias("node")), places))
 
@@ -401,6 +415,7 @@ def class_links(sets: DataFrame, block: int, leaders: int, room: int = 1 << 20)
     picked = materialize(picked, "member-sets")  # a class may come from several tasks
     size = picked.select("comp", "cid", "n").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / room)).cast("int").alias("blocks"))
     size = materialize(size, "group-sizes")
+    spent = [members, picked, size]
     sized = picked.drop("n").join(size, "comp")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     large = sized.where("blocks > 1")
@@ -410,24 +425,29 @@ def class_links(sets: DataFrame, block: int, leaders: int, room: int = 1 << 20)
         lead = large.withColumn("h", F.xxhash64("cid", "comp")).where(F.pmod("h", F.greatest(F.lit(1), F.floor(F.col("m") / leaders))) == 0)
         first = first.unionByName(lead.drop("h").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     links = materialize(verify(first, parts, "comp", "b"), "links")
+    spent.append(links)
     if split:
         labels = materialize(connected_components(links, "labels"), "block-labels")
         named = members.join(size.where("blocks > 1"), "comp").join(labels.withColumnRenamed("comp", "label"), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
         main = named.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
         rest = materialize(named.join(main, "comp").where(F.col("label") != F.col("main")).select("cid", "comp", "m", "blocks"), "outside")
+        spent += [labels, rest]
         # as many rest parts as blocks would be for them
         left = rest.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) * F.first("blocks") / F.first("m")).cast("int").alias("rests"))
         theirs = large.join(left, "comp").withColumn("b", own).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
         mine = large.join(rest.select("cid", "comp"), ["cid", "comp"]).join(left, "comp").withColumn("r", F.pmod(F.xxhash64("cid"), F.col("rests")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         links = links.unionByName(verify(theirs.unionByName(mine), parts, "comp", "r", "b"))
-    return links
+    return links, spent
 
 
-def set_components(docs: DataFrame, block: int = 1000, leaders: int = 32) -> DataFrame:
+def set_components(docs: DataFrame, block: int = 1000, leaders: int = 32, key: Callable[[np.ndarray], tuple[int, int]] = set_key) -> DataFrame:
     """doc_id, th, n, cid, h2 and comp (the component's key, null without words) for each row of `docs`."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    sets = materialize(document_sets(rows), "shingle-sets")
-    found = connected_components(class_links(sets, block, leaders), "components")
+    sets = separate_classes(materialize(document_sets(rows, key), "shingle-sets"))
+    links, spent = class_links(sets, block, leaders)
+    found = connected_components(links, "components")
+    for t in spent:
+        discard(t)
     signed = sets.select("doc_id", "th", "n", "cid", "h2").join(found, F.col("cid") == F.col("node"), "left")
     out = materialize(signed.withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "cid"))).drop("node"), "components-by-row")
     discard(sets)

@@ -577,3 +577,15 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         assert {r["doc_id"]: r["text"] for r in rows(docs)} == kept and docs.count() == len(kept), name
     packed = {(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)))}
     assert packed == pieces == {(r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in rows(corpus_pipeline.run(spark, str(tmp_path)))}
+
+
+def test_sets_that_share_a_key_are_told_apart(spark):
+    from prismar.llm import jaccard
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(6)]
+    texts += [texts[0] + " tail", texts[3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    half = lambda s: (int(jaccard.set_key(s)[0]) % 2, jaccard.set_key(s)[1])
+    got = rows(jaccard.set_components(df, key=half))
+    comp = {r["doc_id"]: r["comp"] for r in got}
+    assert len({r["cid"] for r in got}) == 7 and len(set(comp.values())) == 6 and comp[0] == comp[6] and comp[3] == comp[7]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
-from prismar.operators import audio, encode
+import pyarrow as pa
+from prismar.operators import audio, encode, images
 from prismar.operators import points as P
 from prismar.operators.cuts import shared_dir
 from prismar.plans.point_queries import pts
@@ -229,3 +231,82 @@ def p7(spark, sf_dir):
     """All palette features of each bag, joined by item; a bag with a point that has no third value fails, with its reason."""
     p = pts(spark, sf_dir)
     return P.palette_job(p.withColumn("p3", F.when((F.col("item_id") % 40 != 0) | (F.col("p1") > 5), F.col("p3"))))
+
+
+def _byte(e):
+    return F.floor((F.least(F.greatest(e, F.lit(-1.0)), F.lit(1.0)) + 1) * 127).cast("int")
+
+
+def bitmaps(spark, sf_dir):
+    """item_id, content: the bytes of a picture file (BMP) of 8 x 8 pixels for each vector, grey levels from its places; every seventh is cut off in its head."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: _byte(x.cast("double"))).alias("g"))
+
+    def write(batches):
+        for batch in batches:
+            files = []
+            for i, g in zip(batch.column("item_id").to_pylist(), batch.column("g").to_pylist()):
+                rows = [g[8 * y : 8 * y + 8] for y in range(7, -1, -1)]
+                body = b"".join(bytes(v for p in row for v in (p, p, p)) for row in rows)
+                whole = struct.pack("<2sIHHI", b"BM", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 8, 8, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+                files.append(whole[:20] if i % 7 == 0 else whole)
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(files, pa.binary())], ["item_id", "content"])
+
+    return e.mapInArrow(write, "item_id long, content binary")
+
+
+def put_files(files, folder):
+    """Write each row's content to folder/<item_id>.bmp."""
+    def put(rows):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for r in rows:
+            with system.open_output_stream(f"{root}/{r.item_id}.bmp") as out:
+                out.write(bytes(r.content))
+
+    files.foreachPartition(put)
+
+
+_LEVEL = "floor((least(greatest(CAST(e AS DOUBLE), -1e0), 1e0) + 1) * 127)"
+_Y = f"(CASE WHEN {_LEVEL}/255e0 > 0.04045e0 THEN pow(({_LEVEL}/255e0 + 0.055e0) / 1.055e0, 2.4e0) ELSE {_LEVEL}/255e0/12.92e0 END)"
+LIGHT = f"least(greatest(floor((CASE WHEN {_Y} > 0.008856e0 THEN 116 * pow({_Y}, 1e0/3) - 16 ELSE 903.3e0 * {_Y} END) * 255e0 / 100 + 0.5e0), 0e0), 255e0) * 100e0 / 255"
+
+
+@query("P7_images", f"SELECT item_id, 'features' AS kind, round(avg(l), 4) + 0.0 AS light, round(stddev_pop(l), 4) + 0.0 AS spread, count(DISTINCT least(floor(l * 255 / 100 / 16), 15)) AS bins FROM (SELECT vec_id AS item_id, {LIGHT} AS l FROM (SELECT vec_id, unnest(embedding) AS e FROM embeddings WHERE vec_id % 7 <> 0)) GROUP BY item_id UNION ALL SELECT vec_id, 'rejects', NULL, NULL, NULL FROM embeddings WHERE vec_id % 7 = 0")
+def p7_images(spark, sf_dir):
+    """Pictures are written from the vectors, scanned, and taken through the whole palette job in one pass; broken files are in the rejects."""
+    folder = f"{shared_dir(spark)}/pictures-{uuid.uuid4().hex}"
+    put_files(bitmaps(spark, sf_dir), f"{folder}/in")
+    number = F.regexp_extract("path", r"([0-9]+)\.bmp$", 1).cast("long")
+    found, rejects = images.palette_sink(media.scan_images(spark, f"{folder}/in").withColumn("item_id", number), f"{folder}/out", colors=4)
+    good = found.select("item_id", F.lit("features").alias("kind"), *((F.round(c, 4) + 0.0).alias(n) for c, n in (("p1_mean", "light"), ("p1_std", "spread"))), F.size("histogram").cast("long").alias("bins"))
+    return good.unionByName(rejects.select("item_id", F.lit("rejects").alias("kind")), allowMissingColumns=True)
+
+
+@query("W1", "SELECT vec_id AS item_id, 'set' || label AS dataset, CASE WHEN vec_id % 2 = 0 THEN 'image' ELSE 'audio' END AS modality, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS first FROM embeddings")
+def w1(spark, sf_dir):
+    """The vectors are written by data set and modality, and read back."""
+    path = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    kinds = (F.concat(F.lit("set"), "label").alias("dataset"), F.when(F.col("vec_id") % 2 == 0, "image").otherwise("audio").alias("modality"))
+    sinks.write_embeddings(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", *kinds), path)
+    first = F.round(F.element_at("embedding", 1).cast("double"), 6) + 0.0
+    return spark.read.parquet(path).select("item_id", F.col("dataset").cast("string").alias("dataset"), "modality", first.alias("first"))
+
+
+@query("W2", "SELECT vec_id AS item_id, round(CAST(embedding[2] AS DOUBLE), 6) + 0.0 AS value FROM embeddings WHERE vec_id % 3 <> 0")
+def w2(spark, sf_dir):
+    """Of a feature that a third of the items lack, only the rest is written."""
+    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex}"
+    value = F.when(F.col("vec_id") % 3 != 0, F.round(F.element_at("embedding", 2).cast("double"), 6) + 0.0)
+    sinks.write_features(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), value.alias("value")), "value", path)
+    return media.scan_features(spark, path, "value")
+
+
+@query("W3", "SELECT vec_id AS item_id, CAST(embedding[1] AS FLOAT) AS x, CAST(embedding[2] AS FLOAT) AS y, CAST(label AS INTEGER) AS cluster_id, 'C' || label AS label FROM embeddings")
+def w3(spark, sf_dir):
+    """A latent table is written and scanned with its types."""
+    path = f"{shared_dir(spark)}/latent-{uuid.uuid4().hex}"
+    x, y = (F.element_at("embedding", k).cast("double") for k in (1, 2))
+    sinks.write_latent(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), x.alias("x"), y.alias("y"), F.col("label").cast("int").alias("cluster_id"), F.concat(F.lit("C"), "label").alias("label")), path)
+    return media.scan_latent(spark.read.parquet(path))

@@ -8,6 +8,7 @@ from prismar.functions.vectors import cosine_similarity
 from prismar.operators import groups, search
 from prismar.operators.cuts import shared_dir
 from prismar.registry import query, table
+from prismar.sources import layout as bucket_tables
 from prismar.sources import media, sinks
 from pyspark.sql import functions as F
 
@@ -114,6 +115,17 @@ def k15(spark, sf_dir):
     return hits(spark, sf_dir, 25).select("item_id", "rank").join(latent, "item_id")
 
 
+@query("K15_bucketed", f"SELECT t.item_id, rank, round(embedding[1], 6) + 0.0 AS x, p.page_id IS NOT NULL AS has_page FROM ({TOP(25)}) t JOIN embeddings ON vec_id = t.item_id LEFT JOIN pages p ON p.page_id = t.item_id")
+def k15_bucketed(spark, sf_dir):
+    """Hits joined with the latent table and the path table, both bucketed by item id, which therefore stay where they lie."""
+    mark = uuid.uuid4().hex
+    latent = items(spark, sf_dir).select("item_id", (F.round(F.element_at("embedding", 1), 6) + 0.0).cast("float").alias("x"))
+    paths = table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), F.lit(True).alias("page"))
+    both = [bucket_tables.write_bucketed(df, f"{n}_{mark}", 8, path=f"{shared_dir(spark)}/{n}-{mark}") for n, df in (("latent", latent), ("paths", paths))]
+    joined = both[0].join(both[1], "item_id", "left").join(hits(spark, sf_dir, 25).select("item_id", "rank"), "item_id")
+    return joined.select("item_id", "rank", "x", F.coalesce("page", F.lit(False)).alias("has_page"))
+
+
 @query("K16", f"SELECT scene, item_id, round(sqrt((x - lag(x) OVER (ORDER BY scene)) ** 2 + (y - lag(y) OVER (ORDER BY scene)) ** 2), 6) + 0.0 AS step FROM (SELECT query_id / 25 AS scene, item_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM (SELECT CAST(query_id AS BIGINT) // 1 AS query_id, item_id FROM ({KNN} 2) WHERE rank = 2 AND query_id % 25 = 0) JOIN embeddings ON vec_id = item_id)")
 def k16(spark, sf_dir):
     """A story: one item for each scene (here every 25th vector, its own row left out), and the length of each leg of the path."""

@@ -391,3 +391,32 @@ def test_smooth_layout_draws_neighbours_together(spark):
     df = spark.createDataFrame([(i, (np.eye(8)[i % 2] + 0.4 * rng.normal(size=8)).tolist()) for i in range(60)], "item_id long, embedding array<double>")
     spread = lambda rows: sum(np.var([[r.x, r.y] for r in rows if r.item_id % 2 == g], axis=0).sum() for g in (0, 1))
     assert spread(smoothing.smooth_layout(df, 2, 5, rounds=4).collect()) < 0.7 * spread(cluster.layout(df, 2).collect())
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
+    from prismar.sources import layout
+
+    for n in ("one", "two"):
+        rows = spark.range(2000).selectExpr("id AS item_id", f"id * 2 AS {n}")
+        layout.write_bucketed(rows, f"bucketed_{n}", 4, path=f"{tmp_path}/{n}")
+    both = layout.bucketed(spark, "bucketed_one").join(layout.bucketed(spark, "bucketed_two").hint("merge"), "item_id")
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and both.count() == 2000
+    grouped = both.groupBy("item_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in grouped
+    for n in ("one", "two"):
+        layout.drop(spark, f"bucketed_{n}")
+
+
+def test_a_failure_anywhere_is_a_row_of_the_rejects(spark, tmp_path):
+    from prismar.operators import images, raster
+
+    pixels = bytes([255, 255, 255] * 3 + [0, 0, 255])
+    rows = [(1, "a", 2, 2, 3, pixels), (2, "b", -1, -1, -1, b""), (3, "c", 2, 2, 3, b"short"), (4, "d", 2, 2, 1, bytes(4)), (5, None, None, None, None, None), (6, "f", 1, 1, 7, bytes(7))]
+    df = spark.createDataFrame(rows, "item_id long, path string, height int, width int, nChannels int, data binary")
+    found, rejects = images.palette_sink(df, f"file://{tmp_path}/out", colors=2)
+    good = {r.item_id: r for r in found.collect()}
+    assert sorted(good) == [1, 4] and {r.item_id: r.stage for r in rejects.collect()} == {2: "decode", 3: "decode", 5: "decode", 6: "decode"}
+    assert [round(c.w, 2) for c in good[1].dominant] == [0.75, 0.25] and good[4].p1_mean == 0 and sum(v * v for v in good[1].histogram.values()) == pytest.approx(1)
+    by_columns = sorted((r.p1, r.p2, r.p3) for r in raster.lab_points(df.where("item_id = 1")).collect())
+    assert np.allclose(by_columns, sorted(map(tuple, images.lab(np.frombuffer(pixels, np.uint8).reshape(-1, 3).astype(float)))))

@@ -4,7 +4,11 @@ Overlapping documents are found through hashes of shared runs of lines, the shor
 the rarest of its lines, so that common lines alone make no pairs. Each run's first document owns it, and a document is aligned with the
 owners of its runs. Any common block of two documents is covered by such runs (take the shortest from its start, to its end, and around
 each line), and each of these has an owner no later than the earlier document; so the pairs, which are no more than there are runs, give
-all the lines that aligning a document with every earlier one would give. Each pair is aligned by patience diff over the shared runs.
+all the lines that aligning a document with every earlier one would give.
+
+Each pair is aligned by patience diff over the shared runs: unique lines in the longest common order, grown over equal neighbours, and then what is left,
+moved and repeated passages, in the later document's order. These blocks are what is reported and what goes. As moved and repeated passages go too, no
+line of a shared run is ever left, and the lines that go could be told from the runs alone; the alignment tells to which of the owner's lines each belongs.
 """
 
 from __future__ import annotations
@@ -95,9 +99,20 @@ def run_hashes(lines: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return out
 
 
+def numbered(doc: np.ndarray, run: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each run among its document's equal runs, from 0 in the order of their first lines, and how many these are."""
+    order = np.lexsort((first, run, doc))
+    new = np.flatnonzero(np.concatenate([[True], (run[order][1:] != run[order][:-1]) | (doc[order][1:] != doc[order][:-1])])) if len(order) else order
+    sizes = np.diff(np.concatenate([new, [len(order)]]))
+    occ, times = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
+    occ[order] = np.arange(len(order)) - np.repeat(new, sizes)
+    times[order] = np.repeat(sizes, sizes)
+    return occ, times
+
+
 def line_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """run (hash), id and h (row key), at (the number of its first line, of those that aren't blank), places of its lines: the shortest runs
-    of at least `min_words` words of each document."""
+    """run (hash), id and h (row key), at (the number of its first line, of those that aren't blank), places of its lines, occ (which of the document's
+    runs of this hash it is) and times (how many there are): the shortest runs of at least `min_words` words of each document."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches, "text"):
@@ -112,10 +127,10 @@ def line_runs(docs: DataFrame, min_words: int) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(sizes)])
             inside = place[np.repeat(first - ends[:-1], sizes) + np.arange(ends[-1])]
             places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(inside))
-            yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), *(batch.column(c).take(pa.array(owner)) for c in ("id", "h")), pa.array((first - begin[first]).astype(np.int32)), places], ["run", "id", "h", "at", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), *(batch.column(c).take(pa.array(owner)) for c in ("id", "h")), pa.array((first - begin[first]).astype(np.int32)), places, *map(pa.array, numbered(owner, run, first))], ["run", "id", "h", "at", "places", "occ", "times"])
 
     rows = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(emit, "run long, id long, h long, at int, places array<int>")
+    return rows.mapInArrow(emit, "run long, id long, h long, at int, places array<int>, occ int, times int")
 
 
 def text_lines(text: bytes) -> Iterator[tuple[int, bytes, int]]:
@@ -134,9 +149,14 @@ def shared_blocks(docs: DataFrame, min_words: int) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = materialize(line_runs(docs, min_words), "runs")
     key = F.struct("id", "h")
-    owners = runs.groupBy("run").agg(F.min(F.struct("id", "h", "at", F.element_at("places", 1).alias("place"))).alias("o"), F.max(key).alias("latest"))
-    owners = owners.where(F.struct("o.id", "o.h") != F.col("latest")).select("run", F.col("o.id").alias("owner"), F.col("o.h").alias("owner_h"), F.col("o.at").alias("theirs"), F.col("o.place").alias("place"))
-    met = runs.join(owners, "run").where(F.struct("owner", "owner_h") < key).drop("run").distinct()
+    owners = runs.groupBy("run").agg(F.min(F.struct("id", "h", "at", F.element_at("places", 1).alias("place"), "times")).alias("o"), F.max(key).alias("latest"))
+    owners = owners.where(F.struct("o.id", "o.h") != F.col("latest")).select("run", F.col("o.id").alias("owner"), F.col("o.h").alias("owner_h"), F.col("o.at").alias("theirs"), F.col("o.place").alias("place"), F.col("o.times").alias("own_times"))
+    found = runs.join(owners, "run").where(F.struct("owner", "owner_h") < key).withColumn("which", F.least("occ", F.col("own_times") - 1))
+    # where the owner has a run more than once, the one of the same number (or its last) is met, so that repeated lines line up
+    again = runs.where("times > 1").select(F.col("run").alias("run_"), F.col("id").alias("id_"), F.col("h").alias("h_"), F.col("occ").alias("occ_"), F.col("at").alias("at_"), F.element_at("places", 1).alias("place_"))
+    later = found.where("which > 0").join(again, (F.col("run") == F.col("run_")) & (F.col("owner") == F.col("id_")) & (F.col("owner_h") == F.col("h_")) & (F.col("which") == F.col("occ_")))
+    columns = ["id", "h", "at", "places", "owner", "owner_h", "theirs", "place"]
+    met = found.where("which = 0").select(columns).unionByName(later.withColumns({"theirs": F.col("at_"), "place": F.col("place_")}).select(columns)).distinct()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for k in range(0, b.num_rows, 1024) for r in b.slice(k, 1024).to_pylist())
@@ -199,7 +219,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
 
     Lines are compared without the white space at their ends. Blank lines don't count, but go where they lie inside a block.
     Order is that of doc_id (null first), then of a text hash. Null texts stay null; repeated rows (same id and text) are one
-    document and get the same result; an empty table stays empty.
+    document and get the same result; an empty table stays empty. Texts of any length are compared whole.
     """
     out = _rewritten(docs, min_words)
     blocks = F.coalesce("__blocks", F.array().cast(BLOCKS))

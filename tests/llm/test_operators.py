@@ -589,3 +589,16 @@ def test_sets_that_share_a_key_are_told_apart(spark):
     got = rows(jaccard.set_components(df, key=half))
     comp = {r["doc_id"]: r["comp"] for r in got}
     assert len({r["cid"] for r in got}) == 7 and len(set(comp.values())) == 6 and comp[0] == comp[6] and comp[3] == comp[7]
+
+
+def test_repeated_lines_line_up_as_one_block(spark):
+    from prismar.llm import linededup
+
+    line = "one and the same line of ten words stands here again"
+    texts = [(1, "\n".join(["first words", *[line] * 500, "last words"])), (2, "\n".join([*[line] * 500, "own end"])), (3, "\n".join(["x", "y", *[line] * 3]))]
+    got = {r["doc_id"]: r for r in rows(linededup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert got[1]["text"] == texts[0][1] and got[2]["text"] == "own end" and got[3]["text"] == "x\ny"
+    assert [tuple(b[c] for c in ("owner", "first", "theirs", "lines")) for b in got[2]["blocks"]] == [(1, 0, 1, 500)]
+    assert [tuple(b[c] for c in ("owner", "first", "theirs", "lines")) for b in got[3]["blocks"]] == [(1, 2, 1, 3)]
+    more = {r["doc_id"]: r for r in rows(linededup.dedup_lines(spark.createDataFrame([(1, "\n".join([line] * 4)), (2, "\n".join([line] * 7))], "doc_id long, text string")))}
+    assert more[2]["text"] == "" and sum(b["lines"] for b in more[2]["blocks"]) == 7 and max(b["lines"] for b in more[2]["blocks"]) == 4

@@ -189,7 +189,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 13, block_byte
     """doc_id, n_words, n_hit, spans (word offsets, merged), items (ascending ids) for each row of `docs`; with_key: and row, its key.
 
     No shuffle while the test items fit one block. More blocks are searched one after the other, and the spans of a row are
-    merged by a key of the row. Null texts have no words; items without words or with a null id are never found; repeated rows each give a row.
+    merged by a key of the row. Null texts have no words; items without words or with a null id are never found; repeated rows each give a row. Texts of any
+    length are searched whole, in shards of `shard_bytes` or of one longer text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))

@@ -459,6 +459,7 @@ def jaccard_classes(docs: DataFrame, block: int = 1000, leaders: int = 32) -> Da
 
     Repeated rows each give a row, and an id with several texts one for each; a row with a null id is never the smallest of its
     component, and links like any other. Null and empty texts and texts without words have no shingle and their own id as component.
+    Texts of any length give their whole set, which one task holds.
     """
     found = set_components(docs, block, leaders)
     least = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))

@@ -374,7 +374,8 @@ def katz_scores(docs: DataFrame, vocab_limit: int = LIMIT, pairs_per_group: int
 
     Rows of remainder 1 (crc32 of the id as text, modulo 5) are held out of training. Null and empty texts are their end token; repeated
     rows each give a row; a null id trains; an empty table gives none; other columns are ignored. `vocab_limit` (2^20 - 2 at most)
-    bounds the words that are broadcast, and `hot_share` the pairs (1 / hot_share of them at most); neither changes a score.
+    bounds the words that are broadcast, and `hot_share` the pairs (1 / hot_share of them at most); neither changes a score. Texts of any
+    length are counted and scored whole; a task holds one text at a time.
     """
     spark = docs.sparkSession
     rows = split_rows(docs)

@@ -130,7 +130,7 @@ def pack(docs: DataFrame, width: int = 2048, unit: int = 16, end_id: int = 1, to
     Lengths are rounded up to multiples of `unit` for the linear program (at most width/unit classes, whatever the input);
     offsets use the exact lengths, so sequences have no gaps. Pieces of a class are ranked over salted parts of it, so a
     class that holds most rows is spread over tasks. A null or empty text is its end id; repeated rows are packed each; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. A text of any length is cut into as many pieces as it needs.
     """
     cut = materialize(pieces(docs, width, end_id, tokenizer).withColumn("cls", F.ceil(F.col("length") / unit).cast("int")), "pieces")
     demand = {r.cls: r["count"] for r in cut.groupBy("cls").count().collect()}  # at most width/unit rows

@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000) -> tuple
 
 def score_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for each row. Null and empty texts are scored as texts without words; repeated
-    rows each give a row; with fewer than two labelled rows every score is 0.5."""
+    rows each give a row; texts of any length are pooled whole; with fewer than two labelled rows every score is 0.5."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

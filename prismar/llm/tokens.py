@@ -146,7 +146,8 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 512
     """doc_id, n_bytes, n_tokens, over_limit for each row of `docs` (doc_id, text).
 
     Two tiers: a table of at most `table_size` frequent chunk lengths is broadcast (its size is the bound); other chunks are
-    encoded once per worker cache. Null and empty texts have no tokens; repeated rows each give a row; other columns are ignored.
+    encoded once per worker cache. Null and empty texts have no tokens; repeated rows each give a row; texts of any length are counted
+    whole; other columns are ignored.
     """
     path = tokenizer or tokenizer_path()
     top = frequent_chunks(docs, table_size)

@@ -213,8 +213,8 @@ def _logistic(rows: list[tuple[float, int, int]], ridge: float = 1e-2, steps: in
 def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words and the toxic segments (word offsets, score, E-value) of each row.
 
-    Null and empty texts have no segment and the score of such texts; repeated rows each give a row; without labels of both
-    classes scores are constant.
+    Null and empty texts have no segment and the score of such texts; repeated rows each give a row; texts of any length are scanned whole; without labels of
+    both classes scores are constant.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **options))
 

@@ -229,7 +229,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     """Write all pages to archives with their index, then look every page up again: a row per page row.
 
     A null html is an empty payload; pages without url have the empty key; repeated rows are written and read each; a null
-    page_id counts as the smallest and comes back null; with no page there is no file and no row.
+    page_id counts as the smallest and comes back null; pages of any length are one record each; with no page there is no file and no row.
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     directory = write_archive(pages, folder, min_bytes)

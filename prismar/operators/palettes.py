@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from prismar.operators.cuts import cut
+from prismar.operators.cuts import cut, discard
 from prismar.operators.points import CHANNELS, COLORS, PALETTE
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,11 +48,13 @@ def seeds(points: DataFrame, k: int, items: int, rounds: int = 4, seed: int = 42
     start = points.groupBy("item_id").agg(F.min_by(F.struct(*CHANNELS), F.struct(draw(0), *CHANNELS)).alias("s")).select("item_id", F.lit(0).alias("pos"), "s.*")
     have = cut(start, "seeds")
     for r in range(1, rounds + 1):
+        before = have
         far = with_nearest(points, gathered(have), items, 1 + 2 * k * r)
         total = far.groupBy("item_id").agg(F.sum(F.col("d") * F.col("w")).alias("cost"))
         chance = 2 * k * F.col("d") * F.col("w") / F.col("cost")
         drawn = far.join(F.broadcast(total) if items * 16 <= SMALL else total, "item_id").where((F.col("cost") > 0) & (draw(r) < chance))
         have = cut(have.unionByName(drawn.select("item_id", F.lit(0).alias("pos"), *CHANNELS)), "seeds")
+        discard(before)
     numbered = have.dropDuplicates(["item_id", *CHANNELS]).withColumn("pos", F.row_number().over(Window.partitionBy("item_id").orderBy(*CHANNELS)))
     weighed = with_nearest(points, gathered(numbered), items, 1 + 2 * k * rounds).groupBy("item_id", "pos").agg(F.sum("w").alias("n"))
     candidates = numbered.join(weighed, ["item_id", "pos"]).select("item_id", *CHANNELS, F.col("n").cast("double").alias("n"))
@@ -84,15 +86,17 @@ def dominant_all(points: DataFrame, k: int = COLORS, rounds: int = 20, tolerance
     plain = points.select(F.col("item_id").cast("long").alias("item_id"), *(F.col(p).cast("double").alias(p) for p in CHANNELS)).where(sound)
     some = cut(plain.groupBy("item_id", *CHANNELS).agg(F.count(F.lit(1)).alias("w")), "points")
     items = some.select("item_id").distinct().count()
-    now = seeds(some, k, items, seed=seed)
+    now, last = seeds(some, k, items, seed=seed), None
     for _ in range(rounds):
         step = cut(lloyd_step(some, now, items, k), "centres")
         before = now.select("item_id", F.explode("centres").alias("c")).select("item_id", "c.pos", *(F.col(f"c.{p}").alias(f"old_{p}") for p in CHANNELS))
         moved = step.join(before, ["item_id", "pos"]).agg(F.max(sum((F.pow(F.col(p) - F.col(f"old_{p}"), 2) for p in CHANNELS), F.lit(0.0)))).first()[0]
-        now = gathered(step)
+        if last is not None:
+            discard(last)
+        now, last = gathered(step), step
         if moved is None or moved <= tolerance**2:
             break
-    last = lloyd_step(some, now, items, k)
+    final = lloyd_step(some, now, items, k)
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), *CHANNELS)))
-    shares = last.groupBy("item_id").agg(order.alias("c"), F.sum("n").alias("total"))
+    shares = final.groupBy("item_id").agg(order.alias("c"), F.sum("n").alias("total"))
     return shares.select("item_id", F.transform("c", lambda c: F.struct(*(c[p].alias(p) for p in CHANNELS), (-c["n"] / F.col("total")).alias("w"))).cast(PALETTE).alias("dominant"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from prismar.functions.vectors import l2_normalize
 from prismar.operators.cluster import layout
-from prismar.operators.cuts import cut
+from prismar.operators.cuts import cut, discard
 from prismar.operators.search import knn_join
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,8 @@ def smooth(start: DataFrame, graph: DataFrame, alpha: float = 0.5, rounds: int =
         following = cut(there.select("item_id", *new), "smoothed")
         way = sum((F.pow(following[c] - now[c], 2) for c in axes), F.lit(0.0))
         moved = following.join(now, "item_id").agg(F.max(way)).first()[0]
+        if now is not first:
+            discard(now)
         now = following
         if trace is not None:
             trace.append(energy(now, first, graph, alpha, axes))

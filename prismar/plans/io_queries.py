@@ -1,4 +1,4 @@
-"""Queries over listings, manifests, sessions, encoders and waveforms."""
+"""Queries over files, listings, manifests, sessions, encoders and waveforms."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import uuid
 import pyarrow as pa
 from prismar.operators import audio, encode, images
 from prismar.operators import points as P
+from prismar.operators import raster as R
 from prismar.operators.cuts import shared_dir
 from prismar.plans.point_queries import pts
 from prismar.registry import query, table
@@ -254,15 +255,15 @@ def bitmaps(spark, sf_dir):
     return e.mapInArrow(write, "item_id long, content binary")
 
 
-def put_files(files, folder):
-    """Write each row's content to folder/<item_id>.bmp."""
+def put_files(files, folder, ext="bmp"):
+    """Write each row's content to folder/<item_id>.<ext>."""
     def put(rows):
         from pyarrow import fs
 
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         for r in rows:
-            with system.open_output_stream(f"{root}/{r.item_id}.bmp") as out:
+            with system.open_output_stream(f"{root}/{r.item_id}.{ext}") as out:
                 out.write(bytes(r.content))
 
     files.foreachPartition(put)
@@ -310,3 +311,73 @@ def w3(spark, sf_dir):
     x, y = (F.element_at("embedding", k).cast("double") for k in (1, 2))
     sinks.write_latent(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), x.alias("x"), y.alias("y"), F.col("label").cast("int").alias("cluster_id"), F.concat(F.lit("C"), "label").alias("label")), path)
     return media.scan_latent(spark.read.parquet(path))
+
+
+def pictures(spark, sf_dir):
+    """The folder of the picture files made from the vectors."""
+    folder = f"{shared_dir(spark)}/pictures-{uuid.uuid4().hex}"
+    put_files(bitmaps(spark, sf_dir), folder)
+    return folder
+
+
+def numbered(files):
+    return files.withColumn("item_id", F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("long"))
+
+
+GREY = f"SELECT vec_id AS item_id, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, {_LEVEL} AS g, {LIGHT} AS l FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings WHERE vec_id % 7 <> 0)"
+
+
+@query("S1", "SELECT vec_id AS item_id, 'bmp' AS ext, CASE WHEN vec_id % 7 = 0 THEN 20 ELSE 246 END AS length FROM embeddings")
+def s1(spark, sf_dir):
+    """Files of a modality, found by name; their content isn't read."""
+    return numbered(media.discover(spark, pictures(spark, sf_dir), "image")).select("item_id", "ext", "length")
+
+
+@query("S2", f"SELECT item_id, 8 AS height, CAST(max(g) FILTER (y = 0 AND x = 0) AS INTEGER) AS first, CAST(sum(g) AS BIGINT) AS total FROM ({GREY}) GROUP BY item_id UNION ALL SELECT vec_id, -1, NULL, NULL FROM embeddings WHERE vec_id % 7 = 0")
+def s2(spark, sf_dir):
+    """Decoded pictures: height, first byte and the sum of one channel; a broken file has height -1."""
+    found = numbered(media.scan_images(spark, pictures(spark, sf_dir)))
+    sums = R.pixels(found).groupBy("item_id").agg(F.max(F.when((F.col("y") == 0) & (F.col("x") == 0), F.col("b"))).alias("first"), F.sum("b").alias("total"))
+    return found.select("item_id", "height").join(sums, "item_id", "left")
+
+
+@query("P2", f"SELECT item_id, y, x, round(l, 6) + 0.0 AS light FROM ({GREY})")
+def p2(spark, sf_dir):
+    """A point for each pixel of the pictures that can be decoded; a grey one has no colour."""
+    points = R.lab_points(numbered(media.scan_images(spark, pictures(spark, sf_dir)))).where("abs(p2) < 1 AND abs(p3) < 1")
+    return points.select("item_id", "point_id.y", "point_id.x", (F.round("p1", 6) + 0.0).alias("light"))
+
+
+@query("V1", f"SELECT item_id, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, CAST(round_even(avg(g), 0) AS INTEGER) AS value FROM ({GREY}) GROUP BY ALL")
+def v1(spark, sf_dir):
+    """Thumbnails of 4 x 4 pixels by area averaging."""
+    small = R.resize(numbered(media.scan_images(spark, pictures(spark, sf_dir))), 4, pad=True)
+    return R.pixels(small).select("item_id", "y", F.col("x").cast("int").alias("x"), F.col("b").alias("value"))
+
+
+@query("S3", "SELECT vec_id AS item_id, 8000 AS sr, list_transform(embedding, lambda e: round(floor(CAST(e AS DOUBLE) * 32767) / 32768, 6) + 0.0) AS samples FROM embeddings")
+def s3(spark, sf_dir):
+    """Sound files are written from the vectors and scanned at their own rate."""
+    folder = f"{shared_dir(spark)}/sounds-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 32767).cast("int")).alias("v"))
+
+    def write(batches):
+        for batch in batches:
+            heads = [struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + 2 * len(v), b"WAVE", b"fmt ", 16, 1, 1, 8000, 16000, 2, 16, b"data", 2 * len(v)) for v in batch.column("v").to_pylist()]
+            bodies = [struct.pack(f"<{len(v)}h", *v) for v in batch.column("v").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([h + b for h, b in zip(heads, bodies)], pa.binary())], ["item_id", "content"])
+
+    put_files(e.mapInArrow(write, "item_id long, content binary"), folder, "wav")
+    found = numbered(media.scan_audio(spark, folder, None))
+    return found.select("item_id", "sr", F.transform("samples", lambda x: F.round(x.cast("double"), 6) + 0.0).alias("samples"))
+
+
+@query("S5", "SELECT r_name AS label, n_name AS term FROM nation JOIN region ON r_regionkey = n_regionkey")
+def s5(spark, sf_dir):
+    """A dictionary of labels with their terms is written as a file and read."""
+    folder = f"{shared_dir(spark)}/dictionary-{uuid.uuid4().hex}"
+    both = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    entries = both.groupBy("r_name").agg(F.collect_list("n_name").alias("terms"))
+    as_map = entries.agg(F.map_from_entries(F.collect_list(F.struct("r_name", "terms"))).alias("m"))  # as many entries as there are regions
+    as_map.select(F.to_json("m").alias("value")).coalesce(1).write.text(folder)
+    return media.read_dictionary(spark, folder)

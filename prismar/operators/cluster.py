@@ -22,10 +22,14 @@ SAMPLE = 5000
 
 
 def kmeans(items: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """item_id, cluster_id on unit vectors; everything is cluster 0 where there are fewer than k items or k < 2."""
+    """item_id, cluster_id on unit vectors; everything is cluster 0 where there are fewer than k items, k < 2, or the fit can't be made: a vector is missing, has a
+    component that isn't a finite number, or is of another length than the rest."""
+    v = F.col("embedding").cast("array<double>")
+    broken = F.coalesce(F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
+    n, low, high, bad = items.agg(F.count(F.lit(1)), F.min(F.size(v)), F.max(F.size(v)), F.max(broken)).first()
+    if k < 2 or n < k or low != high or bad:
+        return items.select("item_id", F.lit(0).alias("cluster_id"))
     unit = items.select("item_id", array_to_vector(l2_normalize("embedding")).alias("features"))
-    if k < 2 or unit.limit(k).count() < k:
-        return unit.select("item_id", F.lit(0).alias("cluster_id"))
     return KMeans(k=k, seed=seed).fit(unit).transform(unit).select("item_id", F.col("prediction").alias("cluster_id"))
 
 

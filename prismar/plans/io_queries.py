@@ -208,11 +208,6 @@ def x1(spark, sf_dir):
 WAVE = "SELECT user_id, list(CAST(value AS DOUBLE) ORDER BY ts, event_id) AS x FROM events WHERE value IS NOT NULL GROUP BY user_id"
 
 
-def waves(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value is not null")
-    return e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s.value).alias("samples"))
-
-
 @query("V2", f"SELECT user_id, list_transform(range(8), lambda i: round(x[CAST(floor(i * (len(x) - 1) / 7) AS INTEGER) + 1] / CASE WHEN m > 0 THEN m ELSE 1 END, 6) + 0.0) AS envelope FROM (SELECT user_id, x, list_max(list_transform(x, lambda v: abs(v))) AS m FROM ({WAVE}))")
 def v2(spark, sf_dir):
     """A user's log is as long as it likes, so only the wanted samples of it are gathered."""
@@ -223,8 +218,8 @@ def v2(spark, sf_dir):
 
 @query("V3")
 def v3(spark, sf_dir):
-    w = waves(spark, sf_dir).select(F.col("user_id").alias("item_id"), F.lit(8000).alias("sr"), "samples")
-    return audio.spectrograms(w, n_fft=64, hop=16, mels=8)
+    """Each user's log as a signal, in pieces of 64 frames."""
+    return audio.spectrogram_of_rows(table(spark, sf_dir, "events"), "user_id", ("ts", "event_id"), "value", 8000, n_fft=64, hop=16, mels=8, frames=64)
 
 
 @query("P7")

@@ -420,3 +420,33 @@ def test_a_failure_anywhere_is_a_row_of_the_rejects(spark, tmp_path):
     assert [round(c.w, 2) for c in good[1].dominant] == [0.75, 0.25] and good[4].p1_mean == 0 and sum(v * v for v in good[1].histogram.values()) == pytest.approx(1)
     by_columns = sorted((r.p1, r.p2, r.p3) for r in raster.lab_points(df.where("item_id = 1")).collect())
     assert np.allclose(by_columns, sorted(map(tuple, images.lab(np.frombuffer(pixels, np.uint8).reshape(-1, 3).astype(float)))))
+
+
+def test_pieces_of_a_spectrogram_are_the_whole(spark):
+    from prismar.operators import audio
+
+    rng = np.random.default_rng(3)
+    signals = {1: rng.normal(size=3001), 2: np.sin(np.arange(700) / 5), 3: rng.normal(size=20), 4: rng.normal(size=128 * 4)}
+    rows = [(k, t, float(v)) for k, x in signals.items() for t, v in enumerate(x)] + [(1, 10**6, None), (9, 1, None)]
+    df = spark.createDataFrame(rows, "user_id long, ts long, value double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = audio.spectrogram_of_rows(df, "user_id", ("ts",), "value", 8000, n_fft=64, hop=16, mels=12, frames=8).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.user_id for r in got} == set(signals)
+    for k, x in signals.items():
+        own = [np.array(r.mel) for r in sorted(got, key=lambda r: r.piece) if r.user_id == k]
+        assert len(own) > 1 or len(x) < 100
+        assert np.array_equal(np.concatenate(own, axis=1), audio.mel_spectrogram(x, 8000, 64, 16, 12))
+
+
+@pytest.mark.parametrize("odd", [None, [1.0, float("nan")], [1.0, float("inf")], [1.0, None], [1.0]])
+def test_everything_is_one_cluster_where_no_fit_can_be_made(spark, odd):
+    from prismar.operators import cluster
+
+    rows = [(i, [float(i % 2), 1.0 - i % 2]) for i in range(6)]
+    schema = "item_id long, embedding array<double>"
+    assert len({r.cluster_id for r in cluster.kmeans(spark.createDataFrame(rows, schema), 2).collect()}) == 2
+    got = cluster.kmeans(spark.createDataFrame([*rows, (9, odd)], schema), 2).collect()
+    assert {r.cluster_id for r in got} == {0} and len(got) == 7

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from prismar.functions.vectors import cosine_distance, minmax_normalize
+from prismar.functions.vectors import minmax_normalize
 from prismar.operators.cuts import cut
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -20,12 +20,15 @@ CELLS = 1 << 22  # similarities held at a time by a task
 def top_k(items: DataFrame, query: DataFrame, k: int, vector: str = "embedding", carry: tuple[str, ...] = ()) -> DataFrame:
     """item_id, distance, rank and the columns in `carry`: the k items nearest to one query row by cosine distance, ties to the smaller id.
 
-    The one query vector becomes a literal, so that the items are scanned once and each task keeps k rows.
+    The one query vector is broadcast (a row) with its length, so that the items are scanned once in the same job and each task keeps k rows.
     """
-    found = query.select(F.col(vector).cast("array<double>")).first()
-    wanted = F.lit(found[0] if found else None).cast("array<double>")
-    scored = items.where(F.lit(found is not None)).select("item_id", F.round(cosine_distance(vector, wanted), 9).alias("distance"), *carry)
-    best = scored.orderBy("distance", "item_id").limit(k)
+    total = lambda x: f"aggregate({x}, 0D, (s, x) -> s + x)"
+    length = lambda v: f"sqrt({total(f'transform({v}, x -> x * x)')})"
+    as_double = f"CAST(`{vector}` AS ARRAY<DOUBLE>)"
+    wanted = F.broadcast(query.limit(1).select(F.expr(as_double).alias("__q"), F.expr(length(as_double)).alias("__n")))
+    own, dot = length(as_double), total(f"zip_with({as_double}, __q, (x, y) -> x * y)")
+    distance = F.expr(f"round(1 - CASE WHEN {own} * __n > 0 THEN {dot} / ({own} * __n) ELSE 0D END, 9)")
+    best = items.crossJoin(wanted).select("item_id", distance.alias("distance"), *carry).orderBy("distance", "item_id").limit(k)
     return best.select("item_id", "distance", F.row_number().over(Window.orderBy("distance", "item_id")).alias("rank"), *carry)
 
 

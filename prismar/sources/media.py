@@ -52,7 +52,7 @@ def resample(x: np.ndarray, rate: int, target: int, zeros: int = 24, piece: int
     window = np.where(np.abs(at) <= half, np.i0(8.6 * np.sqrt(np.maximum(1 - (at / half) ** 2, 0))) / np.i0(8.6), 0)
     phases = cut * np.sinc(cut * at) * window
     phases /= phases.sum(axis=1, keepdims=True)
-    padded, n = np.pad(x, half), round(len(x) * target / rate)
+    padded, n = np.pad(x, half, mode="edge"), round(len(x) * target / rate)  # so that a level stays one to the ends
     out = np.empty(n)
     for a in range(0, n, piece):
         k = np.arange(a, min(n, a + piece)) * down

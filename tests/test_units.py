@@ -450,3 +450,26 @@ def test_everything_is_one_cluster_where_no_fit_can_be_made(spark, odd):
     assert len({r.cluster_id for r in cluster.kmeans(spark.createDataFrame(rows, schema), 2).collect()}) == 2
     got = cluster.kmeans(spark.createDataFrame([*rows, (9, odd)], schema), 2).collect()
     assert {r.cluster_id for r in got} == {0} and len(got) == 7
+
+
+@pytest.mark.parametrize("block", [None, 2])
+def test_fallback_search_ranks_every_item(spark, block, monkeypatch):
+    from prismar.operators import search
+    from pyspark.sql import functions as F
+
+    e = np.random.default_rng(3).normal(size=(60, 4))
+    e[7] = e[8]
+    items = spark.createDataFrame([(k, v.tolist(), v[:2].tolist() if k % 3 else None) for k, v in enumerate(e)], "item_id long, a array<double>, b array<double>")
+    queries = items.where("item_id in (1, 2, 4)").select(F.col("item_id").alias("query_id"), "a", "b", F.when(F.col("item_id") == 1, "a").otherwise("none").alias("wanted"))
+    if block:
+        whole = search.by_blocks
+        monkeypatch.setattr(search, "by_blocks", lambda q, key, work, rows=None: whole(q, key, work, block))
+    found = search.with_fallback_method(items, queries, "b").collect()
+    cosine = lambda x, y: round(float(x @ y / np.sqrt((x @ x) * (y @ y))), 9)
+    want = []
+    for q, method, width, some in ((1, "a", 4, range(60)), *((q, "b", 2, [k for k in range(60) if k % 3]) for q in (2, 4))):
+        scores = sorted((-cosine(e[q, :width], e[k, :width]), k) for k in some)
+        want += [(q, r, k, -s, method) for r, (s, k) in enumerate(scores, 1)]
+    assert sorted((r.query_id, r.rank, r.item_id, r.score, r.method_used) for r in found) == sorted(want)
+    assert search.with_fallback_method(items, queries.where("false"), "b").collect() == []
+    assert search.with_fallback_method(items, queries, "b", 5).count() == 15

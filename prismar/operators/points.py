@@ -156,27 +156,34 @@ def axis_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / 3
 
 
-def wasserstein(a: DataFrame, b: DataFrame, k: int = 20, cells: int = 1 << 20) -> DataFrame:
-    """query_id, rank, item_id, distance: the k items nearest to each query by the mean over channels of the W1 distances of two weighted sets of equal mass
-    (rows p1, p2, p3, w), in 6 places, ties to the smaller id.
+def wasserstein(a: DataFrame, b: DataFrame, k: int | None = None, cells: int = 1 << 20) -> DataFrame:
+    """query_id, rank, item_id, distance: the items (the k nearest, or all without a k) of each query by the mean over channels of the W1 distances of two
+    weighted sets of equal mass (rows p1, p2, p3, w), in 6 places, ties to the smaller id.
 
-    Query palettes go in blocks of bounded size to where the items' palettes lie; a task keeps k rows a query.
+    Query palettes go in blocks of bounded size to where the items' palettes lie, and are compared in tiles; with a k, a task keeps k rows a query.
     """
     items = palettes(b).select(F.col("item_id").cast("long").alias("item_id"), "palette")
+    names = ["query_id", "item_id", "distance"]
 
     def work(block: pa.Table) -> tuple[Broadcast, DataFrame]:
         shared = b.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), stacked(block.column("palette"))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best = Nearest(len(ids), k)
+            best = Nearest(len(ids), k) if k is not None else None
             for batch in batches:
                 own, x = batch.column("item_id").to_numpy(), stacked(batch.column("palette"))
                 step = max(1, cells // max(1, len(own) * (x.shape[1] + q.shape[1])))
                 for at in range(0, len(ids) if len(own) else 0, step):
-                    for i, d in enumerate(half_up(axis_distances(q[at : at + step], x), 6)):
-                        best.add(at + i, d, own)
-            yield from best.rows(ids)
+                    distances = half_up(axis_distances(q[at : at + step], x), 6)
+                    if best is None:
+                        some = ids[at : at + step]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, len(own))), pa.array(np.tile(own, len(some))), pa.array(distances.ravel())], names)
+                    else:
+                        for i, d in enumerate(distances):
+                            best.add(at + i, d, own)
+            if best is not None:
+                yield from best.rows(ids)
 
         return shared, items.mapInArrow(run, "query_id long, item_id long, distance double")
 
@@ -207,9 +214,10 @@ class Nearest:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["query_id", "item_id", "distance"])
 
 
-def nearest(found: DataFrame, k: int) -> DataFrame:
-    own = Window.partitionBy("query_id").orderBy("distance", "item_id")
-    return found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "distance")
+def nearest(found: DataFrame, k: int | None) -> DataFrame:
+    """Ranks by distance and then id; without a k all stay."""
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "item_id")))
+    return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "rank", "item_id", "distance")
 
 
 def transport(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:

@@ -99,8 +99,9 @@ W1 = f"""WITH p AS (SELECT item_id, w, unnest([0, 1, 2]) AS ch, unnest([p1, p2,
  SELECT query_id, item_id, avg(d) AS distance FROM (SELECT query_id, item_id, ch, sum(coalesce(g, 0)) AS d FROM s GROUP BY ALL) GROUP BY query_id, item_id"""
 
 
-@query("G1", f"SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {R6('distance', 'distance').split(' AS ')[0]}, item_id) AS rank, item_id, {R6('distance', 'distance')} FROM ({W1})) WHERE rank <= 20")
+@query("G1", f"SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {R6('distance', 'distance').split(' AS ')[0]}, item_id) AS rank, item_id, {R6('distance', 'distance')} FROM ({W1}))")
 def g1(spark, sf_dir):
+    """Every palette is ranked for each query."""
     top = P.top_share(palette(spark, sf_dir), 5)
     return P.wasserstein(top.where("item_id % 50 = 0").withColumnRenamed("item_id", "query_id"), top)
 

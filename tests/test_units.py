@@ -473,3 +473,21 @@ def test_fallback_search_ranks_every_item(spark, block, monkeypatch):
     assert sorted((r.query_id, r.rank, r.item_id, r.score, r.method_used) for r in found) == sorted(want)
     assert search.with_fallback_method(items, queries.where("false"), "b").collect() == []
     assert search.with_fallback_method(items, queries, "b", 5).count() == 15
+
+
+def test_channel_distances_rank_every_item(spark):
+    from prismar.operators import points
+
+    rng = np.random.default_rng(5)
+    bags = {k: np.concatenate([rng.integers(0, 9, (3, 3)), np.full((3, 1), 1 / 3)], axis=1) for k in range(45)}
+    bags[11] = bags[10]
+    rows = [(k, *map(float, p)) for k, bag in bags.items() for p in bag]
+    items = spark.createDataFrame(rows, "item_id long, p1 double, p2 double, p3 double, w double")
+    queries = items.where("item_id < 2").withColumnRenamed("item_id", "query_id")
+    want = []
+    for q in (0, 1):  # of equal weights: the mean gap of the sorted values
+        d = {k: math.floor(sum(np.abs(np.sort(bags[q][:, c]) - np.sort(bag[:, c])).mean() for c in range(3)) / 3 * 1e6 + 0.5) / 1e6 for k, bag in bags.items()}
+        want += [(q, r, k, d[k]) for r, k in enumerate(sorted(d, key=lambda k: (d[k], k)), 1)]
+    found = [(r.query_id, r.rank, r.item_id, r.distance) for r in points.wasserstein(queries, items, cells=200).collect()]
+    assert sorted(found) == sorted(want)
+    assert sorted(tuple(r) for r in points.wasserstein(queries, items, 7).collect()) == sorted(r for r in want if r[1] <= 7)

@@ -9,11 +9,11 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -27,56 +27,81 @@ WORDS, RARE, SHAPES, DIMS, ONES = 1 << 14, 1024, 1024, 64, 4
 BLOCKS = 64
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 _RUNS = re.compile(rb"(.)\1+", re.S)
+_MARKS = b".,;:!?\"'()|*%#$&"
 
 
 def word_key(token: bytes) -> int:
     """A hash of the token's word, without case and the punctuation around it."""
-    return xxhash.xxh3_64_intdigest(token.lower().strip(b".,;:!?\"'()|*%#$&")) & (2**63 - 1)
+    return xxhash.xxh3_64_intdigest(token.lower().strip(_MARKS)) & (2**63 - 1)
 
 
-class Units(dict):
-    """token (bytes) -> word unit * SHAPES + shape unit. The shape writes A, a and 0 for letters and digits, runs as one."""
+def word_keys(tokens: bytes) -> np.ndarray:
+    """word_key() of each of some tokens, one a line."""
+    words = [t.strip(_MARKS) for t in tokens.lower().split(b"\n")] if tokens else []
+    return (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) & np.uint64(2**63 - 1)).astype(np.int64)
 
-    def __init__(self, listed: np.ndarray):
-        super().__init__()
-        self.own = {h: k for k, h in enumerate(listed.tolist())}
+
+def distinct_tokens(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The different tokens of some texts, one a line, the place among these of every token in turn, and how many tokens each text has (as bytes.split())."""
+    lists = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.binary()).view(pa.string()))
+    flat = lists.flatten()
+    full = pc.binary_length(flat).to_numpy() > 0  # white space at an end of a text leaves an empty one
+    sizes = np.diff(np.concatenate([[0], np.cumsum(full)])[lists.offsets.to_numpy()])
+    found = flat.filter(pa.array(full)).dictionary_encode()
+    lines = pc.binary_join(pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary.view(pa.binary())), b"\n")
+    return lines[0].as_py(), found.indices.to_numpy(), sizes
+
+
+class Shapes(dict):
+    """Token with A, a and 0 for letters and digits -> shape unit: the hash of it with runs as one."""
 
     def __missing__(self, token: bytes) -> int:
-        key, shape = word_key(token), xxhash.xxh3_64_intdigest(_RUNS.sub(rb"\1+", token.translate(_SHAPE))) % SHAPES
-        word = self.own.get(key)
-        value = self[token] = (len(self.own) + key % RARE if word is None else word) * SHAPES + shape
+        value = self[token] = xxhash.xxh3_64_intdigest(_RUNS.sub(rb"\1+", token)) % SHAPES
         return value
 
-    def trim(self, limit: int = 600_000) -> None:
-        if len(self) > limit:
-            self.clear()
+
+class Units:
+    """Word and shape units of tokens; each different token of the texts in hand is looked up once."""
+
+    def __init__(self, listed: np.ndarray):
+        self.listed, self.shapes = listed, Shapes()
+
+    def of_all(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word and shape units of all tokens in turn, and how many tokens each text has."""
+        tokens, place, sizes = distinct_tokens(texts)
+        keys = word_keys(tokens)
+        word = len(self.listed) + keys % RARE
+        if len(self.listed):
+            at = np.minimum(np.searchsorted(self.listed, keys), len(self.listed) - 1)
+            word = np.where(self.listed[at] == keys, at, word)
+        if len(self.shapes) > 100_000:
+            self.shapes.clear()
+        written = tokens.translate(_SHAPE).split(b"\n") if tokens else []
+        shape = np.fromiter(map(self.shapes.__getitem__, written), np.int64, len(written))
+        return word[place], shape[place], sizes
 
     def of(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         """Word and shape units of a text."""
-        tokens = text.split() if text else []
-        both = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        return both // SHAPES, both % SHAPES
+        return self.of_all([text])[:2]
 
 
 def frequent_words(docs: DataFrame, most: int = WORDS) -> np.ndarray:
     """The keys of the most frequent words of all documents; counts are added up in each task first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            total: Counter = Counter()
-            for token, n in seen.items():
-                total[word_key(token)] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["w", "n"])
+        def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            return keys, np.bincount(place, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in slices(batches, "text"):
-            for t in batch.column("text"):
-                if t.is_valid:
-                    seen.update(t.as_py().split())
-            if len(seen) > 200_000:
-                yield out()
-        yield out()
+            tokens, place, _ = distinct_tokens(batch.column("text").to_pylist())
+            parts.append((word_keys(tokens), np.bincount(place)))
+            if sum(len(k) for k, _ in parts) > 800_000:
+                parts = [added(parts)]
+                if len(parts[0][0]) > 400_000:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, parts.pop())), ["w", "n"])
+        if parts:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, added(parts))), ["w", "n"])
 
     counts = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     return np.array(sorted(r.w for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()), np.int64)
@@ -117,15 +142,12 @@ def unit_vectors(docs: DataFrame, listed: np.ndarray) -> np.ndarray:
         units, sums, shapes = Units(listed), np.zeros((words, DIMS)), np.zeros(SHAPES * SHAPES)
         index = index_vectors(words)
         for batch in slices(batches, "text"):
-            pairs: list[list] = [[], [], [], []]
-            for t in batch.column("text"):
-                for k, own in enumerate(units.of(t.as_py())):
-                    pairs[2 * k].append(own[:-1])
-                    pairs[2 * k + 1].append(own[1:])
-            units.trim()
-            a, b, c, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in pairs)
-            sums += context_sums(a, b, words, *index)
-            shapes += np.bincount(c * SHAPES + d, minlength=SHAPES * SHAPES)
+            own, shape, sizes = units.of_all(batch.column("text").to_pylist())
+            ends = np.cumsum(sizes)
+            beside = np.ones(max(0, len(own) - 1), bool)
+            beside[ends[(ends > 0) & (ends < len(own))] - 1] = False  # the last of a text and the first of the next
+            sums += context_sums(own[:-1][beside], own[1:][beside], words, *index)
+            shapes += np.bincount(shape[:-1][beside] * SHAPES + shape[1:][beside], minlength=SHAPES * SHAPES)
         shapes = shapes.reshape(SHAPES, SHAPES)
         sums = np.concatenate([sums, (shapes + shapes.T) @ dense_index(SHAPES)])
         salt = TaskContext.get().partitionId() % 64
@@ -161,15 +183,16 @@ class Pooler:
     def features(self, texts: list[bytes | None]) -> np.ndarray:
         mean, extra = np.zeros((len(texts), DIMS), np.float32), np.zeros((len(texts), 5), np.float32)
         count = np.zeros((len(texts), SHAPES))  # in double, so that a row's place in a batch doesn't show
+        own, shape, sizes = self.units.of_all(texts)
+        ends = np.cumsum(sizes)
         for i, t in enumerate(texts):
-            words, shapes = self.units.of(t)
+            words, shapes = own[ends[i] - sizes[i] : ends[i]], shape[ends[i] - sizes[i] : ends[i]]
             if n := len(words):
                 count[i] = np.bincount(shapes, minlength=SHAPES) / n
                 used, times = np.unique(words, return_counts=True)
                 mean[i] = sum(times[a : a + 4096].astype(np.float32) @ self.words[used[a : a + 4096]] for a in range(0, len(used), 4096)) / n
                 lines = [x for x in t.split(b"\n") if x]
                 extra[i] = (np.log1p(n), len(used) / n, len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)), len(t) / n / 10)
-        self.units.trim()
         return np.concatenate([mean, (count @ self.both).astype(np.float32), extra], axis=1)
 
 

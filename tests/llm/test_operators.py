@@ -602,3 +602,19 @@ def test_repeated_lines_line_up_as_one_block(spark):
     assert [tuple(b[c] for c in ("owner", "first", "theirs", "lines")) for b in got[3]["blocks"]] == [(1, 2, 1, 3)]
     more = {r["doc_id"]: r for r in rows(linededup.dedup_lines(spark.createDataFrame([(1, "\n".join([line] * 4)), (2, "\n".join([line] * 7))], "doc_id long, text string")))}
     assert more[2]["text"] == "" and sum(b["lines"] for b in more[2]["blocks"]) == 7 and max(b["lines"] for b in more[2]["blocks"]) == 4
+
+
+def test_units_of_many_texts_are_those_of_each_token():
+    import xxhash
+    from prismar.llm import quality as Q
+
+    texts = [None, "", "One, two  TWO\n\nthree", " \t", "aaa AAAb00 --- é\u00a0É $$ x", "...", "two \x1c\x85 one", ""]
+    raw = [t.encode() if t is not None else None for t in texts]
+    tokens = [t.split() if t else [] for t in raw]
+    listed = np.array(sorted({Q.word_key(b"two"), Q.word_key(b"aaa"), Q.word_key(b"")}))
+    place = {k: i for i, k in enumerate(listed.tolist())}
+    words = [place.get(Q.word_key(t), 3 + Q.word_key(t) % Q.RARE) for own in tokens for t in own]
+    shapes = [xxhash.xxh3_64_intdigest(Q._RUNS.sub(rb"\1+", t.translate(Q._SHAPE))) % Q.SHAPES for own in tokens for t in own]
+    found = Q.Units(listed).of_all(raw)
+    assert [x.tolist() for x in found] == [words, shapes, list(map(len, tokens))]
+    assert [len(x) for x in Q.Units(listed[:0]).of_all([None, ""])] == [0, 0, 2]

@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ from prismar.llm.common import slices
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"  # fixed value: the letter that stands for a space in pieces
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_LETTERS = "A-Za-z"
 
 
 def model_path(name: str = MODEL) -> str:
@@ -34,11 +36,11 @@ def model_path(name: str = MODEL) -> str:
 class PrefixEncoder:
     """Encodes chunks by their prefix table and remembers the short ones.
 
-    A text is cut only between letters that no piece has side by side (spaces first, as that is fast). Short chunks seen lately are kept in two
-    generations. Models with user-defined or unused pieces, or with a letter in a piece that is no piece itself, are refused.
+    A text is cut only between letters that no piece has side by side (before spaces, and between A-Z and marks, as that is fast). Short chunks seen
+    lately are kept in two generations. Models with user-defined or unused pieces, or with a letter in a piece that is no piece itself, are refused.
     """
 
-    def __init__(self, path: str, limit: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, limit: int = 450_000, longest: int = 64):
         import ahocorasick
         import sentencepiece
 
@@ -62,9 +64,13 @@ class PrefixEncoder:
         self.automaton = ahocorasick.Automaton()
         for p, (_, i) in self.rank.items():
             if self.merged(p) == [p]:  # others never come out of merging
-                self.automaton.add_word(p, (i, len(p)))
+                self.automaton.add_word(p, (i, len(p) - 1))
         self.automaton.make_automaton()
         self.cut_spaces = not any(SPACE in p.lstrip(SPACE) for p in self.rank)
+        mixed = {c for p in self.inside for c, d in (p, p[::-1]) if re.match(f"[{_LETTERS}]", d)}
+        marks = "".join(re.escape(c) for c in map(chr, range(1, 128)) if not c.isalnum() and c not in mixed)
+        word, end = f"{SPACE}*+[{_LETTERS}]++", f"{SPACE}]|\\Z)"
+        self.runs = re.compile(f"{word}(?=[{marks}{end}|[{marks}]++(?=[{_LETTERS}{end}|{_RUNS.pattern}") if marks else _RUNS
         self.limit, self.longest, self.cache, self.older = limit, longest, {}, {}
 
     def merged(self, text: str) -> list[str]:
@@ -88,9 +94,9 @@ class PrefixEncoder:
         """For each prefix (by length, from 1), its last piece; below 0: ~letter, for a letter that the model doesn't have."""
         last = [-1, *[~ord(c) for c in text]]
         done, known, shift = 0, self.known.get, self.shift
-        for end, (piece, width) in self.automaton.iter(text):
+        for end, (piece, more) in self.automaton.iter(text):
             if end >= done:
-                before = last[end + 1 - width]
+                before = last[end - more]
                 if before >= 0:
                     fits = known(before << shift | piece)
                     if not (self.compatible(before, piece) if fits is None else fits):
@@ -109,15 +115,15 @@ class PrefixEncoder:
             else:
                 at -= 1
                 out.extend([self.bytes[b] for b in reversed(text[at].encode())] if self.fallback else [self.model.unk_id()])
-        return tuple(reversed(out))
+        return tuple(out[::-1])
 
     def chunk(self, text: str) -> tuple[int, ...]:
         """The ids of a chunk that isn't in the young generation."""
         found = self.older.get(text)
         if found is None:
-            inside = self.inside
-            cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in inside]
-            if cuts:
+            joined = [*map(self.inside.__contains__, map(add, text, text[1:]))]
+            if False in joined:
+                cuts = [k for k, one in enumerate(joined, 1) if not one]
                 get, chunk = self.cache.get, self.chunk
                 found = tuple(chain.from_iterable([get(p) or chunk(p) for p in [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]]))
             else:
@@ -130,9 +136,7 @@ class PrefixEncoder:
         """The pieces of a normalised text that are encoded apart."""
         if not self.cut_spaces:
             return [normal] if normal else []
-        if normal[:1] == SPACE and SPACE * 2 not in normal:
-            return [SPACE + c for c in normal[1:].split(SPACE)]
-        return _RUNS.findall(normal)
+        return self.runs.findall(normal)
 
     def encode(self, text: str) -> list[int]:
         if len(self.cache) > self.limit:

@@ -74,3 +74,15 @@ def test_cuts_and_caches_change_nothing(library):
         assert own.encode(text) == library.encode(text)
         own.inside = {text[k : k + 2] for k in range(len(text))} | own.inside  # no cuts inside a chunk
         assert own.encode(text) == library.encode(text)
+
+
+def test_words_are_chunks_of_their_own(library):
+    from prismar.llm import pieces
+
+    own = pieces.encoder(pieces.model_path())
+    assert own.chunks("▁that.\n▁▁Then,x▁é.a▁b1,▁▁") == ["▁that", ".\n", "▁▁Then", ",", "x", "▁é.a", "▁b1,", "▁▁"]
+    letters = "abzABZ"
+    marks = [chr(c) for c in range(1, 128) if not chr(c).isalnum() and own.chunks("▁a" + chr(c)) != ["▁a" + chr(c)]]
+    assert len(marks) > 20 and not any(x + m in p or m + x in p for p in own.rank for m in marks for x in letters)
+    for text in ["that.\n Then,x é.a b1, ", "a\tb\x00c.d\n", "(one)[two]{three}'s don't x=1;y_2 U.S. 3.5% é-é", *(f"{a}{m}{a}{m}{m} {m}{a}\n" for m in marks for a in ("a", "Thing"))]:
+        assert own.encode(text) == library.encode(text), text

@@ -6,6 +6,9 @@ from prismar.llm import decontam, jaccard, linededup, packing, toxicity
 from prismar.llm.common import materialize, table
 from pyspark.sql import DataFrame, SparkSession
 
+#: The same Python workers serve all stages, and what one stage took is seldom given back before the next: each takes little text at once and remembers few words.
+SMALL = {"slice_bytes": 1 << 19, "cached": 50_000}
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the segment scorer predicts toxic."""
@@ -19,7 +22,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return jaccard.drop_near_copies(docs)
+    return jaccard.drop_near_copies(docs, **SMALL)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each packed piece of what is left."""
-    return packing.pack(docs)
+    return packing.pack(docs, **SMALL)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("ngram_jaccard", drop_near_copies), ("decontamination", decontaminate), ("packing", pack)]

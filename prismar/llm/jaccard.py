@@ -37,7 +37,6 @@ def shingle_sets(texts: list[bytes | None], hashes: WordHashes) -> list[np.ndarr
     words = [words_of(t) for t in texts]
     lengths = [len(w) for w in words]
     flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.uint64, sum(lengths))
-    hashes.trim()
     m = len(flat) - WIDTH + 1
     rolled = mix64(sum((flat[k : k + m] * _MUL[k] for k in range(1, WIDTH)), flat[:m] * _MUL[0])) if m > 0 else flat[:0]
     out, at = [], 0
@@ -58,12 +57,16 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def document_sets(rows: DataFrame, key: Callable[[np.ndarray], tuple[int, int]] = set_key) -> DataFrame:
-    """doc_id, th (hash of the text), n, cid and h2 (set key), shingles (sorted 64-bit hashes) of each row (doc_id, th, text)."""
+def document_sets(rows: DataFrame, key: Callable[[np.ndarray], tuple[int, int]] = set_key, slice_bytes: int = 2 << 20, cached: int = 400_000) -> DataFrame:
+    """doc_id, th (hash of the text), n, cid and h2 (set key), shingles (sorted 64-bit hashes) of each row (doc_id, th, text).
+
+    A worker takes about `slice_bytes` of text at once and remembers about `cached` words; neither changes a set.
+    """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", slice_bytes):
             sets = shingle_sets([t.as_py() for t in batch.column("text")], hashes)
+            hashes.trim(cached)
             keys = [key(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
@@ -440,10 +443,10 @@ def class_links(sets: DataFrame, block: int, leaders: int, room: int = 1 << 20)
     return links, spent
 
 
-def set_components(docs: DataFrame, block: int = 1000, leaders: int = 32, key: Callable[[np.ndarray], tuple[int, int]] = set_key) -> DataFrame:
-    """doc_id, th, n, cid, h2 and comp (the component's key, null without words) for each row of `docs`."""
+def set_components(docs: DataFrame, block: int = 1000, leaders: int = 32, key: Callable[[np.ndarray], tuple[int, int]] = set_key, **memory: int) -> DataFrame:
+    """doc_id, th, n, cid, h2 and comp (the component's key, null without words) for each row of `docs`. `memory`: slice_bytes and cached of `document_sets`."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
-    sets = separate_classes(materialize(document_sets(rows, key), "shingle-sets"))
+    sets = separate_classes(materialize(document_sets(rows, key, **memory), "shingle-sets"))
     links, spent = class_links(sets, block, leaders)
     found = connected_components(links, "components")
     for t in spent:
@@ -467,10 +470,10 @@ def jaccard_classes(docs: DataFrame, block: int = 1000, leaders: int = 32) -> Da
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, **memory: int) -> DataFrame:
     """`docs` with one row of each component: that of the smallest id (null last), then of the smallest text hash; of repeated rows
-    (same id and text) one stays. Rows without words all stay."""
-    rows = set_components(docs).where("comp is not null").groupBy("comp", "doc_id", "th").agg(F.count(F.lit(1)).alias("copies"))
+    (same id and text) one stays. Rows without words all stay. `memory`: slice_bytes and cached of `document_sets`."""
+    rows = set_components(docs, **memory).where("comp is not null").groupBy("comp", "doc_id", "th").agg(F.count(F.lit(1)).alias("copies"))
     rows = materialize(rows, "near-copies")
     best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("best"))
     marked = rows.join(best, "comp").withColumn("stays", F.struct(F.col("doc_id").isNull(), "doc_id", "th").eqNullSafe(F.col("best")))

@@ -16,14 +16,17 @@ from prismar.llm.tokens import encoder, id_bytes, tokenizer_path
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, width: int, end_id: int = 1, tokenizer: str | None = None) -> DataFrame:
-    """Tokenise each text, add `end_id`, and cut it into pieces of `width` ids and one shorter rest."""
+def pieces(docs: DataFrame, width: int, end_id: int = 1, tokenizer: str | None = None, slice_bytes: int = 4 << 20, cached: int = 400_000) -> DataFrame:
+    """Tokenise each text, add `end_id`, and cut it into pieces of `width` ids and one shorter rest.
+
+    A worker takes about `slice_bytes` of text at once and remembers about `cached` chunks; neither changes a piece.
+    """
     path = tokenizer or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, id_bytes)
+        own = encoder(path, id_bytes, limit=cached)
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", slice_bytes):
             rows: list[tuple] = []
             for doc, parts in zip(batch.column("doc_id").to_pylist(), own.values(batch.column("text").to_pylist())):
                 ids = b"".join([*parts, end])
@@ -124,15 +127,16 @@ def layout(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {size: np.array(rows, np.int64) for size, rows in at.items()}
 
 
-def pack(docs: DataFrame, width: int = 2048, unit: int = 16, end_id: int = 1, tokenizer: str | None = None, rows_per_salt: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, width: int = 2048, unit: int = 16, end_id: int = 1, tokenizer: str | None = None, rows_per_salt: int = 20_000, **memory: int) -> DataFrame:
     """Pack all documents into sequences of at most `width` ids; a row for each piece.
 
     Lengths are rounded up to multiples of `unit` for the linear program (at most width/unit classes, whatever the input);
     offsets use the exact lengths, so sequences have no gaps. Pieces of a class are ranked over salted parts of it, so a
     class that holds most rows is spread over tasks. A null or empty text is its end id; repeated rows are packed each; an empty table
     gives no rows; other columns are ignored. A text of any length is cut into as many pieces as it needs.
+    `memory`: slice_bytes and cached of `pieces`.
     """
-    cut = materialize(pieces(docs, width, end_id, tokenizer).withColumn("cls", F.ceil(F.col("length") / unit).cast("int")), "pieces")
+    cut = materialize(pieces(docs, width, end_id, tokenizer, **memory).withColumn("cls", F.ceil(F.col("length") / unit).cast("int")), "pieces")
     demand = {r.cls: r["count"] for r in cut.groupBy("cls").count().collect()}  # at most width/unit rows
     places = layout(cutting_stock(demand, width // unit))
     salts = max(64, sum(demand.values()) // rows_per_salt)

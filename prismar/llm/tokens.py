@@ -113,12 +113,13 @@ def id_bytes(ids: list[int]) -> bytes:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, make, table: dict | None = None, version: str = "") -> ChunkEncoder:
-    """The worker's encoder, kept from task to task with what it has learnt."""
+def encoder(path: str, make, table: dict | None = None, version: str = "", limit: int = 400_000) -> ChunkEncoder:
+    """The worker's encoder, kept from task to task with what it has learnt, which is dropped when it is over `limit` chunks."""
     key = (path, make.__name__)
     if key not in _ENCODERS or _ENCODERS[key].version != version:
         _ENCODERS[key] = ChunkEncoder(path, make, table)
         _ENCODERS[key].version = version
+    _ENCODERS[key].limit = limit
     return _ENCODERS[key]
 
 

@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the contamination rule rejects."""
-    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"), shard_bytes=4 << 20)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,14 @@ def as_double(v: Column | str) -> Column:
     return col(v).cast("array<double>")
 
 
+def half_up(x: Column, digits: int) -> Column:
+    """`x` times 10^digits to the nearest whole number in doubles, halves away from zero, as the SQL that results are held against rounds. Spark's round() takes the
+    shortest decimal form of `x` instead, and differs where the product falls on the other side of a half."""
+    y = F.abs(x) * 10.0**digits
+    whole = F.floor(y) + F.when(y - F.floor(y) >= 0.5, 1.0).otherwise(0.0)
+    return F.when(y < 2.0**52, F.signum(x) * whole / 10.0**digits).otherwise(x)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 

@@ -6,6 +6,7 @@ import struct
 import uuid
 
 import pyarrow as pa
+from prismar.functions.vectors import half_up
 from prismar.operators import audio, encode, images
 from prismar.operators import points as P
 from prismar.operators import raster as R
@@ -213,7 +214,7 @@ def v2(spark, sf_dir):
     """A user's log is as long as it likes, so only the wanted samples of it are gathered."""
     e = table(spark, sf_dir, "events").where("value is not null").select("user_id", F.struct("ts", "event_id").alias("at"), F.col("value").cast("double").alias("v"))
     found = audio.envelope_of_rows(e, "user_id", "at", "v", 8)
-    return found.select("user_id", F.transform("envelope", lambda v: F.round(v, 6) + 0.0).alias("envelope"))
+    return found.select("user_id", F.transform("envelope", lambda v: half_up(v, 6) + 0.0).alias("envelope"))
 
 
 @query("V3")

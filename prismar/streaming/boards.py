@@ -226,7 +226,7 @@ def stream_moodboards(events: DataFrame, late: int | None = None) -> DataFrame:
 
 def stream_selection(events: DataFrame) -> DataFrame:
     """user_id, item, selected of each item that a batch touches."""
-    return keyed(events, ("on", "off", "all_on", "all_off")).groupBy("user_id", "bucket").transformWithStateInPandas(statefulProcessor=Selection(), outputStructType=PICKED, outputMode="Update", timeMode="None")
+    return keyed(events, ("on", "off", "all_on", "all_off")).groupBy("shard").transformWithStateInPandas(statefulProcessor=Paged(Selection), outputStructType=PICKED, outputMode="Update", timeMode="None")
 
 
 def board_of(latest: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from prismar.llm.common import WordHashes, connected_components, discard, materialize, mix64, slices, words_of
 
 NUM, DEN, WIDTH, TABLE = 4, 5, 5, 25
+PAIR_BYTES, TIMES = 40, 4  # of a pair of classes, with its sizes, in an exchange; how often all sets of a group may be sent without a look at its pairs
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -387,11 +388,116 @@ def verify(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
     return dealt.mapInArrow(check, "a long, b long")
 
 
+def prefix_lists(large: DataFrame, outside: np.ndarray, places: int, levels, parts: int, bits: int) -> DataFrame:
+    """A written table of the prefix shingles of the classes in `large`, by candidate group and group of shingles (comp, g): token, cid, n, and out, whether the class may be
+    one of those in the bitmap `outside`. Sorted by comp and g in its files."""
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    marks = large.sparkSession.sparkContext.broadcast(outside)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order_by, marked = levels.value, marks.value
+        for batch in slices(batches, "shingles", 8 << 20):
+            held: dict[int, dict[int, tuple]] = {}
+            for comp, cid, s in zip(batch.column("comp").to_pylist(), batch.column("cid").to_pylist(), sets_of(batch)):
+                h = int((mix64(np.array([cid], np.int64).view(np.uint64)) % np.uint64(places))[0])
+                out = marked[h >> 3] >> (h & 7) & 1
+                held.setdefault(comp, {})[cid] = (rarest_first(s, order_by)[: prefix_size(len(s))], len(s), out)
+            rows = []
+            for comp, own in held.items():
+                size = [len(head) for head, *_ in own.values()]
+                columns = np.concatenate([head for head, *_ in own.values()]), *(np.repeat(np.array(c, t), size) for c, t in ((list(own), "<i8"), ([n for _, n, _ in own.values()], "<i4"), ([o for *_, o in own.values()], np.uint8)))
+                order = np.argsort(columns[0], kind="stable")
+                token, cid, n, out = (c[order] for c in columns)
+                group = (token >> np.uint64(64 - bits)).astype(np.int64)
+                key = ((token >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+                ends = (np.flatnonzero(np.diff(group, append=-1)) + 1).tolist()
+                rows += [(comp, int(group[a]), *(x[a:b].tobytes() for x in (key, cid, n, out))) for a, b in zip([0, *ends], ends)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["comp", "g", "token", "cid", "n", "out"])
+
+    dealt = large.select("comp", "cid", "shingles").mapInArrow(emit, "comp long, g int, token binary, cid binary, n binary, out binary")
+    return materialize(dealt.repartition(parts, "comp", "g").sortWithinPartitions("comp", "g"), "prefix-lists")
+
+
+def shared_runs(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """cid, n, out of the entries of one group of prefix_lists() whose token has others and one that may be outside, by token and size; and how many entries after
+    each have its token and a size that allows a link."""
+    token, cid, n, out = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("token", "<u4"), ("cid", "<i8"), ("n", "<i4"), ("out", np.uint8)))
+    order = np.lexsort((cid, n, token))
+    token, cid, n, out = token[order], cid[order], n[order].astype(np.int64), out[order] > 0
+    again = np.concatenate([[False], (token[1:] == token[:-1]) & (cid[1:] == cid[:-1])])  # a class may come from several tasks
+    token, cid, n, out = (c[~again] for c in (token, cid, n, out))
+    _, run = np.unique(token, return_inverse=True)
+    good = (np.bincount(run, out) > 0)[run] & (np.bincount(run) > 1)[run]
+    cid, n, out, run = (c[good] for c in (cid, n, out, run))
+    after = np.searchsorted((run << 33) + n, (run << 33) + n * DEN // NUM, side="right") - 1 - np.arange(len(n))
+    return cid, n, out, after
+
+
+def pair_counts(lists: DataFrame) -> DataFrame:
+    """comp, pairs: at most how many rows near_pairs() has before they are put together."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (comp, _), rows in by_key(batches, "comp", "g"):
+            yield pa.RecordBatch.from_arrays([pa.array([comp], pa.int64()), pa.array([int(shared_runs(rows)[3].sum())], pa.int64())], ["comp", "pairs"])
+
+    return lists.repartition(F.col("comp"), F.col("g")).sortWithinPartitions("comp", "g").mapInArrow(count, "comp long, pairs long").groupBy("comp").agg(F.sum("pairs").alias("pairs"))
+
+
+def near_pairs(lists: DataFrame, chunk: int = 1 << 18) -> DataFrame:
+    """a, b (a < b), c: the pairs of classes, one of them outside, that share c prefix shingles, as many as similar ones of their sizes must.
+
+    Of what one of two similar classes has in its prefix the other lacks no more than n - t shingles, where t is what they must share in all; the rest lies in the other's
+    prefix too, for the one whose prefix ends first.
+    """
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches, "comp", "g"):
+            cid, n, out, after = shared_runs(rows)
+            at = 0
+            total = np.cumsum(after)
+            while at < len(cid):
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + chunk, side="right")))
+                i = np.repeat(np.arange(at, end), after[at:end])
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(after[at:end]) - after[at:end], after[at:end])
+                some = out[i] | out[j]
+                i, j = i[some], j[some]
+                low = cid[i] < cid[j]
+                i, j = np.where(low, i, j), np.where(low, j, i)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cid[i], cid[j], n[i], n[j])], ["a", "b", "na", "nb"])
+                at = end
+
+    dealt = lists.repartition(F.col("comp"), F.col("g")).sortWithinPartitions("comp", "g").mapInArrow(pair, "a long, b long, na long, nb long")
+    counted = dealt.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    whole = F.ceil(NUM * (F.col("na") + F.col("nb")) / (NUM + DEN))
+    return counted.where(F.col("c") >= whole + 1 - F.ceil(NUM * F.greatest("na", "nb") / DEN)).select("a", "b", "c")
+
+
+def links_of_pairs(pairs: DataFrame, links: DataFrame, labels: DataFrame, picked: DataFrame, parts: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that span with `links` what the similar ones of the written `pairs` do, and the tables that only they need. Of two components (`labels`) the pair that shares
+    most is compared first; then what is still apart."""
+    def apart(labels: DataFrame) -> DataFrame:
+        of = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"l{c}"))
+        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        la, lb = F.coalesce("la", "a"), F.coalesce("lb", "b")
+        return both.select("a", "b", "c", F.least(la, lb).alias("la"), F.greatest(la, lb).alias("lb")).where("la != lb")
+
+    def compared(some: DataFrame) -> DataFrame:
+        sides = some.select("a", "b", F.explode(F.array("a", "b")).alias("cid"))
+        return materialize(verify(picked.select("cid", "shingles").join(sides, "cid"), parts, "a", "b"), "pair-links")
+
+    best = apart(labels).groupBy("la", "lb").agg(F.max_by(F.struct("a", "b"), "c").alias("p")).select("p.a", "p.b")
+    first = compared(best)
+    now = materialize(connected_components(links.unionByName(first), "labels"), "pair-labels")
+    second = compared(apart(now))
+    return first.unionByName(second), [first, now, second]
+
+
 def class_links(sets: DataFrame, block: int, leaders: int, room: int = 1 << 20) -> tuple[DataFrame, list[DataFrame]]:
     """Links (a, b) that span the components of all classes of the written table `sets`, and the written tables that only they need.
 
     A candidate group of at most `block` classes and `room` shingles is compared in one task. A larger one is cut into blocks, each compared
     together with a few leaders of the group; classes that are then outside the group's largest component are compared with all its blocks.
+    Where that sends the group's sets more than TIMES times, they are compared with those classes alone that share enough prefix shingles with them, if that takes fewer
+    bytes: in a group that chance has linked nearly all classes are outside.
     """
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -416,7 +522,7 @@ def class_links(sets: DataFrame, block: int, leaders: int, room: int = 1 << 20)
 
     picked = sets.where("n > 0").select("cid", "n", "shingles").mapInArrow(pick, "cid long, n long, shingles binary").join(members.hint("merge"), "cid")
     picked = materialize(picked, "member-sets")  # a class may come from several tasks
-    size = picked.select("comp", "cid", "n").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / room)).cast("int").alias("blocks"))
+    size = picked.select("comp", "cid", "n").distinct().groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / room)).cast("int").alias("blocks"), F.sum("n").alias("shingles_in"))
     size = materialize(size, "group-sizes")
     spent = [members, picked, size]
     sized = picked.drop("n").join(size, "comp")
@@ -433,8 +539,19 @@ def class_links(sets: DataFrame, block: int, leaders: int, room: int = 1 << 20)
         labels = materialize(connected_components(links, "labels"), "block-labels")
         named = members.join(size.where("blocks > 1"), "comp").join(labels.withColumnRenamed("comp", "label"), F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "cid"))
         main = named.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-        rest = materialize(named.join(main, "comp").where(F.col("label") != F.col("main")).select("cid", "comp", "m", "blocks"), "outside")
+        rest = materialize(named.join(main, "comp").where(F.col("label") != F.col("main")).select("cid", "comp", "m", "blocks", "shingles_in"), "outside")
         spent += [labels, rest]
+        sent = rest.groupBy("comp").agg((2 * F.count(F.lit(1)) * F.first("blocks") / F.first("m")).alias("times"), (8 * F.first("shingles_in")).alias("size"))
+        sent = materialize(sent.where(F.col("times") > TIMES), "sent-often")
+        spent.append(sent)
+        if not sent.isEmpty():
+            out = class_bitmap(rest.select(F.col("cid").alias("node")), places)
+            lists = prefix_lists(large.join(sent.select("comp"), "comp", "left_semi"), out, places, levels, parts, bits)
+            fewer = materialize(pair_counts(lists).join(sent, "comp").where(F.col("pairs") * PAIR_BYTES < F.col("times") * F.col("size")).select("comp"), "by-pairs")
+            pairs = materialize(near_pairs(lists.join(fewer, "comp", "left_semi")), "near-pairs")
+            found, more = links_of_pairs(pairs, links, labels, picked, parts)
+            spent += [lists, fewer, pairs, *more]
+            links, rest = links.unionByName(found), rest.join(fewer, "comp", "left_anti")
         # as many rest parts as blocks would be for them
         left = rest.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) * F.first("blocks") / F.first("m")).cast("int").alias("rests"))
         theirs = large.join(left, "comp").withColumn("b", own).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
